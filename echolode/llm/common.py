@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scratch import Scratch, shared_dir
+
+__all__ = ["Scratch", "shared_dir"]
+
 #: White space of the word rule: space and the five ASCII controls from tab to carriage return.
 SPACE = r"\x20\x09-\x0D"
 
@@ -27,33 +29,6 @@ def fold(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='echolode-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Tables that cut a job's lineage. They are Parquet in the shared folder, so they outlive executors."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.root = spark, f"{shared_dir(spark)}/echolode-{uuid.uuid4().hex}"
-
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
-
-    def drop(self, *names: str) -> None:
-        """Remove tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = 2000) -> DataFrame:
     """mapInArrow with state for each task: ``make`` runs once a task and returns the function of up to ``rows`` rows."""
 

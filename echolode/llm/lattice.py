@@ -1,9 +1,11 @@
 """LM scoring by subword lattice likelihood.
 
 The pieces and their first weights are those of an existing public vocabulary (its scores are merge ranks, taken
-as a Zipf prior). One step of expectation maximisation over all training words re-weights the pieces; the vocabulary
-itself stays as it is. A word's probability is the sum over all of its segmentations, by a forward recursion in log
-space; a text's is the product over its words and one end. Characters outside the vocabulary fall back to bytes.
+as a Zipf prior). One step of expectation maximisation over all distinct training words re-weights the pieces; the
+vocabulary itself stays as it is. A word's probability is the sum over all of its segmentations, by a forward recursion
+in log space; a text's is the product over its words and one end. Characters outside the vocabulary fall back to bytes.
+A word of the training rows is one more edge of its own lattice, from start to end, of weight (c - discount) / N; the
+discounted mass is what the segmentations share, so that the probabilities of all words and the end sum to one at most.
 
 Words are counted by a map-side Counter and one shuffle. The most frequent words (``frequent``: a bound) are broadcast
 to the scoring pass, all others go through a shuffle join with the word table. A null or empty text has its end only.
@@ -32,8 +34,9 @@ START = "▁"
 class LatticeParams:
     vocabulary: str | None = None  # a sentencepiece model; None: the public one installed here
     prior: float = 2000.0  # pseudo counts of the vocabulary's own scores
+    discount: float = 0.75  # taken from the count of each training word and given to the segmentations
     frequent: int = 1 << 17  # words that are broadcast
-    flush: int = 400_000  # words that a counting task holds
+    flush: int = 1_000_000  # words that a counting task holds
 
 
 def vocabulary(path: str | None) -> tuple[dict[str, int], np.ndarray]:
@@ -53,7 +56,9 @@ class Lattice:
 
     def __init__(self, number: dict[str, int], p: np.ndarray) -> None:
         self.number, self.log = number, np.log(p).tolist()
-        self.known = {s: (self.log[k], k) for s, k in number.items()}
+        # every end of a piece is a key, so that a search that grows to the left can stop; those that are no piece have ()
+        self.known = dict.fromkeys((s[a:] for s in number for a in range(len(s))), ())
+        self.known |= {s: (self.log[k], k) for s, k in number.items()}
         self.longest = max(map(len, number))
 
     def byte_ids(self, c: str) -> list[int]:
@@ -76,10 +81,13 @@ class Lattice:
             del f[same + 1 :], edges[same:]
             for end in range(same + 1, len(s) + 1):
                 own = []
-                for a in range(end - longest if end > longest else 0, end):
-                    if got := known(s[a:end]):
+                for a in range(end - 1, end - longest - 1 if end > longest else -1, -1):
+                    got = known(s[a:end])
+                    if got:
                         own.append((a, got[0], got[1]))
-                if s[end - 1] not in self.known:
+                    elif got is None:
+                        break
+                if not known(s[end - 1]):
                     own.append((end - 1, sum(self.log[k] for k in self.byte_ids(s[end - 1])), -1))
                 if len(own) == 1:
                     f.append(f[own[0][0]] + own[0][1])
@@ -158,12 +166,12 @@ def fit(words: DataFrame, ends: int, params: LatticeParams) -> LatticeModel:
     def run(batches):
         lattice, into = Lattice(*prior.value), [0.0] * len(p)
         for b in batches:
-            lattice.expect(zip(b["word"].to_pylist(), b["c"].to_pylist(), strict=True), into)
+            lattice.expect(((w, 1) for w in b["word"].to_pylist()), into)
         used = [k for k, x in enumerate(into) if x]
         yield as_batch(piece=pa.array(used, pa.int32()), uses=pa.array([into[k] for k in used], pa.float64()))
 
     trained = words.where("c > 0")
-    uses = trained.select("word", "c").mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
+    uses = trained.select("word").mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
     n, v = trained.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     weight = params.prior * p
     weight[uses["piece"].to_numpy()] += uses["uses"].to_numpy()
@@ -181,12 +189,16 @@ def score(spark: SparkSession, docs: DataFrame, params: LatticeParams = LatticeP
     floor, told = float(model.tokens + model.distinct + 1), spark.sparkContext.broadcast(model)
 
     def make_word():
-        lattice = Lattice(told.value.number, told.value.p)
-        ten = math.log(10)
+        model = told.value
+        lattice = Lattice(model.number, model.p)
+        share = math.log(max(params.discount * (model.distinct - 1), 1) / max(model.tokens, 1))  # at least one discount
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            lp = lattice.logp(b["word"].to_pylist()) / ten
-            base = np.log10((b["c"].to_numpy() + 1) / floor)
+            c = b["c"].to_numpy()
+            with np.errstate(divide="ignore"):
+                own = np.log(np.maximum(c - params.discount, 0) / max(model.tokens, 1))
+            lp = np.logaddexp(own, share + lattice.logp(b["word"].to_pylist())) / math.log(10)
+            base = np.log10((c + 1) / floor)
             return as_batch(word=b["word"], c=b["c"], total=b["total"], base=pa.array(base), lp=pa.array(lp))
 
         return work
@@ -194,24 +206,22 @@ def score(spark: SparkSession, docs: DataFrame, params: LatticeParams = LatticeP
     table = scratch.cut(map_rows(words, make_word, "word string, c long, total long, base double, lp double", rows=10_000), "words")
     scratch.drop("counts")
     often = table.orderBy(F.desc("total"), "word").limit(params.frequent).select(F.col("word").cast("binary").alias("word"), "c", "base", "lp").toArrow()
-    frequent = spark.sparkContext.broadcast(dict(zip(often["word"].to_pylist(), zip((often["c"].to_numpy() > 0).tolist(), often["base"].to_pylist(), often["lp"].to_pylist(), strict=True), strict=True)))
-    end_base, end_lp = math.log10((ends + 1) / floor), math.log10(model.p[-1])
+    frequent = spark.sparkContext.broadcast((often["word"].to_pylist(), np.stack([(often["c"].to_numpy() > 0) * 1.0, often["base"].to_numpy(), often["lp"].to_numpy()], axis=1)))
+    end_base, end_lp = math.log10((ends + 1) / floor), math.log10(ends / model.tokens if ends else 0.5)
 
     def make_doc():
-        known = frequent.value
+        listed, values = frequent.value
+        number = {w: k for k, w in enumerate(listed)}.get
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
             cols = defaultdict(list)
             for data in b["text"].to_pylist():
-                n, base, lp, n_known, rest = 1, end_base, end_lp, int(ends > 0), {}
-                for w, k in Counter(words_of(data)).items():
-                    n += k
-                    if got := known.get(w):
-                        n_known += k * got[0]
-                        base += k * got[1]
-                        lp += k * got[2]
-                    else:
-                        rest[w] = k
+                words = words_of(data)
+                at = np.array([number(w, -1) for w in words], np.int64)
+                rest = Counter([words[k] for k in np.flatnonzero(at < 0)])
+                at = at[at >= 0]
+                sums = values[at].sum(axis=0) if len(at) else np.zeros(3)
+                n, n_known, base, lp = 1 + len(words), int(ends > 0) + int(sums[0]), end_base + float(sums[1]), end_lp + float(sums[2])
                 for name, x in (("n", n), ("n_known", n_known), ("base", base), ("lp", lp), ("rare", list(rest)), ("times", list(rest.values()))):
                     cols[name].append(x)
             kinds = {"n": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "lp": pa.float64(), "rare": pa.list_(pa.binary()), "times": pa.list_(pa.int32())}
