@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lattice, secrets, toxicity
+from . import decontam, fixity, langid, lattice, ngram_join, packing, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity_ftrl": lambda spark, sf_dir: toxicity.query(spark, sf_dir),
+        "op2_decontamination": lambda spark, sf_dir: decontam.query(spark, sf_dir),
         "op3_language_svm": lambda spark, sf_dir: langid.query(spark, sf_dir),
+        "op4_sharding": lambda spark, sf_dir: sharding.query(spark, sf_dir),
         "op5_secret_guess_cost": lambda spark, sf_dir: secrets.query(spark, sf_dir),
         "op6_lattice_likelihood": lambda spark, sf_dir: lattice.query(spark, sf_dir),
+        "op7_ngram_join": lambda spark, sf_dir: ngram_join.query(spark, sf_dir),
+        "op8_fixity_audit": lambda spark, sf_dir: fixity.query(spark, sf_dir),
+        "op9_packing": lambda spark, sf_dir: packing.query(spark, sf_dir),
+        "op10_quality_ledger": lambda spark, sf_dir: quality.query(spark, sf_dir),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_sharding": sharding.SQL, "op8_fixity_audit": fixity.SQL, "op10_quality_ledger": quality.SQL}
