@@ -13,6 +13,7 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections import Counter
@@ -77,12 +78,23 @@ class Encoder(dict):
         split = [(x if b"<|" in x else x.lower()).replace(b"\n", b" ").split(b" ") for x in (x or b"" for x in texts)]
         if len(self) > self.most:
             self.clear()
-        new = set().union(*split) - self.keys()
+        found = [[*map(self.get, words)] for words in split]
+        holes = [[k for k, x in enumerate(ids) if x is None] for ids in found]
+        new = {words[k] for words, own in zip(split, holes, strict=True) for k in own}
         stem = {w: w[:-1] for w in new if w[-1:] in b".," and w[-2:-1].isalpha()}
         self.learn([*({*(w for w in new if w not in stem), *stem.values(), b".", b","} - self.keys())])
         for w, core in stem.items():
             self[w] = self[core] + self[w[-1:]]
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        for words, ids, own in zip(split, found, holes, strict=True):
+            for k in own:
+                ids[k] = self[words[k]]
+        return [*map(b"".join, found)]
+
+
+@functools.cache
+def encoder(path: str | None) -> Encoder:
+    """One for a Python worker: what a task has learnt serves the next ones of the same process."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, params: PackParams = PackParams(), with_ids: bool = False) -> DataFrame:
@@ -90,11 +102,11 @@ def pieces(docs: DataFrame, params: PackParams = PackParams(), with_ids: bool =
     whole, end = 4 * params.length, np.array([params.end_id], "<u4").tobytes()
 
     def make():
-        encoder = Encoder(params.vocabulary)
+        streams = encoder(params.vocabulary).streams
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
             rows, ids = [], []
-            for doc_id, stream in zip(b["doc_id"].to_pylist(), encoder.streams(b["text"].to_pylist()), strict=True):
+            for doc_id, stream in zip(b["doc_id"].to_pylist(), streams(b["text"].to_pylist()), strict=True):
                 stream += end
                 for at in range(0, len(stream), whole):
                     part = stream[at : at + whole]
