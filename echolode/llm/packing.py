@@ -147,6 +147,21 @@ def knapsack(sizes: np.ndarray, worth: np.ndarray, room: int) -> tuple[float, Co
     return float(best[room]), items
 
 
+def inverted(a: np.ndarray) -> np.ndarray:
+    """Gauss and Jordan with row exchange, by plain array operations: the linear algebra library's threads can stall a
+    driver that serves a JVM."""
+    m = len(a)
+    both = np.hstack([a.astype(float), np.eye(m)])
+    for k in range(m):
+        best = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, best]] = both[[best, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= np.outer(factor, both[k])
+    return both[:, m:]
+
+
 def column_generation(demand: dict[int, int], room: int, rounds: int, gap: float) -> list[tuple[Pattern, float]]:
     """Patterns and how often each is used in the linear program: least sequences that hold ``demand`` items by size."""
     sizes = np.array(sorted(demand))
@@ -161,7 +176,7 @@ def column_generation(demand: dict[int, int], room: int, rounds: int, gap: float
         column = np.zeros(m)
         for item, n in items.items():
             column[item] = n
-        step = inverse @ column
+        step = np.einsum("ij,j->i", inverse, column)  # no threads for so small a product
         able = step > 1e-9
         if not able.any():
             break
@@ -169,8 +184,8 @@ def column_generation(demand: dict[int, int], room: int, rounds: int, gap: float
         out = int(ratio.argmin())
         columns[:, out] = column
         if k % 200 == 199:
-            inverse = np.linalg.inv(columns)
-            x = inverse @ need
+            inverse = inverted(columns)
+            x = np.einsum("ij,j->i", inverse, need)
         else:
             t = ratio[out]
             x = x - t * step
