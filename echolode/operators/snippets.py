@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..config import Windows
 from ..functions import columns as C
@@ -37,7 +38,7 @@ def text_units(files: DataFrame) -> DataFrame:
     return _identified(told.select("path", "language", F.element_at(F.split("path", "/"), -1).alias("qualified_name"), F.lit(1).alias("start_line"), F.size(C.lines(F.col("content"))).alias("end_line"), F.col("content").alias("code"), F.lit(0).alias("fn_ord")))
 
 
-@F.udf("string", useArrow=True)
+@F.udf(StringType(), useArrow=True)
 def _normalised(text: str) -> str:
     return syntax.normalised(text or "")
 

@@ -1,11 +1,227 @@
-"""Named queries over the driver's tables."""
+"""Named queries over the driver's tables, and the same in SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..config import Config, Thresholds, Windows
+from ..functions import columns as C
+from ..operators import knn, matches, snippets
+from ..operators.scratch import Scratch
+from ..sources.external import from_pairs
+from ..sources.files import table_files
+from .engine import least_cosine, positioned
 
-def oracle_sql() -> dict:
-    return {}
+WINDOWS, K, THRESHOLDS = Windows(12, 6, 4), 25, Thresholds()
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    return table_files(_table(spark, sf, "documents"), "doc_id", "text", "documents/")
+
+
+def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table_files(_table(spark, sf, "pages"), "page_id", "html", "pages/")
+    d = _files(spark, sf).unionByName(pages).where(F.col("content").rlike(C.INK))
+    return d.select("path", "content_hash", "language", F.size(C.lines(F.col("content"))).alias("n_lines"))
+
+
+def windows(spark: SparkSession, sf: str) -> DataFrame:
+    w = snippets.window_snippets(snippets.text_units(_files(spark, sf)), WINDOWS, normalise=False)
+    return w.select("path", "start_line", "end_line", F.sha2("text", 256).alias("text_hash"), F.size(C.tokens(F.col("text"))).alias("n_tokens"))
+
+
+def lexical_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of benchmark items that share a token, through the tokens; counts, so that nothing is rounded."""
+    b = _table(spark, sf, "benchmark").select("item_id", C.tokens(F.col("text")).alias("t"))
+    sizes = b.select("item_id", F.size("t").alias("n"))
+    each = b.select("item_id", F.explode("t").alias("token"))
+    a, c = each.withColumnRenamed("item_id", "a_id"), each.withColumnRenamed("item_id", "b_id")
+    both = a.join(c, "token").where("a_id < b_id").groupBy("a_id", "b_id").agg(F.count("*").alias("shared"))
+    d = both.join(sizes.toDF("a_id", "a_n"), "a_id").join(sizes.toDF("b_id", "b_n"), "b_id")
+    return d.select("a_id", "b_id", "shared", (F.col("a_n") + F.col("b_n") - F.col("shared")).cast("long").alias("joint")).where("2 * shared >= joint")
+
+
+def stub_embedding(spark: SparkSession, sf: str) -> DataFrame:
+    d = _table(spark, sf, "benchmark").select("item_id", F.posexplode(C.hash_vector(F.coalesce("text", F.lit("")))).alias("place", "x"))
+    return d.select("item_id", "place", F.round("x", 6).alias("x"))
+
+
+def _embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "embeddings").select(F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
+
+
+def knn_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return knn.knn(_embeddings(spark, sf), K).select("a_pos", "b_pos", F.round("score", 6).alias("score"))
+
+
+def knn_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return knn.knn_cells(_embeddings(spark, sf), K, 64, 16).select("a_pos", "b_pos", F.round("score", 6).alias("score"))
+
+
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    w = snippets.window_snippets(snippets.text_units(_files(spark, sf)), WINDOWS, normalise=False)
+    s = positioned(w).withColumn("vec", C.hash_vector(F.col("text"))).withColumn("tokens", C.tokens(F.col("text")))
+    s = Scratch(spark).cut(s.drop("text"), "windows")
+    # equal texts have equal vectors, so k neighbours by distinct vector would do; ranks are kept by row as defined
+    return matches.candidates(s, knn.knn(s.select("pos", "vec"), K, least_cosine(Config())), THRESHOLDS)
+
+
+SIDES = ("a_fn_id", "a_start_line", "a_end_line", "b_fn_id", "b_start_line", "b_end_line")
+
+
+def candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return _candidates(spark, sf).select(*SIDES, F.round("similarity", 6).alias("similarity"))
+
+
+def span_matches(spark: SparkSession, sf: str) -> DataFrame:
+    return matches.matches(_candidates(spark, sf)).select(*SIDES, F.round("similarity", 6).alias("similarity"))
+
+
+def _findings(spark: SparkSession, sf: str) -> DataFrame:
+    return matches.findings(matches.matches(_candidates(spark, sf)), THRESHOLDS)
+
+
+def findings(spark: SparkSession, sf: str) -> DataFrame:
+    return _findings(spark, sf).select("fn_a", "fn_b", F.round("score", 6).alias("score"), "duplicated_lines", F.array_join("reasons", ",").alias("reasons"))
+
+
+def clusters(spark: SparkSession, sf: str) -> DataFrame:
+    d = Scratch(spark).cut(_findings(spark, sf).select("fn_a", "fn_b"), "findings")
+    return matches.clusters(d, 2).select("fn_a", "fn_b", "cluster", "cluster_size")
+
+
+def diff_scope(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings with a side among the documents labelled of low quality, which stand for changed files."""
+    told = _table(spark, sf, "labels").where("quality = 0").select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("path")).distinct()
+    d = _findings(spark, sf).select("fn_a", "fn_b", "path_a", "path_b")
+    either = d.withColumn("_p", F.explode(F.array_distinct(F.array("path_a", "path_b"))))
+    return either.join(told, F.col("_p") == told["path"], "left_semi").select("fn_a", "fn_b").distinct()
+
+
+def snippet_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of three tables in one bag, counted by table and lines."""
+    tables = (("documents", F.col("doc_id"), "text"), ("pages", F.col("page_id"), "html"), ("conversations", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")), "text"))
+    out = None
+    for name, key, text in tables:
+        f = table_files(_table(spark, sf, name).withColumn("_key", key), "_key", text, f"{name}/")
+        w = snippets.window_snippets(snippets.text_units(f), WINDOWS, normalise=False).select(F.lit(name).alias("origin"), (F.col("end_line") - F.col("start_line") + 1).alias("n_lines"))
+        out = w if out is None else out.unionByName(w)
+    return out.groupBy("origin", "n_lines").agg(F.count("*").alias("n"))
+
+
+def cache_hits_misses(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of documents already seen in benchmark or conversations, as a cache would have them."""
+    d = _table(spark, sf, "documents").select("source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
+    old = _table(spark, sf, "benchmark").select("text").unionByName(_table(spark, sf, "conversations").select("text")).unionByName(_table(spark, sf, "documents").where("lang = 'en'").select("text"))
+    seen = old.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key")).distinct().withColumn("hit", F.lit(1))
+    return d.join(seen, "key", "left").groupBy("source").agg(F.count("hit").alias("hits"), (F.count("*") - F.count("hit")).alias("misses"))
+
+
+def external_duplications(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations of one region as if a tool had reported them as duplicates."""
+    n = _table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    side = lambda x: F.struct(F.col(f"{x}.n_name").alias("path"), F.col(f"{x}.n_regionkey").cast("string").alias("start"), F.col(f"{x}.n_nationkey").cast("string").alias("end"), F.lit("").alias("code"), F.col(f"{x}.n_name").alias("name")).alias(x)
+    pairs = n.alias("a").join(n.alias("b"), F.expr("a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey")).select(side("a"), side("b"))
+    return from_pairs(pairs).select("fn_a", "fn_b", "score", "duplicated_lines")
+
+
+def scan_stats(spark: SparkSession, sf: str) -> DataFrame:
+    w = snippets.window_snippets(snippets.text_units(_files(spark, sf)), WINDOWS, normalise=False).agg(F.count("*").alias("snippet_count"))
+    return _files(spark, sf).agg(F.count("*").alias("file_count")).join(w).join(_findings(spark, sf).agg(F.count("*").alias("finding_count")))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    own = (fingerprints, windows, lexical_pairs, stub_embedding, knn_exact, knn_cells, candidates, span_matches, findings, clusters, diff_scope, snippet_union, cache_hits_misses, external_duplications, scan_stats)
+    return {f.__name__: f for f in own}
+
+
+INK = r"[^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _text(col: str) -> str:
+    return f"regexp_replace(coalesce({col}, ''), '\\r\\n?', chr(10), 'g')"
+
+
+def _lines(col: str) -> str:
+    parts = f"string_split_regex({col}, '[\\n\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]')"
+    return f"(SELECT CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END FROM (SELECT {parts} AS p))"
+
+
+def _windows(table: str, key: str, col: str) -> str:
+    return f"""(SELECT path, w0 + 1 AS start_line, w0 + len(cut) AS end_line, array_to_string(cut, chr(10)) AS text FROM (
+      SELECT path, w0, l[w0 + 1:w0 + 12] AS cut FROM (
+        SELECT path, l, unnest(range(0, len(l), 6)) AS w0 FROM (
+          SELECT '{table}/' || {key} AS path, {_lines("c")} AS l FROM (SELECT *, {_text(col)} AS c FROM {table}) WHERE regexp_matches(c, '{INK}'))))
+      WHERE len(list_filter(cut, lambda x: regexp_matches(x, '{INK}'))) >= 4)"""
+
+
+_TOKENS = "list_sort(list_distinct(regexp_extract_all(lower({0}), '[a-z0-9_]+')))"
+
+_CHAIN = f"""
+win AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY path, start_line, end_line) AS pos FROM {_windows("documents", "doc_id", "text")}),
+units AS (SELECT path, max(n) AS n FROM (SELECT 'documents/' || doc_id AS path, len({_lines("c")}) AS n FROM (SELECT doc_id, {_text("text")} AS c FROM documents)) GROUP BY path),
+s0 AS (SELECT pos, path, start_line, end_line, text, path || ':' || split_part(path, '/', -1) || ':1:' || n AS fn_id FROM win JOIN units USING (path)),
+raw AS (SELECT pos, list_transform(range(0, 16), lambda i: ('0x' || substr(sha256(text), 2 * i + 1, 2))::INT / 255.0::DOUBLE) AS v FROM s0),
+vec AS MATERIALIZED (SELECT pos, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM raw),
+sn AS MATERIALIZED (SELECT pos, path, start_line, end_line, fn_id, {_TOKENS.format("text")} AS t, sha256(text) AS th FROM s0),
+sc AS (SELECT a.pos AS ap, b.pos AS bp, round(list_inner_product(a.v, b.v), 9) AS score FROM vec a, vec b),
+nn AS (SELECT ap, bp, score FROM sc WHERE score >= 0.857 QUALIFY row_number() OVER (PARTITION BY ap ORDER BY score DESC, bp) <= 25),
+cand AS (SELECT a.pos AS a_pos, b.pos AS b_pos, a.fn_id AS a_fn_id, a.path AS a_path, a.start_line AS a_start_line, a.end_line AS a_end_line,
+                b.fn_id AS b_fn_id, b.path AS b_path, b.start_line AS b_start_line, b.end_line AS b_end_line, 0.7 * score + 0.3 * lex AS similarity
+  FROM (SELECT nn.*, CASE WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0.0 ELSE len(list_intersect(a.t, b.t))::DOUBLE / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) END AS lex
+        FROM nn JOIN sn a ON ap = a.pos JOIN sn b ON bp = b.pos WHERE ap <> bp) x
+  JOIN sn a ON ap = a.pos JOIN sn b ON bp = b.pos WHERE lex >= 0.5 AND 0.7 * score + 0.3 * lex >= 0.9),
+mat AS (SELECT * FROM (
+    SELECT CASE WHEN w THEN a_fn_id ELSE b_fn_id END AS a_fn_id, CASE WHEN w THEN a_start_line ELSE b_start_line END AS a_start_line, CASE WHEN w THEN a_end_line ELSE b_end_line END AS a_end_line,
+           CASE WHEN w THEN b_fn_id ELSE a_fn_id END AS b_fn_id, CASE WHEN w THEN b_start_line ELSE a_start_line END AS b_start_line, CASE WHEN w THEN b_end_line ELSE a_end_line END AS b_end_line, similarity
+    FROM (SELECT *, (a_fn_id, a_start_line, a_end_line, a_pos) <= (b_fn_id, b_start_line, b_end_line, b_pos) AS w FROM cand
+          WHERE CASE WHEN a_fn_id = b_fn_id THEN least(a_end_line, b_end_line) < greatest(a_start_line, b_start_line) ELSE a_path <> b_path END))
+  QUALIFY row_number() OVER (PARTITION BY a_fn_id, a_start_line, a_end_line, b_fn_id, b_start_line, b_end_line ORDER BY similarity DESC) = 1),
+ln AS (SELECT DISTINCT a_fn_id AS fn_a, b_fn_id AS fn_b, side, unnest(range(s, e + 1)) AS line FROM (
+    SELECT a_fn_id, b_fn_id, 'a' AS side, a_start_line AS s, a_end_line AS e FROM mat UNION ALL SELECT a_fn_id, b_fn_id, 'b', b_start_line, b_end_line FROM mat)),
+cov AS (SELECT fn_a, fn_b, min(n)::INTEGER AS duplicated_lines FROM (SELECT fn_a, fn_b, side, count(*) AS n FROM ln GROUP BY ALL) GROUP BY ALL),
+fin AS (SELECT a_fn_id AS fn_a, b_fn_id AS fn_b, max(similarity) AS score FROM mat GROUP BY ALL)
+"""
+
+_SIDES = "a_fn_id, a_start_line::INTEGER AS a_start_line, a_end_line::INTEGER AS a_end_line, b_fn_id, b_start_line::INTEGER AS b_start_line, b_end_line::INTEGER AS b_end_line"
+
+
+def oracle_sql() -> dict[str, str]:
+    conv = "conv_id || '-' || turn"
+    return {
+        "fingerprints": " UNION ALL ".join(
+            f"SELECT '{t}/' || {k} AS path, sha256(c) AS content_hash, 'text' AS language, len({_lines('c')})::INTEGER AS n_lines FROM (SELECT *, {_text(x)} AS c FROM {t}) WHERE regexp_matches(c, '{INK}')" for t, k, x in (("documents", "doc_id", "text"), ("pages", "page_id", "html"))
+        ),
+        "windows": f"SELECT path, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line, sha256(text) AS text_hash, len({_TOKENS.format('text')})::INTEGER AS n_tokens FROM {_windows('documents', 'doc_id', 'text')}",
+        "lexical_pairs": f"""WITH b AS (SELECT item_id, {_TOKENS.format('text')} AS t FROM benchmark)
+            SELECT * FROM (SELECT a.item_id AS a_id, b.item_id AS b_id, len(list_intersect(a.t, b.t))::BIGINT AS shared, (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::BIGINT AS joint
+            FROM b a JOIN b ON a.item_id < b.item_id) WHERE 2 * shared >= joint AND shared > 0""",
+        "stub_embedding": """WITH r AS (SELECT item_id, list_transform(range(0, 16), lambda i: ('0x' || substr(sha256(coalesce(text, '')), 2 * i + 1, 2))::INT / 255.0::DOUBLE) AS v FROM benchmark)
+            SELECT item_id, place::INTEGER AS place, round(v[place + 1] / sqrt(list_sum(list_transform(v, lambda y: y * y))), 6) AS x FROM (SELECT *, unnest(range(0, 16)) AS place FROM r)""",
+        "knn_exact": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+            n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v),
+            s AS (SELECT a.vec_id AS a_pos, b.vec_id AS b_pos, round(list_inner_product(a.e, b.e), 9) AS score FROM n a, n b)
+            SELECT a_pos, b_pos, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY a_pos ORDER BY score DESC, b_pos) <= 25""",
+        "candidates": f"WITH {_CHAIN} SELECT {_SIDES}, round(similarity, 6) AS similarity FROM cand",
+        "span_matches": f"WITH {_CHAIN} SELECT {_SIDES}, round(similarity, 6) AS similarity FROM mat",
+        "findings": f"WITH {_CHAIN} SELECT fn_a, fn_b, round(score, 6) AS score, duplicated_lines, 'window' AS reasons FROM fin JOIN cov USING (fn_a, fn_b)",
+        "clusters": f"""WITH RECURSIVE {_CHAIN}, e AS MATERIALIZED (SELECT fn_a AS x, fn_b AS y FROM fin UNION SELECT fn_b, fn_a FROM fin),
+            r AS (SELECT x AS node, x AS root FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node),
+            c AS (SELECT node, min(root) AS cluster FROM r GROUP BY node)
+            SELECT * FROM (SELECT fn_a, fn_b, cluster, count(*) OVER (PARTITION BY cluster) AS cluster_size FROM fin JOIN c ON fn_a = node) WHERE cluster_size >= 2""",
+        "diff_scope": f"""WITH {_CHAIN}, p AS (SELECT 'documents/' || doc_id || ':' AS p FROM labels WHERE quality = 0)
+            SELECT fn_a, fn_b FROM fin WHERE EXISTS (FROM p WHERE starts_with(fn_a, p.p) OR starts_with(fn_b, p.p))""",
+        "snippet_union": " UNION ALL ".join(f"SELECT '{t}' AS origin, (end_line - start_line + 1)::INTEGER AS n_lines, count(*) AS n FROM {_windows(t, k, x)} GROUP BY ALL" for t, k, x in (("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("conversations", conv, "text"))),
+        "cache_hits_misses": """WITH o AS (SELECT DISTINCT coalesce(text, '') AS t FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations UNION ALL SELECT text FROM documents WHERE lang = 'en'))
+            SELECT source, count(o.t) AS hits, count(*) - count(o.t) AS misses FROM documents LEFT JOIN o ON coalesce(text, '') = o.t GROUP BY source""",
+        "external_duplications": """SELECT concat_ws(':', a.n_name, a.n_name, a.n_regionkey, a.n_nationkey) AS fn_a, concat_ws(':', b.n_name, b.n_name, b.n_regionkey, b.n_nationkey) AS fn_b, 1.0::DOUBLE AS score,
+            (least(a.n_nationkey - a.n_regionkey, b.n_nationkey - b.n_regionkey) + 1)::INTEGER AS duplicated_lines FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey""",
+        "scan_stats": f"WITH {_CHAIN} SELECT (SELECT count(*) FROM documents) AS file_count, (SELECT count(*) FROM win) AS snippet_count, (SELECT count(*) FROM fin) AS finding_count",
+    }
