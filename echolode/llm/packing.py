@@ -31,10 +31,10 @@ from .common import Scratch, as_batch, documents, map_rows
 @dataclass(frozen=True)
 class PackParams:
     length: int = 4096
-    grain: int = 16
+    grain: int = 8
     end_id: int = 2
     vocabulary: str | None = None  # a tokenizers file; None: the public one installed here
-    rounds: int = 2000  # patterns that may be generated
+    rounds: int = 1500  # patterns that may be generated
     gap: float = 0.001  # stop when the program's value is this near its bound
     per_bucket: int = 100_000  # pieces in a bucket of the ranking, about
 
@@ -166,23 +166,49 @@ def column_generation(demand: dict[int, int], room: int, rounds: int, gap: float
     """Patterns and how often each is used in the linear program: least sequences that hold ``demand`` items by size."""
     sizes = np.array(sorted(demand))
     need, m = np.array([demand[int(s)] for s in sizes], float), len(sizes)
-    columns = np.diag(room // sizes).astype(float)
-    inverse, x = np.diag(1 / np.diag(columns)), need / np.diag(columns)
+    # first patterns: each class in falling order with smaller ones that fit and are still there in that number, so the
+    # matrix is triangular and no count is negative
+    columns, x, rest = np.zeros((m, m)), np.zeros(m), need.copy()
+    for c in range(m - 1, -1, -1):
+        columns[c, c] = room // sizes[c]
+        x[c] = rest[c] / columns[c, c]
+        gap_left, rest[c] = room - columns[c, c] * sizes[c], 0
+        for d in range(min(c, int(np.searchsorted(sizes, gap_left, "right"))) - 1, -1, -1) if x[c] else ():
+            n = min(gap_left // sizes[d], rest[d] // x[c])
+            columns[d, c] = n
+            rest[d] -= n * x[c]
+            gap_left -= n * sizes[d]
+    inverse = inverted(columns)
+    cost = np.ones(m)  # of the columns: a pattern costs a sequence, a surplus of one class nothing
+    centre, bound = sizes / room, float(need @ sizes) / room  # prices by size: what no plan can beat
     for k in range(rounds):
-        worth = inverse.sum(axis=0)
-        value, items = knapsack(sizes, np.maximum(worth, 0), room)
-        if value <= 1 + 1e-9 or x.sum() * (1 - 1 / value) <= gap * x.sum():  # the program is at least its value / this one
+        worth = np.einsum("i,ij->j", cost, inverse)
+        if x @ cost - bound <= gap * bound:
             break
-        column = np.zeros(m)
-        for item, n in items.items():
-            column[item] = n
+        column, price_of = np.zeros(m), 1.0
+        if worth.min() < -1e-9:
+            column[int(worth.argmin())], price_of = -1, 0.0
+        else:
+            # prices are held near the best ones so far, else small items swing between worthless and dear
+            for near in (0.7, 0.0):
+                price = near * centre + (1 - near) * np.maximum(worth, 0)
+                value, items = knapsack(sizes, price, room)
+                least = float(need @ price) / max(1.0, value)
+                if least > bound:
+                    centre, bound = price / max(1.0, value), least
+                if sum(n * worth[i] for i, n in items.items()) > 1 + 1e-9:
+                    break
+            else:
+                break
+            for item, n in items.items():
+                column[item] = n
         step = np.einsum("ij,j->i", inverse, column)  # no threads for so small a product
         able = step > 1e-9
         if not able.any():
             break
         ratio = np.where(able, x / np.where(able, step, 1), np.inf)
         out = int(ratio.argmin())
-        columns[:, out] = column
+        columns[:, out], cost[out] = column, price_of
         if k % 200 == 199:
             inverse = inverted(columns)
             x = np.einsum("ij,j->i", inverse, need)
@@ -193,7 +219,7 @@ def column_generation(demand: dict[int, int], room: int, rounds: int, gap: float
             row = inverse[out] / step[out]
             inverse = inverse - np.outer(step, row)
             inverse[out] = row
-    return [(tuple((int(sizes[i]), int(columns[i, j])) for i in np.flatnonzero(columns[:, j])[::-1]), float(x[j])) for j in range(m)]
+    return [(tuple((int(sizes[i]), int(columns[i, j])) for i in np.flatnonzero(columns[:, j])[::-1]), float(x[j])) for j in range(m) if cost[j]]
 
 
 def plan(histogram: dict[int, int], params: PackParams = PackParams()) -> list[tuple[Pattern, int]]:
