@@ -225,7 +225,7 @@ def test_packing(spark):
 def test_plan_holds_every_item():
     rng = random.Random(5)
     h = Counter(rng.randrange(1, 257) for _ in range(5000))
-    plan = packing.plan(h)
+    plan = packing.plan(h, packing.PackParams(grain=16))
     got = Counter()
     for pattern, times in plan:
         assert sum(c * n for c, n in pattern) <= 256
