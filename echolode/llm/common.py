@@ -53,7 +53,7 @@ def words_of(data: bytes | None) -> list[bytes]:
 class WordHash(dict):
     """64-bit hash of a word, remembered for the task up to ``most`` words."""
 
-    most = 400_000
+    most = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:

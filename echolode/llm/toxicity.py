@@ -11,6 +11,7 @@ document teach nothing; several labels of one document count as their largest. W
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -36,7 +37,7 @@ class FtrlParams:
     l1: float = 15.0
     l2: float = 0.1
     epochs: int = 8
-    sample_rows: int = 4000
+    sample_rows: int = 2500
     threshold: float = 0.7
 
 
@@ -62,7 +63,7 @@ def features(data: bytes | None, cache: WordHash, bits: int) -> np.ndarray:
 
 def ftrl(rows: Iterable[tuple[np.ndarray, int]], params: FtrlParams) -> ToxicityModel:
     """Learn from (distinct feature numbers, label) in the given order, ``epochs`` times."""
-    rows = list(rows)
+    rows = list(rows)  # read once an epoch
     z, n = np.zeros(1 + (1 << params.bits)), np.zeros(1 + (1 << params.bits))
 
     def weights(at):
@@ -111,7 +112,12 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams())
     near = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(some), "doc_id")
     rows = map_rows(near, make, "doc_id long, y int, at binary").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("at").alias("at"))
     table = rows.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
-    return ftrl(((np.frombuffer(at, np.int32), y) for at, y in zip(table["at"].to_pylist(), table["y"].to_pylist(), strict=True)), params)
+    # features stay in Arrow's buffers, which are given back as soon as the weights are learnt
+    model = ftrl([(np.frombuffer(at.as_buffer(), np.int32), y.as_py()) for at, y in zip(table["at"], table["y"], strict=True)], params)
+    del table
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(spark: SparkSession, docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
