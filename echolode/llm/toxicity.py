@@ -11,6 +11,7 @@ document teach nothing; several labels of one document count as their largest. W
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 from collections.abc import Iterable
@@ -117,6 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams())
     del table
     gc.collect()
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the driver's own heap; not all C libraries have it
+        trim(0)
     return model
 
 
