@@ -14,8 +14,9 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
+from collections import Counter
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +116,10 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams())
     table = rows.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     # features stay in Arrow's buffers, which are given back as soon as the weights are learnt
     model = ftrl([(np.frombuffer(at.as_buffer(), np.int32), y.as_py()) for at, y in zip(table["at"], table["y"], strict=True)], params)
+    # toxic rows are a larger share of the sample than of all labels: the bias is moved back by the log of the two odds
+    n, sampled = {r["y"]: r["count"] for r in told.groupBy("y").count().collect()}, Counter(table["y"].to_pylist())
+    if min(n.get(0, 0), n.get(1, 0), sampled[0], sampled[1]) > 0:
+        model = replace(model, bias=model.bias + float(np.log(n[1] / n[0]) - np.log(sampled[1] / sampled[0])))
     del table
     gc.collect()
     pa.default_memory_pool().release_unused()
