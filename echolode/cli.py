@@ -77,9 +77,10 @@ def parser() -> argparse.ArgumentParser:
         if name == "diff":
             p.add_argument("--base", default="HEAD")
             continue
-        for x, kind in (("threshold-func", float), ("threshold-win", float), ("threshold-exp", float), ("min-window-hits", int), ("lexical-min-ratio", float), ("lexical-weight", float), ("window-lines", int), ("stride-lines", int), ("min-nonempty", int), ("cluster-min-size", int)):
+        for x, kind in (("threshold-func", float), ("threshold-win", float), ("threshold-exp", float), ("min-window-hits", int), ("lexical-min-ratio", float), ("lexical-weight", float), ("window-lines", int), ("stride-lines", int), ("min-nonempty", int), ("cluster-min-size", int), ("expand-depth", int), ("expand-max-chars", int)):
             p.add_argument(f"--{x}", type=kind)
         p.add_argument("--cluster", action="store_true", default=None)
+        p.add_argument("--expand-calls", action="store_true", default=None)
         p.add_argument("--cache-path")
         p.add_argument("--repotype", action="append", choices=[*sorted(TAKE), "monorepo", "none"])
         p.add_argument("--include-glob", action="append", default=[])
@@ -90,12 +91,15 @@ def parser() -> argparse.ArgumentParser:
 def overrides(a: argparse.Namespace) -> dict:
     get = lambda name: getattr(a, name, None)
     name = a.embedder or ("stub" if os.environ.get("ECHOLODE_EMBEDDER") == "stub" else None)
+    # a depth or a size alone switches expansion on
+    any_expansion = get("expand_calls") or get("expand_depth") is not None or get("expand_max_chars") is not None
     said = {
         "engine": a.engine,
         "embedder": {"name": name, "device": a.device},
         "index": {"name": a.index},
         "thresholds": {"func": get("threshold_func"), "win": get("threshold_win"), "exp": get("threshold_exp"), "min_window_hits": get("min_window_hits"), "lexical_min_ratio": get("lexical_min_ratio"), "lexical_weight": get("lexical_weight")},
         "windows": {k: get(k) for k in ("window_lines", "stride_lines", "min_nonempty")},
+        "expansion": {"enabled": any_expansion or None, "depth": get("expand_depth"), "max_chars": get("expand_max_chars")},
         "cache": {"path": get("cache_path")},
         "cluster_findings": get("cluster"),
         "cluster_min_size": get("cluster_min_size"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Config, ConfigError, validate
 from ..functions import columns as C
 from ..operators import embed as E
-from ..operators import knn, matches, snippets
+from ..operators import expansion, knn, matches, snippets
 from ..operators.scratch import Scratch
 from ..sources import changes, external, files
 
@@ -63,6 +63,8 @@ def scan_tables(spark: SparkSession, sources: DataFrame, c: Config, normalise: b
     functions, texts = snippets.function_units(sources), snippets.text_units(sources)
     units = functions.unionByName(texts)
     found = snippets.function_snippets(functions, normalise).unionByName(snippets.window_snippets(units, c.windows, normalise))
+    if c.expansion.enabled and c.expansion.depth > 0:
+        found = found.unionByName(expansion.call_snippets(sources, functions, c.expansion, normalise))
     found, cached = E.embed(found, c.embedder, c.cache.path)
     snips = scratch.cut(positioned(found).withColumn("tokens", C.tokens(F.col("text"))), "snippets")
     near = neighbours(snips, c)
