@@ -1,4 +1,4 @@
-"""Nearest neighbours by cosine: exact in blocks of the index, and by k-means cells."""
+"""Nearest neighbours by cosine, exact: in blocks of the index, and by k-means cells."""
 
 from __future__ import annotations
 
@@ -80,19 +80,35 @@ def knn_sql(vectors: DataFrame, k: int) -> DataFrame:
 
 
 def knn_cells(vectors: DataFrame, k: int, cells: int = 128, probes: int = 8, sample: int = 50_000) -> DataFrame:
-    """Approximate: k-means cells fitted on at most about ``sample`` rows; each row is compared with the rows of its
-    ``probes`` nearest cells. Exact if there are fewer rows than cells."""
+    """Exact by k-means cells fitted on at most about ``sample`` rows: each row is compared with the rows of its
+    ``probes`` nearest cells, then with those of every other cell that may hold a row as near as its k-th best. A cell
+    holds none if the angle to its center, less its widest angle, is larger than the k-th best's. Where cells are wide
+    for their distance, as with vectors without clusters, that is nearly all cells."""
+    vectors = vectors.where(F.col("vec").isNotNull() & (F.size("vec") > 0))
     n = vectors.count()
-    if n < cells:
+    if n < cells or k <= 0:
         return knn(vectors, k)
-    v = vectors.select("pos", F.col("vec").cast("array<double>").alias("vec")).withColumn("features", array_to_vector("vec"))
-    model = KMeans(k=cells, seed=7, distanceMeasure="cosine", maxIter=10).fit(v.sample(min(1.0, sample / n), seed=7))
-    centers = F.array(*[F.array(*map(F.lit, c / (np.linalg.norm(c) or 1))) for c in (np.asarray(c) for c in model.clusterCenters())])
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    ranked = F.slice(F.sort_array(F.transform(centers, lambda c, i: F.struct(dot(F.col("vec"), c).alias("s"), i.alias("cell"))), asc=False), 1, probes)
-    routed = v.withColumn("cells", F.transform(ranked, lambda x: x["cell"])).select("pos", "vec", "cells")
-    index = routed.select(F.col("pos").alias("b_pos"), F.col("vec").alias("b_vec"), F.get("cells", F.lit(0)).alias("cell"))
-    ask = routed.select(F.col("pos").alias("a_pos"), F.col("vec").alias("a_vec"), F.explode("cells").alias("cell"))
-    norm = lambda a: F.greatest(F.sqrt(dot(a, a)), F.lit(1e-300))
-    pairs = ask.join(index, "cell").select("a_pos", "b_pos", F.round(dot(F.col("a_vec"), F.col("b_vec")) / (norm(F.col("a_vec")) * norm(F.col("b_vec"))), DECIMALS).alias("score"))
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("a_pos").orderBy(F.desc("score"), "b_pos"))).where(F.col("rank") <= k)
+    v = vectors.select("pos", F.col("vec").cast("array<double>").alias("vec")).withColumn("norm", F.sqrt(dot(F.col("vec"), F.col("vec"))))
+    known = v.where("norm > 0").withColumn("features", array_to_vector("vec"))  # zero vectors have no direction
+    v = v.withColumn("norm", F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm")))
+    if not known.head(1):
+        return knn(vectors, k)
+    model = KMeans(k=cells, seed=7, distanceMeasure="cosine", maxIter=10).fit(known.sample(min(1.0, sample / n), seed=7))
+    centers = F.array(*[F.array(*map(F.lit, c / (np.linalg.norm(c) or 1))) for c in (np.asarray(c) for c in model.clusterCenters())])
+    angle = lambda c: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("vec"), c) / F.col("norm"))))
+    near = F.sort_array(F.transform(centers, lambda c, i: F.struct(angle(c).alias("angle"), i.alias("cell"))))
+    routed = v.select("pos", "vec", "norm", near.alias("near"))
+    index = routed.select(F.col("pos").alias("b_pos"), F.col("vec").alias("b_vec"), F.col("norm").alias("b_norm"), F.col("near")[0]["cell"].alias("cell"))
+    ask = routed.select(F.col("pos").alias("a_pos"), F.col("vec").alias("a_vec"), F.col("norm").alias("a_norm"), "near")
+    score = F.round(dot(F.col("a_vec"), F.col("b_vec")) / (F.col("a_norm") * F.col("b_norm")), DECIMALS).alias("score")
+    best = lambda d: d.withColumn("rank", F.row_number().over(W.partitionBy("a_pos").orderBy(F.desc("score"), "b_pos"))).where(F.col("rank") <= k)
+    first = best(ask.withColumn("cell", F.explode(F.expr(f"transform(slice(near, 1, {int(probes)}), x -> x.cell)"))).join(index, "cell").select("a_pos", "b_pos", score))
+    # fewer than k found: any score may still be among the best
+    kth = first.groupBy("a_pos").agg(F.when(F.count("*") == k, F.min("score")).alias("kth"))
+    wide = routed.groupBy(F.col("near")[0]["cell"].alias("cell")).agg(F.max(F.col("near")[0]["angle"]).alias("wide"))
+    rest = ask.withColumn("far", F.explode(F.expr(f"slice(near, {int(probes) + 1}, {cells})"))).select("a_pos", "a_vec", "a_norm", F.col("far.cell").alias("cell"), F.col("far.angle").alias("angle"))
+    rest = rest.join(F.broadcast(wide), "cell").join(kth, "a_pos", "left")
+    rest = rest.where(F.col("kth").isNull() | (F.cos(F.greatest(F.lit(0.0), F.col("angle") - F.col("wide"))) >= F.col("kth") - 1e-6))
+    more = rest.join(index, "cell").select("a_pos", "b_pos", "kth", score).where(F.col("kth").isNull() | (F.col("score") >= F.col("kth"))).drop("kth")
+    return best(first.drop("rank").unionByName(more))
