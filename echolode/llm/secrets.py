@@ -1,7 +1,7 @@
 """Secret scan with a password guess-cost model.
 
 Base spans come from three fixed patterns. The method adds spans of kind ``guess``: the value of a credential context
-that the base patterns don't take, where the least number of guesses for it is high. The number is a dynamic program
+that no base span holds whole, where the least number of guesses for it is high. The number is a dynamic program
 over the value: its cheapest segmentation into dictionary words, dates, repeats, keyboard walks and brute-force
 characters, in log10 guesses. ``n_weak`` counts assign values that a guesser would find soon (their spans stay).
 
@@ -112,7 +112,7 @@ def spans(text: str, params: SecretParams = SecretParams()) -> tuple[list[tuple[
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     ends = sorted((a, b) for a, _, b in out)
     for m in CONTEXT.finditer(text):
-        inside = any(a < m.end(1) and m.start(1) < b for a, b in ends)
+        inside = any(a <= m.start(1) and m.end(1) <= b for a, b in ends)
         if not inside and guesses(m[1]) >= params.strong and re.search(r"[^A-Za-z]", m[1]):
             out.append((m.start(1), 3, m.end(1)))
     return sorted(out), weak

@@ -92,6 +92,14 @@ def test_secrets(spark):
     assert not any(brute_spans(r.text or "") for r in done.collect())
 
 
+def test_secret_tails():
+    for text, value in (("password=Tr0ub4dor&3xK9!qZ", "Tr0ub4dor&3xK9!qZ"), ("api_key: 'Zx81qq77aB#kP$2v' end", "Zx81qq77aB#kP$2v")):
+        found = secrets.spans(text)[0]
+        assert [k for _, k, _ in found] == [0, 3] and text[found[1][0] : found[1][2]] == value
+        assert not any(part in secrets.redact(text) for part in ("3xK9", "kP$2v"))
+    assert [k for _, k, _ in secrets.spans("token=Zx81qq77aBkP2v99")[0]] == [0]
+
+
 def test_guess_cost_is_the_least():
     def slow(value, cost):
         return min((sum(cost(p) for p in parts) for n in range(len(value)) for cuts in itertools.combinations(range(1, len(value)), n) for parts in [[value[a:b] for a, b in itertools.pairwise([0, *cuts, len(value)])]]), default=0)
