@@ -26,11 +26,13 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-# contexts of credentials whose value the base patterns may not take whole
+# contexts of credentials whose value the base patterns may not take whole: a name that holds a keyword (looked for once
+# from the name's beginning, so that long names cost no more than their length), or a bare bearer
 CONTEXT = re.compile(
-    r"""(?ai:\b(?:password|passwd|passphrase|passcode|pwd|secret|client_secret|token|api_?key|private_key|access_key|credentials?|authorization|bearer)\b)["']?\s{0,3}(?:[:=]|\bis\b)\s{0,3}(?:(?ai:bearer|basic)\x20+)?["']?([^\s"'<>,;]{8,})"""
+    r"""(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]*?(?ai:password|passwd|passphrase|passcode|pwd|secret|token|(?:api|private|access)[_.-]?key|credential|authorization|bearer))[A-Za-z0-9_.-]++["']?\s{0,3}(?:[:=]|\bis\b)\s{0,3}(?:(?ai:bearer|basic)\x20+)?["']?([^\s"'<>,;]{8,})"""
 )
-KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key", b"passphrase", b"passcode", b"pwd", b"private_key", b"access_key", b"credential", b"authorization", b"bearer")
+BEARER = re.compile(r"""(?<![A-Za-z0-9])(?ai:bearer)\s{1,3}["']?(?![:=])([^\s"'<>,;]{8,})""")
+KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"passphrase", b"passcode", b"pwd", b"credential", b"authorization", b"bearer", *(a + s + b"key" for a in (b"api", b"private", b"access") for s in (b"", b"_", b"-", b".")))
 HEXED = bytes(1 if chr(c) in "0123456789abcdef" else 0 for c in range(256))
 
 # Words that guessers try first, most frequent first.
@@ -111,10 +113,16 @@ def spans(text: str, params: SecretParams = SecretParams()) -> tuple[list[tuple[
     out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     ends = sorted((a, b) for a, _, b in out)
-    for m in CONTEXT.finditer(text):
-        inside = any(a <= m.start(1) and m.end(1) <= b for a, b in ends)
-        if not inside and guesses(m[1]) >= params.strong and re.search(r"[^A-Za-z]", m[1]):
-            out.append((m.start(1), 3, m.end(1)))
+    for pattern in (CONTEXT, BEARER):
+        m = pattern.search(text)
+        while m:
+            inside = any(a <= m.start(1) and m.end(1) <= b for a, b in ends)
+            strong = not inside and guesses(m[1]) >= params.strong and re.search(r"[^A-Za-z]", m[1])
+            if strong:
+                out.append((m.start(1), 3, m.end(1)))
+                ends.append(m.span(1))
+            # a value that is no secret may be the name of the next one
+            m = pattern.search(text, m.end(1) if inside or strong else m.start(1))
     return sorted(out), weak
 
 

@@ -100,6 +100,24 @@ def test_secret_tails():
     assert [k for _, k, _ in secrets.spans("token=Zx81qq77aBkP2v99")[0]] == [0]
 
 
+def test_secret_names():
+    values = {
+        "AWS_SECRET_ACCESS_KEY=": "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY",
+        "aws_secret_access_key = ": "wJalrXUtnFEMI/K7MDENG",
+        "DB_PWD=": "vK9$mQ2!xR7z",
+        "SECRET_KEY='": "k3j4h5!!dfkj39",
+        "Bearer ": "vK9mQ2xR7zLp4w",
+        "Authorization: Bearer ": "vK9mQ2xR7zLp4w",
+        "x-api-key-v2: ": "vK9$mQ2!xR7z",
+        "secret is my_password: ": "vK9$mQ2!xR7z",
+    }
+    for name, value in values.items():
+        text = f"see {name}{value} end"
+        assert secrets.may_hold(text.encode())
+        assert (text.index(value), 3, text.index(value) + len(value)) in secrets.spans(text)[0] and value not in secrets.redact(text)
+    assert secrets.spans("secret_" * 20_000 + " bearer of news")[0] == []
+
+
 def test_guess_cost_is_the_least():
     def slow(value, cost):
         return min((sum(cost(p) for p in parts) for n in range(len(value)) for cuts in itertools.combinations(range(1, len(value)), n) for parts in [[value[a:b] for a, b in itertools.pairwise([0, *cuts, len(value)])]]), default=0)
