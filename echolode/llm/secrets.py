@@ -3,7 +3,7 @@
 Base spans come from three fixed patterns. The method adds spans of kind ``guess``: the value of a credential context
 that no base span holds whole, where the least number of guesses for it is high. The number is a dynamic program
 over the value: its cheapest segmentation into dictionary words, dates, repeats, keyboard walks and brute-force
-characters, in log10 guesses. ``n_weak`` counts assign values that a guesser would find soon (their spans stay).
+characters, in log10 guesses; letters alone are no exception. ``n_weak`` counts assign values that a guesser would find soon (their spans stay).
 
 A null or empty text has no span. Spans are of whole matches, in code points, end exclusive; very long texts are
 scanned whole, as bytes, and only those that hold a keyword are decoded. Repeated rows get equal results.
@@ -12,10 +12,12 @@ scanned whole, as bytes, and only those that hold a keyword are decoded. Repeate
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from dataclasses import dataclass
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,14 +37,25 @@ BEARER = re.compile(r"""(?<![A-Za-z0-9])(?ai:bearer)\s{1,3}["']?(?![:=])([^\s"'<
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"passphrase", b"passcode", b"pwd", b"credential", b"authorization", b"bearer", *(a + s + b"key" for a in (b"api", b"private", b"access") for s in (b"", b"_", b"-", b".")))
 HEXED = bytes(1 if chr(c) in "0123456789abcdef" else 0 for c in range(256))
 
-# Words that guessers try first, most frequent first.
+# Words that guessers try first, most frequent first; after them the words of a public vocabulary.
 COMMON = """password admin welcome login secret master letmein dragon monkey shadow sunshine princess football baseball
 qwerty iloveyou superman batman trustno hello freedom whatever ninja mustang access flower cheese computer internet
 service test user guest root default changeme example sample token public private server database backup system
 summer winter spring autumn monday friday january december love money lucky magic tiger eagle silver golden orange
 purple black white green blue red apple google amazon github linux windows oracle mysql postgres docker kubernetes
 your here key value none null true false""".split()
-RANK = {w: k + 1 for k, w in enumerate(COMMON)}
+
+
+def dictionary() -> dict[str, int]:
+    """Rank of each word: COMMON, then the whole words of the vocabulary in its order, which is that of merges."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    whole = (w.removesuffix("</w>") for w in sorted(vocab, key=vocab.get) if w.endswith("</w>"))
+    return {w: k + 1 for k, w in enumerate(dict.fromkeys([*COMMON, *(w for w in whole if len(w) >= 3 and w.isalpha())]))}
+
+
+RANK = dictionary()
+LONGEST = max(map(len, RANK))
 LEET = str.maketrans("@4301$5!7", "aaeolssit")
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 NEXT = {(a, b) for row in ROWS for x in (row, row[::-1]) for a, b in zip(x, x[1:], strict=False)}
@@ -67,7 +80,6 @@ def guesses(value: str) -> float:
     same = [1] * (n + 1)
     for i in range(n - 2, -1, -1):
         same[i] = same[i + 1] + 1 if value[i] == value[i + 1] else 1
-    longest = max(map(len, RANK))
     for i in range(n):
         here = best[i]
 
@@ -75,7 +87,7 @@ def guesses(value: str) -> float:
             best[end] = min(best[end], here + cost)
 
         take(i + 1, brute(value[i]))
-        for end in range(i + 3, min(n, i + longest) + 1):
+        for end in range(i + 3, min(n, i + LONGEST) + 1):
             if rank := RANK.get(plain[i:end]):
                 odd = (low[i:end] != plain[i:end]) + (value[i:end] != low[i:end])
                 take(end, math.log10(1 + rank) + JOINT * (1 + odd))
@@ -117,7 +129,7 @@ def spans(text: str, params: SecretParams = SecretParams()) -> tuple[list[tuple[
         m = pattern.search(text)
         while m:
             inside = any(a <= m.start(1) and m.end(1) <= b for a, b in ends)
-            strong = not inside and guesses(m[1]) >= params.strong and re.search(r"[^A-Za-z]", m[1])
+            strong = not inside and guesses(m[1]) >= params.strong
             if strong:
                 out.append((m.start(1), 3, m.end(1)))
                 ends.append(m.span(1))

@@ -118,6 +118,12 @@ def test_secret_names():
     assert secrets.spans("secret_" * 20_000 + " bearer of news")[0] == []
 
 
+def test_secret_letters():
+    assert [k for _, k, _ in secrets.spans("pwd: qXvTzKpWmRsLdNb")[0]] == [3]
+    for prose in ("the secretary is responsible", "credentials: international", "password is understanding", "bearer certificates"):
+        assert secrets.spans(prose)[0] == []
+
+
 def test_guess_cost_is_the_least():
     def slow(value, cost):
         return min((sum(cost(p) for p in parts) for n in range(len(value)) for cuts in itertools.combinations(range(1, len(value)), n) for parts in [[value[a:b] for a, b in itertools.pairwise([0, *cuts, len(value)])]]), default=0)
