@@ -5,7 +5,8 @@ unit after a number) are typed placeholders, other words are lower-cased. Window
 as template and as literal lower-cased text, and joined with the windows of all benchmark items by hash. An item is
 found as a ``copy`` if the literal windows of at least ``share`` percent of its windows are in the document, or as
 ``reparameterised`` if template windows are and the slots agree: each value of the item stands for one value of the
-document wherever it occurs. A template window needs ``literal`` words that are no placeholder.
+document wherever it occurs in one occurrence. Occurrences are judged each by itself: hits of one shift against the item,
+of shifts near each other, or of the whole document; template_hits and slots_agree are those of the best. A template window needs ``literal`` words that are no placeholder.
 
 Built-in functions only. The benchmark side is broadcast if its windows are at most ``broadcast_rows``, else both
 sides are shuffled by hash. Windows are joined as they are made, within the stage that reads the text; what is shuffled
@@ -20,11 +21,14 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents
 
 WINDOW, SHARE, LITERAL, BROADCAST_ROWS = 8, 50, 4, 200_000
+#: hits whose shifts follow each other at most this far apart may be of one occurrence, with words put in or left out
+NEAR = 8
 
 # Units of measure that follow a number.
 UNITS = """kg g mg lb lbs oz ton tons tonnes km m cm mm mile miles mi ft feet foot inch inches yd yards l ml liter
@@ -56,14 +60,14 @@ def _windows(tokens: DataFrame, size: int, keep: list[str]) -> DataFrame:
 
 
 def _hits(docs: DataFrame, items: DataFrame, size: int, broadcast_rows: int) -> DataFrame:
-    """doc, item, kind, item window, and the pairs of slot values where a document's window equals an item's."""
+    """doc, item, kind, item window, how far the document's window is from it, and the pairs of slot values where they are equal."""
     theirs = _windows(items, size, ["item"]).select("item", F.col("pos").alias("ipos"), "kind", "key", F.expr(f"slice(raw, pos + 1, {size})").alias("iraw"))
     theirs = F.broadcast(theirs) if theirs.count() <= broadcast_rows else theirs
     both = _windows(docs, size, ["doc"]).join(theirs, ["key", "kind"])
     # every word of a window is a slot of its own value: literal words agree with themselves
     pairs = f"transform(arrays_zip(iraw, slice(raw, pos + 1, {size})), z -> struct(lower(z['iraw']) as i, lower(z['1']) as d))"
     pairs = f"if(kind = 0, cast(array() as array<struct<i:string,d:string>>), {pairs})"
-    return both.select("doc", "item", "kind", "ipos", F.expr(pairs).alias("slots"))
+    return both.select("doc", "item", "kind", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), F.expr(pairs).alias("slots"))
 
 
 def find(spark: SparkSession, docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -75,15 +79,27 @@ def find(spark: SparkSession, docs: DataFrame, items: DataFrame, broadcast_rows:
     hits = [_hits(mine, bench.where(F.least(F.size("raw"), F.lit(WINDOW)) == r["n"]), r["n"], broadcast_rows) for r in sizes]
     if not hits:
         return spark.createDataFrame([], "doc_id long, item_id long, verdict string, windows long, literal_hits long, template_hits long, slots_agree boolean")
-    # one row an item's window first (a document may repeat it), then one a document and item
-    each = reduce(DataFrame.unionByName, hits).groupBy("doc", "item", "ipos", "kind").agg(F.first("slots").alias("slots"))
-    both = each.groupBy("doc", "item").agg(F.count_if(F.col("kind") == 0).alias("literal_hits"), F.count_if(F.col("kind") == 1).alias("template_hits"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+    # one row a shift first: its slots are those of one place, and at most the item's
+    union = lambda col: F.array_distinct(F.flatten(F.collect_list(col))).alias(col)
+    own = lambda kind, name: F.collect_set(F.when(F.col("kind") == kind, F.col("ipos"))).alias(name)
+    each = reduce(DataFrame.unionByName, hits).groupBy("doc", "item", "shift").agg(own(0, "lit"), own(1, "tem"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     windows = bench.select("item", F.greatest(F.size("raw") - WINDOW + 1, F.lit(1)).cast("long").alias("windows"))
-    rows = both.join(windows.groupBy("item").agg(F.max("windows").alias("windows")), "item")
-    # each value of the item has one value of the document: no two pairs share the item's side
-    rows = rows.withColumn("slots_agree", F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda z: z["i"]))))
+    each = each.join(windows.groupBy("item").agg(F.max("windows").alias("windows")), "item")
     share = lambda col: F.col(col) * 100 >= F.col("windows") * SHARE
-    verdict = F.when(share("literal_hits"), "copy").when(share("template_hits") & F.col("slots_agree"), "reparameterised")
+
+    def judged(d: DataFrame) -> DataFrame:
+        """With ``found``: whether it is an occurrence, its hits, and whether each value of the item has one value of
+        the document, that is, no two pairs share the item's side. The greatest is the best."""
+        d = d.withColumn("hits", F.size("tem").cast("long")).withColumn("agree", F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda z: z["i"]))))
+        return d.withColumn("found", F.struct((share("hits") & F.col("agree")).alias("whole"), "hits", "agree"))
+
+    # an occurrence is what has one shift, or shifts near each other, or all of the document
+    order = W.partitionBy("doc", "item").orderBy("shift")
+    parts = judged(each).withColumn("place", F.sum(F.when(F.col("shift") - F.lag("shift").over(order) > NEAR, 1).otherwise(0)).over(order))
+    near = judged(parts.groupBy("doc", "item", "windows", "place").agg(union("lit"), union("tem"), union("slots"), F.max("found").alias("one"))).withColumn("one", F.greatest("one", "found"))
+    rows = judged(near.groupBy("doc", "item", "windows").agg(union("lit"), union("tem"), union("slots"), F.max("one").alias("one"))).withColumn("one", F.greatest("one", "found"))
+    rows = rows.select("doc", "item", "windows", F.size("lit").cast("long").alias("literal_hits"), F.col("one.hits").alias("template_hits"), F.col("one.agree").alias("slots_agree"), F.col("one.whole").alias("whole"))
+    verdict = F.when(share("literal_hits"), "copy").when(F.col("whole"), "reparameterised")
     return rows.withColumn("verdict", verdict).where("verdict is not null").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "verdict", "windows", "literal_hits", "template_hits", "slots_agree")
 
 

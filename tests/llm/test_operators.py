@@ -225,6 +225,17 @@ def test_decontamination_slots(spark):
     assert got == {0: "reparameterised"}
 
 
+def test_decontamination_occurrences(spark):
+    item = "if x1 has 4 apples and y1 has 4 apples how many apples are there with 4 more apples"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    five, seven, far = item.replace("4", "5"), item.replace("4", "7"), " w".join(map(str, range(30)))
+    longer = item.replace("4", "7").replace("how many", "how very many")
+    chance = "if x1 has 9 apples and y1 has " + far
+    texts = [f"{five} {far} {seven}", f"{chance} {five}", f"{five} {chance}", f"{longer} {far} {five}", item.replace("4", "7", 1).replace("4", "9")]
+    got = {r.doc_id: (r.verdict, r.slots_agree) for r in decontam.find(spark, docs_of(spark, texts), bench).collect()}
+    assert got == dict.fromkeys(range(4), ("reparameterised", True))
+
+
 def check_packing(rows, texts, params):
     from tokenizers import Tokenizer
 
