@@ -236,6 +236,17 @@ def test_decontamination_occurrences(spark):
     assert got == dict.fromkeys(range(4), ("reparameterised", True))
 
 
+def test_decontamination_dense_items(spark):
+    a = "On Monday Anna Smith paid Bob Jones 300 dollars for 12 kg of Kenyan coffee and 40 euros for 5 boxes"
+    b = "On Tuesday Carla Stone paid Paul Weber 700 dollars for 31 kg of Cuban coffee and 90 euros for 8 boxes"
+    c, d = "Anna 5 of 7 Bob 9 in 3 Carl 11 by 2 Dora 8 at 6 Emil", "Fred 4 of 1 Gina 2 in 8 Hans 19 by 7 Ida 3 at 5 Jane"
+    bench = spark.createDataFrame([(1, a), (2, c), (3, "1 2 3 4 5 6 7 8 9 10 11")], "item_id long, text string")
+    texts = [f"then {b} then", f"Then 3 {d} then", d.replace("by", "for"), "21 22 23 24 25 26 27 28 29 30 31"]
+    for rows in (decontam.BROADCAST_ROWS, 0):
+        got = {(r.doc_id, r.item_id): r.verdict for r in decontam.find(spark, docs_of(spark, texts), bench, rows).collect()}
+        assert got == {(0, 1): "reparameterised", (1, 2): "reparameterised"}
+
+
 def check_packing(rows, texts, params):
     from tokenizers import Tokenizer
 
