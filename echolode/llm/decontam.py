@@ -3,7 +3,8 @@
 A text's tokens are numbers and words. In its template numbers, names (words with a capital letter) and units (a known
 unit after a number) are typed placeholders, other words are lower-cased. Windows of ``window`` tokens are hashed twice,
 as template and as literal lower-cased text, and joined with the windows of all benchmark items by hash. An item is
-found as a ``copy`` if the literal windows of at least ``share`` percent of its windows are in the document, or as
+found as a ``copy`` if the literal windows of at least ``share`` percent of its windows are in the document, or RUN words
+in a row, or, of shifts near each other, that share of its windows of SHORT words, which small edits leave; or as
 ``reparameterised`` if template windows are and the slots agree: each value of the item stands for one value of the
 document wherever it occurs in one occurrence. Occurrences are judged each by itself: hits of one shift against the item,
 of shifts near each other, or of the whole document; template_hits and slots_agree are those of the best. A template window needs ``literal`` words that are no placeholder; the share is taken of
@@ -32,6 +33,8 @@ WINDOW, SHARE, LITERAL, BROADCAST_ROWS = 8, 50, 4, 200_000
 #: hits whose shifts follow each other at most this far apart may be of one occurrence, with words put in or left out
 NEAR = 8
 
+#: words of the shorter literal windows, and words in a row that are a copy however long the item is
+SHORT, RUN = 5, 50
 #: an item with fewer eligible template windows is also looked for by the template of all of it
 FEW = 4
 #: of an item's tem: windows with enough literal words; long items only, as shorter ones are one window
@@ -58,27 +61,31 @@ def _tokens(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
 
 
 def _windows(tokens: DataFrame, size: int, keep: list[str]) -> DataFrame:
-    """One row a window and kind: pos, kind (0 literal, 1 template, 2 template with too few literal words), key, words."""
+    """One row a window and kind: pos, kind (0 literal, 1 template, 2 template with too few literal words, 4 short
+    literal, for the full size), key, words."""
     hashed = lambda of: "xxhash64(" + ", ".join(f"get({of}, pos + {k})" for k in range(size)) + ")"
     words = " + ".join(f"cast(get(tem, pos + {k}) % 2 = 0 as int)" for k in range(size))
-    at = tokens.where(F.size("raw") >= size).select(*keep, "raw", "lit", "tem", F.explode(F.expr(f"sequence(0, size(raw) - {size})")).alias("pos"))
-    both = at.select(*keep, "raw", "tem", "pos", F.expr(words).alias("words"), F.explode(F.expr(f"array(struct(0 as kind, {hashed('lit')} as key), struct(if({words} >= {min(LITERAL, size)}, 1, 2) as kind, {hashed('tem')} as key))")).alias("w"))
-    return both.select(*keep, "raw", "tem", "pos", "words", F.col("w.kind").alias("kind"), F.col("w.key").alias("key"))
+    least = SHORT if size == WINDOW else size
+    short = ", struct(4 as kind, xxhash64(" + ", ".join(f"get(lit, pos + {k})" for k in range(SHORT)) + ") as key)" if least < size else ""
+    full = f"pos + {size} <= size(raw)"
+    at = tokens.where(F.size("raw") >= least).select(*keep, "raw", "lit", "tem", F.explode(F.expr(f"sequence(0, size(raw) - {least})")).alias("pos"))
+    both = at.select(*keep, "raw", "tem", "pos", F.expr(words).alias("words"), F.explode(F.expr(f"array(struct(if({full}, 0, 9) as kind, {hashed('lit')} as key), struct(case when not {full} then 9 when {words} >= {min(LITERAL, size)} then 1 else 2 end as kind, {hashed('tem')} as key){short})")).alias("w"))
+    return both.where("w.kind < 9").select(*keep, "raw", "tem", "pos", "words", F.col("w.kind").alias("kind"), F.col("w.key").alias("key"))
 
 
 def _hits(docs: DataFrame, items: DataFrame, size: int, broadcast_rows: int) -> DataFrame:
     """doc, item, kind, item window, how far the document's window is from it, and the pairs of slot values where they are equal."""
     theirs = _windows(items, size, ["item"])
     # items with few template windows are looked for whole, from their window with the most literal words
-    told = theirs.groupBy("item").agg(F.count_if(F.col("kind") == 1).alias("eligible"), F.max(F.when(F.col("kind") > 0, F.struct("words", -F.col("pos")))).alias("most"), F.max(F.expr(f"size(filter(tem, x -> x % 2 = 0)) >= {LITERAL}")).alias("can"))
-    theirs = theirs.join(told, "item").withColumn("from", (F.col("kind") > 0) & F.col("can") & (F.col("eligible") < FEW) & (F.col("pos") == -F.col("most")["col2"])).where("kind <> 2 or from")
+    told = theirs.groupBy("item").agg(F.count_if(F.col("kind") == 1).alias("eligible"), F.max(F.when(F.col("kind").isin(1, 2), F.struct("words", -F.col("pos")))).alias("most"), F.max(F.expr(f"size(filter(tem, x -> x % 2 = 0)) >= {LITERAL}")).alias("can"))
+    theirs = theirs.join(told, "item").withColumn("from", F.col("kind").isin(1, 2) & F.col("can") & (F.col("eligible") < FEW) & (F.col("pos") == -F.col("most")["col2"])).where("kind <> 2 or from")
     theirs = theirs.select("item", F.col("pos").alias("ipos"), "kind", "key", F.expr(f"slice(raw, pos + 1, {size})").alias("iraw"), F.when(F.col("from"), F.col("tem")).alias("item_tem"), F.when(F.col("from"), F.col("raw")).alias("item_raw"))
     theirs = F.broadcast(theirs) if theirs.count() <= broadcast_rows else theirs
     both = _windows(docs, size, ["doc"]).join(theirs, ["key", "kind"]).withColumn("all", F.expr("case when item_tem is null or pos < ipos then false else slice(tem, pos - ipos + 1, size(item_tem)) = item_tem end"))
     both = both.where("kind <> 2 or all")
     # every word of a window is a slot of its own value: literal words agree with themselves
     pairs = lambda mine, own: f"zip_with({own}, {mine}, (i, d) -> struct(lower(i) as i, lower(d) as d))"
-    slots = f"case when all then {pairs('slice(raw, pos - ipos + 1, size(item_raw))', 'item_raw')} when kind = 0 then cast(array() as array<struct<i:string,d:string>>) else {pairs(f'slice(raw, pos + 1, {size})', 'iraw')} end"
+    slots = f"case when all then {pairs('slice(raw, pos - ipos + 1, size(item_raw))', 'item_raw')} when kind in (0, 4) then cast(array() as array<struct<i:string,d:string>>) else {pairs(f'slice(raw, pos + 1, {size})', 'iraw')} end"
     return both.select("doc", "item", "kind", "ipos", "all", (F.col("pos") - F.col("ipos")).alias("shift"), F.expr(slots).alias("slots"))
 
 
@@ -94,12 +101,14 @@ def find(spark: SparkSession, docs: DataFrame, items: DataFrame, broadcast_rows:
     # one row a shift first: its slots are those of one place, and at most the item's
     union = lambda col: F.array_distinct(F.flatten(F.collect_list(col))).alias(col)
     own = lambda kind, name: F.collect_set(F.when(F.col("kind") == kind, F.col("ipos"))).alias(name)
-    each = reduce(DataFrame.unionByName, hits).groupBy("doc", "item", "shift").agg(own(0, "lit"), own(1, "tem"), F.max("all").alias("all"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    windows = bench.select("item", F.greatest(F.size("raw") - WINDOW + 1, F.lit(1)).cast("long").alias("windows"), F.expr(ELIGIBLE).cast("long").alias("eligible"))
+    each = reduce(DataFrame.unionByName, hits).groupBy("doc", "item", "shift").agg(own(0, "lit"), own(1, "tem"), own(4, "short"), F.max("all").alias("all"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    windows = bench.select("item", "raw", F.greatest(F.size("raw") - WINDOW + 1, F.lit(1)).cast("long").alias("windows"), F.expr(ELIGIBLE).cast("long").alias("eligible"))
+    windows = windows.withColumn("shorts", F.when(F.size("raw") >= WINDOW, F.size("raw") - SHORT + 1))
     # the windows that a template's share is taken of: eligible ones, if there are more than a few
     windows = windows.withColumn("of", F.when(F.col("eligible") >= FEW, F.col("eligible")).otherwise(F.col("windows")))
-    each = each.join(windows.groupBy("item").agg(F.max("windows").alias("windows"), F.max("of").alias("of")), "item")
-    share = lambda col, of: F.col(col) * 100 >= F.col(of) * SHARE
+    each = each.join(windows.groupBy("item").agg(F.max("windows").alias("windows"), F.max("of").alias("of"), F.max("shorts").alias("shorts")), "item")
+    each = each.withColumn("lit", F.sort_array("lit")).withColumn("run", F.expr(f"exists(transform(lit, (x, i) -> get(lit, i + {RUN - WINDOW}) - x), x -> x = {RUN - WINDOW})"))
+    share = lambda col, of: (F.col(col) if isinstance(col, str) else col) * 100 >= F.col(of) * SHARE
 
     def judged(d: DataFrame) -> DataFrame:
         """With ``found``: whether it is an occurrence, its hits, and whether each value of the item has one value of
@@ -110,10 +119,10 @@ def find(spark: SparkSession, docs: DataFrame, items: DataFrame, broadcast_rows:
     # an occurrence is what has one shift, or shifts near each other, or all of the document
     order = W.partitionBy("doc", "item").orderBy("shift")
     parts = judged(each).withColumn("place", F.sum(F.when(F.col("shift") - F.lag("shift").over(order) > NEAR, 1).otherwise(0)).over(order))
-    near = judged(parts.groupBy("doc", "item", "windows", "of", "place").agg(F.max("all").alias("all"), union("lit"), union("tem"), union("slots"), F.max("found").alias("one"))).withColumn("one", F.greatest("one", "found"))
-    rows = judged(near.groupBy("doc", "item", "windows", "of").agg(F.max("all").alias("all"), union("lit"), union("tem"), union("slots"), F.max("one").alias("one"))).withColumn("one", F.greatest("one", "found"))
-    rows = rows.select("doc", "item", "windows", F.size("lit").cast("long").alias("literal_hits"), F.col("one.hits").alias("template_hits"), F.col("one.agree").alias("slots_agree"), F.col("one.whole").alias("whole"))
-    verdict = F.when(share("literal_hits", "windows"), "copy").when(F.col("whole"), "reparameterised")
+    near = judged(parts.groupBy("doc", "item", "windows", "of", "shorts", "place").agg(F.max("run").alias("run"), union("short"), F.max("all").alias("all"), union("lit"), union("tem"), union("slots"), F.max("found").alias("one"))).withColumn("one", F.greatest("one", "found")).withColumn("run", F.coalesce("run", F.lit(False)) | F.coalesce(share(F.size("short"), "shorts"), F.lit(False)))
+    rows = judged(near.groupBy("doc", "item", "windows", "of").agg(F.max("run").alias("run"), F.max("all").alias("all"), union("lit"), union("tem"), union("slots"), F.max("one").alias("one"))).withColumn("one", F.greatest("one", "found"))
+    rows = rows.select("doc", "item", "windows", F.size("lit").cast("long").alias("literal_hits"), F.col("one.hits").alias("template_hits"), F.col("one.agree").alias("slots_agree"), F.col("one.whole").alias("whole"), "run")
+    verdict = F.when(share("literal_hits", "windows") | F.col("run"), "copy").when(F.col("whole"), "reparameterised")
     return rows.withColumn("verdict", verdict).where("verdict is not null").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "verdict", "windows", "literal_hits", "template_hits", "slots_agree")
 
 

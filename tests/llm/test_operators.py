@@ -247,6 +247,16 @@ def test_decontamination_dense_items(spark):
         assert got == {(0, 1): "reparameterised", (1, 2): "reparameterised"}
 
 
+def test_decontamination_parts_and_edits(spark):
+    long, mid, short = ([f"{p}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(n)] for p, n in (("l", 400), ("m", 38), ("s", 15)))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate((long, mid, short))], "item_id long, text string")
+    edited = [[*mid[:12], "other", *mid[13:25], "words", *mid[26:]], [*short[:7], "other", *short[8:]], [*short[:7], "one", "more", *short[7:]]]
+    texts = [" ".join(w) for w in (long[100:250], long[100:150], long[100:149], *edited, short[:6])]
+    for rows in (decontam.BROADCAST_ROWS, 0):
+        got = {(r.doc_id, r.item_id): r.verdict for r in decontam.find(spark, docs_of(spark, texts), bench, rows).collect()}
+        assert got == {(0, 0): "copy", (1, 0): "copy", (3, 1): "copy", (4, 2): "copy", (5, 2): "copy"}
+
+
 def check_packing(rows, texts, params):
     from tokenizers import Tokenizer
 
