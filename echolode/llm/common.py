@@ -83,6 +83,10 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def lowest_ids(df: DataFrame, id_col: str, n: int) -> DataFrame:
-    """At most ``n`` rows, those of the smallest hashed ids: the same for any partitioning."""
-    return df.orderBy(F.xxhash64(id_col), id_col).limit(n)
+def hashed_share(df: DataFrame, id_col: str, n: int, count: int) -> DataFrame:
+    """At most ``n`` of the ``count`` rows, those of the smallest hashed ids: the same for any partitioning. Rows over the
+    hash that about ``n`` lie below go first, so that what is sorted doesn't grow with partitions."""
+    h = F.xxhash64(id_col)
+    if count > 2 * n:
+        df = df.where(h < F.lit(int((1.2 * n / count - 0.5) * 2**64)))
+    return df.orderBy(h, id_col).limit(n)

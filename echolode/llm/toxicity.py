@@ -5,25 +5,27 @@ Every word, every pair of neighbours and every pair with one or two words left o
 each coordinate and its L1 term leaves most weights at exactly zero, so a model is the indices and values of
 the few weights that are left and is broadcast whole (at most ``2**bits`` floats, whatever the corpus).
 
-Null and empty texts have the bias alone. Repeated rows get equal scores. Null labels and labels without a
+The sample is learnt from in one task of an executor, which a lost executor makes run again; the driver gets the weights
+that aren't zero, never a text or its features. Scores are a column of an Arrow function over the text alone, so
+other columns, whatever their names, stay where they are.
+
+Null and empty texts have the bias alone; bytes that are no UTF-8 are word characters. Repeated rows get equal scores;
+of rows of one doc_id that differ, one is learnt from. Very long texts are read whole. Null labels and labels without a
 document teach nothing; several labels of one document count as their largest. Without any label the score is 0.
 """
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import re
-from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, as_batch, documents, fold, lowest_ids, map_rows, mix
+from .common import WordHash, as_batch, documents, fold, hashed_share, map_rows, mix
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SKIPS = (1, 2, 3)
@@ -99,68 +101,62 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams())
         .groupBy("doc_id")
         .agg((F.max("toxic") > 0).cast("int").alias("y"))
     )
-    some = lowest_ids(told.where("y = 1"), "doc_id", params.sample_rows).unionByName(lowest_ids(told.where("y = 0"), "doc_id", 2 * params.sample_rows))
-    bits = params.bits
+    n = {r["y"]: r["count"] for r in told.groupBy("y").count().collect()}  # two rows at most
+    some = hashed_share(told.where("y = 1"), "doc_id", params.sample_rows, n.get(1, 0)).unionByName(hashed_share(told.where("y = 0"), "doc_id", 2 * params.sample_rows, n.get(0, 0)))
 
     def make():
         cache = WordHash()
         return lambda b: as_batch(
             doc_id=b["doc_id"],
             y=b["y"],
-            at=pa.array([np.unique(features(x, cache, bits)).tobytes() for x in b["text"].to_pylist()], pa.binary()),
+            at=pa.array([np.unique(features(x, cache, params.bits)).tobytes() for x in b["text"].to_pylist()], pa.binary()),
         )
 
-    # the sample is bounded by a parameter, so it may be broadcast; one row for each id even if ids repeat
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(np.frombuffer(at, np.int32), y) for b in batches for at, y in zip(b["at"].to_pylist(), b["y"].to_pylist(), strict=True)]
+        model = ftrl(rows, params)
+        sampled = sum(y for _, y in rows)
+        index, value = np.append(model.index, [-1, -2, -3]), np.append(model.value, [model.bias, len(rows) - sampled, sampled])
+        yield as_batch(index=pa.array(index, pa.int32()), value=pa.array(value, pa.float64()))
+
+    # the sample is bounded by a parameter, so it may be broadcast and learnt from in one task
     near = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(some), "doc_id")
     rows = map_rows(near, make, "doc_id long, y int, at binary").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("at").alias("at"))
-    table = rows.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
-    # features stay in Arrow's buffers, which are given back as soon as the weights are learnt
-    model = ftrl([(np.frombuffer(at.as_buffer(), np.int32), y.as_py()) for at, y in zip(table["at"], table["y"], strict=True)], params)
+    alone = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("y", "at")
+    got = alone.mapInArrow(learn, "index int, value double").toArrow()
+    index, value = got["index"].to_numpy(), got["value"].to_numpy()
+    if not len(index):  # no partition at all: nothing was learnt
+        return ftrl([], params)
+    model = ToxicityModel(index[:-3], value[:-3], float(value[-3]), params.bits)
     # toxic rows are a larger share of the sample than of all labels: the bias is moved back by the log of the two odds
-    n, sampled = {r["y"]: r["count"] for r in told.groupBy("y").count().collect()}, Counter(table["y"].to_pylist())
-    if min(n.get(0, 0), n.get(1, 0), sampled[0], sampled[1]) > 0:
-        model = replace(model, bias=model.bias + float(np.log(n[1] / n[0]) - np.log(sampled[1] / sampled[0])))
-    del table
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the driver's own heap; not all C libraries have it
-        trim(0)
+    if min(n.get(0, 0), n.get(1, 0), value[-2], value[-1]) > 0:
+        model = replace(model, bias=model.bias + float(np.log(n[1] / n[0]) - np.log(value[-1] / value[-2])))
     return model
 
 
-def score(spark: SparkSession, docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` but the text, and ``tox_score``; one narrow pass."""
+def scorer(spark: SparkSession, model: ToxicityModel) -> Callable[[Column], Column]:
+    """A function of a text column that gives its score; the model is broadcast once."""
     told = spark.sparkContext.broadcast(model)
-    others = [c for c in docs.columns if c != text_col]
 
-    def make():
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, cache = told.value, WordHash()
         dense = model.dense()
+        for texts in batches:
+            yield pa.array([score_text(x.as_py(), cache, dense, model.bias, model.bits) for x in texts], pa.float64())
 
-        def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            s = [score_text(x, cache, dense, model.bias, model.bits) for x in b[text_col].to_pylist()]
-            return as_batch(**{c: b[c] for c in others}, tox_score=pa.array(s, pa.float64()))
-
-        return work
-
-    schema = docs.select(*others).schema.add("tox_score", "double")
-    return map_rows(docs.withColumn(text_col, F.col(text_col).cast("binary")), make, schema)
+    return lambda text: score(text.cast("binary"))
 
 
 def query(spark: SparkSession, sf_dir: str, params: FtrlParams = FtrlParams()) -> DataFrame:
     """op1: doc_id, held_out, score, predicted for every document."""
     docs = documents(spark, sf_dir)
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), params)
-    return score(spark, docs, model).select(
-        "doc_id",
-        (fold("doc_id", 3) == 1).alias("held_out"),
-        F.col("tox_score").alias("score"),
-        (F.col("tox_score") >= params.threshold).cast("int").alias("predicted"),
-    )
+    score = scorer(spark, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), params))
+    told = docs.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), score(F.col("text")).alias("score"))
+    return told.withColumn("predicted", (F.col("score") >= params.threshold).cast("int"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents predicted toxic go, others keep their columns (a null id is kept by its own score)."""
-    model = train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    told = docs.withColumn("tox_in", F.col("text"))
-    return score(spark, told, model, "tox_in").where(F.col("tox_score") < FtrlParams.threshold).select(*docs.columns)
+    score = scorer(spark, train(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return docs.where(score(F.col("text")) < FtrlParams.threshold)
