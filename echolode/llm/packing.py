@@ -7,14 +7,17 @@ dynamic program prices new patterns, rounds the pattern counts down and packs th
 decreasing. Every item then finds its sequence from its rank within its class: ranks are row numbers within hashed
 buckets plus the counts of the buckets before, so a length that a third of all documents share is spread like any other.
 
-Null and empty texts have the end id alone. Repeated rows are packed each on its own. Very long texts give many pieces.
-An empty table gives no rows.
+Null and empty texts have the end id alone. Repeated rows are packed each on its own, in any order among themselves. Very
+long texts give many pieces. Bytes that are no UTF-8 count as U+FFFD. An empty table gives no rows. Columns other than
+doc_id and text are not read, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
+import unicodedata
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -39,10 +42,24 @@ class PackParams:
     per_bucket: int = 100_000  # pieces in a bucket of the ranking, about
 
 
+#: How the vocabulary file must split texts for chunks to be encoded apart from one another.
+SPLITS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class Encoder(dict):
     """Ids of a chunk of text, as little-endian bytes. No token spans a blank or a line feed, case doesn't matter and a
     full stop or comma after a letter is a token of its own, so chunks are encoded apart from one another, lower-cased,
-    without such an end, and remembered for the task, up to ``most`` of them."""
+    without such an end, and remembered for the task, up to ``most`` of them. That holds for files that split texts as
+    SPLITS says; with any other file every text is encoded whole."""
 
     most = 1_000_000
 
@@ -55,25 +72,38 @@ class Encoder(dict):
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
-        self.joint = self.ids([";"])[0]
+        with open(path, "rb") as f:
+            told = json.load(f)
+        added = [t["content"] for t in told.get("added_tokens") or ()]
+        self.chunked = all(told.get(k) == v for k, v in SPLITS.items()) and not told.get("post_processor") and all(t.startswith("<|") for t in added)
+        self.joint = self.ids([";"])[0] if self.chunked else b""
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, chunks: list[bytes]) -> None:
-        """Encode chunks, many in a call: semicolons between them show where each one's ids end."""
-        odd = [w for w in chunks if b";" in w or b"<|" in w]
-        plain = list(set(chunks).difference(odd))
-        for w, x in zip(odd, self.ids([w.decode() for w in odd]), strict=True):
-            self[w] = x
+        """Encode chunks, many in a call: semicolons between them show where each one's ids end. Chunks whose normal form
+        may hold a semicolon or a special token are encoded by themselves, as are those of a call that comes apart
+        otherwise than it was put together."""
+        alone, plain = [], []
+        for w in chunks:
+            text = w.decode("utf-8", "replace")
+            odd = b";" in w or b"<|" in w or not w.isascii() and ";" in unicodedata.normalize("NFC", text)
+            (alone if odd else plain).append((w, text))
         joint = np.frombuffer(self.joint, "<u4")[0]
         for k in range(0, len(plain), 2000):
             part = plain[k : k + 2000]
-            got = np.frombuffer(self.ids([" ; ".join([w.decode() for w in part])])[0], "<u4")
-            for w, x in zip(part, np.split(got, np.flatnonzero(got == joint)), strict=True):
-                self[w] = (x[1:] if len(x) and x[0] == joint else x).tobytes()
+            got = np.frombuffer(self.ids([" ; ".join([text for _, text in part])])[0], "<u4")
+            found = np.split(got, np.flatnonzero(got == joint))
+            if len(found) == len(part):
+                self.update((w, (x[1:] if len(x) and x[0] == joint else x).tobytes()) for (w, _), x in zip(part, found, strict=True))
+            else:
+                alone += part
+        self.update(zip([w for w, _ in alone], self.ids([text for _, text in alone]), strict=True))
 
     def streams(self, texts: list[bytes | None]) -> list[bytes]:
+        if not self.chunked:
+            return self.ids([(x or b"").decode("utf-8", "replace") for x in texts])
         # a special token's own string is matched before lower-casing, so texts that may hold one keep their case
         split = [(x if b"<|" in x else x.lower()).replace(b"\n", b" ").split(b" ") for x in (x or b"" for x in texts)]
         if len(self) > self.most:
