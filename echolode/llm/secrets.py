@@ -6,17 +6,23 @@ over the value: its cheapest segmentation into dictionary words, dates, repeats,
 characters, in log10 guesses; letters alone are no exception. ``n_weak`` counts assign values that a guesser would find soon (their spans stay).
 
 A null or empty text has no span. Spans are of whole matches, in code points, end exclusive; very long texts are
-scanned whole, as bytes, and only those that hold a keyword are decoded. Repeated rows get equal results.
+scanned whole, as bytes, and only those that may hold a secret are decoded, with U+FFFD for bytes that are no UTF-8. A
+value's time grows with its length. Repeated rows get equal results, a null doc_id is kept, an empty table gives
+no rows; extra columns aren't read by the query and pass through the stage as they are. Equal starts are ordered by kind.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import math
 import re
+from bisect import bisect_right
+from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +37,11 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 # contexts of credentials whose value the base patterns may not take whole: a name that holds a keyword (looked for once
 # from the name's beginning, so that long names cost no more than their length), or a bare bearer
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]*?(?ai:password|passwd|passphrase|passcode|pwd|secret|token|(?:api|private|access)[_.-]?key|credential|authorization|bearer))[A-Za-z0-9_.-]++["']?\s{0,3}(?:[:=]|\bis\b)\s{0,3}(?:(?ai:bearer|basic)\x20+)?["']?([^\s"'<>,;]{8,})"""
+    r"""(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]*?(?ai:password|passwd|passphrase|passcode|pwd|secret|token|(?:api|private|access)[_.-]?key|credential|authorization|bearer))[A-Za-z0-9_.-]++["']?\s{0,3}(?:[:=]|\bis\b)\s{0,3}(?:(?ai:bearer|basic)\x20+)?["']?(?=[^\s"'<>,;]{8})"""
 )
-BEARER = re.compile(r"""(?<![A-Za-z0-9])(?ai:bearer)\s{1,3}["']?(?![:=])([^\s"'<>,;]{8,})""")
+BEARER = re.compile(r"""(?<![A-Za-z0-9])(?ai:bearer)\s{1,3}["']?(?![:=])(?=[^\s"'<>,;]{8})""")
+#: what a value of a context can't hold; a value begins where the pattern's match ends
+STOP = re.compile(r"""[\s"'<>,;]|\Z""")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"passphrase", b"passcode", b"pwd", b"credential", b"authorization", b"bearer", *(a + s + b"key" for a in (b"api", b"private", b"access") for s in (b"", b"_", b"-", b".")))
 HEXED = bytes(1 if chr(c) in "0123456789abcdef" else 0 for c in range(256))
 
@@ -60,6 +68,8 @@ LEET = str.maketrans("@4301$5!7", "aaeolssit")
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 NEXT = {(a, b) for row in ROWS for x in (row, row[::-1]) for a, b in zip(x, x[1:], strict=False)}
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d", re.A)
+#: longest block whose repeats are a segment
+BLOCK = 8
 #: log10 guesses for taking one more segment: the guesser must also find where segments begin
 JOINT = 0.3
 
@@ -69,22 +79,50 @@ def brute(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100)
 
 
-def guesses(value: str) -> float:
-    """log10 of the guesses for ``value``: the least sum over its segmentations. O(n) segments start at a place."""
-    low, n = value.lower(), len(value)
-    plain = low.translate(LEET)
-    best = [0.0] + [math.inf] * n
-    walk = [1] * (n + 1)  # length of the keyboard walk that starts here
-    for i in range(n - 2, -1, -1):
-        walk[i] = walk[i + 1] + 1 if (low[i], low[i + 1]) in NEXT else 1
-    same = [1] * (n + 1)
-    for i in range(n - 2, -1, -1):
-        same[i] = same[i + 1] + 1 if value[i] == value[i + 1] else 1
-    for i in range(n):
-        here = best[i]
+class Runs:
+    """Of a value: where what is said again, the same characters and keyboard walks end, from any place. Each table is
+    made once, in linear time, and serves all the value's ends as well."""
+
+    def __init__(self, value: str) -> None:
+        self.value, self.n = value, len(value)
+        low = value.lower()
+        self.low = low if len(low) == self.n else "".join(y if len(y := x.lower()) == 1 else x for x in value)
+        self.plain = self.low.translate(LEET)
+        codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+        # places whose character isn't that of the place a block later
+        self.breaks = {block: np.flatnonzero(codes[:-block] != codes[block:]) for block in range(1, min(BLOCK, self.n - 1) + 1)}
+        self.steps = np.flatnonzero([x not in NEXT for x in zip(self.low, self.low[1:], strict=False)])
+
+    def periodic(self, i: int, block: int) -> int:
+        """Length of what starts at ``i`` and repeats its first ``block`` characters, in part at last."""
+        if block not in self.breaks:
+            return min(block, self.n - i)
+        at = self.breaks[block]
+        k = int(at.searchsorted(i))
+        return (int(at[k]) + block if k < len(at) else self.n) - i
+
+    def walk(self, i: int) -> int:
+        k = int(self.steps.searchsorted(i))
+        return (int(self.steps[k]) + 1 if k < len(self.steps) else self.n) - i
+
+
+def guesses(value: str | Runs, limit: float = math.inf, start: int = 0) -> float:
+    """log10 of the guesses for ``value`` from ``start``: the least sum over its segmentations, or ``limit`` if that is no
+    more. Places that can't be reached below the limit are never looked at."""
+    runs = value if isinstance(value, Runs) else Runs(value)
+    value, low, plain, n = runs.value, runs.low, runs.plain, runs.n
+    best, todo = {start: 0.0}, [start]
+    while todo:
+        i = heapq.heappop(todo)
+        here = best.pop(i)
+        if i == n:
+            return min(limit, here)
 
         def take(end: int, cost: float, here: float = here) -> None:
-            best[end] = min(best[end], here + cost)
+            if here + cost < limit:
+                if end not in best:
+                    heapq.heappush(todo, end)
+                best[end] = min(best.get(end, math.inf), here + cost)
 
         take(i + 1, brute(value[i]))
         for end in range(i + 3, min(n, i + LONGEST) + 1):
@@ -94,17 +132,15 @@ def guesses(value: str) -> float:
         for m in [DATE.match(value, i)] if value[i].isdigit() else []:
             if m:
                 take(m.end(), JOINT + (math.log10(130) if m.end() - i == 4 else math.log10(130 * 365)))
-        for length in {3, walk[i]} if walk[i] >= 3 else ():
+        walk, same = runs.walk(i), runs.periodic(i, 1)
+        for length in {3, walk} if walk >= 3 else ():
             take(i + length, JOINT + math.log10(4 * 47 * length))
-        for length in {3, same[i]} if same[i] >= 3 else ():
+        for length in {3, same} if same >= 3 else ():
             take(i + length, JOINT + brute(value[i]) + math.log10(length))
-        for block in range(2, min(8, (n - i) // 2) + 1):  # a block said again and again
-            end = i + block
-            while value.startswith(value[i : i + block], end):
-                end += block
-            if end > i + block:
-                take(end, JOINT + sum(map(brute, value[i : i + block])) + math.log10((end - i) // block))
-    return best[n]
+        for block in range(2, min(BLOCK, (n - i) // 2) + 1):  # a block said again and again
+            if (times := runs.periodic(i, block) // block) > 1:
+                take(i + times * block, JOINT + sum(map(brute, value[i : i + block])) + math.log10(times))
+    return limit
 
 
 @dataclass(frozen=True)
@@ -115,26 +151,44 @@ class SecretParams:
     weak: float = 8.0
 
 
+class Cover:
+    """Whether one of some spans holds a range whole, by a search among their starts."""
+
+    def __init__(self, held: Iterable[tuple[int, int]]) -> None:
+        self.starts, self.ends = [], []
+        for a, b in sorted(held):
+            self.starts.append(a)
+            self.ends.append(max(b, self.ends[-1] if self.ends else b))
+
+    def holds(self, a: int, b: int) -> bool:
+        k = bisect_right(self.starts, a)
+        return k > 0 and self.ends[k - 1] >= b
+
+
 def spans(text: str, params: SecretParams = SecretParams()) -> tuple[list[tuple[int, int, int]], int]:
     """(start, kind number, end) of all spans, in order, and how many assign values are weak."""
     out, weak = [], 0
     for m in ASSIGN.finditer(text):
         if len(m[2]) >= 8:
             out.append((m.start(), 0, m.end()))
-            weak += guesses(m[2]) <= params.weak
+            weak += guesses(m[2], params.weak + 1e-9) <= params.weak
     out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    ends = sorted((a, b) for a, _, b in out)
     for pattern in (CONTEXT, BEARER):
+        cover, runs, since, b = Cover((a, b) for a, _, b in out), None, 0, 0
         m = pattern.search(text)
         while m:
-            inside = any(a <= m.start(1) and m.end(1) <= b for a, b in ends)
-            strong = not inside and guesses(m[1]) >= params.strong
+            a = m.end()
+            if a >= b:
+                b, runs = STOP.search(text, a).start(), None
+            inside = cover.holds(a, b)
+            if not inside and runs is None:
+                runs, since = Runs(text[a:b]), a  # values within it end where it ends and share its tables
+            strong = not inside and guesses(runs, params.strong, a - since) >= params.strong
             if strong:
-                out.append((m.start(1), 3, m.end(1)))
-                ends.append(m.span(1))
+                out.append((a, 3, b))
             # a value that is no secret may be the name of the next one
-            m = pattern.search(text, m.end(1) if inside or strong else m.start(1))
+            m = pattern.search(text, b if inside or strong else a)
     return sorted(out), weak
 
 
@@ -155,7 +209,7 @@ def scan(docs: DataFrame, params: SecretParams = SecretParams()) -> DataFrame:
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
             found, weak = [], []
             for data in b["text"].to_pylist():
-                text = data.decode() if data and may_hold(data) else ""
+                text = data.decode("utf-8", "replace") if data and may_hold(data) else ""
                 s, w = spans(text, params)
                 found.append([{"kind": KINDS[k], "start": a, "end": e, "value": text[a:e]} for a, k, e in s])
                 weak.append(w)
@@ -207,7 +261,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def make():
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [x if x is None or not may_hold(x) else redact(x.decode()).encode() for x in b["text"].to_pylist()]
+            texts = [x if x is None or not may_hold(x) else redact(x.decode("utf-8", "replace")).encode() for x in b["text"].to_pylist()]
             return pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()) if n == "text" else b[n] for n in b.schema.names], names=b.schema.names)
 
         return work
