@@ -4,12 +4,14 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from echolode.llm import decontam, fixity, langid, lattice, ngram_join, packing, quality, secrets, sharding, toxicity
 
@@ -50,7 +52,45 @@ def test_toxicity(spark, tmp_path):
     kept = toxicity.stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "digest"] and kept.count() == sum(1 - r.predicted for r in rows)
     none = toxicity.train(docs_of(spark, []), labels)
-    assert len(none.index) == 0 and toxicity.score(spark, docs_of(spark, ["a"]).select("doc_id", "text"), none).count() == 3
+    assert len(none.index) == 0
+    told = docs_of(spark, ["a"]).withColumn("score", toxicity.scorer(spark, none)(F.col("text")))
+    assert [r.score < 1e-9 for r in told.collect()] == [True] * 3
+    empty = saved(spark, tmp_path / "none", docs_of(spark, []).limit(0), labels=labels.limit(0))
+    assert toxicity.query(spark, empty).count() == 0 and toxicity.stage(spark, docs_of(spark, ODD), empty).count() == len(ODD) + 2
+
+
+def plain_ftrl(rows, p):
+    """FTRL-proximal for one coordinate after the other, as published."""
+    z, n, w = Counter(), Counter(), {}
+    for _ in range(p.epochs):
+        for at, y in rows:
+            own = [*at, "bias"]
+            for i in own:
+                w[i] = 0.0 if abs(z[i]) <= p.l1 else -(z[i] - math.copysign(p.l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w[i] for i in own))))) - y
+            for i in own:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / p.alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return {i: -(z[i] - math.copysign(p.l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2) for i in z if abs(z[i]) > p.l1}
+
+
+def test_ftrl_is_the_published_one(spark):
+    rng, p = random.Random(4), toxicity.FtrlParams(bits=12, l1=0.5)
+    texts = [" ".join(rng.choices("sun tree vile stone scum bird field house road light".split(), k=12)) for _ in range(60)]
+    y = [int("vile" in t) for t in texts]
+    cache = toxicity.WordHash()
+    rows = [(np.unique(toxicity.features(t.encode(), cache, p.bits)), label) for t, label in zip(texts, y, strict=True)]
+    got, want = toxicity.ftrl(rows, p), plain_ftrl([(x.tolist(), label) for x, label in rows], p)
+    assert got.bias == pytest.approx(want.pop("bias", 0.0)) and dict(zip(got.index.tolist(), got.value, strict=True)) == pytest.approx(want)
+    # the same from tables, in one executor's task, in the order of hashed ids
+    ids = [k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 3 != 1]
+    docs = spark.createDataFrame([*enumerate(texts), *list(enumerate(texts))[:9]], "doc_id long, text string")
+    order = [r[0] for r in spark.createDataFrame([(k,) for k in ids], "doc_id long").orderBy(F.xxhash64("doc_id")).collect()]
+    model = toxicity.train(docs, spark.createDataFrame([*enumerate(y)], "doc_id long, toxic int"), p)
+    want = plain_ftrl([(rows[k][0].tolist(), y[k]) for k in order], p)
+    want.pop("bias", None)
+    assert dict(zip(model.index.tolist(), model.value, strict=True)) == pytest.approx(want)
 
 
 def test_language(spark, tmp_path):
@@ -139,6 +179,32 @@ def test_guess_cost_is_the_least():
         assert secrets.guesses(v) == pytest.approx(slow(v, part))
 
 
+def test_guess_cost_of_long_values():
+    for value, same in (("x" * 10**6, "x" * 50), ("ab" * 500_000, "ab" * 25), ("-" * 10**6, "-" * 50)):
+        start = time.perf_counter()
+        got = secrets.guesses(value, 11.0)
+        assert time.perf_counter() - start < 5  # well under a second on a quiet machine
+        assert got == pytest.approx(secrets.guesses(same) + math.log10(20_000 if len(value) == 10**6 else 1), abs=1e-6)
+    start = time.perf_counter()
+    assert len(secrets.spans("secret: " + "-" * 100_000 + " token: " + "pwd=" * 2000)[0]) <= 2
+    assert time.perf_counter() - start < 10
+
+
+def test_secret_cover():
+    rng = random.Random(8)
+    for _ in range(300):
+        held = [(a, a + rng.randrange(1, 9)) for a in rng.choices(range(40), k=rng.randrange(6))]
+        cover, a = secrets.Cover(held), rng.randrange(40)
+        b = a + rng.randrange(1, 9)
+        assert cover.holds(a, b) == any(x <= a and b <= y for x, y in held)
+
+
+def test_malformed_bytes(spark):
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.expr("cast(concat(cast('pwd: qXvTzKpWm9sLdNb ' as binary), X'FF80C3') as string)").alias("text"))
+    assert secrets.digest(secrets.scan(docs)).first().n_guess == 1
+    assert packing.pack(spark, docs).count() == 1
+
+
 def test_lattice(spark, tmp_path):
     texts = ODD + ["the cat sat", "The dog sat 你zq", "cat dog qzx"]
     rows = {r.doc_id: r for r in lattice.query(spark, saved(spark, tmp_path, docs_of(spark, texts))).collect()}
@@ -286,6 +352,25 @@ def test_packing(spark):
     assert packing.pack(spark, docs_of(spark, []).limit(0)).count() == 0
 
 
+def test_chunks_are_encoded_as_the_whole():
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    chars = [c for c in map(chr, range(0x10000)) if not "\ud800" <= c < "\ue000" and unicodedata.normalize("NFC", c) != c]
+    texts = [f"a {c} b{c}c {c}. x;" for c in chars] + ["".join(chars), " ".join(chars), "\u037e", "a \u037e; .", ". ;"]
+    own = packing.Encoder(None)
+    assert "\u037e" in chars and own.chunked
+    assert own.streams([x.encode() for x in texts]) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    # files that split texts otherwise are not cut into chunks
+    other = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    byte = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not other.chunked and other.streams([b"A b  c.", None]) == [np.array(byte.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ("A b  c.", "")]
+
+
 def test_plan_holds_every_item():
     rng = random.Random(5)
     h = Counter(rng.randrange(1, 257) for _ in range(5000))
