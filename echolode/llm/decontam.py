@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
-A text's tokens are numbers and words. In its template numbers, names (words with a capital letter) and units (a known
-unit after a number) are typed placeholders, other words are lower-cased. Windows of ``window`` tokens are hashed twice,
-as template and as literal lower-cased text, and joined with the windows of all benchmark items by hash. An item is
+A text's tokens are numbers (of any script) and words. In its template a number, a name (words with a capital letter with
+nothing but blanks or line feeds between them) and a unit (a known unit after a number) are typed placeholders, one each however many
+words a name has; other words are lower-cased. Windows of ``window`` tokens are hashed as template and, of single
+words, as literal lower-cased text, and joined with the windows of all benchmark items by hash. An item is
 found as a ``copy`` if the literal windows of at least ``share`` percent of its windows are in the document, or RUN words
 in a row, or, of shifts near each other, that share of its windows of SHORT words, which small edits leave; or as
 ``reparameterised`` if template windows are and the slots agree: each value of the item stands for one value of the
@@ -13,15 +14,17 @@ looked for besides, if it has ``literal`` words; what has fewer can be a ``copy`
 
 Built-in functions only. The benchmark side is broadcast if its windows are at most ``broadcast_rows``, else both
 sides are shuffled by hash. Windows are joined as they are made, within the stage that reads the text; what is shuffled
-are hits. Null and empty texts have no window. Items shorter than a window are one window of their own length, for which
-a pass of its own is made (at most ``window`` - 1 of them, and none if there are no such items); items without a token
-are in nothing. Repeated rows of a document count as one; repeated items are found each by its id. Rows without a doc_id
-can't be reported and aren't looked at; the pipeline keeps them.
+are hits. Null and empty texts have no window, very long ones all of theirs. Items shorter than a window are one window of
+their own length, for which a pass of its own is made (at most ``window`` - 1 of them, and none if there are no such
+items); items without a token are in nothing. Repeated rows of a document count as one, rows of one doc_id with other texts
+as one document; repeated items are found each by its id. Ties don't matter: an occurrence is judged by sets of hits. Rows
+without a doc_id can't be reported and aren't looked at; the pipeline keeps them. Extra columns aren't read.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import zip_longest
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -46,66 +49,90 @@ liters litre litres gallon gallons s sec second seconds min minute minutes h hr
 months year years mph kph kmh percent dollar dollars usd eur euro euros pound pounds cent cents degree degrees c f k w
 kw mb gb tb hz khz mhz ghz""".split()
 
-TOKEN = r"\\p{N}+(?:[.,:/]\\p{N}+)*|\\p{L}[\\p{L}\\p{M}\\p{N}]*"
+#: a word, and one with a capital letter; what precedes the capital is never looked at twice
+WORD = r"\\p{L}[\\p{L}\\p{M}\\p{N}]*"
+CAPITAL = r"(?=\\p{L})[\\p{L}\\p{M}\\p{N}&&[^\\p{Lu}]]*+\\p{Lu}[\\p{L}\\p{M}\\p{N}]*+"
+TOKEN = rf"\\p{{N}}+(?:[.,:/]\\p{{N}}+)*|{CAPITAL}(?:[ \\n]+{CAPITAL})*|{WORD}"
 
 
 def _tokens(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """id, raw tokens, and the two arrays of 64-bit hashes: template (literal words even, placeholders odd) and literal."""
-    d = df.select(F.col(id_col).alias(name), F.expr(f"regexp_extract_all(coalesce({text_col}, ''), '{TOKEN}', 0)").alias("raw")).where("size(raw) > 0")
-    d = d.withColumn("low", F.expr("transform(raw, x -> lower(x))"))
+    """id; ``lit``, hashes of single words; ``can``, tokens, of which a name is one; ``tem``, their template (literal words are
+    even, placeholders odd)."""
+    d = df.select(F.col(id_col).alias(name), F.expr(f"regexp_extract_all(coalesce({text_col}, ''), '{TOKEN}', 0)").alias("can"))
+    d = d.withColumn("low", F.expr("transform(can, x -> lower(x))"))
+    # single words: names are cut at blanks, which few tokens hold
+    blank = "(contains(x, ' ') or contains(x, '\\n'))"
+    words = f"if(exists(low, x -> {blank}), flatten(transform(low, x -> if({blank}, split(x, '[ \\n]+'), array(x)))), low)"
     units = ", ".join(f"'{u}'" for u in UNITS)
-    number = "(x < ':' and x >= '0')"
-    after = "(i > 0 and get(raw, i - 1) < ':' and get(raw, i - 1) >= '0')"
-    placed = f"case when {number} then 1L when {after} and get(low, i) in ({units}) then 3L when x <> get(low, i) then 5L else shiftleft(xxhash64(x), 1) end"
-    return d.select(name, "raw", F.expr("transform(low, x -> xxhash64(x))").alias("lit"), F.expr(f"transform(raw, (x, i) -> {placed})").alias("tem"))
-
-
-def _windows(tokens: DataFrame, size: int, keep: list[str]) -> DataFrame:
-    """One row a window and kind: pos, kind (0 literal, 1 template, 2 template with too few literal words, 4 short
-    literal, for the full size), key, words."""
-    hashed = lambda of: "xxhash64(" + ", ".join(f"get({of}, pos + {k})" for k in range(size)) + ")"
-    words = " + ".join(f"cast(get(tem, pos + {k}) % 2 = 0 as int)" for k in range(size))
-    least = SHORT if size == WINDOW else size
-    short = ", struct(4 as kind, xxhash64(" + ", ".join(f"get(lit, pos + {k})" for k in range(SHORT)) + ") as key)" if least < size else ""
-    full = f"pos + {size} <= size(raw)"
-    at = tokens.where(F.size("raw") >= least).select(*keep, "raw", "lit", "tem", F.explode(F.expr(f"sequence(0, size(raw) - {least})")).alias("pos"))
-    both = at.select(*keep, "raw", "tem", "pos", F.expr(words).alias("words"), F.explode(F.expr(f"array(struct(if({full}, 0, 9) as kind, {hashed('lit')} as key), struct(case when not {full} then 9 when {words} >= {min(LITERAL, size)} then 1 else 2 end as kind, {hashed('tem')} as key){short})")).alias("w"))
-    return both.where("w.kind < 9").select(*keep, "raw", "tem", "pos", "words", F.col("w.kind").alias("kind"), F.col("w.key").alias("key"))
-
-
-def _hits(docs: DataFrame, items: DataFrame, size: int, broadcast_rows: int) -> DataFrame:
+    # a token begins with a letter or a number; ASCII ones are told apart without a pattern
+    number = lambda x: f"({x} < ':' and {x} >= '0' or {x} >= '\u0080' and {x} rlike '^\\\\p{{N}}')"
+    placed = f"case when {number('x')} then 1L when get(low, i) in ({units}) and i > 0 and {number('get(can, i - 1)')} then 3L when x <> get(low, i) then 5L else shiftleft(xxhash64(x), 1) end"
+    return d.select(name, "can", F.expr(f"transform({words}, x -> xxhash64(x))").alias("lit"), F.expr(f"transform(can, (x, i) -> {placed})").alias("tem"))
+
+
+def _windows(tokens: DataFrame, size: int | None, tsize: int | None, keep: list[str]) -> DataFrame:
+    """One row a window and kind: pos, kind (0 literal, 1 template, 4 short literal, for the full size), key. Literal windows
+    have ``size`` words, templates ``tsize`` tokens; None: none."""
+    hashed = lambda of, n: "xxhash64(" + ", ".join(f"get({of}, pos + {k})" for k in range(n)) + ")"
+    kinds, last = [], ["-1"]
+    if size:
+        kinds.append(f"struct(if(pos + {size} <= size(lit), 0, 9) as kind, {hashed('lit', size)} as key)")
+        last.append(f"size(lit) - {SHORT if size == WINDOW else size}")
+    if size == WINDOW:
+        kinds.append(f"struct(if(pos + {SHORT} <= size(lit), 4, 9) as kind, {hashed('lit', SHORT)} as key)")
+    if tsize:
+        kinds.append(f"struct(if(pos + {tsize} <= size(can), 1, 9) as kind, {hashed('tem', tsize)} as key)")
+        last.append(f"size(can) - {tsize}")
+    # no condition on the arrays before they are made, else it would be pushed below and make them twice; without a window
+    # there is one row without a place, whose kinds are all 9
+    last = F.expr(f"greatest({', '.join(last)}, -1)")
+    at = tokens.select(*keep, "can", "lit", "tem", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("pos"))
+    both = at.select(*keep, "can", "tem", "pos", F.explode(F.expr(f"array({', '.join(kinds)})")).alias("w"))
+    return both.where("w.kind < 9").select(*keep, "can", "tem", "pos", F.col("w.kind").alias("kind"), F.col("w.key").alias("key"))
+
+
+def _hits(docs: DataFrame, items: DataFrame, size: int | None, tsize: int | None, broadcast_rows: int) -> DataFrame:
     """doc, item, kind, item window, how far the document's window is from it, and the pairs of slot values where they are equal."""
-    theirs = _windows(items, size, ["item"])
-    # items with few template windows are looked for whole, from their window with the most literal words
-    told = theirs.groupBy("item").agg(F.count_if(F.col("kind") == 1).alias("eligible"), F.max(F.when(F.col("kind").isin(1, 2), F.struct("words", -F.col("pos")))).alias("most"), F.max(F.expr(f"size(filter(tem, x -> x % 2 = 0)) >= {LITERAL}")).alias("can"))
-    theirs = theirs.join(told, "item").withColumn("from", F.col("kind").isin(1, 2) & F.col("can") & (F.col("eligible") < FEW) & (F.col("pos") == -F.col("most")["col2"])).where("kind <> 2 or from")
-    theirs = theirs.select("item", F.col("pos").alias("ipos"), "kind", "key", F.expr(f"slice(raw, pos + 1, {size})").alias("iraw"), F.when(F.col("from"), F.col("tem")).alias("item_tem"), F.when(F.col("from"), F.col("raw")).alias("item_raw"))
+    by_size = lambda of, n: F.least(F.size(of), F.lit(WINDOW)).eqNullSafe(F.lit(n).cast("int"))
+    theirs = _windows(items.where(by_size("lit", size)), size, None, ["item"]) if size else None
+    if tsize:
+        templates = _windows(items.where(by_size("can", tsize)), None, tsize, ["item"])
+        theirs = theirs.unionByName(templates) if theirs else templates
+    # a template window (kind 1) with too few literal words is of kind 2, on this side only: what equals it has as few.
+    # Items with few template windows are looked for whole, from their window with the most literal words
+    words = f"size(filter(slice(tem, pos + 1, {tsize or 1}), x -> x % 2 = 0))"
+    theirs = theirs.withColumn("words", F.expr(words)).withColumn("type", F.col("kind")).withColumn("kind", F.when((F.col("kind") == 1) & (F.col("words") < min(LITERAL, tsize or 1)), 2).otherwise(F.col("kind")))
+    told = theirs.groupBy("item").agg(F.count_if(F.col("kind") == 1).alias("eligible"), F.max(F.when(F.col("kind").isin(1, 2), F.struct("words", -F.col("pos")))).alias("most"), F.max(F.expr(f"size(filter(tem, x -> x % 2 = 0)) >= {LITERAL}")).alias("whole"))
+    theirs = theirs.join(told, "item").withColumn("from", F.col("kind").isin(1, 2) & F.col("whole") & (F.col("eligible") < FEW) & (F.col("pos") == -F.col("most")["col2"])).where("kind <> 2 or from")
+    theirs = theirs.select("item", F.col("pos").alias("ipos"), "kind", "type", "key", F.when(F.col("kind") == 1, F.expr(f"slice(can, pos + 1, {tsize or 1})")).alias("iown"), F.when(F.col("from"), F.col("tem")).alias("item_tem"), F.when(F.col("from"), F.col("can")).alias("item_can"))
     theirs = F.broadcast(theirs) if theirs.count() <= broadcast_rows else theirs
-    both = _windows(docs, size, ["doc"]).join(theirs, ["key", "kind"]).withColumn("all", F.expr("case when item_tem is null or pos < ipos then false else slice(tem, pos - ipos + 1, size(item_tem)) = item_tem end"))
+    both = _windows(docs, size, tsize, ["doc"]).withColumnRenamed("kind", "type").join(theirs, ["key", "type"]).withColumn("all", F.expr("case when item_tem is null or pos < ipos then false else slice(tem, pos - ipos + 1, size(item_tem)) = item_tem end"))
     both = both.where("kind <> 2 or all")
-    # every word of a window is a slot of its own value: literal words agree with themselves
+    # every token of a window is a slot of its own value: literal words agree with themselves
     pairs = lambda mine, own: f"zip_with({own}, {mine}, (i, d) -> struct(lower(i) as i, lower(d) as d))"
-    slots = f"case when all then {pairs('slice(raw, pos - ipos + 1, size(item_raw))', 'item_raw')} when kind in (0, 4) then cast(array() as array<struct<i:string,d:string>>) else {pairs(f'slice(raw, pos + 1, {size})', 'iraw')} end"
-    return both.select("doc", "item", "kind", "ipos", "all", (F.col("pos") - F.col("ipos")).alias("shift"), F.expr(slots).alias("slots"))
+    slots = f"case when all then {pairs('slice(can, pos - ipos + 1, size(item_can))', 'item_can')} when kind in (0, 4) then cast(array() as array<struct<i:string,d:string>>) else {pairs(f'slice(can, pos + 1, {tsize or 1})', 'iown')} end"
+    # literal windows and templates count their places apart: names of several words are one token of a template
+    return both.select("doc", "item", "kind", F.col("kind").isin(1, 2).alias("typed"), "ipos", "all", (F.col("pos") - F.col("ipos")).alias("shift"), F.expr(slots).alias("slots"))
 
 
 def find(spark: SparkSession, docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, item_id, verdict and counts for every benchmark item found in a document."""
     scratch = Scratch(spark)
-    bench = scratch.cut(_tokens(items, "item_id", "text", "item").where("item is not null"), "items")
-    sizes = bench.select(F.least(F.size("raw"), F.lit(WINDOW)).alias("n")).distinct().collect()  # at most WINDOW rows
+    bench = scratch.cut(_tokens(items.where("item_id is not null"), "item_id", "text", "item"), "items").where("size(can) > 0")
+    # at most WINDOW sizes of each kind; a pass over the documents looks for one of each
+    sizes = [sorted(r[0] for r in bench.select(F.least(F.size(c), F.lit(WINDOW))).distinct().collect()) for c in ("lit", "can")]
     mine = _tokens(docs.where("doc_id is not null"), "doc_id", "text", "doc")
-    hits = [_hits(mine, bench.where(F.least(F.size("raw"), F.lit(WINDOW)) == r["n"]), r["n"], broadcast_rows) for r in sizes]
+    hits = [_hits(mine, bench, n, t, broadcast_rows) for n, t in zip_longest(*(reversed(x) for x in sizes))]
     if not hits:
         return spark.createDataFrame([], "doc_id long, item_id long, verdict string, windows long, literal_hits long, template_hits long, slots_agree boolean")
     # one row a shift first: its slots are those of one place, and at most the item's
     union = lambda col: F.array_distinct(F.flatten(F.collect_list(col))).alias(col)
     own = lambda kind, name: F.collect_set(F.when(F.col("kind") == kind, F.col("ipos"))).alias(name)
-    each = reduce(DataFrame.unionByName, hits).groupBy("doc", "item", "shift").agg(own(0, "lit"), own(1, "tem"), own(4, "short"), F.max("all").alias("all"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    windows = bench.select("item", "raw", F.greatest(F.size("raw") - WINDOW + 1, F.lit(1)).cast("long").alias("windows"), F.expr(ELIGIBLE).cast("long").alias("eligible"))
-    windows = windows.withColumn("shorts", F.when(F.size("raw") >= WINDOW, F.size("raw") - SHORT + 1))
+    each = reduce(DataFrame.unionByName, hits).groupBy("doc", "item", "typed", "shift").agg(own(0, "lit"), own(1, "tem"), own(4, "short"), F.max("all").alias("all"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    windows = bench.select("item", "lit", F.greatest(F.size("lit") - WINDOW + 1, F.lit(1)).cast("long").alias("windows"), F.greatest(F.size("can") - WINDOW + 1, F.lit(1)).cast("long").alias("templates"), F.expr(ELIGIBLE).cast("long").alias("eligible"))
+    windows = windows.withColumn("shorts", F.when(F.size("lit") >= WINDOW, F.size("lit") - SHORT + 1))
     # the windows that a template's share is taken of: eligible ones, if there are more than a few
-    windows = windows.withColumn("of", F.when(F.col("eligible") >= FEW, F.col("eligible")).otherwise(F.col("windows")))
+    windows = windows.withColumn("of", F.when(F.col("eligible") >= FEW, F.col("eligible")).otherwise(F.col("templates")))
     each = each.join(windows.groupBy("item").agg(F.max("windows").alias("windows"), F.max("of").alias("of"), F.max("shorts").alias("shorts")), "item")
     each = each.withColumn("lit", F.sort_array("lit")).withColumn("run", F.expr(f"exists(transform(lit, (x, i) -> get(lit, i + {RUN - WINDOW}) - x), x -> x = {RUN - WINDOW})"))
     share = lambda col, of: (F.col(col) if isinstance(col, str) else col) * 100 >= F.col(of) * SHARE
@@ -117,9 +144,9 @@ def find(spark: SparkSession, docs: DataFrame, items: DataFrame, broadcast_rows:
         return d.withColumn("found", F.struct(((F.col("all") | share("hits", "of")) & F.col("agree")).alias("whole"), "hits", "agree"))
 
     # an occurrence is what has one shift, or shifts near each other, or all of the document
-    order = W.partitionBy("doc", "item").orderBy("shift")
+    order = W.partitionBy("doc", "item", "typed").orderBy("shift")
     parts = judged(each).withColumn("place", F.sum(F.when(F.col("shift") - F.lag("shift").over(order) > NEAR, 1).otherwise(0)).over(order))
-    near = judged(parts.groupBy("doc", "item", "windows", "of", "shorts", "place").agg(F.max("run").alias("run"), union("short"), F.max("all").alias("all"), union("lit"), union("tem"), union("slots"), F.max("found").alias("one"))).withColumn("one", F.greatest("one", "found")).withColumn("run", F.coalesce("run", F.lit(False)) | F.coalesce(share(F.size("short"), "shorts"), F.lit(False)))
+    near = judged(parts.groupBy("doc", "item", "windows", "of", "shorts", "typed", "place").agg(F.max("run").alias("run"), union("short"), F.max("all").alias("all"), union("lit"), union("tem"), union("slots"), F.max("found").alias("one"))).withColumn("one", F.greatest("one", "found")).withColumn("run", F.coalesce("run", F.lit(False)) | F.coalesce(share(F.size("short"), "shorts"), F.lit(False)))
     rows = judged(near.groupBy("doc", "item", "windows", "of").agg(F.max("run").alias("run"), F.max("all").alias("all"), union("lit"), union("tem"), union("slots"), F.max("one").alias("one"))).withColumn("one", F.greatest("one", "found"))
     rows = rows.select("doc", "item", "windows", F.size("lit").cast("long").alias("literal_hits"), F.col("one.hits").alias("template_hits"), F.col("one.agree").alias("slots_agree"), F.col("one.whole").alias("whole"), "run")
     verdict = F.when(share("literal_hits", "windows") | F.col("run"), "copy").when(F.col("whole"), "reparameterised")

@@ -11,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from echolode.llm import decontam, fixity, langid, lattice, ngram_join, packing, quality, secrets, sharding, toxicity
@@ -323,6 +324,119 @@ def test_decontamination_parts_and_edits(spark):
         assert got == {(0, 0): "copy", (1, 0): "copy", (3, 1): "copy", (4, 2): "copy", (5, 2): "copy"}
 
 
+def brute_decontamination(docs, items):
+    """Verdicts by the definition, window by window; docs and items are (id, text)."""
+    word = r"\p{L}[\p{L}\p{M}\p{N}]*"
+    number = r"\p{N}+(?:[.,:/]\p{N}+)*"
+
+    def split(text):
+        found = [(m[0], m.start(), m.end()) for m in regex.finditer(f"{number}|{word}", text or "")]
+        single = [w.lower() for w, _, _ in found]
+        can, tem = [], []
+        for w, a, b in found:
+            is_number, is_name = bool(regex.match(r"\p{N}", w)), w != w.lower()
+            if can and is_name and not is_number and regex.fullmatch(r"[ \n]+", text[can[-1][1] : a]) and can[-1][2]:
+                can[-1] = (can[-1][0] + text[can[-1][1] : b], b, True)
+            else:
+                can.append((w, b, is_name and not is_number))
+        for k, (w, _, name) in enumerate(can):
+            after = k and regex.match(r"\p{N}", can[k - 1][0])
+            tem.append(1 if regex.match(r"\p{N}", w) else 3 if after and w.lower() in decontam.UNITS else 5 if name else w)
+        return single, [w.lower() for w, _, _ in can], tem
+
+    found = {}
+    for d, text in docs:
+        dl, dc, dt = split(text)
+        for i, other in items:
+            il, ic, it = split(other)
+            if not il or not dl:
+                continue
+            n, t = min(8, len(il)), min(8, len(ic))
+            windows, templates = max(1, len(il) - 7), max(1, len(ic) - 7)
+            literal = lambda x: sum(isinstance(y, str) for y in x)
+            eligible = sum(literal(it[k : k + 8]) >= min(4, len(it)) for k in range(max(1, len(it) - 7)))
+            of = eligible if eligible >= 4 else templates
+
+            def placed(rows):
+                by = {}
+                for shift, x in rows:
+                    by.setdefault(shift, []).append(x)
+                groups = []
+                for shift in sorted(by):
+                    if groups and shift - groups[-1][-1] <= 8:
+                        groups[-1].append(shift)
+                    else:
+                        groups.append([shift])
+                return by, groups
+
+            lits = [(p - q, q) for q in range(len(il) - n + 1) for p in range(len(dl) - n + 1) if il[q : q + n] == dl[p : p + n]]
+            copy = len({q for _, q in lits}) * 100 >= windows * 50
+            by, _ = placed(lits)
+            copy |= any(all(q + k in qs for k in range(43)) for qs in map(set, by.values()) for q in qs)
+            if len(il) >= 8:
+                shorts = [(p - q, q) for q in range(len(il) - 4) for p in range(len(dl) - 4) if il[q : q + 5] == dl[p : p + 5]]
+                both, groups = placed([(s, ("short", q)) for s, q in shorts] + [(s, ("lit", q)) for s, q in lits])
+                copy |= any(len({x for s in g for x in both[s] if x[0] == "short"}) * 100 >= (len(il) - 4) * 50 for g in groups)
+            counts = [literal(it[q : q + t]) for q in range(len(it) - t + 1)]
+            anchor = max(range(len(counts)), key=lambda q: (counts[q], -q)) if literal(it) >= 4 and sum(c >= min(4, t) for c in counts) < 4 else None
+            hits = []
+            for q in range(len(it) - t + 1):
+                for p in range(len(dt) - t + 1):
+                    if it[q : q + t] == dt[p : p + t]:
+                        whole = q == anchor and p >= q and dt[p - q : p - q + len(it)] == it
+                        if counts[q] >= min(4, t) or whole:
+                            slots = zip(ic, dc[p - q : p - q + len(ic)], strict=True) if whole else zip(ic[q : q + t], dc[p : p + t], strict=True)
+                            hits.append((p - q, (q if counts[q] >= min(4, t) else None, whole, frozenset(slots))))
+            by, groups = placed(hits)
+            for shifts in [*([s] for s in by), *groups, list(by)]:
+                own = [x for s in shifts for x in by[s]]
+                pairs = {x for o in own for x in o[2]}
+                agree = len(pairs) == len({a for a, _ in pairs})
+                if own and agree and (any(o[1] for o in own) or len({o[0] for o in own} - {None}) * 100 >= of * 50):
+                    found.setdefault((d, i), "reparameterised")
+            if copy:
+                found[d, i] = "copy"
+    return found
+
+
+def test_decontamination_by_brute_force(spark):
+    rng = random.Random(11)
+    plain, names, units = "the coal sells for each box of tea and then leaves by night with many more people in".split(), "Anna Bob Carla Smith Jones Weber".split(), "kg days dollars".split()
+
+    def text(n):
+        out = []
+        for _ in range(n):
+            x = rng.random()
+            out += [rng.choice(plain)] if x < 0.7 else [str(rng.randrange(9)), rng.choice(units)] if x < 0.85 else rng.choices(names, k=rng.choice([1, 1, 2, 3]))
+        return out
+
+    def changed(words):
+        new, kind = {}, rng.random()
+        if kind < 0.2:
+            return words
+        out = [new.setdefault(w, rng.choice(["7", "11", "\uff15"])) if w.isdigit() and kind < 0.8 else rng.choice(names) if w in names and kind < 0.7 else w for w in words]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            out[rng.randrange(len(out))] = rng.choice(plain)
+        return out
+
+    items = [(k, text(rng.choice([4, 9, 15, 30, 70]))) for k in range(12)]
+    docs = [(k, [*text(10), *changed(rng.choice(items)[1]), *text(rng.choice([0, 3, 20])), *changed(rng.choice(items)[1]), ".", *text(5)]) for k in range(60)]
+    docs, items = ([(k, " ".join(w)) for k, w in rows] for rows in (docs, items))
+    docs += [(100 + k, t) for k, t in enumerate(ODD[:5])] + [(200, f"{docs[0][1]}. {docs[1][1]}"), (201, f"{docs[1][1]}. {docs[0][1]}")]
+    want = brute_decontamination(docs, items)
+    assert {"copy", "reparameterised"} == set(want.values()) and len(want) > 40
+    schema = "id long, text string"
+    got = decontam.find(spark, spark.createDataFrame([*docs, *docs[:3], (None, docs[0][1])], schema).toDF("doc_id", "text"), spark.createDataFrame([*items, (None, "a b"), (99, None)], schema).toDF("item_id", "text"))
+    assert {(r.doc_id, r.item_id): r.verdict for r in got.collect()} == want
+
+
+def test_decontamination_numbers_and_names(spark):
+    bench = spark.createDataFrame([(1, "if Anna has 4 apples and gives 2 of them to Bob how many apples are left with her")], "item_id long, text string")
+    texts = ["if Anna Maria Smith has \uff14 apples and gives \uff12 of them to Bob how many apples are left with her", "if Mary Jane has \u0664 apples and gives \u0662 of them to Jean Paul how many apples are left with her"]
+    got = {r.doc_id: r.verdict for r in decontam.find(spark, docs_of(spark, texts), bench).collect()}
+    assert got == {0: "copy", 1: "reparameterised"} or got == {0: "reparameterised", 1: "reparameterised"}
+
+
 def check_packing(rows, texts, params):
     from tokenizers import Tokenizer
 
