@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,10 +18,14 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(F.make_valid_utf8(content.cast("string")), "\r\n?", "\n")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lines(text: Column) -> Column:
     """Like str.splitlines(): no empty line after the last line end."""
-    parts = F.split(text, LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, LINE_END), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def tokens(text: Column) -> Column:
@@ -29,16 +35,15 @@ def tokens(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two token sets; 0 if either is empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
+    ratio = let(F.size(F.array_intersect(a, b)), lambda both: both / (F.size(a) + F.size(b) - both))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(ratio)
 
 
 def hash_vector(text: Column, dim: int = 16) -> Column:
     """The first bytes of the text's SHA-256 as numbers from 0 to 1, scaled to unit length."""
-    digest = F.sha2(text, 256)
-    raw = F.array(*[F.conv(F.substring(digest, 2 * k + 1, 2), 16, 10).cast("double") / 255 for k in range(dim)])
+    raw = lambda digest: F.array(*[F.conv(F.substring(digest, 2 * k + 1, 2), 16, 10).cast("double") / 255 for k in range(dim)])
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: x / norm(raw))
+    return let(F.sha2(text, 256), lambda d: let(raw(d), lambda v: let(norm(v), lambda n: F.transform(v, lambda x: x / n))))
 
 
 def overlap_length(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: bytes of the index that are broadcast at a time
-BLOCK_BYTES = 64 << 20
+from .scratch import Scratch
+
+#: bytes of a block of vectors; a task holds two
+BLOCK_BYTES = 16 << 20
 #: decimals of a score: float noise does not decide between ties, which go to the lower position
 DECIMALS = 9
 
@@ -23,49 +25,82 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm == 0, 1, norm)
 
 
+def _best(scores: DataFrame, k: int) -> DataFrame:
+    return scores.withColumn("rank", F.row_number().over(W.partitionBy("a_pos").orderBy(F.desc("score"), "b_pos"))).where(F.col("rank") <= k)
+
+
 def knn(vectors: DataFrame, k: int, least: float | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """a_pos, b_pos, score, rank: the ``k`` best of all rows for each row (itself one of them), by (pos, vec array).
 
-    Pairs below ``least`` may be left out. The index is read in blocks of bounded size, each broadcast to
-    a pass over all rows; the passes' best are ranked together. Null and empty vectors take no part."""
-    spark = vectors.sparkSession
-    vectors = vectors.where(F.col("vec").isNotNull() & (F.size("vec") > 0)).select("pos", F.col("vec").cast("array<double>").alias("vec"))
-    n, dim, low, high = vectors.agg(F.count("*"), F.max(F.size("vec")), F.min("pos"), F.max("pos")).first()
-    schema = "a_pos long, b_pos long, score double"
-    if not n or k <= 0:
+    Pairs below ``least`` may be left out. Equal vectors are searched for once, and are found once: the search is
+    among distinct vectors, and of the positions of each the first k can be among the best. They are cut into blocks of
+    bounded size, written to the shared folder; each pair of blocks is a row of a join and one product of matrices,
+    whose k best a row are kept; nothing passes through the driver. Null and empty vectors take no part."""
+    spark, schema = vectors.sparkSession, "a_pos long, b_pos long, score double"
+    if k <= 0:
+        return spark.createDataFrame([], schema + ", rank int")
+    scratch = Scratch(spark)
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = _unit(np.array(b["vec"].to_pylist(), float).reshape(b.num_rows, -1)) + 0.0  # no negative zeros
+            yield pa.RecordBatch.from_arrays([b["pos"], pa.array([x.tobytes() for x in rows], pa.binary())], names=["pos", "data"])
+
+    known = vectors.where(F.col("vec").isNotNull() & (F.size("vec") > 0)).select("pos", F.col("vec").cast("array<double>").alias("vec"))
+    told = scratch.cut(known.mapInArrow(units, "pos long, data binary"), "told")
+    reps = scratch.cut(told.groupBy("data").agg(F.min("pos").alias("rep")), "reps")
+    n, width = reps.agg(F.count("*"), F.max(F.octet_length("data"))).first()
+    if not n:
         return spark.createDataFrame([], schema + ", rank int")
-    passes = max(1, -(-n * dim * 8 // block_bytes))
-    width = (high - low + passes) // passes
-    out = None
-    for p in range(passes):
-        start = low + p * width
-        rows = vectors.where((F.col("pos") >= start) & (F.col("pos") < start + width)).orderBy("pos").toArrow()
-        if not rows.num_rows:
-            continue
-        block = spark.sparkContext.broadcast((rows["pos"].to_numpy(), _unit(np.array(rows["vec"].to_pylist(), float))))
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            pos, index = block.value
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    own = _unit(np.array(part["vec"].to_pylist(), float).reshape(part.num_rows, -1))
-                    s = np.round(np.einsum("ij,kj->ik", own, index, optimize=True), DECIMALS)
-                    if least is not None:
-                        s = np.where(s >= least - 1e-6, s, -np.inf)
-                    kth = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])]
-                    i, j = np.nonzero((s >= kth[:, None]) & (s > -np.inf))
-                    order = np.lexsort((j, -s[i, j], i))
-                    i, j = i[order], j[order]
-                    first = np.searchsorted(i, i)
-                    keep = np.arange(len(i)) - first < k
-                    i, j = i[keep], j[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(part["pos"].to_numpy()[i]), pa.array(pos[j]), pa.array(s[i, j])], names=["a_pos", "b_pos", "score"])
-
-        best = vectors.mapInArrow(run, schema)
-        out = best if out is None else out.unionByName(best)
-    ranked = out.withColumn("rank", F.row_number().over(W.partitionBy("a_pos").orderBy(F.desc("score"), "b_pos")))
-    return ranked.where(F.col("rank") <= k)
+    cores = spark.sparkContext.defaultParallelism
+    many = max(-(-n * width // block_bytes), min(cores, n))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each block: its number, positions and vectors as bytes, one after the other."""
+        now, at, data = None, [], []
+        for b in batches:
+            for block, rep, x in zip(b["block"].to_pylist(), b["rep"].to_pylist(), b["data"].to_pylist(), strict=True):
+                if block != now and at:
+                    yield row(now, at, data)
+                    at, data = [], []
+                now = block
+                at.append(rep)
+                data.append(x)
+        if at:
+            yield row(now, at, data)
+
+    def row(block: int, at: list[int], data: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.array(at, np.int64).tobytes()], pa.binary()), pa.array([b"".join(data)], pa.binary())], names=["block", "at", "data"])
+
+    numbered = reps.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(many)).cast("int"))
+    blocks = scratch.cut(numbered.repartition("block").sortWithinPartitions("block", "rep").select("block", "rep", "data").mapInArrow(packed, "block int, at binary, data binary"), "blocks")
+    asked = blocks.select(F.col("at").alias("a_at"), F.col("data").alias("a_data"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("block"))
+    pairs = asked.hint("shuffle_hash").join(blocks, "block").select("a_at", "a_data", "at", "data")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                a_at, b_at = (np.frombuffer(batch[c][r].as_buffer(), np.int64) for c in ("a_at", "at"))
+                a, b = (np.frombuffer(batch[c][r].as_buffer(), float).reshape(len(at), -1) for c, at in (("a_data", a_at), ("data", b_at)))
+                for at in range(0, len(a_at), 256):
+                    yield scored(a_at[at : at + 256], a[at : at + 256], b_at, b)
+
+    def scored(a_at: np.ndarray, a: np.ndarray, b_at: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        s = np.round(np.einsum("ij,kj->ik", a, b, optimize=True), DECIMALS)
+        floor = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])]
+        i, j = np.nonzero(s >= (floor if least is None else np.maximum(floor, least - 1e-6))[:, None])
+        order = np.lexsort((j, -s[i, j], i))  # positions rise within a block
+        i, j = i[order], j[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        i, j = i[keep], j[keep]
+        return pa.RecordBatch.from_arrays([pa.array(a_at[i]), pa.array(b_at[j]), pa.array(s[i, j])], names=["a_pos", "b_pos", "score"])
+
+    best = _best(pairs.mapInArrow(run, schema), k).drop("rank").toDF("a_rep", "b_rep", "score")
+    # back to rows: the first k positions of a neighbour's class are enough
+    members = told.join(reps, "data").select("rep", "pos")
+    first = members.withColumn("nth", F.row_number().over(W.partitionBy("rep").orderBy("pos"))).where(F.col("nth") <= k)
+    few = _best(best.join(first.select(F.col("rep").alias("b_rep"), F.col("pos").alias("b_pos")), "b_rep").select(F.col("a_rep").alias("a_pos"), "b_pos", "score"), k)
+    return few.withColumnRenamed("a_pos", "a_rep").join(members.toDF("a_rep", "a_pos"), "a_rep").select("a_pos", "b_pos", "score", "rank")
 
 
 def knn_sql(vectors: DataFrame, k: int) -> DataFrame:

@@ -19,7 +19,13 @@ def candidates(snippets: DataFrame, near: DataFrame, t: Thresholds = Thresholds(
     ``snippets`` has pos, tokens and the columns of SIDE; what is ranked is narrow, the rest is joined back here."""
     s = snippets.select(*SIDE, "snippet_hash", "tokens")
     a, b = (s.select(*[F.col(c).alias(f"{x}_{c}") for c in s.columns]) for x in "ab")
-    d = near.select("a_pos", "b_pos", F.col("score").alias("cosine")).where("a_pos <> b_pos").join(a, "a_pos").join(b, "b_pos")
+    d = near.select("a_pos", "b_pos", F.col("score").alias("cosine")).where("a_pos <> b_pos")
+    # two sets overlap by the smaller's share of the larger at most, which rules most pairs out before tokens are moved
+    n, m = (s.select(F.col("pos").alias(f"{x}_pos"), F.size("tokens").alias(f"{x}_n")) for x in "ab")
+    most = F.when((F.col("a_n") == 0) | (F.col("b_n") == 0), 0.0).otherwise(F.least("a_n", "b_n") / F.greatest("a_n", "b_n"))
+    d = d.join(n, "a_pos").join(m, "b_pos").withColumn("most", most)
+    d = d.where((F.col("most") >= t.lexical_min_ratio) & ((1 - t.lexical_weight) * F.col("cosine") + t.lexical_weight * F.col("most") >= min(t.func, t.win, t.exp) - 1e-9))
+    d = d.drop("most", "a_n", "b_n").join(a, "a_pos").join(b, "b_pos")
     d = d.where("a_snippet_hash <> b_snippet_hash").withColumn("lexical", C.jaccard(F.col("a_tokens"), F.col("b_tokens")))
     d = d.withColumn("similarity", (1 - t.lexical_weight) * F.col("cosine") + t.lexical_weight * F.col("lexical"))
     if t.lexical_min_ratio > 0:

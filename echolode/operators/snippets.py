@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -57,11 +57,21 @@ def window_snippets(units: DataFrame, params: Windows = Windows(), normalise: bo
     """WIN: sliding windows of lines, short ones at the end too, with enough lines that aren't blank."""
     if params.stride_lines <= 0 or params.window_lines <= 0:
         raise ValueError("window and stride must be positive")
-    d = units.select("fn_id", "path", "start_line", "end_line", "code_hash", C.lines(F.col("code")).alias("lines")).where(F.size("lines") > 0)
-    d = d.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("lines") - 1, F.lit(params.stride_lines))))
-    d = d.withColumn("cut", F.slice("lines", F.col("at") + 1, params.window_lines))
-    d = d.where(F.size(F.filter("cut", lambda x: x.rlike(C.INK))) >= params.min_nonempty)
-    raw = F.array_join("cut", "\n")
-    d = d.withColumn("text", _normalised(raw) if normalise else raw).withColumn("rel", F.col("at") + F.size("cut"))
+
+    def cut(lines: Column) -> Column:
+        """All windows of a unit's lines: at, rel (the line after the last), raw. A line is tested for ink once, and a window
+        is put together from its own lines only."""
+        rel = lambda at: F.least(F.size(lines), at + params.window_lines)
+        own = lambda at, of: F.transform(F.sequence(at, rel(at) - 1), lambda k: F.get(of, k))
+        starts = lambda: F.sequence(F.lit(0), F.size(lines) - 1, F.lit(params.stride_lines))
+        inked = lambda ink: F.filter(starts(), lambda at: F.size(F.filter(own(at, ink), lambda x: x)) >= params.min_nonempty)
+        told = lambda at: F.struct(at.alias("at"), rel(at).alias("rel"), F.array_join(own(at, lines), "\n").alias("raw"))
+        found = C.let(F.transform(lines, lambda x: x.rlike(C.INK)), lambda ink: F.transform(inked(ink), told))
+        return F.when(F.size(lines) > 0, found)
+
+    # the outer explode keeps conditions on the windows from being pushed below, where lines would be split again
+    d = units.select("fn_id", "path", "start_line", "end_line", "code_hash", F.explode_outer(C.let(C.lines(F.col("code")), cut)).alias("w")).where("w is not null")
+    d = d.select("fn_id", "path", "start_line", "end_line", "code_hash", "w.at", "w.rel", "w.raw")
+    d = d.withColumn("text", _normalised("raw") if normalise else F.col("raw"))
     key = F.concat_ws(":", F.lit("WIN"), "path", F.col("start_line").cast("string"), F.col("end_line").cast("string"), "code_hash", (F.col("at") + 1).cast("string"), F.col("rel").cast("string"), "text")
     return d.select(F.lit("WIN").alias("kind"), "fn_id", "path", F.col("start_line").alias("fn_start"), F.col("end_line").alias("fn_end"), (F.col("start_line") + F.col("at")).alias("start_line"), (F.col("start_line") + F.col("rel") - 1).alias("end_line"), "text", F.sha2(key, 256).alias("snippet_hash"))

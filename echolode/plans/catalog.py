@@ -12,7 +12,7 @@ from ..functions import columns as C
 from ..operators import knn, matches, snippets
 from ..operators.scratch import Scratch
 from ..sources.external import from_pairs
-from ..sources.files import table_files
+from ..sources.files import dealt, table_files
 from .engine import least_cosine, positioned
 
 WINDOWS, K, THRESHOLDS = Windows(12, 6, 4), 25, Thresholds()
@@ -23,11 +23,11 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, sf: str) -> DataFrame:
-    return table_files(_table(spark, sf, "documents"), "doc_id", "text", "documents/")
+    return table_files(dealt(_table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", "documents/")
 
 
 def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table_files(_table(spark, sf, "pages"), "page_id", "html", "pages/")
+    pages = table_files(dealt(_table(spark, sf, "pages").select("page_id", "html")), "page_id", "html", "pages/")
     d = _files(spark, sf).unionByName(pages).where(F.col("content").rlike(C.INK))
     return d.select("path", "content_hash", "language", F.size(C.lines(F.col("content"))).alias("n_lines"))
 
@@ -110,7 +110,7 @@ def snippet_union(spark: SparkSession, sf: str) -> DataFrame:
     tables = (("documents", F.col("doc_id"), "text"), ("pages", F.col("page_id"), "html"), ("conversations", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")), "text"))
     out = None
     for name, key, text in tables:
-        f = table_files(_table(spark, sf, name).withColumn("_key", key), "_key", text, f"{name}/")
+        f = table_files(dealt(_table(spark, sf, name).select(key.alias("_key"), text)), "_key", text, f"{name}/")
         w = snippets.window_snippets(snippets.text_units(f), WINDOWS, normalise=False).select(F.lit(name).alias("origin"), (F.col("end_line") - F.col("start_line") + 1).alias("n_lines"))
         out = w if out is None else out.unionByName(w)
     return out.groupBy("origin", "n_lines").agg(F.count("*").alias("n"))

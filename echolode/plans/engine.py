@@ -33,11 +33,13 @@ def least_cosine(c: Config) -> float | None:
 
 def positioned(found: DataFrame) -> DataFrame:
     """Snippets with pos, numbered by kind, path and place, so that ties don't depend on partitions. Numbers are made by
-    counting range partitions, not by a sort in one task."""
+    counting range partitions, not by a sort in one task. What is ranged is written first, as ranges need a pass of their own."""
     spark, order = found.sparkSession, ("kind", "path", "fn_id", "start_line", "end_line", "snippet_hash")
     scratch = Scratch(spark)
+    found = scratch.cut(found, "found")
     ranged = scratch.cut(found.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("_id", 33)
+    scratch.drop("found")
     sizes = ranged.groupBy(part.alias("_p")).count().orderBy("_p").collect()  # one row a partition
     starts, total = {}, 0
     for r in sizes:

@@ -62,6 +62,18 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return text.join(names, "at").select("path", "content", F.sha2("content", 256).alias("content_hash"), F.when(F.col("path").rlike(r"[^/]\.py$"), "python").otherwise("text").alias("language"))
 
 
+#: a row group is read by one task, so a table with less than this for each core is dealt out
+ROW_GROUP_BYTES = 128 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` spread over all cores if it is too small for its row groups to do so; larger tables stay as they are read."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < cores * ROW_GROUP_BYTES else df
+
+
 def table_files(df: DataFrame, id_col: str, text_col: str, prefix: str) -> DataFrame:
     """Rows of a table as text files."""
     content = F.regexp_replace(F.coalesce(text_col, F.lit("")), "\r\n?", "\n")
