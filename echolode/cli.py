@@ -13,42 +13,28 @@ from .config import Config, load
 from .plans import engine
 from .plans.report import WRITERS
 
-# What is taken and left out for kinds of repositories.
-TAKE = {
-    "cpp": "*.c *.cc *.cpp *.cxx *.h *.hh *.hpp *.hxx",
-    "dotnet": "*.cs *.vb *.fs",
-    "go": "*.go",
-    "java": "*.java",
-    "kotlin": "*.kt *.kts",
-    "node": "*.js *.mjs *.cjs *.ts",
-    "php": "*.php",
-    "python": "*.py",
-    "react": "*.js *.jsx *.ts *.tsx",
-    "ruby": "*.rb *.rake",
-    "rust": "*.rs",
-    "swift": "*.swift",
-}
-LEAVE = {
-    "cpp": "build bin obj cmake-build-*",
-    "dotnet": "bin obj packages .vs",
-    "go": "vendor bin dist .git",
-    "java": "target build .gradle out",
-    "kotlin": "build .gradle out",
-    "node": "node_modules dist build .next .turbo coverage",
-    "php": "vendor node_modules storage bootstrap/cache",
-    "python": ".venv venv __pycache__ site-packages",
-    "react": "node_modules .next dist build coverage",
-    "ruby": "vendor tmp log coverage",
-    "rust": "target",
-    "swift": ".build DerivedData build",
+# For kinds of repositories, the globs that are taken and those that are left out.
+REPOSITORIES = {
+    "cpp": (["**/*.c", "**/*.cc", "**/*.cpp", "**/*.cxx", "**/*.h", "**/*.hh", "**/*.hpp", "**/*.hxx"], ["**/build/**", "**/out/**", "**/bin/**", "**/obj/**", "**/cmake-build-*/**"]),
+    "dotnet": (["**/*.cs", "**/*.vb", "**/*.fs"], ["**/bin/**", "**/obj/**", "**/packages/**", "**/.vs/**"]),
+    "go": (["**/*.go"], ["**/vendor/**", "**/bin/**", "**/dist/**", "**/.git/**"]),
+    "java": (["**/*.java"], ["**/target/**", "**/build/**", "**/.gradle/**", "**/out/**"]),
+    "kotlin": (["**/*.kt", "**/*.kts"], ["**/build/**", "**/.gradle/**", "**/out/**"]),
+    "node": (["**/*.js", "**/*.mjs", "**/*.cjs", "**/*.ts"], ["**/node_modules/**", "**/dist/**", "**/build/**", "**/.next/**", "**/.turbo/**", "**/coverage/**"]),
+    "php": (["**/*.php"], ["**/vendor/**", "**/node_modules/**", "**/storage/**", "**/bootstrap/cache/**"]),
+    "python": (["**/*.py"], ["**/.venv/**", "**/venv/**", "**/__pycache__/**", "**/site-packages/**"]),
+    "react": (["**/*.js", "**/*.jsx", "**/*.ts", "**/*.tsx"], ["**/node_modules/**", "**/.next/**", "**/dist/**", "**/build/**", "**/coverage/**"]),
+    "ruby": (["**/*.rb", "**/*.rake"], ["**/vendor/**", "**/tmp/**", "**/log/**", "**/coverage/**"]),
+    "rust": (["**/*.rs"], ["**/target/**"]),
+    "swift": (["**/*.swift"], ["**/.build/**", "**/DerivedData/**", "**/build/**"]),
 }
 
 
 def preset_globs(kinds: list[str]) -> tuple[list[str], list[str]]:
     """Globs of repository kinds; monorepo is all of them, none is none."""
-    kinds = sorted(TAKE) if "monorepo" in kinds else [k for k in kinds if k != "none"]
-    take = dict.fromkeys(f"**/{g}" for k in kinds for g in TAKE[k].split())
-    return list(take), list(dict.fromkeys(f"**/{g}/**" for k in kinds for g in LEAVE[k].split()))
+    kinds = sorted(REPOSITORIES) if "monorepo" in kinds else [k for k in kinds if k != "none"]
+    take, leave = (list(dict.fromkeys(g for k in kinds for g in REPOSITORIES[k][side])) for side in (0, 1))
+    return take, leave
 
 
 def merge_globs(include: list[str], exclude: list[str], more: list[str], less: list[str]) -> tuple[list[str], list[str]]:
@@ -82,7 +68,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--cluster", action="store_true", default=None)
         p.add_argument("--expand-calls", action="store_true", default=None)
         p.add_argument("--cache-path")
-        p.add_argument("--repotype", action="append", choices=[*sorted(TAKE), "monorepo", "none"])
+        p.add_argument("--repotype", action="append", choices=[*sorted(REPOSITORIES), "monorepo", "none"])
         p.add_argument("--include-glob", action="append", default=[])
         p.add_argument("--exclude-glob", action="append", default=[])
     return top

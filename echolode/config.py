@@ -64,8 +64,8 @@ class Embedder:
     trust_remote_code: bool = False
 
 
-#: embedder presets by name
-PRESETS = {"codebert": Embedder(), "faster": Embedder("faster", "sentence-transformers/all-MiniLM-L6-v2", "main", 512, 32), "stub": Embedder("stub", "stub", "main", 256, 16)}
+# Embedder presets by name.
+PRESETS = {"codebert": Embedder(), "faster": Embedder("faster", "isuruwijesiri/all-MiniLM-L6-v2-code-search-512", "main", 512, 32), "stub": Embedder("stub", "stub", "main", 256, 16)}
 
 
 @dataclass(frozen=True)

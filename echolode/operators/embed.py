@@ -32,11 +32,14 @@ def _transformer(texts: DataFrame, e: Embedder) -> DataFrame:
 
         device = resolve_device(e.device, torch)
         tokenizer = AutoTokenizer.from_pretrained(e.model_name, revision=e.revision, trust_remote_code=e.trust_remote_code)
-        model = AutoModel.from_pretrained(e.model_name, revision=e.revision, trust_remote_code=e.trust_remote_code).eval()
+        load = lambda at: AutoModel.from_pretrained(e.model_name, revision=e.revision, trust_remote_code=e.trust_remote_code).to(at)
         try:
-            model.to(device)
-        except RuntimeError:
-            model.to(device := "cpu")
+            model = load(device)
+        except RuntimeError:  # a device without room or drivers; the processor is left
+            if device == "cpu":
+                raise
+            model = load(device := "cpu")
+        model.eval()
         for part in parts:
             vecs = []
             for k in range(0, len(part), e.batch_size):

@@ -47,9 +47,11 @@ def kind_rank() -> Column:
     return F.when(F.col("a_kind") != F.col("b_kind"), 0).otherwise(F.when(F.col("a_kind") == "FUNC", 3).when(F.col("a_kind") == "EXP", 2).when(F.col("a_kind") == "WIN", 1).otherwise(0))
 
 
-def matches(found: DataFrame) -> DataFrame:
-    """One row for each unordered pair of spans: the most similar, then of the higher kind; a is the lower side."""
+def matches(found: DataFrame, lexical_min_ratio: float = 0.0) -> DataFrame:
+    """One row for each unordered pair of spans: the most similar, then of the higher kind; a is the lower side. Pairs may
+    come from any search, so the lexical floor is held here once more."""
     kept = found.where(apart())
+    kept = kept.where(F.col("lexical") >= lexical_min_ratio) if lexical_min_ratio > 0 else kept
     lower = F.struct("a_fn_id", "a_start_line", "a_end_line", "a_pos") <= F.struct("b_fn_id", "b_start_line", "b_end_line", "b_pos")
     sides = [F.when(lower, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{x}_{c}") for x, y in ("ab", "ba") for c in SIDE]
     d = kept.select(*sides, "cosine", "lexical", "similarity").withColumn("kind_rank", kind_rank())

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one serves a local session; on a
+    cluster, whose executors would each write to a disk of their own, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='echolode-')}"
         spark.conf.set("spark.checkpoint.dir", found)

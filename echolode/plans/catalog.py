@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Config, Thresholds, Windows
+from ..config import PRESETS, Config, Expansion, Thresholds, Windows
 from ..functions import columns as C
-from ..operators import knn, matches, snippets
+from ..operators import expansion, knn, matches, snippets
 from ..operators.scratch import Scratch
 from ..sources.external import from_pairs
 from ..sources.files import dealt, table_files
-from .engine import least_cosine, positioned
+from .engine import least_cosine, positioned, scan_tables, touched
 
 WINDOWS, K, THRESHOLDS = Windows(12, 6, 4), 25, Thresholds()
 
@@ -45,7 +45,7 @@ def lexical_pairs(spark: SparkSession, sf: str) -> DataFrame:
     a, c = each.withColumnRenamed("item_id", "a_id"), each.withColumnRenamed("item_id", "b_id")
     both = a.join(c, "token").where("a_id < b_id").groupBy("a_id", "b_id").agg(F.count("*").alias("shared"))
     d = both.join(sizes.toDF("a_id", "a_n"), "a_id").join(sizes.toDF("b_id", "b_n"), "b_id")
-    return d.select("a_id", "b_id", "shared", (F.col("a_n") + F.col("b_n") - F.col("shared")).cast("long").alias("joint")).where("2 * shared >= joint")
+    return d.select("a_id", "b_id", "shared", (F.col("a_n") + F.col("b_n") - F.col("shared")).cast("long").alias("joint")).where("5 * shared >= joint")
 
 
 def stub_embedding(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,7 +85,7 @@ def span_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _findings(spark: SparkSession, sf: str) -> DataFrame:
-    return matches.findings(matches.matches(_candidates(spark, sf)), THRESHOLDS)
+    return matches.findings(matches.matches(_candidates(spark, sf), THRESHOLDS.lexical_min_ratio), THRESHOLDS)
 
 
 def findings(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,9 +100,7 @@ def clusters(spark: SparkSession, sf: str) -> DataFrame:
 def diff_scope(spark: SparkSession, sf: str) -> DataFrame:
     """Findings with a side among the documents labelled of low quality, which stand for changed files."""
     told = _table(spark, sf, "labels").where("quality = 0").select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("path")).distinct()
-    d = _findings(spark, sf).select("fn_a", "fn_b", "path_a", "path_b")
-    either = d.withColumn("_p", F.explode(F.array_distinct(F.array("path_a", "path_b"))))
-    return either.join(told, F.col("_p") == told["path"], "left_semi").select("fn_a", "fn_b").distinct()
+    return touched(_findings(spark, sf), told).select("fn_a", "fn_b")
 
 
 def snippet_union(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,8 +135,56 @@ def scan_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _files(spark, sf).agg(F.count("*").alias("file_count")).join(w).join(_findings(spark, sf).agg(F.count("*").alias("finding_count")))
 
 
+#: a Python file for a nation: a function with a docstring, one that calls it, and a method; {r} is the region
+CODE = """import os
+
+def total_{r}(xs):
+    "Sum of xs."
+    acc = {r}  # where it starts
+    for x in xs:
+        acc += x
+    return acc
+
+def fill_{r}(ys):
+    n = total_{r}(ys)
+    out = []
+    out.append(n)
+    return out
+
+class Box:
+    def get(self):
+        return {r}
+"""
+CODE_CONFIG = Config(windows=WINDOWS, expansion=Expansion(enabled=True), embedder=PRESETS["stub"])
+
+
+def _code(spark: SparkSession, sf: str) -> DataFrame:
+    n = _table(spark, sf, "nation")
+    text = F.replace(F.lit(CODE), F.lit("{r}"), F.col("n_regionkey").cast("string"))
+    return n.select(F.concat(F.lit("src/n"), F.col("n_nationkey").cast("string"), F.lit(".py")).alias("path"), text.alias("content"), F.sha2(text, 256).alias("content_hash"), F.lit("python").alias("language"))
+
+
+def code_functions(spark: SparkSession, sf: str) -> DataFrame:
+    return snippets.function_units(_code(spark, sf)).select("path", "qualified_name", "start_line", "end_line", "fn_ord", "code_hash")
+
+
+def code_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions, their windows and call expansions, by their normalised text."""
+    files = _code(spark, sf)
+    units = snippets.function_units(files)
+    bag = snippets.function_snippets(units).unionByName(snippets.window_snippets(units, WINDOWS)).unionByName(expansion.call_snippets(files, units, CODE_CONFIG.expansion))
+    return bag.select("kind", "fn_id", "start_line", "end_line", F.sha2("text", 256).alias("text_hash"))
+
+
+def code_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole scan of code: reasons, covered lines, the best match and how many matches stand behind it."""
+    found = scan_tables(spark, _code(spark, sf), CODE_CONFIG).findings
+    best = [F.col(f"best.{c}").alias(f"best_{c}") for c in ("a_kind", "b_kind", "a_start", "a_end", "b_start", "b_end")]
+    return found.select("fn_a", "fn_b", F.round("score", 6).alias("score"), "duplicated_lines", F.array_join("reasons", ",").alias("reasons"), F.size("evidence").alias("n_evidence"), *best)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (fingerprints, windows, lexical_pairs, stub_embedding, knn_exact, knn_cells, candidates, span_matches, findings, clusters, diff_scope, snippet_union, cache_hits_misses, external_duplications, scan_stats)
+    own = (fingerprints, windows, lexical_pairs, stub_embedding, knn_exact, knn_cells, candidates, span_matches, findings, clusters, diff_scope, snippet_union, cache_hits_misses, external_duplications, scan_stats, code_functions, code_snippets, code_findings)
     return {f.__name__: f for f in own}
 
 
@@ -193,6 +239,39 @@ fin AS (SELECT a_fn_id AS fn_a, b_fn_id AS fn_b, max(similarity) AS score FROM m
 _SIDES = "a_fn_id, a_start_line::INTEGER AS a_start_line, a_end_line::INTEGER AS a_end_line, b_fn_id, b_start_line::INTEGER AS b_start_line, b_end_line::INTEGER AS b_end_line"
 
 
+_TOTAL = "'def total_' || r || '(xs):' || chr(10) || {doc} || chr(10) || '    acc = ' || r || {note} || chr(10) || '    for x in xs:' || chr(10) || '        acc += x' || chr(10) || '    return acc'"
+_FILL = "'def fill_' || r || '(ys):' || chr(10) || '    n = total_' || r || '(ys)' || chr(10) || '    out = []' || chr(10) || '    out.append(n)' || chr(10) || '    return out'"
+_GET = "'    def get(self):' || chr(10) || '        return ' || r"
+_SAID = _TOTAL.format(doc="""'    "Sum of xs."'""", note="'  # where it starts'")
+_NORMAL = _TOTAL.format(doc="'    pass'", note="''")
+_CODE = f"""
+nat AS (SELECT 'src/n' || n_nationkey || '.py' AS path, n_regionkey AS r FROM nation),
+fns AS (SELECT path, 'total_' || r AS name, 3 AS s, 8 AS e, 0 AS ord, {_SAID} AS code, {_NORMAL} AS txt, NULL AS helper FROM nat
+  UNION ALL SELECT path, 'fill_' || r, 10, 14, 1, {_FILL}, {_FILL}, {_NORMAL} FROM nat
+  UNION ALL SELECT path, 'Box.get', 17, 18, 2, {_GET}, {_GET}, NULL FROM nat),
+ids AS (SELECT *, path || ':' || name || ':' || s || ':' || e AS fn_id FROM fns),
+bag AS (SELECT 'FUNC' AS kind, path, fn_id, s, e, txt FROM ids
+  UNION ALL SELECT 'WIN', path, fn_id, s, e, txt FROM ids WHERE e - s >= 3
+  UNION ALL SELECT 'EXP', path, fn_id, s, e, txt || chr(10) || chr(10) || helper FROM ids WHERE helper IS NOT NULL)"""
+_CODE_CHAIN = f"""{_CODE},
+sn AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY kind, path, fn_id, s, e) AS pos, {_TOKENS.format("txt")} AS t FROM bag),
+raw AS (SELECT pos, list_transform(range(0, 16), lambda i: ('0x' || substr(sha256(txt), 2 * i + 1, 2))::INT / 255.0::DOUBLE) AS v FROM sn),
+vec AS MATERIALIZED (SELECT pos, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM raw),
+sc AS (SELECT a.pos AS ap, b.pos AS bp, round(list_inner_product(a.v, b.v), 9) AS score FROM vec a, vec b),
+nn AS (SELECT ap, bp, score FROM sc QUALIFY row_number() OVER (PARTITION BY ap ORDER BY score DESC, bp) <= 25),
+lx AS (SELECT nn.*, len(list_intersect(a.t, b.t))::DOUBLE / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) AS lex FROM nn JOIN sn a ON ap = a.pos JOIN sn b ON bp = b.pos WHERE ap <> bp),
+cand AS (SELECT least(ap, bp) AS lo, greatest(ap, bp) AS hi, ap, bp, 0.7 * score + 0.3 * lex AS sim, b.kind AS bk FROM lx JOIN sn b ON bp = b.pos WHERE lex >= 0.5 AND sim >= CASE bk WHEN 'FUNC' THEN 0.92 ELSE 0.9 END),
+two AS (SELECT sim, a.pos AS a_pos, b.pos AS b_pos, a.fn_id AS fa, b.fn_id AS fb, a.s AS a_s, a.e AS a_e, b.s AS b_s, b.e AS b_e, a.kind AS ak, b.kind AS bk
+  FROM (SELECT sim, CASE WHEN (x.fn_id, x.s, x.e, ap) <= (y.fn_id, y.s, y.e, bp) THEN ap ELSE bp END AS lo, CASE WHEN (x.fn_id, x.s, x.e, ap) <= (y.fn_id, y.s, y.e, bp) THEN bp ELSE ap END AS hi
+        FROM cand JOIN sn x ON ap = x.pos JOIN sn y ON bp = y.pos
+        WHERE CASE WHEN x.path = y.path THEN least(x.e, y.e) < greatest(x.s, y.s) ELSE true END) JOIN sn a ON lo = a.pos JOIN sn b ON hi = b.pos),
+kr AS (SELECT *, CASE WHEN ak <> bk THEN 0 WHEN ak = 'FUNC' THEN 3 WHEN ak = 'EXP' THEN 2 ELSE 1 END AS rk, least(a_e - a_s, b_e - b_s) AS len FROM two),
+mat AS (SELECT * FROM kr QUALIFY row_number() OVER (PARTITION BY fa, a_s, a_e, fb, b_s, b_e ORDER BY sim DESC, rk DESC, a_pos, b_pos) = 1),
+best AS (SELECT * FROM mat QUALIFY row_number() OVER (PARTITION BY fa, fb ORDER BY rk DESC, len DESC, sim DESC, a_pos, b_pos) = 1),
+grp AS (SELECT fa, fb, max(sim) AS score, count(*) AS n, max(CASE WHEN 'FUNC' IN (ak, bk) THEN sim END) AS f, max(CASE WHEN 'EXP' IN (ak, bk) THEN sim END) AS x, count_if('WIN' IN (ak, bk)) AS w,
+    least(max(a_e) - min(a_s), max(b_e) - min(b_s)) + 1 AS lines FROM mat GROUP BY fa, fb)"""
+
+
 def oracle_sql() -> dict[str, str]:
     conv = "conv_id || '-' || turn"
     return {
@@ -202,7 +281,7 @@ def oracle_sql() -> dict[str, str]:
         "windows": f"SELECT path, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line, sha256(text) AS text_hash, len({_TOKENS.format('text')})::INTEGER AS n_tokens FROM {_windows('documents', 'doc_id', 'text')}",
         "lexical_pairs": f"""WITH b AS (SELECT item_id, {_TOKENS.format('text')} AS t FROM benchmark)
             SELECT * FROM (SELECT a.item_id AS a_id, b.item_id AS b_id, len(list_intersect(a.t, b.t))::BIGINT AS shared, (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::BIGINT AS joint
-            FROM b a JOIN b ON a.item_id < b.item_id) WHERE 2 * shared >= joint AND shared > 0""",
+            FROM b a JOIN b ON a.item_id < b.item_id) WHERE 5 * shared >= joint AND shared > 0""",
         "stub_embedding": """WITH r AS (SELECT item_id, list_transform(range(0, 16), lambda i: ('0x' || substr(sha256(coalesce(text, '')), 2 * i + 1, 2))::INT / 255.0::DOUBLE) AS v FROM benchmark)
             SELECT item_id, place::INTEGER AS place, round(v[place + 1] / sqrt(list_sum(list_transform(v, lambda y: y * y))), 6) AS x FROM (SELECT *, unnest(range(0, 16)) AS place FROM r)""",
         "knn_exact": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
@@ -223,5 +302,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT source, count(o.t) AS hits, count(*) - count(o.t) AS misses FROM documents LEFT JOIN o ON coalesce(text, '') = o.t GROUP BY source""",
         "external_duplications": """SELECT concat_ws(':', a.n_name, a.n_name, a.n_regionkey, a.n_nationkey) AS fn_a, concat_ws(':', b.n_name, b.n_name, b.n_regionkey, b.n_nationkey) AS fn_b, 1.0::DOUBLE AS score,
             (least(a.n_nationkey - a.n_regionkey, b.n_nationkey - b.n_regionkey) + 1)::INTEGER AS duplicated_lines FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey""",
+        "code_functions": f"WITH {_CODE} SELECT path, name AS qualified_name, s::INTEGER AS start_line, e::INTEGER AS end_line, ord::INTEGER AS fn_ord, sha256(code) AS code_hash FROM ids",
+        "code_snippets": f"WITH {_CODE} SELECT kind, fn_id, s::INTEGER AS start_line, e::INTEGER AS end_line, sha256(txt) AS text_hash FROM bag",
+        "code_findings": f"""WITH {_CODE_CHAIN} SELECT fa AS fn_a, fb AS fn_b, round(score, 6) AS score, lines::INTEGER AS duplicated_lines,
+            concat_ws(',', CASE WHEN f >= 0.92 THEN 'func' END, CASE WHEN x >= 0.9 THEN 'exp' END, CASE WHEN w > 0 THEN 'window' END) AS reasons, n::INTEGER AS n_evidence,
+            ak AS best_a_kind, bk AS best_b_kind, a_s::INTEGER AS best_a_start, a_e::INTEGER AS best_a_end, b_s::INTEGER AS best_b_start, b_e::INTEGER AS best_b_end
+            FROM grp JOIN best USING (fa, fb) WHERE f >= 0.92 OR x >= 0.9 OR w > 0""",
         "scan_stats": f"WITH {_CHAIN} SELECT (SELECT count(*) FROM documents) AS file_count, (SELECT count(*) FROM win) AS snippet_count, (SELECT count(*) FROM fin) AS finding_count",
     }

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
+from time import perf_counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ class ScanResult:
     snippets: DataFrame | None
     stats: dict[str, int]
     config: Config
+    timing: dict[str, float] = field(default_factory=dict)  # seconds by step
 
 
 def least_cosine(c: Config) -> float | None:
@@ -61,22 +63,31 @@ def neighbours(snips: DataFrame, c: Config) -> DataFrame:
 def scan_tables(spark: SparkSession, sources: DataFrame, c: Config, normalise: bool = True) -> ScanResult:
     """Findings among files (path, content, content_hash, language)."""
     validate(c)
-    scratch = Scratch(spark)
-    functions, texts = snippets.function_units(sources), snippets.text_units(sources)
+    scratch, timing, since = Scratch(spark), {}, perf_counter()
+
+    def done(step: str, d: DataFrame) -> DataFrame:
+        """``d`` written, so that a step's time is its own."""
+        nonlocal since
+        out = scratch.cut(d, step)
+        timing[step], since = perf_counter() - since, perf_counter()
+        return out
+
+    functions, texts = done("extract_functions", snippets.function_units(sources)), snippets.text_units(sources)
     units = functions.unionByName(texts)
     found = snippets.function_snippets(functions, normalise).unionByName(snippets.window_snippets(units, c.windows, normalise))
     if c.expansion.enabled and c.expansion.depth > 0:
         found = found.unionByName(expansion.call_snippets(sources, functions, c.expansion, normalise))
+    found = done("generate_snippets", found)
     found, cached = E.embed(found, c.embedder, c.cache.path)
-    snips = scratch.cut(positioned(found).withColumn("tokens", C.tokens(F.col("text"))), "snippets")
+    snips = done("embed", positioned(found).withColumn("tokens", C.tokens(F.col("text"))))
     near = neighbours(snips, c)
     candidates = scratch.cut(matches.candidates(snips, near, c.thresholds), "candidates")
-    found = matches.findings(matches.matches(candidates), c.thresholds)
+    found = matches.findings(matches.matches(candidates, c.thresholds.lexical_min_ratio), c.thresholds)
     if c.cluster_findings:
         found = matches.clusters(found, c.cluster_min_size)
-    found = scratch.cut(found, "findings")
+    found = done("similarity", found)
     counts = {"file_count": sources.count(), "function_count": functions.count(), "snippet_count": snips.count(), "candidate_count": candidates.count(), "finding_count": found.count()}
-    return ScanResult(found, snips, counts | cached.first().asDict(), c)
+    return ScanResult(found, snips, counts | cached.first().asDict(), c, timing)
 
 
 def scan(spark: SparkSession, paths: list[str], c: Config = Config()) -> ScanResult:
@@ -85,7 +96,11 @@ def scan(spark: SparkSession, paths: list[str], c: Config = Config()) -> ScanRes
 
 
 def _semantic(spark: SparkSession, paths: list[str], c: Config) -> ScanResult:
-    return scan_tables(spark, files.read_files(spark, files.listed(paths, c.include_globs, c.exclude_globs)), c)
+    since = perf_counter()
+    sources = files.read_files(spark, files.listed(paths, c.include_globs, c.exclude_globs))
+    listed = {"collect_files": perf_counter() - since}
+    result = scan_tables(spark, sources, c)
+    return replace(result, timing=listed | result.timing)
 
 
 def _external(spark: SparkSession, paths: list[str], c: Config) -> ScanResult:
@@ -109,12 +124,18 @@ def get_engine(name: str) -> Callable[[SparkSession, list[str], Config], ScanRes
 
 def limited(result: ScanResult, changed: DataFrame) -> ScanResult:
     """Findings with a side in the changed files (column path); only their count is replaced in the stats."""
-    told = F.broadcast(changed.select("path").distinct()) if changed.count() <= 1_000_000 else changed.select("path").distinct()
+    found = touched(result.findings, changed)
+    return replace(result, findings=found, stats=result.stats | {"finding_count": found.count()})
+
+
+def touched(found: DataFrame, changed: DataFrame) -> DataFrame:
+    """The findings with a side in the changed files (column path)."""
+    told = changed.select("path").distinct()
+    told = F.broadcast(told) if told.count() <= 1_000_000 else told
     strip = lambda c: F.regexp_replace(c, r"^\./", "")
-    either = result.findings.withColumn("_p", F.explode(F.array_distinct(F.array(strip("path_a"), strip("path_b")))))
+    either = found.withColumn("_p", F.explode(F.array_distinct(F.array(strip("path_a"), strip("path_b")))))
     keep = either.join(told, F.col("_p") == told["path"], "left_semi").select("fn_a", "fn_b").distinct()
-    found = result.findings.join(keep, ["fn_a", "fn_b"], "left_semi")
-    return ScanResult(found, result.snippets, result.stats | {"finding_count": found.count()}, result.config)
+    return found.join(keep, ["fn_a", "fn_b"], "left_semi")
 
 
 def diff(spark: SparkSession, base: str = "HEAD", paths: list[str] | None = None, c: Config = Config()) -> ScanResult:

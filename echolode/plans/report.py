@@ -55,7 +55,7 @@ def _finding(r: dict) -> dict:
 
 
 def write_json(result: ScanResult, out: str) -> None:
-    said = {"schema_version": SCHEMA_VERSION, "findings": [_finding(r) for r in _rows(result)], "stats": result.stats, "config": asdict(result.config)}
+    said = {"schema_version": SCHEMA_VERSION, "findings": [_finding(r) for r in _rows(result)], "stats": result.stats, "config": asdict(result.config), "timing": result.timing}
     Path(out).write_text(json.dumps(said, indent=2), "utf-8")
 
 

@@ -6,8 +6,10 @@ import os
 import subprocess
 from collections.abc import Sequence
 
+from ..config import EngineError
 
-class GitError(RuntimeError):
+
+class GitError(EngineError, RuntimeError):
     """git failed or isn't there."""
 
 

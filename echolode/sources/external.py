@@ -21,15 +21,17 @@ def external_findings(spark: SparkSession, path: str | None = None) -> DataFrame
 
 
 def from_pairs(pairs: DataFrame) -> DataFrame:
-    def number(c: Column, default: int) -> Column:
-        return F.coalesce(c.try_cast("int"), F.lit(default))
+    """Findings of pairs (a, b). A missing start is 1, a missing end the start, a missing name the path; ranges that end
+    before they begin have no lines. A side that is null or has no field at all is no side."""
 
     def unit(side: str) -> list[Column]:
         s = F.col(side)
-        start = number(s["start"], 1)
-        return [F.coalesce(s["path"], F.lit("")).alias(f"path_{side}"), start.alias(f"start_{side}"), number(s["end"], 1).alias(f"end_{side}"), F.coalesce(s["name"], F.lit("duplicate")).alias(f"name_{side}"), F.coalesce(s["code"], F.lit("")).alias(f"code_{side}")]
+        start = F.coalesce(s["start"].try_cast("int"), F.lit(1))
+        end, path = F.coalesce(s["end"].try_cast("int"), start), F.coalesce(s["path"], F.lit(""))
+        return [path.alias(f"path_{side}"), start.alias(f"start_{side}"), end.alias(f"end_{side}"), F.coalesce(s["name"], path).alias(f"name_{side}"), F.coalesce(s["code"], F.lit("")).alias(f"code_{side}")]
 
-    d = pairs.where("a is not null and b is not null").select(*unit("a"), *unit("b"))
+    said = lambda x: F.coalesce(*[F.col(x)[c].cast("string") for c in ("path", "start", "end", "code", "name")]).isNotNull()
+    d = pairs.where(said("a") & said("b")).select(*unit("a"), *unit("b"))
     ident = lambda x: F.concat_ws(":", f"path_{x}", f"name_{x}", F.col(f"start_{x}").cast("string"), F.col(f"end_{x}").cast("string"))
-    lines = F.least(F.col("end_a") - F.col("start_a"), F.col("end_b") - F.col("start_b")) + 1
+    lines = F.greatest(F.lit(0), F.least(F.col("end_a") - F.col("start_a"), F.col("end_b") - F.col("start_b")) + 1)
     return d.select(ident("a").alias("fn_a"), ident("b").alias("fn_b"), "path_a", "path_b", F.lit(1.0).alias("score"), F.array(F.lit("sonarqube")).alias("reasons"), lines.alias("duplicated_lines"))

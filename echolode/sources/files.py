@@ -13,20 +13,16 @@ from ..functions.columns import decoded
 
 
 def matches(globs: Iterable[str], path: PurePath) -> bool:
-    """Whether a glob takes the path. Leading dots and slashes of a glob don't count; ``base/**`` with anything after
-    takes all below base; ``**/name/**`` takes all below any folder of that name."""
-    parts, said = path.parts, path.as_posix()
+    """Whether a glob takes the path. Leading dots and slashes of a glob don't count, nor does a ``**/`` it begins with. What
+    stands before the first ``/**`` is a folder, of one name or more, that takes all below it wherever it lies; a folder
+    with wildcards before a last ``/**`` takes paths that match it."""
+    said = path.as_posix()
     for glob in globs:
         glob = glob.lstrip("./")
-        if path.match(glob) or glob.startswith("**/") and path.match(glob[3:]):
+        folder, deep, _ = glob.partition("/**")
+        if any(path.match(g) for g in (glob, glob.removeprefix("**/"), glob.removesuffix("/**")) if g):
             return True
-        base, deep, _ = glob.partition("/**")
-        if not deep:
-            continue
-        if base.startswith("**/"):
-            if base[3:] in parts:
-                return True
-        elif base in ("", "**") and glob.startswith("**/**") or base not in ("", "**") and (said == base or said.startswith(base + "/")):
+        if deep and (folder := folder.removeprefix("**/")) and (said == folder or f"/{folder}/" in f"/{said}"):
             return True
     return False
 

@@ -30,6 +30,10 @@ def test_globs():
     assert files.matches(["**/*.py"], PurePath("a/b.py")) and files.matches(["**/*.py"], PurePath("b.py"))
     assert files.matches(["src/**/*.py"], PurePath("src/a.js"))
     assert files.matches(["**/venv/**"], PurePath("x/venv/y.py")) and not files.matches(["**/venv/**"], PurePath("x/y.py"))
+    assert files.matches(["**/bootstrap/cache/**"], PurePath("bootstrap/cache/sub/x.php")) and files.matches(["**/bootstrap/cache/**"], PurePath("app/bootstrap/cache/y.php"))
+    assert not files.matches(["**/bootstrap/cache/**"], PurePath("bootstrap/x.php"))
+    assert files.matches(["src/**/*.py"], PurePath("pkg/src/deep/a.js")) and not files.matches(["src/**/*.py"], PurePath("pkg/a.js"))
+    assert "**/out/**" in preset_globs(["cpp"])[1]
     assert merge_globs(["a"], ["b"], ["x", "y"], ["x"]) == (["a", "y"], ["b"])
     assert "**/*.rs" in preset_globs(["monorepo"])[0] and preset_globs(["none"]) == ([], [])
 
@@ -84,6 +88,7 @@ def test_copies_are_found(spark, tmp_path):
         writer(r, str(tmp_path / f"out.{kind}"))
     said = json.loads((tmp_path / "out.json").read_text())
     assert said["findings"][0]["compare"]["similarity"] == pytest.approx(1.0)
+    assert set(said["timing"]) == {"collect_files", "extract_functions", "generate_snippets", "embed", "similarity"}
     assert len(json.loads((tmp_path / "out.sarif").read_text())["runs"][0]["results"]) == 1
     assert "&harr;" in (tmp_path / "out.html").read_text()
 
@@ -95,6 +100,35 @@ def test_text_units(spark, tmp_path):
     assert r.stats["function_count"] == 0 and r.stats["finding_count"] >= 1
 
 
+def test_outside_report_defaults(spark, tmp_path):
+    from echolode.sources.external import external_findings
+
+    said = {"duplications": [{"a": {"path": "x.py", "start": 4, "code": "c"}, "b": {"path": "y.py", "start": "7", "end": "9", "name": "f"}}, {"a": {"path": "z", "start": 9, "end": 2}, "b": {"path": "w"}}, {"a": {}, "b": {"path": "w"}}, {"a": {"path": "v"}}]}
+    (tmp_path / "r.json").write_text(json.dumps(said))
+    got = {(r.fn_a, r.fn_b, r.duplicated_lines) for r in external_findings(spark, str(tmp_path / "r.json")).collect()}
+    assert got == {("x.py:x.py:4:4", "y.py:f:7:9", 1), ("z:z:9:2", "w:w:1:1", 0)}
+
+
+def test_matches_hold_the_lexical_floor(spark):
+    from echolode.operators import matches
+
+    side = lambda x, n: {f"{x}_pos": n, f"{x}_kind": "WIN", f"{x}_fn_id": f"{x}.py:f:1:9", f"{x}_path": f"{x}.py", f"{x}_fn_start": 1, f"{x}_fn_end": 9, f"{x}_start_line": 1, f"{x}_end_line": 9}
+    rows = spark.createDataFrame([side("a", 1) | side("b", 2) | {"cosine": 1.0, "lexical": 0.2, "similarity": 0.95}])
+    assert matches.matches(rows).count() == 1 and matches.matches(rows, 0.6).count() == 0
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from echolode.operators.scratch import shared_dir
+
+    told = SimpleNamespace(get=lambda *_: None, set=lambda *_: None)
+    context = lambda master: SimpleNamespace(master=master, getConf=lambda: told)
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(conf=told, sparkContext=context("spark://host:7077")))
+    assert shared_dir(SimpleNamespace(conf=told, sparkContext=context("local[2]"))).startswith("file://")
+
+
 def test_empty_scan(spark, tmp_path):
     assert engine.scan(spark, [str(tmp_path)], STUB).stats["finding_count"] == 0
 
