@@ -7,9 +7,11 @@ in log space; a text's is the product over its words and one end. Characters out
 A word of the training rows is one more edge of its own lattice, from start to end, of weight (c - discount) / N; the
 discounted mass is what the segmentations share, so that the probabilities of all words and the end sum to one at most.
 
-Words are counted by a map-side Counter and one shuffle. The most frequent words (``frequent``: a bound) are broadcast
-to the scoring pass, all others go through a shuffle join with the word table. A null or empty text has its end only.
-Repeated rows get one row each. Without training rows counts are 0 and N is 0.
+Words are counted by a map-side Counter and one shuffle. The most frequent words (``frequent``: a bound; the count that they
+have at least comes from a histogram of counts) are broadcast to the scoring pass, all others go through a shuffle join with
+the word table. A null or empty text has its end only, a very long one is read whole, bytes that are no UTF-8 count as
+U+FFFD. Repeated rows get one row each, also those without a doc_id. Ties don't matter. Without training rows counts are 0 and
+N is 0; an empty table gives no rows. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -180,9 +182,10 @@ def fit(words: DataFrame, ends: int, params: LatticeParams) -> LatticeModel:
 
 
 def score(spark: SparkSession, docs: DataFrame, params: LatticeParams = LatticeParams()) -> DataFrame:
-    """doc_id, held, n_tokens, n_known, train_tokens, base_score, score of every row of doc_id, text, held."""
+    """doc_id, held, n_tokens, n_known, train_tokens, base_score, score, lattice_score of every row of doc_id, text, held.
+    lattice_score is the marginal of the vocabulary's pieces alone, without the edges of training words."""
     scratch = Scratch(spark)
-    docs = docs.select("doc_id", "held", F.col("text").cast("binary").alias("text"))
+    docs = docs.select("doc_id", "held", F.make_valid_utf8("text").cast("binary").alias("text"))
     words = scratch.cut(count_words(docs, params), "counts")
     ends = docs.where(~F.col("held")).count()
     model = fit(words, ends, params)
@@ -197,17 +200,27 @@ def score(spark: SparkSession, docs: DataFrame, params: LatticeParams = LatticeP
             c = b["c"].to_numpy()
             with np.errstate(divide="ignore"):
                 own = np.log(np.maximum(c - params.discount, 0) / max(model.tokens, 1))
-            lp = np.logaddexp(own, share + lattice.logp(b["word"].to_pylist())) / math.log(10)
+            lat = lattice.logp(b["word"].to_pylist())
+            lp = np.logaddexp(own, share + lat) / math.log(10)
             base = np.log10((c + 1) / floor)
-            return as_batch(word=b["word"], c=b["c"], total=b["total"], base=pa.array(base), lp=pa.array(lp))
+            return as_batch(word=b["word"], c=b["c"], total=b["total"], base=pa.array(base), lp=pa.array(lp), lat=pa.array(lat / math.log(10)))
 
         return work
 
-    table = scratch.cut(map_rows(words, make_word, "word string, c long, total long, base double, lp double", rows=10_000), "words")
+    table = scratch.cut(map_rows(words, make_word, "word string, c long, total long, base double, lp double, lat double", rows=10_000), "words")
     scratch.drop("counts")
-    often = table.orderBy(F.desc("total"), "word").limit(params.frequent).select(F.col("word").cast("binary").alias("word"), "c", "base", "lp").toArrow()
-    frequent = spark.sparkContext.broadcast((often["word"].to_pylist(), np.stack([(often["c"].to_numpy() > 0) * 1.0, often["base"].to_numpy(), often["lp"].to_numpy()], axis=1)))
+    # the words above a count are broadcast: the least count that no more than ``frequent`` words have, by eighths of an octave
+    step = F.floor(F.log2(F.greatest("total", F.lit(1))) * 8).cast("int").alias("step")
+    least, many = None, 0
+    for r in table.groupBy(step).count().orderBy(F.desc("step")).collect():  # some hundreds of rows at most
+        many += r["count"]
+        if many > params.frequent:
+            break
+        least = r["step"]
+    often = table.where(step >= least if least is not None else F.lit(False)).select(F.col("word").cast("binary").alias("word"), "c", "base", "lp", "lat").toArrow()
+    frequent = spark.sparkContext.broadcast((often["word"].to_pylist(), np.stack([(often["c"].to_numpy() > 0) * 1.0, *(often[x].to_numpy() for x in ("base", "lp", "lat"))], axis=1)))
     end_base, end_lp = math.log10((ends + 1) / floor), math.log10(ends / model.tokens if ends else 0.5)
+    end_lat = math.log10(model.p[-1])
 
     def make_doc():
         listed, values = frequent.value
@@ -220,31 +233,31 @@ def score(spark: SparkSession, docs: DataFrame, params: LatticeParams = LatticeP
                 at = np.array([number(w, -1) for w in words], np.int64)
                 rest = Counter([words[k] for k in np.flatnonzero(at < 0)])
                 at = at[at >= 0]
-                sums = values[at].sum(axis=0) if len(at) else np.zeros(3)
-                n, n_known, base, lp = 1 + len(words), int(ends > 0) + int(sums[0]), end_base + float(sums[1]), end_lp + float(sums[2])
-                for name, x in (("n", n), ("n_known", n_known), ("base", base), ("lp", lp), ("rare", list(rest)), ("times", list(rest.values()))):
+                sums = values[at].sum(axis=0) if len(at) else np.zeros(4)
+                n, n_known, base, lp, lat = 1 + len(words), int(ends > 0) + int(sums[0]), end_base + float(sums[1]), end_lp + float(sums[2]), end_lat + float(sums[3])
+                for name, x in (("n", n), ("n_known", n_known), ("base", base), ("lp", lp), ("lat", lat), ("rare", list(rest)), ("times", list(rest.values()))):
                     cols[name].append(x)
-            kinds = {"n": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "lp": pa.float64(), "rare": pa.list_(pa.binary()), "times": pa.list_(pa.int32())}
+            kinds = {"n": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "lp": pa.float64(), "lat": pa.float64(), "rare": pa.list_(pa.binary()), "times": pa.list_(pa.int32())}
             arrays = {k: pa.array(cols[k], t) for k, t in kinds.items()}
             arrays["rare"] = arrays["rare"].cast(pa.list_(pa.string()))
             return as_batch(doc_id=b["doc_id"], held=b["held"], **arrays)
 
         return work
 
-    schema = "doc_id long, held boolean, n long, n_known long, base double, lp double, rare array<string>, times array<int>"
+    schema = "doc_id long, held boolean, n long, n_known long, base double, lp double, lat double, rare array<string>, times array<int>"
     # a row number within the partition's file order keeps repeated rows apart
     parts = scratch.cut(map_rows(docs, make_doc, schema).withColumn("row", F.monotonically_increasing_id()), "parts")
     rare = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
     sums = (
-        rare.join(table.select("word", "c", "base", "lp"), "word")
+        rare.join(table.select("word", "c", "base", "lp", "lat"), "word")
         .groupBy("row")
-        .agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k2"), F.sum(F.col("k") * F.col("base")).alias("b2"), F.sum(F.col("k") * F.col("lp")).alias("l2"))
+        .agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("k2"), F.sum(F.col("k") * F.col("base")).alias("b2"), F.sum(F.col("k") * F.col("lp")).alias("l2"), F.sum(F.col("k") * F.col("lat")).alias("m2"))
     )
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return (
         parts.drop("rare", "times")
         .join(sums, "row", "left")
-        .select("doc_id", "held", F.col("n").alias("n_tokens"), plus("n_known", "k2").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), plus("base", "b2").alias("base_score"), plus("lp", "l2").alias("score"))
+        .select("doc_id", "held", F.col("n").alias("n_tokens"), plus("n_known", "k2").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), plus("base", "b2").alias("base_score"), plus("lp", "l2").alias("score"), plus("lat", "m2").alias("lattice_score"))
     )
 
 
