@@ -5,12 +5,13 @@ support vector machine that tells two classes apart (one versus one). Features a
 the lower-cased text, digits and punctuation taken as blanks, scaled to unit length.
 
 Null texts and texts without a letter are ``und`` with score 0, as is every text if nothing could be learnt. Repeated
-rows get equal predictions; ties go to the language that comes first in the alphabet.
+rows get equal predictions and teach once; ties go to the language that comes first in the alphabet. Very long texts are
+read whole, bytes that are no UTF-8 count as U+FFFD, a null doc_id is kept, an empty table gives no rows, and
+columns other than doc_id, text and lang aren't read.
 """
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import as_batch, fold, map_rows
 
-LETTER = re.compile(r"[^\W\d_]")
+def lettered(text: str) -> bool:
+    """Whether the text has a letter (general category L)."""
+    return any(map(str.isalpha, text))
+
 
 # Language families by ISO 639-1 code. A code that is in none is a family of its own.
 FAMILIES = {
@@ -43,10 +47,12 @@ def family_of(lang: str) -> str:
 
 @dataclass(frozen=True)
 class LangParams:
-    """``per_language`` bounds (in expectation) the labelled documents of each language that are learnt from."""
+    """``per_language`` bounds (in expectation) the labelled documents of each language that are learnt from, ``rows`` those
+    of all languages together, which share it evenly."""
 
     bits: int = 11
     per_language: int = 1500
+    rows: int = 6000
     epochs: int = 12
     lam: float = 1e-4
 
@@ -102,7 +108,7 @@ class LangModel:
         return best, 1 / (1 + float(np.exp(-min(20.0, 20 * least[best]))))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.levels or not LETTER.search(text):
+        if not text or not self.levels or not lettered(text):
             return "und", 0.0
         x = features(text, self.bits)
         family, p = self.vote("", x)
@@ -130,21 +136,24 @@ def fit(x: np.ndarray, langs: list[str], params: LangParams) -> LangModel:
 
 def train(docs: DataFrame, params: LangParams = LangParams()) -> LangModel:
     """Fit on text and non-null lang of documents outside fold 1 of 3."""
-    told = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 3) != 1)).select("lang", "text", "doc_id")
+    told = docs.withColumn("text", F.make_valid_utf8("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 3) != 1)).select("lang", "text", "doc_id")
     counts = {r["lang"]: r["count"] for r in told.groupBy("lang").count().collect()}  # one row a language
     if not counts:
         return fit(np.zeros((0, 1 << params.bits), np.float32), [], params)
-    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, int(min(1.0, params.per_language / n) * 1_000_000))])
-    most = 2 * params.per_language * len(counts)
-    some = told.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    each = max(1, min(params.per_language, params.rows // len(counts)))
+    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, int(min(1.0, each / n) * 1_000_000))])
+    most = 2 * each * len(counts)
+    hashed = F.xxhash64("text", "doc_id")
+    # repeated rows teach once; if there are more rows than expected, those of the least hashes are taken
+    some = told.where(F.pmod(hashed, F.lit(1_000_000)) < share[F.col("lang")]).dropDuplicates(["lang", "doc_id", "text"]).orderBy(hashed, "lang").limit(most)
     bits = params.bits
 
     def make():
         return lambda b: as_batch(
-            lang=b["lang"], doc_id=b["doc_id"], x=pa.array([features(t, bits).tobytes() if LETTER.search(t) else None for t in b["text"].to_pylist()], pa.binary())
+            lang=b["lang"], doc_id=b["doc_id"], x=pa.array([features(t, bits).tobytes() if lettered(t) else None for t in b["text"].to_pylist()], pa.binary())
         )
 
-    table = map_rows(some, make, "lang string, doc_id long, x binary").where("x is not null").limit(most).toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
+    table = map_rows(some, make, "lang string, doc_id long, x binary").where("x is not null").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
     x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float32).reshape(-1, 1 << bits)
     return fit(x, table["lang"].to_pylist(), params)
 
@@ -162,7 +171,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: LangModel) -> DataFrame
 
         return work
 
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, lang_pred string, score double")
+    return map_rows(docs.select("doc_id", F.make_valid_utf8("text").alias("text")), make, "doc_id long, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
