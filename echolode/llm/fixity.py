@@ -7,7 +7,7 @@ looked at only below parents that differ, so agreeing branches are never read ag
 were altered, are missing, or are extra, with the byte range where the first replica has (or the second one put) them.
 
 A level is an aggregation of at most ``fan`` rows a node and has a ``fan``-th of the rows of the one below. Null bodies
-hash as the empty text, a null id is record 0 of file -1. Equal rows of one id make one leaf with all of
+hash as the empty text, a null id is the last record of file -1, one record with id -1 if there is such an id. Equal rows of one id make one leaf with all of
 them in order of their hash; ids that repeat differently in the replicas count as altered. Two empty replicas agree.
 """
 
@@ -55,11 +55,11 @@ def trees(scratch: Scratch, first: DataFrame, name: str, height: int) -> list[Da
     return out
 
 
-def audit(spark: SparkSession, first: DataFrame, second: DataFrame) -> DataFrame:
+def audit(spark: SparkSession, first: DataFrame, second: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """k, status (altered, missing, extra), bytes and hashes of both, for all leaves that differ; ``first`` is the truth."""
     scratch = Scratch(spark)
-    a0, b0 = leaves(first), leaves(second)
-    top = max([r[0] for r in (first.agg(F.max("page_id")).first(), second.agg(F.max("page_id")).first()) if r[0] is not None], default=0)
+    a0, b0 = (leaves(d, id_col, url_col, body_col) for d in (first, second))
+    top = max([r[0] for r in (first.agg(F.max(id_col)).first(), second.agg(F.max(id_col)).first()) if r[0] is not None], default=0)
     height = 1
     while FAN**height <= max(top, 0):
         height += 1

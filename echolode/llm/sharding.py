@@ -36,12 +36,13 @@ def table(spark: SparkSession, names: list[str], size: int = SIZE) -> DataFrame:
 
 
 def place(df: DataFrame, key: str, names: list[str], size: int = SIZE) -> DataFrame:
-    """``df`` with shard_slot and shard_id, by a broadcast of the table."""
+    """``df`` with shard_slot and shard_id, by a broadcast of the table. Columns of these names are replaced."""
     slots = table(df.sparkSession, names, size).select(F.col("slot").alias("shard_slot"), F.col("shard").alias("shard_id"))
     text = F.coalesce(F.col(key).cast("string"), F.lit(""))
     hashed = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") % size
-    told = df.withColumn("shard_slot", hashed)
-    return told.join(F.broadcast(slots), "shard_slot").select(*df.columns, "shard_slot", "shard_id")
+    kept = [c for c in df.columns if c not in slots.columns]
+    told = df.select(*kept, hashed.alias("shard_slot"))
+    return told.join(F.broadcast(slots), "shard_slot").select(*kept, "shard_slot", "shard_id")
 
 
 def write_shards(df: DataFrame, key: str, names: list[str], path: str) -> None:
