@@ -104,6 +104,16 @@ def test_language(spark, tmp_path):
     assert len(got) == len(rows) and all(got[k].lang_pred == "und" for k in (1000, 1001, 1002, 2000))
     held = [got[k].lang_pred == lang for k, _, lang in rows[:400] if got[k].held_out]
     assert sum(held) / len(held) > 0.98 and all(0 <= r.score <= 1 for r in got.values())
+    odd = langid.predict(spark, docs_of(spark, ["\u00b2\u00bd\u2167 12", "x\u00b2"]), langid.train(spark.read.parquet(f"{sf}/documents.parquet")))
+    assert {r.doc_id: r.lang_pred == "und" for r in odd.collect()} == {0: True, 1: False, None: False}
+    # repeated rows, in other partitions, teach nothing new
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    one, two = langid.train(d, langid.LangParams(rows=60)), langid.train(d.unionByName(d).repartition(7), langid.LangParams(rows=60, per_language=30))
+    assert sorted(one.levels) == sorted(two.levels)
+    again = langid.train(d.repartition(5), langid.LangParams(rows=60))
+    assert all(np.array_equal(w, again.levels[n][1][k]) for n, (_, pairs) in one.levels.items() for k, w in pairs.items())
+    none = saved(spark, tmp_path / "none", spark.createDataFrame([], "doc_id long, text string, lang string"))
+    assert langid.query(spark, none).count() == 0
     assert langid.train(spark.createDataFrame([], "doc_id long, text string, lang string")).predict("abc") == ("und", 0.0)
 
 
@@ -220,7 +230,11 @@ def test_lattice(spark, tmp_path):
         words = (t or "").encode().lower().split() + ["end"]
         assert rows[k].train_tokens == n and rows[k].n_tokens == len(words) and rows[k].n_known == sum(c[w] > 0 for w in words)
         assert rows[k].base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words))
-        assert rows[k].score < 0 and rows[k].held_out == held(k)
+        assert rows[k].score < 0 and rows[k].lattice_score < 0 and rows[k].held_out == held(k)
+    # words that are broadcast and words that are joined give the same
+    few = lattice.score(spark, spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("held", lattice.fold("doc_id", 7) == 2), lattice.LatticeParams(frequent=2))
+    for r in few.collect():
+        assert (r.score, r.lattice_score, r.n_known) == (pytest.approx(rows[r.doc_id].score), pytest.approx(rows[r.doc_id].lattice_score), rows[r.doc_id].n_known)
     number, p = lattice.vocabulary(None)
     one = lattice.Lattice(number, p)
 
@@ -261,8 +275,14 @@ def test_ngram_join(spark, n, percent, block):
             for _ in range(rng.randrange(4)):
                 w[rng.randrange(len(w))] = f"e{rng.randrange(9)}"
             texts.append(" ".join(w))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark, docs_of(spark, texts), ngram_join.JoinParams(n, percent, block)).collect()}
-    assert [got[k] for k in range(len(texts))] == brute_components(texts, n, percent)
+    for every in (False, True):
+        rows = ngram_join.join(spark, docs_of(spark, texts), ngram_join.JoinParams(n, percent, block, every=every)).collect()
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in rows}
+        assert [got[k] for k in range(len(texts))] == brute_components(texts, n, percent)
+    # links of rows: docs_of repeats row 0, which has no text, and adds one without an id, which has no partner
+    sets = [{tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set() for w in ((t or "").encode().lower().split() for t in texts)]
+    linked = [sum(bool(a and b) and i != j and 100 * len(a & b) >= percent * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    assert {r.doc_id: r.n_links for r in rows if r.doc_id is not None} == dict(enumerate(linked))
 
 
 def test_near_duplicate_stage(spark):
@@ -270,6 +290,9 @@ def test_near_duplicate_stage(spark):
     docs = docs_of(spark, [text, text, text + " more", "other words entirely here now", None, ""])
     left = ngram_join.stage(spark, docs, "")
     assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == [0, 3, 4, 5] and left.columns == docs.columns
+    odd = spark.createDataFrame([(1, text, "b"), (1, text, "a"), (2, text + " more", "c"), (2, "words of its own here", "d"), (3, None, "e"), (3, None, "e")], "doc_id long, text string, _id string")
+    kept = sorted((r.doc_id, r["_id"]) for r in ngram_join.stage(spark, odd, "").collect())
+    assert [k for k, _ in kept] == [1, 2, 3] and kept[1:] == [(2, "d"), (3, "e")]
     assert left.where("doc_id is null").count() == 1 and ngram_join.join(spark, docs.limit(0)).count() == 0
 
 
@@ -528,6 +551,9 @@ def test_quality(spark, tmp_path):
 
 def test_sharding(spark, tmp_path):
     same_rows(sharding.query, sharding.SQL, spark, tmp_path, documents=docs_of(spark, ODD))
+    clash = sharding.place(docs_of(spark, ["a", "b"]).withColumn("shard_slot", F.lit(-1)), "doc_id", sharding.names_of(4))
+    assert clash.columns.count("shard_slot") == 1 and clash.where("shard_slot < 0").count() == 0 and clash.count() == 4
+    assert sharding.place(docs_of(spark, []).limit(0), "doc_id", sharding.names_of(4)).count() == 0
     a, b = ({r.slot: names[r.shard] for r in sharding.table(spark, names, 1021).collect()} for names in (sharding.names_of(16), sharding.names_of(17)))
     assert sorted(a) == list(range(1021)) and max(Counter(a.values()).values()) - min(Counter(a.values()).values()) <= 1
     assert sum(a[s] != b[s] for s in a) < 0.25 * 1021
