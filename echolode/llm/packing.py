@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import unicodedata
 import zlib
 from collections import Counter
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,17 +57,26 @@ SPLITS = {
 }
 
 
+#: Lower-case letters that no normal form changes when they stand together (a part of them, blanks allowed): each run is
+#: one token group.
+PLAIN = re.compile("[a-zß-öø-ÿα-ωа-џ ]*")
+
+#: ASCII signs but the apostrophe's contractions: behind a letter, a chunk's last run of these is a token group of its own.
+SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class Encoder(dict):
-    """Ids of a chunk of text, as little-endian bytes. No token spans a blank or a line feed, case doesn't matter and a
-    full stop or comma after a letter is a token of its own, so chunks are encoded apart from one another, lower-cased,
-    without such an end, and remembered for the task, up to ``most`` of them. That holds for files that split texts as
-    SPLITS says; with any other file every text is encoded whole."""
+    """Ids of a chunk of text, as little-endian bytes. No token spans a blank or a line feed, case doesn't matter and
+    signs that end a chunk after a letter are tokens of their own, so chunks are encoded apart from one another,
+    lower-cased, without such an end, and remembered for the task, up to ``most`` of them. A batch's chunks are told
+    apart and put together again as Arrow arrays; only those that differ are Python objects. That holds for files that
+    split texts as SPLITS says; with any other file, and where a special token may stand in a text, it is encoded whole."""
 
     most = 1_000_000
 
     def __init__(self, path: str | None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         if path is None:
             import public_tokenizers
@@ -74,51 +85,101 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, "rb") as f:
             told = json.load(f)
-        added = [t["content"] for t in told.get("added_tokens") or ()]
-        self.chunked = all(told.get(k) == v for k, v in SPLITS.items()) and not told.get("post_processor") and all(t.startswith("<|") for t in added)
+        self.added = [t["content"].encode().lower() for t in told.get("added_tokens") or ()]
+        self.chunked = all(told.get(k) == v for k, v in SPLITS.items()) and not told.get("post_processor")
         self.joint = self.ids([";"])[0] if self.chunked else b""
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # for plain letters: the same model without normal forms and the pattern, and which ids end a token group
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)]
+        )
+        vocabulary, last = self.tokenizer.get_vocab(), told["model"].get("end_of_word_suffix")
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if last and t.endswith(last)]] = True
+
+    def ids(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def together(self, chunks: list[tuple[bytes, str]], sep: str, tokenizer, starts) -> list[tuple[bytes, str]]:
+        """Encode chunks many in a call, ``sep`` between them; ``starts`` tells where each one's ids start and end. Those
+        of a call that comes apart otherwise than it was put together are returned."""
+        left = []
+        for k in range(0, len(chunks), 2000):
+            part = chunks[k : k + 2000]
+            got = self.ids([sep.join([text for _, text in part])], tokenizer)[0]
+            firsts, lasts = starts(np.frombuffer(got, "<u4"))
+            if len(firsts) == len(part):
+                self.update((w, got[a:b]) for (w, _), a, b in zip(part, (4 * firsts).tolist(), (4 * lasts).tolist(), strict=True))
+            else:
+                left += part
+        return left
 
     def learn(self, chunks: list[bytes]) -> None:
-        """Encode chunks, many in a call: semicolons between them show where each one's ids end. Chunks whose normal form
-        may hold a semicolon or a special token are encoded by themselves, as are those of a call that comes apart
-        otherwise than it was put together."""
-        alone, plain = [], []
+        """Plain letters go together between blanks, others between semicolons. Chunks whose normal form may hold a
+        semicolon are encoded by themselves."""
+        plain, mixed, alone = [], [], []
         for w in chunks:
             text = w.decode("utf-8", "replace")
-            odd = b";" in w or b"<|" in w or not w.isascii() and ";" in unicodedata.normalize("NFC", text)
-            (alone if odd else plain).append((w, text))
-        joint = np.frombuffer(self.joint, "<u4")[0]
-        for k in range(0, len(plain), 2000):
-            part = plain[k : k + 2000]
-            got = np.frombuffer(self.ids([" ; ".join([text for _, text in part])])[0], "<u4")
-            found = np.split(got, np.flatnonzero(got == joint))
-            if len(found) == len(part):
-                self.update((w, (x[1:] if len(x) and x[0] == joint else x).tobytes()) for (w, _), x in zip(part, found, strict=True))
+            if w and PLAIN.fullmatch(text):
+                plain.append((w, text))
             else:
-                alone += part
+                odd = b";" in w or not w.isascii() and ";" in unicodedata.normalize("NFC", text)
+                (alone if odd else mixed).append((w, text))
+        joint = np.frombuffer(self.joint, "<u4")[0]
+
+        def by_group(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ends = np.flatnonzero(self.last[ids]) + 1
+            return np.r_[0, ends[:-1]], ends
+
+        def by_joint(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.flatnonzero(ids == joint)
+            return np.r_[0, at + 1], np.r_[at, len(ids)]
+
+        mixed += self.together(plain, " ", self.letters, by_group)
+        alone += self.together(mixed, " ; ", self.tokenizer, by_joint)
         self.update(zip([w for w, _ in alone], self.ids([text for _, text in alone]), strict=True))
 
-    def streams(self, texts: list[bytes | None]) -> list[bytes]:
+    def streams(self, texts: pa.Array | list[bytes | None]) -> list[bytes]:
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_binary()), b"").cast(pa.large_binary())
+        # a copy whose offsets start at 0: ascii_lower misreads those of a slice
+        texts = texts.take(pa.array(np.arange(len(texts))))
         if not self.chunked:
-            return self.ids([(x or b"").decode("utf-8", "replace") for x in texts])
-        # a special token's own string is matched before lower-casing, so texts that may hold one keep their case
-        split = [(x if b"<|" in x else x.lower()).replace(b"\n", b" ").split(b" ") for x in (x or b"" for x in texts)]
+            return self.ids([x.decode("utf-8", "replace") for x in texts.to_pylist()])
+        lower = pc.ascii_lower(texts.view(pa.large_string())).view(pa.large_binary())
+        # a special token's own string is matched before lower-casing
+        special = np.zeros(len(texts), bool)
+        for t in self.added:
+            special |= pc.match_substring(lower, t).to_numpy(zero_copy_only=False)
+        special = np.flatnonzero(special)
+        if len(special):
+            whole = [texts[int(k)].as_py().decode("utf-8", "replace") for k in special]
+            keep = np.ones(len(texts), bool)
+            keep[special] = False
+            out = dict(zip(special.tolist(), self.ids(whole), strict=True)) | dict(zip(np.flatnonzero(keep).tolist(), self.streams(texts.filter(pa.array(keep))), strict=True))
+            return [out[k] for k in range(len(texts))]
+        words = pc.split_pattern(pc.replace_substring(lower, "\n", " "), " ")
+        told = words.flatten().dictionary_encode()
+        _, offsets, data = told.dictionary.buffers()
+        ends, data = np.frombuffer(offsets, np.int64, len(told.dictionary) + 1).tolist(), data.to_pybytes() if data else b""
+        chunks = [data[a:b] for a, b in zip(ends, ends[1:])]
         if len(self) > self.most:
             self.clear()
-        found = [[*map(self.get, words)] for words in split]
-        holes = [[k for k, x in enumerate(ids) if x is None] for ids in found]
-        new = {words[k] for words, own in zip(split, holes, strict=True) for k in own}
-        stem = {w: w[:-1] for w in new if w[-1:] in b".," and w[-2:-1].isalpha()}
-        self.learn([*({*(w for w in new if w not in stem), *stem.values(), b".", b","} - self.keys())])
+        found = [*map(self.get, chunks)]
+        holes = [k for k, x in enumerate(found) if x is None]
+        new = [chunks[k] for k in holes]
+        stem = {w: core for w in new if w[-1:] in SIGNS and (core := w.rstrip(SIGNS))[-1:].isalpha()}
+        parts = {*stem.values(), *(w[len(core) :] for w, core in stem.items())}
+        self.learn([*({*(w for w in new if w not in stem), *parts} - self.keys())])
         for w, core in stem.items():
-            self[w] = self[core] + self[w[-1:]]
-        for words, ids, own in zip(split, found, holes, strict=True):
-            for k in own:
-                ids[k] = self[words[k]]
-        return [*map(b"".join, found)]
+            self[w] = self[core] + self[w[len(core) :]]
+        for k, w in zip(holes, new, strict=True):
+            found[k] = self[w]
+        joined = pa.array(found, pa.large_binary()).take(told.indices)
+        # the ids of all chunks lie one after another: a text's are a slice
+        _, offsets, data = joined.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(joined) + 1)[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        data = memoryview(data) if data else b""
+        return [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 @functools.cache
@@ -136,7 +197,7 @@ def pieces(docs: DataFrame, params: PackParams = PackParams(), with_ids: bool =
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
             rows, ids = [], []
-            for doc_id, stream in zip(b["doc_id"].to_pylist(), streams(b["text"].to_pylist()), strict=True):
+            for doc_id, stream in zip(b["doc_id"].to_pylist(), streams(b["text"]), strict=True):
                 stream += end
                 for at in range(0, len(stream), whole):
                     part = stream[at : at + whole]

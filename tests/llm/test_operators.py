@@ -10,6 +10,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -502,6 +503,17 @@ def test_chunks_are_encoded_as_the_whole():
     own = packing.Encoder(None)
     assert "\u037e" in chars and own.chunked
     assert own.streams([x.encode() for x in texts]) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    # plain letters, signs behind and before them, strings of special tokens, in slices of an array as well
+    rng = np.random.default_rng(1)
+    letters = [chr(c) for c in (*range(0x61, 0x7B), *range(0xDF, 0x100), *range(0x3B1, 0x3CA), *range(0x430, 0x460))]
+    signs = [*"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "&&&", "'s", "'", "<|", "|>", "<|endoftext|>", "<|EndOfText|>", "7", "É", "Я", "\u0301", "₤", "\t", "\n", " "]
+    mixed = ["".join(rng.choice(letters + signs * 2 + [" "] * 20, 60)) for _ in range(400)] + [" ".join(letters), "".join(letters), *letters, *signs]
+    wanted = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in mixed]
+    whole = pa.array([x.encode() for x in mixed], pa.binary())
+    assert own.streams(whole) == wanted
+    again = packing.Encoder(None)
+    assert sum((again.streams(whole.slice(k, 37)) for k in range(0, len(mixed), 37)), []) == wanted
+    assert again.streams(whole.slice(0, 0)) == [] and again.streams([None, b""]) == [b"", b""]
     # files that split texts otherwise are not cut into chunks
     other = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     byte = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
