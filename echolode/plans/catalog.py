@@ -271,6 +271,12 @@ best AS (SELECT * FROM mat QUALIFY row_number() OVER (PARTITION BY fa, fb ORDER
 grp AS (SELECT fa, fb, max(sim) AS score, count(*) AS n, max(CASE WHEN 'FUNC' IN (ak, bk) THEN sim END) AS f, max(CASE WHEN 'EXP' IN (ak, bk) THEN sim END) AS x, count_if('WIN' IN (ak, bk)) AS w,
     least(max(a_e) - min(a_s), max(b_e) - min(b_s)) + 1 AS lines FROM mat GROUP BY fa, fb)"""
 
+#: Both searches are exact.
+_KNN = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v),
+    s AS (SELECT a.vec_id AS a_pos, b.vec_id AS b_pos, round(list_inner_product(a.e, b.e), 9) AS score FROM n a, n b)
+    SELECT a_pos, b_pos, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY a_pos ORDER BY score DESC, b_pos) <= 25"""
+
 
 def oracle_sql() -> dict[str, str]:
     conv = "conv_id || '-' || turn"
@@ -284,10 +290,8 @@ def oracle_sql() -> dict[str, str]:
             FROM b a JOIN b ON a.item_id < b.item_id) WHERE 5 * shared >= joint AND shared > 0""",
         "stub_embedding": """WITH r AS (SELECT item_id, list_transform(range(0, 16), lambda i: ('0x' || substr(sha256(coalesce(text, '')), 2 * i + 1, 2))::INT / 255.0::DOUBLE) AS v FROM benchmark)
             SELECT item_id, place::INTEGER AS place, round(v[place + 1] / sqrt(list_sum(list_transform(v, lambda y: y * y))), 6) AS x FROM (SELECT *, unnest(range(0, 16)) AS place FROM r)""",
-        "knn_exact": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-            n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v),
-            s AS (SELECT a.vec_id AS a_pos, b.vec_id AS b_pos, round(list_inner_product(a.e, b.e), 9) AS score FROM n a, n b)
-            SELECT a_pos, b_pos, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY a_pos ORDER BY score DESC, b_pos) <= 25""",
+        "knn_exact": _KNN,
+        "knn_cells": _KNN,
         "candidates": f"WITH {_CHAIN} SELECT {_SIDES}, round(similarity, 6) AS similarity FROM cand",
         "span_matches": f"WITH {_CHAIN} SELECT {_SIDES}, round(similarity, 6) AS similarity FROM mat",
         "findings": f"WITH {_CHAIN} SELECT fn_a, fn_b, round(score, 6) AS score, duplicated_lines, 'window' AS reasons FROM fin JOIN cov USING (fn_a, fn_b)",
