@@ -75,21 +75,27 @@ def passes(policy: str) -> Column:
     return F.col("fail_bits").bitwiseAND(F.lit(mask(policy))) == 0
 
 
+def alone(policy: str) -> Column:
+    """The bit of the one rule without which the policy would keep the row, 0 where there is no such rule."""
+    bits = F.col("fail_bits").bitwiseAND(F.lit(mask(policy)))
+    return F.when(F.bit_count(bits) == 1, bits).otherwise(0)
+
+
 def ablation(rows: DataFrame, policy: str) -> DataFrame:
     """rule, failed (rows that fail it), alone (rows that only it drops), for each rule of a policy, and all bits that
     were ever set; one pass with partial aggregation."""
     own = [(r, 1 << list(RULES).index(r)) for r in POLICIES[policy]]
     hit = lambda bit: F.col("fail_bits").bitwiseAND(F.lit(bit))
-    sums = [x for r, bit in own for x in (F.count_if(hit(bit) != 0).alias(f"failed_{r}"), F.count_if(hit(mask(policy)) == bit).alias(f"alone_{r}"))]
+    sums = [x for r, bit in own for x in (F.count_if(hit(bit) != 0).alias(f"failed_{r}"), F.count_if(alone(policy) == bit).alias(f"alone_{r}"))]
     one = rows.agg(F.coalesce(F.bit_or("fail_bits"), F.lit(0)).alias("ever"), *sums)
     each = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"failed_{r}").alias("failed"), F.col(f"alone_{r}").alias("alone"), (F.col("ever").bitwiseAND(F.lit(bit)) != 0).alias("ever")) for r, bit in own])
     return one.select(F.inline(each))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op10: the ledger of every document under the newest policy."""
+    """op10: the ledger of every document under the newest policy, with the bit of the rule that alone drops it."""
     rows = ledger(documents(spark, sf_dir))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base")).alias("base_failed"), passes("v1").alias("kept"), "fail_bits")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes("base")).alias("base_failed"), passes("v1").alias("kept"), "fail_bits", alone("v1").alias("alone_bit"))
 
 
 SQL = r"""
@@ -111,5 +117,6 @@ b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) | (CASE WHEN 100 * n_
              | (CASE WHEN word_chars > 15 * n_words THEN 16 ELSE 0 END) | (CASE WHEN word_chars < 2 * n_words THEN 32 ELSE 0 END) AS fail_bits
       FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
-       fail_bits = 0 AS kept, fail_bits::INTEGER AS fail_bits FROM b
+       fail_bits = 0 AS kept, fail_bits::INTEGER AS fail_bits,
+       CASE WHEN bit_count(fail_bits) = 1 THEN fail_bits ELSE 0 END::INTEGER AS alone_bit FROM b
 """
