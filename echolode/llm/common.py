@@ -29,14 +29,17 @@ def fold(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = 2000) -> DataFrame:
-    """mapInArrow with state for each task: ``make`` runs once a task and returns the function of up to ``rows`` rows."""
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, rows: int = 2000, done: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow with state for each task: ``make`` runs once a task and returns the function of up to ``rows`` rows;
+    ``done`` runs when the task's rows are through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 yield work(batch.slice(start, rows))
+        if done:
+            done()
 
     return df.mapInArrow(run, schema)
 

@@ -72,7 +72,7 @@ class Encoder(dict):
     apart and put together again as Arrow arrays; only those that differ are Python objects. That holds for files that
     split texts as SPLITS says; with any other file, and where a special token may stand in a text, it is encoded whole."""
 
-    most = 1_000_000
+    most = 400_000
 
     def __init__(self, path: str | None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -184,10 +184,16 @@ class Encoder(dict):
 
 @functools.cache
 def encoder(path: str | None) -> Encoder:
-    """One for a Python worker: what a task has learnt serves the next ones of the same process."""
+    """One for a Python worker: reading the file is slow."""
     return Encoder(path)
 
 
+def forget(path: str | None) -> None:
+    """Give back what a task has learnt: the worker lives on, and later stages need the memory."""
+    encoder(path).clear()
+    pa.default_memory_pool().release_unused()
+
+
 def pieces(docs: DataFrame, params: PackParams = PackParams(), with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of every piece; ``ids`` (array of int) too if asked for."""
     whole, end = 4 * params.length, np.array([params.end_id], "<u4").tobytes()
@@ -211,7 +217,7 @@ def pieces(docs: DataFrame, params: PackParams = PackParams(), with_ids: bool =
         return work
 
     raw = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return map_rows(raw, make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids, rows=500)
+    return map_rows(raw, make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids, rows=500, done=functools.partial(forget, params.vocabulary))
 
 
 Pattern = tuple[tuple[int, int], ...]  # (class, how many), classes falling
