@@ -52,7 +52,9 @@ kw mb gb tb hz khz mhz ghz""".split()
 #: a word, and one with a capital letter; what precedes the capital is never looked at twice
 WORD = r"\\p{L}[\\p{L}\\p{M}\\p{N}]*"
 CAPITAL = r"(?=\\p{L})[\\p{L}\\p{M}\\p{N}&&[^\\p{Lu}]]*+\\p{Lu}[\\p{L}\\p{M}\\p{N}]*+"
-TOKEN = rf"\\p{{N}}+(?:[.,:/]\\p{{N}}+)*|{CAPITAL}(?:[ \\n]+{CAPITAL})*|{WORD}"
+#: groups are repeated possessively, which Java does in a loop; else each repetition takes stack, and a long text's names or
+#: numbers overflow it, which ends the executor. Nothing follows them, so what matches is the same
+TOKEN = rf"\\p{{N}}++(?:[.,:/]\\p{{N}}++)*+|{CAPITAL}(?:[ \\n]++{CAPITAL})*+|{WORD}"
 
 
 def _tokens(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:

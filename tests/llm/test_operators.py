@@ -454,6 +454,17 @@ def test_decontamination_by_brute_force(spark):
     assert {(r.doc_id, r.item_id): r.verdict for r in got.collect()} == want
 
 
+def test_decontamination_long_names_and_numbers(spark):
+    # as one token each, which took the stack of a task (and ended the executor) before
+    item = "a train leaves Oslo at 9 with 120 kg of coal and takes 3 hours to reach the far city"
+    long = ["Aa Bb " * 30_000, "1.2:" * 30_000 + "5", "Aa\n \nB9 " * 20_000]
+    docs = docs_of(spark, [*long, f"{long[0]} . {item}", f"{long[1]} {item}"])
+    sizes = {r.doc: (r.a, r.b, r.c) for r in decontam._tokens(docs, "doc_id", "text", "doc").selectExpr("doc", "size(can) as a", "size(lit) as b", "size(tem) as c").where("doc < 3").collect()}
+    assert sizes == {0: (1, 60_000, 1), 1: (1, 1, 1), 2: (1, 40_000, 1)}
+    got = {r.doc_id: r.verdict for r in decontam.find(spark, docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {3: "copy", 4: "copy"}
+
+
 def test_decontamination_numbers_and_names(spark):
     bench = spark.createDataFrame([(1, "if Anna has 4 apples and gives 2 of them to Bob how many apples are left with her")], "item_id long, text string")
     texts = ["if Anna Maria Smith has \uff14 apples and gives \uff12 of them to Bob how many apples are left with her", "if Mary Jane has \u0664 apples and gives \u0662 of them to Jean Paul how many apples are left with her"]
