@@ -286,6 +286,26 @@ def test_ngram_join(spark, n, percent, block):
     assert {r.doc_id: r.n_links for r in rows if r.doc_id is not None} == dict(enumerate(linked))
 
 
+def test_ngram_join_by_chance(spark, monkeypatch):
+    # 12 sets, any two of which share one passage only: all were one neighbourhood before. Then near copies of some
+    rng = random.Random(5)
+    passage = {pair: " ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) for pair in itertools.combinations(range(12), 2)}
+    texts = [" ".join(passage[min(i, j), max(i, j)] for j in range(12) if i != j) for i in range(12)]
+    seen, of = [], ngram_join.connected_components
+    monkeypatch.setattr(ngram_join, "connected_components", lambda edges: seen.append(edges.where("src <> dst").count()) or of(edges))
+    got = {r.doc_id: r.component_id for r in ngram_join.join(spark, docs_of(spark, texts)).collect()}
+    assert [got[k] for k in range(12)] == list(range(12)) and not any(seen)
+    for k in range(40):
+        w = texts[k % 12 if k < 20 else 0].split()
+        for _ in range(rng.randrange(1, 8)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(9)}"
+        texts.append(" ".join(w[: rng.randrange(195, 221)]))
+    for rare in (1, 2, 4, 8):
+        monkeypatch.setattr(ngram_join, "RARE", rare)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark, docs_of(spark, texts)).collect()}
+        assert [got[k] for k in range(len(texts))] == brute_components(texts, 3, 90)
+
+
 def test_near_duplicate_stage(spark):
     text = " ".join(f"w{k}" for k in range(200))
     docs = docs_of(spark, [text, text, text + " more", "other words entirely here now", None, ""])
