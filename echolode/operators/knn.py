@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: bytes of a block of vectors; a task holds two
+#: bytes of a block of vectors; a task holds two and the best of one
 BLOCK_BYTES = 16 << 20
+#: rows and columns of a tile of scores, which stays in a core's cache
+TILE = (256, 4096)
 #: decimals of a score: float noise does not decide between ties, which go to the lower position
 DECIMALS = 9
 
@@ -29,17 +31,61 @@ def _best(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(W.partitionBy("a_pos").orderBy(F.desc("score"), "b_pos"))).where(F.col("rank") <= k)
 
 
-def knn(vectors: DataFrame, k: int, least: float | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """a_pos, b_pos, score, rank: the ``k`` best of all rows for each row (itself one of them), by (pos, vec array).
-
-    Pairs below ``least`` may be left out. Equal vectors are searched for once, and are found once: the search is
-    among distinct vectors, and of the positions of each the first k can be among the best. They are cut into blocks of
-    bounded size, written to the shared folder; each pair of blocks is a row of a join and one product of matrices,
-    whose k best a row are kept; nothing passes through the driver. Null and empty vectors take no part."""
-    spark, schema = vectors.sparkSession, "a_pos long, b_pos long, score double"
-    if k <= 0:
-        return spark.createDataFrame([], schema + ", rank int")
-    scratch = Scratch(spark)
+class Search:
+    """The k best so far of a block's vectors, by score, then position. Products are made in tiles of single precision and held
+    against each row's k-th best less the error they may have; what is left is scored in double precision."""
+
+    def __init__(self, at: np.ndarray, a: np.ndarray, k: int, least: float | None) -> None:
+        self.at, self.a, self.k, self.low = at, a, k, a.astype(np.float32)
+        self.error = (a.shape[1] + 8) * 6e-8 + 1e-8
+        self.least, self.fresh = -np.inf if least is None else least - 1e-6, True
+        self.score, self.pos = np.full((len(at), k), -np.inf), np.zeros((len(at), k), np.int64)
+
+    def look(self, b_at: np.ndarray, b: np.ndarray, asking: np.ndarray | None = None) -> None:
+        """Hold the block's vectors, or those numbered ``asking``, against others."""
+        asking, low = np.arange(len(self.at)) if asking is None else asking, b.astype(np.float32)
+        for start in range(0, len(asking), TILE[0]):
+            rows = asking[start : start + TILE[0]]
+            mine, held, i, j = self.low[rows], 0, [], []
+            floor = self.floor(rows)
+            for at in range(0, len(b), TILE[1]):
+                s = mine @ low[at : at + TILE[1]].T
+                if at == 0 and s.shape[1] > self.k and (self.fresh or np.isneginf(self.least)) and np.isneginf(self.score[rows, -1]).any():
+                    # the k best of this tile alone are a bound for all that follows
+                    floor = np.maximum(floor, np.partition(s, -self.k, axis=1)[:, -self.k] - np.float32(2 * self.error))
+                x, y = np.divmod(np.flatnonzero(s >= floor[:, None]), s.shape[1])
+                i, j, held = [*i, x], [*j, y + at], held + len(x)
+                if held > 4 * TILE[0] * self.k:
+                    floor = self.merge(rows, np.concatenate(i), np.concatenate(j), b_at, b)
+                    held, i, j = 0, [], []
+            if held:
+                self.merge(rows, np.concatenate(i), np.concatenate(j), b_at, b)
+        self.fresh = False
+
+    def floor(self, rows: np.ndarray) -> np.ndarray:
+        return (np.maximum(self.score[rows, -1], self.least) - self.error).astype(np.float32)
+
+    def merge(self, rows: np.ndarray, i: np.ndarray, j: np.ndarray, b_at: np.ndarray, b: np.ndarray) -> np.ndarray:
+        s = np.round(np.einsum("ij,ij->i", self.a[rows[i]], b[j]), DECIMALS)
+        good = s >= self.least
+        have_i, have_k = np.nonzero(self.score[rows] > -np.inf)
+        i, s, pos = np.concatenate([i[good], have_i]), np.concatenate([s[good], self.score[rows[have_i], have_k]]), np.concatenate([b_at[j[good]], self.pos[rows[have_i], have_k]])
+        order = np.lexsort((pos, -s, i))
+        i, s, pos = i[order], s[order], pos[order]
+        nth = np.arange(len(i)) - np.searchsorted(i, i)
+        i, s, pos, nth = (x[nth < self.k] for x in (i, s, pos, nth))
+        self.score[rows[i], nth], self.pos[rows[i], nth] = s, pos
+        return self.floor(rows)
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(self.at), 4096):
+            score, pos, at = (x[start : start + 4096] for x in (self.score, self.pos, self.at))
+            i, n = np.nonzero(score > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(at[i]), pa.array(pos[i, n]), pa.array(score[i, n])], names=["a_pos", "b_pos", "score"])
+
+
+def _distinct(scratch: Scratch, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pos, data), unit vectors as bytes, and (data, rep), the distinct ones. Null and empty vectors take no part."""
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -48,12 +94,13 @@ def knn(vectors: DataFrame, k: int, least: float | None = None, block_bytes: int
 
     known = vectors.where(F.col("vec").isNotNull() & (F.size("vec") > 0)).select("pos", F.col("vec").cast("array<double>").alias("vec"))
     told = scratch.cut(known.mapInArrow(units, "pos long, data binary"), "told")
-    reps = scratch.cut(told.groupBy("data").agg(F.min("pos").alias("rep")), "reps")
-    n, width = reps.agg(F.count("*"), F.max(F.octet_length("data"))).first()
-    if not n:
-        return spark.createDataFrame([], schema + ", rank int")
-    cores = spark.sparkContext.defaultParallelism
-    many = max(-(-n * width // block_bytes), min(cores, n))
+    return told, scratch.cut(told.groupBy("data").agg(F.min("pos").alias("rep")), "reps")
+
+
+def _searched(scratch: Scratch, told: DataFrame, numbered: DataFrame, many: int, k: int, least: float | None, cells: tuple[list[int], np.ndarray, np.ndarray, int] | None = None) -> DataFrame:
+    """The k best for each row of ``told``, by distinct vectors (rep, data, block). A block is held against all ``many``, its own
+    first, and only its k best leave the task. ``cells``: of each block its cell; centers and widest angles of cells, and the
+    number of nearest blocks that are searched before the bound on angles is asked."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each block: its number, positions and vectors as bytes, one after the other."""
@@ -72,37 +119,65 @@ def knn(vectors: DataFrame, k: int, least: float | None = None, block_bytes: int
     def row(block: int, at: list[int], data: list[bytes]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.array(at, np.int64).tobytes()], pa.binary()), pa.array([b"".join(data)], pa.binary())], names=["block", "at", "data"])
 
-    numbered = reps.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(many)).cast("int"))
     blocks = scratch.cut(numbered.repartition("block").sortWithinPartitions("block", "rep").select("block", "rep", "data").mapInArrow(packed, "block int, at binary, data binary"), "blocks")
-    asked = blocks.select(F.col("at").alias("a_at"), F.col("data").alias("a_data"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("block"))
-    pairs = asked.hint("shuffle_hash").join(blocks, "block").select("a_at", "a_data", "at", "data")
+    if cells:
+        of, centers, wide, probes = cells
+        order = np.arccos(np.clip(centers[of] @ centers[of].T, -1, 1)) + 10.0 * (1 - np.eye(many))
+        place = np.argsort(np.argsort(order, axis=1, kind="stable"), axis=1)
+        ranks = told.sparkSession.createDataFrame(pa.table({"a": np.repeat(np.arange(many, dtype=np.int32), many), "block": np.tile(np.arange(many, dtype=np.int32), many), "place": place.ravel().astype(np.int32)}))
+        pairs = blocks.join(F.broadcast(ranks), "block").select("a", "place", "block", "at", "data")
+    else:
+        pairs = blocks.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).select("a", (F.col("block") != F.col("a")).cast("int").alias("place"), "block", "at", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, search, angles = None, None, None
         for batch in batches:
             for r in range(batch.num_rows):
-                a_at, b_at = (np.frombuffer(batch[c][r].as_buffer(), np.int64) for c in ("a_at", "at"))
-                a, b = (np.frombuffer(batch[c][r].as_buffer(), float).reshape(len(at), -1) for c, at in (("a_data", a_at), ("data", b_at)))
-                for at in range(0, len(a_at), 256):
-                    yield scored(a_at[at : at + 256], a[at : at + 256], b_at, b)
-
-    def scored(a_at: np.ndarray, a: np.ndarray, b_at: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        s = np.round(np.einsum("ij,kj->ik", a, b, optimize=True), DECIMALS)
-        floor = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])]
-        i, j = np.nonzero(s >= (floor if least is None else np.maximum(floor, least - 1e-6))[:, None])
-        order = np.lexsort((j, -s[i, j], i))  # positions rise within a block
-        i, j = i[order], j[order]
-        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-        i, j = i[keep], j[keep]
-        return pa.RecordBatch.from_arrays([pa.array(a_at[i]), pa.array(b_at[j]), pa.array(s[i, j])], names=["a_pos", "b_pos", "score"])
-
-    best = _best(pairs.mapInArrow(run, schema), k).drop("rank").toDF("a_rep", "b_rep", "score")
+                a, place, block = (batch[c][r].as_py() for c in ("a", "place", "block"))
+                at = np.frombuffer(batch["at"][r].as_buffer(), np.int64)
+                data = np.frombuffer(batch["data"][r].as_buffer(), float).reshape(len(at), -1)
+                if a != now and search:
+                    yield from search.found()
+                if a != now:
+                    now, search = (a, Search(at.copy(), data.copy(), k, least)) if a == block else (a, None)
+                    angles = np.arccos(np.clip(data @ centers.T, -1, 1)) if cells and search else None
+                if not search:  # a block without rows asks nothing
+                    continue
+                asking = None
+                if cells and place >= probes:
+                    asking = np.flatnonzero(np.cos(np.maximum(0, angles[:, of[block]] - wide[of[block]])) >= search.score[:, -1] - 1e-6)
+                search.look(at, data, asking)
+        if search:
+            yield from search.found()
+
+    best = pairs.repartitionById(many, F.col("a")).sortWithinPartitions("a", "place", "block").mapInArrow(run, "a_pos long, b_pos long, score double").toDF("a_rep", "b_rep", "score")
     # back to rows: the first k positions of a neighbour's class are enough
-    members = told.join(reps, "data").select("rep", "pos")
+    members = told.join(numbered.select("data", "rep"), "data").select("rep", "pos")
     first = members.withColumn("nth", F.row_number().over(W.partitionBy("rep").orderBy("pos"))).where(F.col("nth") <= k)
     few = _best(best.join(first.select(F.col("rep").alias("b_rep"), F.col("pos").alias("b_pos")), "b_rep").select(F.col("a_rep").alias("a_pos"), "b_pos", "score"), k)
     return few.withColumnRenamed("a_pos", "a_rep").join(members.toDF("a_rep", "a_pos"), "a_rep").select("a_pos", "b_pos", "score", "rank")
 
 
+def knn(vectors: DataFrame, k: int, least: float | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """a_pos, b_pos, score, rank: the ``k`` best of all rows for each row (itself one of them), by (pos, vec array).
+
+    Pairs below ``least`` may be left out. Equal vectors are searched for once, and are found once: the search is
+    among distinct vectors, and of the positions of each the first k can be among the best. They are cut into blocks of
+    bounded size, written to the shared folder; a task holds one block's vectors and their k best, and all blocks pass
+    through it, so nothing passes through the driver. Null and empty vectors take no part."""
+    spark = vectors.sparkSession
+    empty = "a_pos long, b_pos long, score double, rank int"
+    if k <= 0:
+        return spark.createDataFrame([], empty)
+    scratch = Scratch(spark)
+    told, reps = _distinct(scratch, vectors)
+    n, width = reps.agg(F.count("*"), F.max(F.octet_length("data"))).first()
+    if not n:
+        return spark.createDataFrame([], empty)
+    many = max(-(-n * width // block_bytes), min(2 * spark.sparkContext.defaultParallelism, n))
+    return _searched(scratch, told, reps.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(many)).cast("int")), many, k, least)
+
+
 def knn_sql(vectors: DataFrame, k: int) -> DataFrame:
     """The same in plain SQL, for reading and for tests: every pair is made, so use it on small tables only."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -114,36 +189,35 @@ def knn_sql(vectors: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(W.partitionBy("a_pos").orderBy(F.desc("score"), "b_pos"))).where(F.col("rank") <= k)
 
 
-def knn_cells(vectors: DataFrame, k: int, cells: int = 128, probes: int = 8, sample: int = 50_000) -> DataFrame:
-    """Exact by k-means cells fitted on at most about ``sample`` rows: each row is compared with the rows of its
-    ``probes`` nearest cells, then with those of every other cell that may hold a row as near as its k-th best. A cell
-    holds none if the angle to its center, less its widest angle, is larger than the k-th best's. Where cells are wide
-    for their distance, as with vectors without clusters, that is nearly all cells."""
+def knn_cells(vectors: DataFrame, k: int, cells: int = 128, probes: int = 8, sample: int = 50_000, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Exact by k-means cells fitted on at most about ``sample`` rows: the rows of a cell are compared with those of the
+    ``probes`` cells nearest to it (itself the first), then with those of every other cell that may hold a row as near as
+    their k-th best. A cell holds none for a row if the angle to its center, less its widest angle, is larger than the k-th
+    best's. Where cells are wide for their distance, as with vectors without clusters, that is nearly all cells. A cell is
+    a block of the search, or more of them if it is over ``block_bytes``."""
     vectors = vectors.where(F.col("vec").isNotNull() & (F.size("vec") > 0))
-    n = vectors.count()
-    if n < cells or k <= 0:
+    if k <= 0:
         return knn(vectors, k)
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = vectors.select("pos", F.col("vec").cast("array<double>").alias("vec")).withColumn("norm", F.sqrt(dot(F.col("vec"), F.col("vec"))))
-    known = v.where("norm > 0").withColumn("features", array_to_vector("vec"))  # zero vectors have no direction
-    v = v.withColumn("norm", F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm")))
-    if not known.head(1):
+    scratch = Scratch(vectors.sparkSession)
+    told, reps = _distinct(scratch, vectors)
+    n, width = reps.agg(F.count("*"), F.max(F.octet_length("data"))).first()
+    known = vectors.where(F.exists("vec", lambda x: x != 0)).select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))  # zero vectors have no direction
+    if n < cells or not known.head(1):
         return knn(vectors, k)
-    model = KMeans(k=cells, seed=7, distanceMeasure="cosine", maxIter=10).fit(known.sample(min(1.0, sample / n), seed=7))
-    centers = F.array(*[F.array(*map(F.lit, c / (np.linalg.norm(c) or 1))) for c in (np.asarray(c) for c in model.clusterCenters())])
-    angle = lambda c: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("vec"), c) / F.col("norm"))))
-    near = F.sort_array(F.transform(centers, lambda c, i: F.struct(angle(c).alias("angle"), i.alias("cell"))))
-    routed = v.select("pos", "vec", "norm", near.alias("near"))
-    index = routed.select(F.col("pos").alias("b_pos"), F.col("vec").alias("b_vec"), F.col("norm").alias("b_norm"), F.col("near")[0]["cell"].alias("cell"))
-    ask = routed.select(F.col("pos").alias("a_pos"), F.col("vec").alias("a_vec"), F.col("norm").alias("a_norm"), "near")
-    score = F.round(dot(F.col("a_vec"), F.col("b_vec")) / (F.col("a_norm") * F.col("b_norm")), DECIMALS).alias("score")
-    best = lambda d: d.withColumn("rank", F.row_number().over(W.partitionBy("a_pos").orderBy(F.desc("score"), "b_pos"))).where(F.col("rank") <= k)
-    first = best(ask.withColumn("cell", F.explode(F.expr(f"transform(slice(near, 1, {int(probes)}), x -> x.cell)"))).join(index, "cell").select("a_pos", "b_pos", score))
-    # fewer than k found: any score may still be among the best
-    kth = first.groupBy("a_pos").agg(F.when(F.count("*") == k, F.min("score")).alias("kth"))
-    wide = routed.groupBy(F.col("near")[0]["cell"].alias("cell")).agg(F.max(F.col("near")[0]["angle"]).alias("wide"))
-    rest = ask.withColumn("far", F.explode(F.expr(f"slice(near, {int(probes) + 1}, {cells})"))).select("a_pos", "a_vec", "a_norm", F.col("far.cell").alias("cell"), F.col("far.angle").alias("angle"))
-    rest = rest.join(F.broadcast(wide), "cell").join(kth, "a_pos", "left")
-    rest = rest.where(F.col("kth").isNull() | (F.cos(F.greatest(F.lit(0.0), F.col("angle") - F.col("wide"))) >= F.col("kth") - 1e-6))
-    more = rest.join(index, "cell").select("a_pos", "b_pos", "kth", score).where(F.col("kth").isNull() | (F.col("score") >= F.col("kth"))).drop("kth")
-    return best(first.drop("rank").unionByName(more))
+    model = KMeans(k=cells, seed=7, distanceMeasure="cosine", maxIter=10).fit(known.sample(min(1.0, sample / vectors.count()), seed=7))
+    centers = _unit(np.array([np.asarray(c) for c in model.clusterCenters()]))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                angle = np.arccos(np.clip(np.frombuffer(b"".join(b["data"].to_pylist()), float).reshape(b.num_rows, -1) @ centers.T, -1, 1))
+                yield pa.RecordBatch.from_arrays([b["rep"], b["data"], pa.array(angle.argmin(axis=1).astype(np.int32)), pa.array(angle.min(axis=1))], names=["rep", "data", "cell", "angle"])
+
+    routed = scratch.cut(reps.select("rep", "data").mapInArrow(nearest, "rep long, data binary, cell int, angle double"), "routed")
+    wide, of, starts, parts = np.zeros(len(centers)), [], [0] * len(centers), [1] * len(centers)
+    for cell, size, angle in sorted(tuple(r) for r in routed.groupBy("cell").agg(F.count("*"), F.max("angle")).collect()):  # one row a cell
+        wide[cell], starts[cell], parts[cell] = angle, len(of), -(-size * width // block_bytes)
+        of += [cell] * parts[cell]
+    at = lambda xs: F.get(F.array(*map(F.lit, xs)), F.col("cell"))
+    numbered = routed.select("rep", "data", (at(starts) + F.pmod(F.xxhash64("rep"), at(parts))).cast("int").alias("block"))
+    return _searched(scratch, told, numbered, len(of), k, None, (of, centers, wide, probes))

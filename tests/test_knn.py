@@ -13,3 +13,19 @@ def test_cells_lose_no_neighbour(spark):
     want = {(r.a_pos, r.b_pos, r.rank) for r in knn.knn(v, 12).collect()}
     for cells, probes in ((16, 2), (40, 1), (8, 8)):
         assert {(r.a_pos, r.b_pos, r.rank) for r in knn.knn_cells(v, 12, cells, probes).collect()} == want
+
+
+def test_blocks_give_their_best_only(spark, monkeypatch):
+    # a task hands on k rows a vector, however many blocks there are; before it was k for each pair of blocks
+    rng, seen, of = random.Random(4), [], knn._best
+    rows = [(k, [rng.random() for _ in range(6)]) for k in range(500)] + [(1000 + k, [1.0] * 6) for k in range(30)]
+    v = spark.createDataFrame(rows, "pos long, vec array<double>").cache()
+    for tile in ((256, 4096), (7, 20)):
+        monkeypatch.setattr(knn, "TILE", tile)
+        for least in (None, 0.97):
+            want = {(r.a_pos, r.b_pos, r.rank) for r in knn.knn_sql(v, 9).collect() if r.score >= (least or 0)}
+            got = {(r.a_pos, r.b_pos, r.rank) for r in knn.knn(v, 9, least, 2000).collect() if r.score >= (least or 0)}
+            assert got == want
+    monkeypatch.setattr(knn, "_best", lambda d, k: seen.append(d.count()) or of(d, k))
+    knn.knn(v, 9, None, 2000).count()
+    assert len(seen) == 1 and seen[0] <= 501 * (9 + 8)
