@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,10 +15,27 @@ from pyspark.sql import functions as F
 from ..config import Thresholds
 from ..functions import columns as C
 from .components import connected_components
+from .scratch import Scratch
+
+#: longs of the bits that stand for a token set
+LONGS = 8
 
 SIDE = ("pos", "kind", "fn_id", "path", "fn_start", "fn_end", "start_line", "end_line")
 
 
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """pos, n and s0, s1, ... of snippets (pos, tokens): the size of a token set, and a bit for each token."""
+    for b in batches:
+        n = pc.fill_null(pc.list_value_length(b["tokens"]), 0).to_numpy(zero_copy_only=False)
+        told = pc.list_flatten(b["tokens"]).dictionary_encode()
+        bit = np.array([zlib.crc32(t.encode()) % (64 * LONGS) for t in told.dictionary.to_pylist()], np.int64)
+        bits = np.zeros((b.num_rows, 64 * LONGS), bool)
+        if len(bit):
+            bits[np.repeat(np.arange(b.num_rows), n), bit[told.indices.to_numpy(zero_copy_only=False)]] = True
+        longs = np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64).reshape(b.num_rows, LONGS)
+        yield pa.RecordBatch.from_arrays([b["pos"], pa.array(n, pa.int64()), *(pa.array(longs[:, k].copy()) for k in range(LONGS))], names=["pos", "n", *(f"s{k}" for k in range(LONGS))])
+
+
 def candidates(snippets: DataFrame, near: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Directed pairs (a_*, b_*, cosine, lexical, similarity) that pass the lexical floor and the neighbour's threshold.
 
@@ -20,12 +43,16 @@ def candidates(snippets: DataFrame, near: DataFrame, t: Thresholds = Thresholds(
     s = snippets.select(*SIDE, "snippet_hash", "tokens")
     a, b = (s.select(*[F.col(c).alias(f"{x}_{c}") for c in s.columns]) for x in "ab")
     d = near.select("a_pos", "b_pos", F.col("score").alias("cosine")).where("a_pos <> b_pos")
-    # two sets overlap by the smaller's share of the larger at most, which rules most pairs out before tokens are moved
-    n, m = (s.select(F.col("pos").alias(f"{x}_pos"), F.size("tokens").alias(f"{x}_n")) for x in "ab")
-    most = F.when((F.col("a_n") == 0) | (F.col("b_n") == 0), 0.0).otherwise(F.least("a_n", "b_n") / F.greatest("a_n", "b_n"))
+    # what two sets can share at most rules most pairs out before tokens are moved: a bit that one set has and the other
+    # hasn't is a token that they don't share
+    narrow = Scratch(snippets.sparkSession).cut(s.select("pos", "tokens").mapInArrow(_bits, "pos long, n long, " + ", ".join(f"s{k} long" for k in range(LONGS))), "bits")
+    n, m = (narrow.select(*[F.col(c).alias(f"{x}_{c}") for c in narrow.columns]) for x in "ab")
+    without = lambda x, y: F.col(f"{x}_n") - sum((F.bit_count(F.col(f"{x}_s{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}_s{k}")))) for k in range(LONGS)), F.lit(0))
+    both = F.least(without("a", "b"), without("b", "a"))
+    most = F.when((F.col("a_n") == 0) | (F.col("b_n") == 0), 0.0).otherwise(C.let(both, lambda z: z / (F.col("a_n") + F.col("b_n") - z)))
     d = d.join(n, "a_pos").join(m, "b_pos").withColumn("most", most)
     d = d.where((F.col("most") >= t.lexical_min_ratio) & ((1 - t.lexical_weight) * F.col("cosine") + t.lexical_weight * F.col("most") >= min(t.func, t.win, t.exp) - 1e-9))
-    d = d.drop("most", "a_n", "b_n").join(a, "a_pos").join(b, "b_pos")
+    d = d.select("a_pos", "b_pos", "cosine").join(a, "a_pos").join(b, "b_pos")
     d = d.where("a_snippet_hash <> b_snippet_hash").withColumn("lexical", C.jaccard(F.col("a_tokens"), F.col("b_tokens")))
     d = d.withColumn("similarity", (1 - t.lexical_weight) * F.col("cosine") + t.lexical_weight * F.col("lexical"))
     if t.lexical_min_ratio > 0:

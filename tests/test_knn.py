@@ -2,7 +2,9 @@
 
 import random
 
-from echolode.operators import knn
+import numpy as np
+
+from echolode.operators import knn, matches
 
 
 def test_cells_lose_no_neighbour(spark):
@@ -29,3 +31,16 @@ def test_blocks_give_their_best_only(spark, monkeypatch):
     monkeypatch.setattr(knn, "_best", lambda d, k: seen.append(d.count()) or of(d, k))
     knn.knn(v, 9, None, 2000).count()
     assert len(seen) == 1 and seen[0] <= 501 * (9 + 8)
+
+
+def test_bits_bound_what_sets_share(spark):
+    rng = random.Random(6)
+    sets = [[f"t{rng.randrange(900)}" for _ in range(rng.choice([0, 1, 40, 300]))] for _ in range(60)]
+    sets = [sorted(set(x)) for x in sets]
+    rows = spark.createDataFrame(list(enumerate(sets)), "pos long, tokens array<string>").mapInArrow(matches._bits, "pos long, n long, " + ", ".join(f"s{k} long" for k in range(matches.LONGS))).collect()
+    bits = {r.pos: np.array(r[2:], np.int64) for r in rows}
+    assert {r.pos: r.n for r in rows} == {k: len(x) for k, x in enumerate(sets)}
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            least = sum(int(z).bit_count() for z in (bits[i] & ~bits[j]).view(np.uint64))
+            assert len(set(x) & set(y)) <= len(x) - least and (least or i != j or not x or set(x) <= set(y))
