@@ -306,6 +306,41 @@ def test_ngram_join_by_chance(spark, monkeypatch):
         assert [got[k] for k in range(len(texts))] == brute_components(texts, 3, 90)
 
 
+def test_ngram_join_gives_disk_back(spark, tmp_path, monkeypatch):
+    # shuffle files of written tables, and tables of prefixes and whole sets, stayed to the end before
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(40)]
+    texts += [t.replace("w1", "w2", 3) for t in texts]
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        found = [files.apply(k) for k in range(files.size())]
+        return {f.getName(): f.length() for f in found if f.getName().startswith("shuffle_")}
+
+    old, kept, of = set(shuffled()), [], ngram_join.connected_components
+
+    def components(edges):
+        for _ in range(50):  # files go a moment later
+            kept.append(sum(v for k, v in shuffled().items() if k not in old))
+            if kept[-1] < 10_000:
+                break
+            time.sleep(0.2)
+        return of(edges)
+
+    monkeypatch.setattr(ngram_join, "connected_components", components)
+    monkeypatch.setattr("echolode.operators.scratch.shared_dir", lambda _: f"file://{tmp_path}")
+    tidy = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    rows = ngram_join.join(spark, docs_of(spark, texts))
+    assert kept[-1] < 10_000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == tidy
+    assert {p.name for p in tmp_path.glob("echolode-*/*")} & {"sets", "classes", "left", "whole", "often", "nodes"} == set()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in rows.collect()}
+    for slices in (1, 7):
+        monkeypatch.setattr(ngram_join, "SLICES", slices)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark, docs_of(spark, texts)).collect()} == got
+    assert [got[k] for k in range(len(texts))] == brute_components(texts, 3, 90)
+
+
 def test_near_duplicate_stage(spark):
     text = " ".join(f"w{k}" for k in range(200))
     docs = docs_of(spark, [text, text, text + " more", "other words entirely here now", None, ""])
