@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, decontam, fixity, langid, lattice, manifest, ngram_join, packing, quality, secrets, sharding, toxicity
+from . import byte_cnn, decontam, dual_tree, fixity, langid, lattice, manifest, ngram_join, packing, quality, secrets, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fixity_audit": lambda spark, sf_dir: fixity.query(spark, sf_dir),
         "op9_packing": lambda spark, sf_dir: packing.query(spark, sf_dir),
         "op10_quality_ledger": lambda spark, sf_dir: quality.query(spark, sf_dir),
+        "op11_dual_tree": lambda spark, sf_dir: dual_tree.query(spark, sf_dir),
         "op12_merkle_manifest": lambda spark, sf_dir: manifest.query(spark, sf_dir),
         "op13_byte_cnn": lambda spark, sf_dir: byte_cnn.query(spark, sf_dir),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.SQL, "op8_fixity_audit": fixity.SQL, "op10_quality_ledger": quality.SQL, "op12_merkle_manifest": manifest.SQL}
+    return {"op4_sharding": sharding.SQL, "op8_fixity_audit": fixity.SQL, "op10_quality_ledger": quality.SQL, "op11_dual_tree": dual_tree.SQL, "op12_merkle_manifest": manifest.SQL}
