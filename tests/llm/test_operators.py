@@ -356,7 +356,7 @@ def test_decontamination(spark):
     items = [(1, "A train leaves Oslo at 9 with 120 kg of coal and takes 3 hours to reach the far city"), (2, "seven words are in this short item"), (3, None), (4, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     texts = ODD + ["before it. " + items[0][1].upper() + " after it", "A train leaves Bergen at 7 with 80 kg of coal and takes 5 hours to reach the far city", "so " + items[1][1] + " yes", "A train leaves the town and nothing else is like it at all"]
-    for rows in (decontam.BROADCAST_ROWS, 0):
+    for rows in (decontam.BROADCAST_BYTES, 0):
         got = {(r.doc_id, r.item_id): r.verdict for r in decontam.find(spark, docs_of(spark, texts), bench, rows).collect()}
         n = len(ODD)
         assert got == {(n, 1): "copy", (n + 1, 1): "reparameterised", (n + 2, 2): "copy"}
@@ -388,7 +388,7 @@ def test_decontamination_dense_items(spark):
     c, d = "Anna 5 of 7 Bob 9 in 3 Carl 11 by 2 Dora 8 at 6 Emil", "Fred 4 of 1 Gina 2 in 8 Hans 19 by 7 Ida 3 at 5 Jane"
     bench = spark.createDataFrame([(1, a), (2, c), (3, "1 2 3 4 5 6 7 8 9 10 11")], "item_id long, text string")
     texts = [f"then {b} then", f"Then 3 {d} then", d.replace("by", "for"), "21 22 23 24 25 26 27 28 29 30 31"]
-    for rows in (decontam.BROADCAST_ROWS, 0):
+    for rows in (decontam.BROADCAST_BYTES, 0):
         got = {(r.doc_id, r.item_id): r.verdict for r in decontam.find(spark, docs_of(spark, texts), bench, rows).collect()}
         assert got == {(0, 1): "reparameterised", (1, 2): "reparameterised"}
 
@@ -398,11 +398,40 @@ def test_decontamination_parts_and_edits(spark):
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate((long, mid, short))], "item_id long, text string")
     edited = [[*mid[:12], "other", *mid[13:25], "words", *mid[26:]], [*short[:7], "other", *short[8:]], [*short[:7], "one", "more", *short[7:]]]
     texts = [" ".join(w) for w in (long[100:250], long[100:150], long[100:149], *edited, short[:6])]
-    for rows in (decontam.BROADCAST_ROWS, 0):
+    for rows in (decontam.BROADCAST_BYTES, 0):
         got = {(r.doc_id, r.item_id): r.verdict for r in decontam.find(spark, docs_of(spark, texts), bench, rows).collect()}
         assert got == {(0, 0): "copy", (1, 0): "copy", (3, 1): "copy", (4, 2): "copy", (5, 2): "copy"}
 
 
+SAID = "read the text below with care and choose the one answer that is right for"
+
+
+def test_decontamination_shared_wording(spark):
+    """An instruction before several items is no sign of any; the items themselves, and one that is little else, are found."""
+    tails = ["the sea near this town", "a bird on that roof", "our road in deep snow", "the river under old stones"]
+    items = [(k, f"{SAID} {t}") for k, t in enumerate(tails)] + [(8, SAID), (9, f"{SAID} {tails[0]}")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [f"here: {SAID} nothing of them", f"so {SAID} {tails[2]} it is", f"only {tails[1]} alone", "x " + SAID.replace("text", "book") + " " + tails[3]]
+    for rows in (decontam.BROADCAST_BYTES, 0):
+        got = {(r.doc_id, r.item_id): (r.verdict, r.literal_hits, r.windows) for r in decontam.find(spark, docs_of(spark, texts), bench, rows).collect()}
+        # item 8 has common windows alone and is found where all of it stands; 0 and 9 are the same
+        assert {k: v[0] for k, v in got.items()} == {(0, 8): "copy", (1, 2): "copy", (1, 8): "copy", (3, 3): "copy"}
+        assert got[1, 2][1:] == (5, 5)
+    assert {k: v for k, v in brute_decontamination(list(enumerate(texts)), items).items()} == {k: v[0] for k, v in got.items()}
+
+
+def test_decontamination_shared_wording_is_linear(spark):
+    """A thousand items behind one instruction, and documents with the instruction: no hit is made, so none is shuffled."""
+    word = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    bench = spark.createDataFrame([(k, f"{SAID} item {word(k)} and {word(3 * k + 1)} or {word(7 * k + 2)} then {word(k + 5)} last") for k in range(1000)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"w{word(k)} {SAID} something else {word(k)}") for k in range(600)], "doc_id long, text string")
+    items = decontam._tokens(bench, "item_id", "text", "item")
+    theirs, _ = decontam._theirs(items, 8, 8)
+    assert decontam._hits(decontam._tokens(docs, "doc_id", "text", "doc"), theirs, 8, 8, decontam.BROADCAST_BYTES).count() == 0
+    docs = docs.unionByName(bench.where("item_id % 100 = 7").select(F.lit(9999).alias("doc_id"), F.concat(F.lit("also "), "text").alias("text")))
+    assert {(r.doc_id, r.item_id, r.verdict) for r in decontam.find(spark, docs, bench).collect()} == {(9999, k, "copy") for k in range(7, 1000, 100)}
+
+
 def brute_decontamination(docs, items):
     """Verdicts by the definition, window by window; docs and items are (id, text)."""
     word = r"\p{L}[\p{L}\p{M}\p{N}]*"
@@ -423,6 +452,10 @@ def brute_decontamination(docs, items):
             tem.append(1 if regex.match(r"\p{N}", w) else 3 if after and w.lower() in decontam.UNITS else 5 if name else w)
         return single, [w.lower() for w, _, _ in can], tem
 
+    parts = [split(other) for _, other in items]
+    of_all = lambda side, n: [{tuple(x[k : k + n]) for k in range(len(x) - n + 1)} for x in {tuple(p[side]): p[side] for p in parts}.values()]
+    shared = {(side, n): of_all(side, n) for side, n in ((0, 8), (0, 5), (2, 8))}
+    is_own = lambda side, w: (side, len(w)) not in shared or sum(tuple(w) in x for x in shared[side, len(w)]) <= 3
     found = {}
     for d, text in docs:
         dl, dc, dt = split(text)
@@ -433,7 +466,8 @@ def brute_decontamination(docs, items):
             n, t = min(8, len(il)), min(8, len(ic))
             windows, templates = max(1, len(il) - 7), max(1, len(ic) - 7)
             literal = lambda x: sum(isinstance(y, str) for y in x)
-            eligible = sum(literal(it[k : k + 8]) >= min(4, len(it)) for k in range(max(1, len(it) - 7)))
+            fits = lambda q: literal(it[q : q + 8]) >= min(4, len(it)) and is_own(2, it[q : q + 8])  # noqa: B023, E731
+            eligible = sum(fits(k) for k in range(max(1, len(it) - 7)))
             of = eligible if eligible >= 4 else templates
 
             def placed(rows):
@@ -448,24 +482,30 @@ def brute_decontamination(docs, items):
                         groups.append([shift])
                 return by, groups
 
-            lits = [(p - q, q) for q in range(len(il) - n + 1) for p in range(len(dl) - n + 1) if il[q : q + n] == dl[p : p + n]]
-            copy = len({q for _, q in lits}) * 100 >= windows * 50
+            mine = {q for q in range(len(il) - n + 1) if is_own(0, il[q : q + n])}
+            if len(mine) < min(4, windows):  # only whole
+                mine, copy = set(), any(dl[p : p + len(il)] == il for p in range(len(dl) - len(il) + 1))
+            else:
+                windows, copy = len(mine), False
+            lits = [(p - q, q) for q in mine for p in range(len(dl) - n + 1) if il[q : q + n] == dl[p : p + n]]
+            copy |= len({q for _, q in lits}) * 100 >= windows * 50
             by, _ = placed(lits)
             copy |= any(all(q + k in qs for k in range(43)) for qs in map(set, by.values()) for q in qs)
             if len(il) >= 8:
-                shorts = [(p - q, q) for q in range(len(il) - 4) for p in range(len(dl) - 4) if il[q : q + 5] == dl[p : p + 5]]
+                mine = [q for q in range(len(il) - 4) if is_own(0, il[q : q + 5])]
+                shorts = [(p - q, q) for q in mine for p in range(len(dl) - 4) if il[q : q + 5] == dl[p : p + 5]] if len(mine) >= min(4, len(il) - 4) else []
                 both, groups = placed([(s, ("short", q)) for s, q in shorts] + [(s, ("lit", q)) for s, q in lits])
-                copy |= any(len({x for s in g for x in both[s] if x[0] == "short"}) * 100 >= (len(il) - 4) * 50 for g in groups)
+                copy |= any(len({x for s in g for x in both[s] if x[0] == "short"}) * 100 >= len(mine) * 50 for g in groups if shorts)
             counts = [literal(it[q : q + t]) for q in range(len(it) - t + 1)]
-            anchor = max(range(len(counts)), key=lambda q: (counts[q], -q)) if literal(it) >= 4 and sum(c >= min(4, t) for c in counts) < 4 else None
+            anchor = max(range(len(counts)), key=lambda q: (counts[q], -q)) if literal(it) >= 4 and eligible < 4 else None
             hits = []
             for q in range(len(it) - t + 1):
                 for p in range(len(dt) - t + 1):
                     if it[q : q + t] == dt[p : p + t]:
                         whole = q == anchor and p >= q and dt[p - q : p - q + len(it)] == it
-                        if counts[q] >= min(4, t) or whole:
+                        if fits(q) or whole:
                             slots = zip(ic, dc[p - q : p - q + len(ic)], strict=True) if whole else zip(ic[q : q + t], dc[p : p + t], strict=True)
-                            hits.append((p - q, (q if counts[q] >= min(4, t) else None, whole, frozenset(slots))))
+                            hits.append((p - q, (q if fits(q) else None, whole, frozenset(slots))))
             by, groups = placed(hits)
             for shifts in [*([s] for s in by), *groups, list(by)]:
                 own = [x for s in shifts for x in by[s]]
@@ -499,6 +539,8 @@ def test_decontamination_by_brute_force(spark):
         return out
 
     items = [(k, text(rng.choice([4, 9, 15, 30, 70]))) for k in range(12)]
+    head = text(18)
+    items += [(12 + k, head[: rng.choice([9, 14, 18])] + text(rng.choice([0, 2, 4, 12]))) for k in range(7)]
     docs = [(k, [*text(10), *changed(rng.choice(items)[1]), *text(rng.choice([0, 3, 20])), *changed(rng.choice(items)[1]), ".", *text(5)]) for k in range(60)]
     docs, items = ([(k, " ".join(w)) for k, w in rows] for rows in (docs, items))
     docs += [(100 + k, t) for k, t in enumerate(ODD[:5])] + [(200, f"{docs[0][1]}. {docs[1][1]}"), (201, f"{docs[1][1]}. {docs[0][1]}")]
