@@ -1,11 +1,12 @@
 """LM scoring by subword lattice likelihood.
 
 The pieces and their first weights are those of an existing public vocabulary (its scores are merge ranks, taken
-as a Zipf prior). One step of expectation maximisation over all distinct training words re-weights the pieces; the
-vocabulary itself stays as it is. A word's probability is the sum over all of its segmentations, by a forward recursion
-in log space; a text's is the product over its words and one end. Characters outside the vocabulary fall back to bytes.
-A word of the training rows is one more edge of its own lattice, from start to end, of weight (c - discount) / N; the
-discounted mass is what the segmentations share, so that the probabilities of all words and the end sum to one at most.
+as a Zipf prior). One step of expectation maximisation over all training words, by their counts, re-weights the pieces; the vocabulary
+itself stays as it is, and its own scores keep ``prior`` of all weight, whatever the size of the corpus. A word's probability is the sum over all of its segmentations, by a forward recursion
+in log space; a text's, ``score``, is the product over its words and one end. Characters outside the vocabulary fall back to bytes.
+
+``mixed_score`` is another model beside it: a word of the training rows is one more edge of its own lattice, from start to end, of weight
+(c - discount) / N; the discounted mass is what the segmentations share, so that the probabilities of all words and the end sum to one at most.
 
 Words are counted by a map-side Counter and one shuffle. The most frequent words (``frequent``: a bound; the count that they
 have at least comes from a histogram of counts) are broadcast to the scoring pass, all others go through a shuffle join with
@@ -35,7 +36,7 @@ START = "▁"
 @dataclass(frozen=True)
 class LatticeParams:
     vocabulary: str | None = None  # a sentencepiece model; None: the public one installed here
-    prior: float = 2000.0  # pseudo counts of the vocabulary's own scores
+    prior: float = 0.1  # share of the vocabulary's own scores in the weights
     discount: float = 0.75  # taken from the count of each training word and given to the segmentations
     frequent: int = 1 << 17  # words that are broadcast
     flush: int = 1_000_000  # words that a counting task holds
@@ -168,22 +169,23 @@ def fit(words: DataFrame, ends: int, params: LatticeParams) -> LatticeModel:
     def run(batches):
         lattice, into = Lattice(*prior.value), [0.0] * len(p)
         for b in batches:
-            lattice.expect(((w, 1) for w in b["word"].to_pylist()), into)
+            lattice.expect(zip(b["word"].to_pylist(), b["c"].to_pylist(), strict=True), into)
         used = [k for k, x in enumerate(into) if x]
         yield as_batch(piece=pa.array(used, pa.int32()), uses=pa.array([into[k] for k in used], pa.float64()))
 
     trained = words.where("c > 0")
-    uses = trained.select("word").mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
+    uses = trained.select("word", "c").mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
     n, v = trained.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    weight = params.prior * p
+    weight = np.zeros(len(p))
     weight[uses["piece"].to_numpy()] += uses["uses"].to_numpy()
     weight[-1] += ends
-    return LatticeModel(number, weight / weight.sum(), n + ends, v + (ends > 0), ends)
+    seen = weight.sum()
+    return LatticeModel(number, params.prior * p + (1 - params.prior) * weight / seen if seen else p, n + ends, v + (ends > 0), ends)
 
 
 def score(spark: SparkSession, docs: DataFrame, params: LatticeParams = LatticeParams()) -> DataFrame:
-    """doc_id, held, n_tokens, n_known, train_tokens, base_score, score, lattice_score of every row of doc_id, text, held.
-    lattice_score is the marginal of the vocabulary's pieces alone, without the edges of training words."""
+    """doc_id, held, n_tokens, n_known, train_tokens, base_score, score, mixed_score of every row of doc_id, text, held.
+    score is the marginal over the vocabulary's pieces alone, mixed_score has the edges of training words besides."""
     scratch = Scratch(spark)
     docs = docs.select("doc_id", "held", F.make_valid_utf8("text").cast("binary").alias("text"))
     words = scratch.cut(count_words(docs, params), "counts")
@@ -257,7 +259,7 @@ def score(spark: SparkSession, docs: DataFrame, params: LatticeParams = LatticeP
     return (
         parts.drop("rare", "times")
         .join(sums, "row", "left")
-        .select("doc_id", "held", F.col("n").alias("n_tokens"), plus("n_known", "k2").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), plus("base", "b2").alias("base_score"), plus("lp", "l2").alias("score"), plus("lat", "m2").alias("lattice_score"))
+        .select("doc_id", "held", F.col("n").alias("n_tokens"), plus("n_known", "k2").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), plus("base", "b2").alias("base_score"), plus("lat", "m2").alias("score"), plus("lp", "l2").alias("mixed_score"))
     )
 
 

@@ -231,11 +231,11 @@ def test_lattice(spark, tmp_path):
         words = (t or "").encode().lower().split() + ["end"]
         assert rows[k].train_tokens == n and rows[k].n_tokens == len(words) and rows[k].n_known == sum(c[w] > 0 for w in words)
         assert rows[k].base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in words))
-        assert rows[k].score < 0 and rows[k].lattice_score < 0 and rows[k].held_out == held(k)
+        assert rows[k].score < 0 and rows[k].mixed_score < 0 and rows[k].held_out == held(k)
     # words that are broadcast and words that are joined give the same
     few = lattice.score(spark, spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("held", lattice.fold("doc_id", 7) == 2), lattice.LatticeParams(frequent=2))
     for r in few.collect():
-        assert (r.score, r.lattice_score, r.n_known) == (pytest.approx(rows[r.doc_id].score), pytest.approx(rows[r.doc_id].lattice_score), rows[r.doc_id].n_known)
+        assert (r.score, r.mixed_score, r.n_known) == (pytest.approx(rows[r.doc_id].score), pytest.approx(rows[r.doc_id].mixed_score), rows[r.doc_id].n_known)
     number, p = lattice.vocabulary(None)
     one = lattice.Lattice(number, p)
 
@@ -250,6 +250,44 @@ def test_lattice(spark, tmp_path):
     assert lattice.query(spark, saved(spark, tmp_path / "none", docs_of(spark, []).limit(0))).count() == 0
 
 
+def test_lattice_score_by_brute_force(spark):
+    """The score of short texts from every segmentation of every word, weights learnt from those of training words too."""
+    number, p = lattice.vocabulary(None)
+    texts = ["the cat sat on the mat", "a cat", "The zq mat", "", None, "on on on", "\U0001f600 at"]
+    docs = spark.createDataFrame([(k, t, k % 3 == 2) for k, t in enumerate(texts)], "doc_id long, text string, held boolean")
+
+    def ways(s):
+        """Every segmentation, as a list of piece numbers; a character that is no piece is its bytes."""
+        if not s:
+            yield []
+        for k in range(1, len(s) + 1):
+            own = [number[s[:k]]] if s[:k] in number else [number[f"<0x{b:02X}>"] for b in s[0].encode()] if k == 1 else None
+            for rest in ways(s[k:]) if own is not None else ():
+                yield own + rest
+
+    weigh = lambda way, p: math.prod(p[k] for k in way)
+    words = [(t or "").lower().split() for t in texts]
+    uses = np.zeros(len(p))
+    for k, own in enumerate(words):
+        if k % 3 == 2:
+            continue
+        uses[-1] += 1
+        for w in own:
+            every = list(ways(lattice.START + w))
+            total = sum(weigh(x, p) for x in every)
+            for x in every:
+                for piece in x:
+                    uses[piece] += weigh(x, p) / total
+    learnt = 0.1 * p + 0.9 * uses / uses.sum()
+    got = {r.doc_id: r.score for r in lattice.score(spark, docs).collect()}
+    for k, own in enumerate(words):
+        want = math.log10(learnt[-1]) + sum(math.log10(sum(weigh(x, learnt) for x in ways(lattice.START + w))) for w in own)
+        assert got[k] == pytest.approx(want, abs=1e-9)
+    # the vocabulary's share is the same for a corpus that repeats: weights don't fade as it grows
+    more = docs.unionByName(docs.selectExpr("doc_id + 100 as doc_id", "text", "held"))
+    assert {r.doc_id: r.score for r in lattice.score(spark, more).collect()} == pytest.approx(got | {k + 100: x for k, x in got.items()}, abs=1e-9)
+
+
 def brute_components(texts, n, percent):
     sets = []
     for t in texts:
