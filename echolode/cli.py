@@ -60,6 +60,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--out", default="echolode_report.json")
         for x in ("engine", "embedder", "index", "device"):
             p.add_argument(f"--{x}")
+        p.add_argument("--state", default="", help="folder that remembers neighbours, so that only what changed is searched for")
         if name == "diff":
             p.add_argument("--base", default="HEAD")
             continue
@@ -100,9 +101,9 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> engine.ScanResult
     if a.command == "scan":
         take, leave = preset_globs(a.repotype or ["monorepo"])
         include, exclude = merge_globs(list(dict.fromkeys([*config.include_globs, *take])), list(dict.fromkeys([*config.exclude_globs, *leave])), a.include_glob, a.exclude_glob)
-        result = engine.scan(spark, a.paths, replace(config, include_globs=tuple(include), exclude_globs=tuple(exclude)))
+        result = engine.scan(spark, a.paths, replace(config, include_globs=tuple(include), exclude_globs=tuple(exclude)), a.state)
     else:
-        result = engine.diff(spark, a.base, a.paths, config)
+        result = engine.diff(spark, a.base, a.paths, config, a.state)
     WRITERS[a.format](result, a.out)
     return result
 

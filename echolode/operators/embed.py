@@ -1,16 +1,19 @@
-"""Vectors for snippets: the hash embedder, a transformer if its library is there, and a Parquet cache."""
+"""Vectors for snippets: the hash embedder, a transformer if its library is there, and a cache of versions."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Embedder
 from ..functions.columns import hash_vector
+from .scratch import Scratch
+from .snapshots import Store
 
 
 def cache_key(text: str, e: Embedder):
@@ -53,22 +56,52 @@ def _transformer(texts: DataFrame, e: Embedder) -> DataFrame:
     return texts.mapInPandas(run, "key string, text string, vec array<double>")
 
 
+VECTORS = "key string, vec array<double>"
+#: of a cache's folder; one that was laid out in another way is moved aside, not read
+LAYOUT = 2
+
+
+def cache_store(spark: SparkSession, folder: str) -> Store:
+    """The cache in a folder, ``~`` being the home folder; one of another layout is put aside under a name of its own."""
+    store = Store(spark, f"{folder}/embeddings")
+    found = store.current()
+    if found.version and found.note.get("layout") != LAYOUT:
+        store.aside(f"v{found.note.get('layout', 0)}")
+    return store
+
+
+def legacy(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
+    """key, vec of the wanted keys that have a JSON file of their own, as older caches wrote them: {"vector": [...], "dim": n}, named
+    by the key with ``_`` for each ``/``. Files that aren't that, or can't be parsed, count as missing."""
+    try:
+        raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder if "://" in folder else os.path.abspath(os.path.expanduser(folder))).select("path", "content")
+    except AnalysisException:  # no such folder
+        return spark.createDataFrame([], VECTORS)
+    said = F.from_json(F.col("content").cast("string"), "vector array<double>, dim int")
+    found = raw.select(F.regexp_extract("path", r"([^/]*)\.json$", 1).alias("name"), said.alias("said")).where("said.vector is not null and said.dim is not null and not exists(said.vector, x -> x is null)")
+    return keys.withColumn("name", F.replace("key", F.lit("/"), F.lit("_"))).join(found, "name").select("key", F.col("said.vector").alias("vec"))
+
+
 def embed(snippets: DataFrame, e: Embedder, cache: str = "") -> tuple[DataFrame, DataFrame]:
-    """``snippets`` with vec, and one row of cache_hits and cache_misses (by snippet). Equal texts are embedded once;
-    with a cache folder, only texts that it lacks are, and they are appended to it."""
+    """``snippets`` with vec and cached, and one row of cache_hits and cache_misses (by snippet). Equal texts are embedded once.
+    With a cache folder only texts that it lacks are; these, and what older caches had as JSON files, become its next version."""
     keyed = snippets.withColumn("key", cache_key("text", e))
     texts = keyed.select("key", "text").dropDuplicates(["key"])
     make = (lambda t: t.withColumn("vec", hash_vector(F.col("text")))) if e.name == "stub" else (lambda t: _transformer(t, e))
+    counts = [F.count_if("cached").alias("cache_hits"), F.count_if(~F.col("cached")).alias("cache_misses")]
     if not cache:
-        vectors = make(texts).select("key", "vec")
-        return keyed.join(vectors, "key").drop("key"), keyed.select(F.lit(0).cast("long").alias("cache_hits"), F.lit(1).alias("n")).agg(F.coalesce(F.max("cache_hits"), F.lit(0)).alias("cache_hits"), F.count("n").alias("cache_misses"))
-    spark, path = snippets.sparkSession, f"{cache}/v1"
-    try:
-        old = spark.read.schema("key string, vec array<double>").parquet(path)
-    except AnalysisException:
-        spark.createDataFrame([], "key string, vec array<double>").write.parquet(path)
-        old = spark.read.schema("key string, vec array<double>").parquet(path)
-    stats = spark.createDataFrame([keyed.join(old.select("key").withColumn("hit", F.lit(1)), "key", "left").agg(F.count("hit"), F.count("*") - F.count("hit")).first()], "cache_hits long, cache_misses long")
-    make(texts.join(old, "key", "left_anti")).select("key", "vec").write.mode("append").parquet(path)
-    now = spark.read.schema("key string, vec array<double>").parquet(path).dropDuplicates(["key"])
-    return keyed.join(now, "key").drop("key"), stats
+        done = keyed.join(make(texts).select("key", "vec"), "key").drop("key").withColumn("cached", F.lit(False))
+        return done, keyed.select(F.lit(False).alias("cached")).agg(*counts)
+    spark = snippets.sparkSession
+    scratch, store = Scratch(spark), cache_store(spark, cache)
+    at = store.current()
+    known = store.latest("vectors", VECTORS, "key", at)
+    hits = scratch.cut(texts.join(known, "key").select("key", "vec"), "hits")
+    missed = scratch.cut(texts.join(hits.select("key"), "key", "left_anti"), "missed")
+    moved = scratch.cut(legacy(spark, cache, missed.select("key")), "moved")
+    made = scratch.cut(make(missed.join(moved.select("key"), "key", "left_anti")).select("key", "vec"), "made")
+    if not (moved.isEmpty() and made.isEmpty()):
+        store.upsert("vectors", moved.unionByName(made), VECTORS, "key", {"layout": LAYOUT})
+    vectors = hits.unionByName(moved).withColumn("cached", F.lit(True)).unionByName(made.withColumn("cached", F.lit(False)))
+    done = keyed.join(vectors, "key").drop("key")
+    return done, done.agg(*counts)

@@ -85,41 +85,66 @@ class Search:
 
 
 def _distinct(scratch: Scratch, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pos, data), unit vectors as bytes, and (data, rep), the distinct ones. Null and empty vectors take no part."""
+    """(pos, data), unit vectors as bytes, and (data, rep), the distinct ones. Null and empty vectors take no part; one with a
+    component that is null or not finite is an error that names its position."""
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = _unit(np.array(b["vec"].to_pylist(), float).reshape(b.num_rows, -1)) + 0.0  # no negative zeros
+            sizes, flat = b["vec"].value_lengths().to_numpy(zero_copy_only=False), b["vec"].flatten().to_numpy(zero_copy_only=False).astype(float)
+            if len(set(sizes)) == 1:
+                rows = _unit(flat.reshape(b.num_rows, -1)) + 0.0  # no negative zeros
+            else:
+                rows = [_unit(x[None])[0] + 0.0 for x in np.split(flat, np.cumsum(sizes)[:-1])]
             yield pa.RecordBatch.from_arrays([b["pos"], pa.array([x.tobytes() for x in rows], pa.binary())], names=["pos", "data"])
 
     known = vectors.where(F.col("vec").isNotNull() & (F.size("vec") > 0)).select("pos", F.col("vec").cast("array<double>").alias("vec"))
+    odd = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    known = known.withColumn("vec", F.when(odd, F.raise_error(F.concat(F.lit("the vector at position "), F.col("pos").cast("string"), F.lit(" has a component that is null or not finite")))).otherwise(F.col("vec")))
     told = scratch.cut(known.mapInArrow(units, "pos long, data binary"), "told")
     return told, scratch.cut(told.groupBy("data").agg(F.min("pos").alias("rep")), "reps")
 
 
-def _searched(scratch: Scratch, told: DataFrame, numbered: DataFrame, many: int, k: int, least: float | None, cells: tuple[list[int], np.ndarray, np.ndarray, int] | None = None) -> DataFrame:
-    """The k best for each row of ``told``, by distinct vectors (rep, data, block). A block is held against all ``many``, its own
-    first, and only its k best leave the task. ``cells``: of each block its cell; centers and widest angles of cells, and the
-    number of nearest blocks that are searched before the bound on angles is asked."""
+def _sized(reps: DataFrame) -> tuple[int, int]:
+    """Number of distinct vectors, and the bytes of one; vectors of several lengths are an error that names one of them."""
+    size = F.octet_length("data")
+    n, least, most, at = reps.agg(F.count("*"), F.min(size), F.max(size), F.min_by("rep", size)).first()
+    if n and least != most:
+        raise ValueError(f"vectors must be of one length: that at position {at} has {least // 8} components, others {most // 8}")
+    return n, most
+
+
+def _packed(numbered: DataFrame, floors: bool = False) -> DataFrame:
+    """A row for each block of (block, rep, data): its number, positions and vectors as bytes, one after the other; with ``floors``
+    the numbers of a column floor too."""
+
+    def row(block: int, at: list[int], data: list[bytes], floor: list[float]) -> pa.RecordBatch:
+        told = [pa.array([block], pa.int32()), pa.array([np.array(at, np.int64).tobytes()], pa.binary()), pa.array([b"".join(data)], pa.binary())]
+        return pa.RecordBatch.from_arrays([*told, *([pa.array([np.array(floor, float).tobytes()], pa.binary())] if floors else [])], names=["block", "at", "data", *(["floor"] if floors else [])])
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each block: its number, positions and vectors as bytes, one after the other."""
-        now, at, data = None, [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, data, floor = None, [], [], []
         for b in batches:
-            for block, rep, x in zip(b["block"].to_pylist(), b["rep"].to_pylist(), b["data"].to_pylist(), strict=True):
+            for block, rep, x, low in zip(*(b[c].to_pylist() for c in ("block", "rep", "data")), b["floor"].to_pylist() if floors else [0.0] * b.num_rows, strict=True):
                 if block != now and at:
-                    yield row(now, at, data)
-                    at, data = [], []
+                    yield row(now, at, data, floor)
+                    at, data, floor = [], [], []
                 now = block
                 at.append(rep)
                 data.append(x)
+                floor.append(low)
         if at:
-            yield row(now, at, data)
+            yield row(now, at, data, floor)
+
+    cols = ["block", "rep", "data", *(["floor"] if floors else [])]
+    return numbered.repartition("block").sortWithinPartitions("block", "rep").select(*cols).mapInArrow(run, "block int, at binary, data binary" + (", floor binary" if floors else ""))
 
-    def row(block: int, at: list[int], data: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.array(at, np.int64).tobytes()], pa.binary()), pa.array([b"".join(data)], pa.binary())], names=["block", "at", "data"])
 
-    blocks = scratch.cut(numbered.repartition("block").sortWithinPartitions("block", "rep").select("block", "rep", "data").mapInArrow(packed, "block int, at binary, data binary"), "blocks")
+def _searched(scratch: Scratch, told: DataFrame, numbered: DataFrame, many: int, k: int, least: float | None, cells: tuple[list[int], np.ndarray, np.ndarray, int] | None = None) -> DataFrame:
+    """The k best for each row of ``told``, by distinct vectors (rep, data, block). A block is held against all ``many``, its own
+    first, and only its k best leave the task. ``cells``: of each block its cell; centers and widest angles of cells, and the
+    number of nearest blocks that are searched before the bound on angles is asked."""
+
+    blocks = scratch.cut(_packed(numbered), "blocks")
     if cells:
         of, centers, wide, probes = cells
         order = np.arccos(np.clip(centers[of] @ centers[of].T, -1, 1)) + 10.0 * (1 - np.eye(many))
@@ -164,20 +189,85 @@ def knn(vectors: DataFrame, k: int, least: float | None = None, block_bytes: int
     Pairs below ``least`` may be left out. Equal vectors are searched for once, and are found once: the search is
     among distinct vectors, and of the positions of each the first k can be among the best. They are cut into blocks of
     bounded size, written to the shared folder; a task holds one block's vectors and their k best, and all blocks pass
-    through it, so nothing passes through the driver. Null and empty vectors take no part."""
+    through it, so nothing passes through the driver. Null and empty vectors take no part; a component that is null or not
+    finite, or vectors of several lengths, are errors that name a position."""
     spark = vectors.sparkSession
     empty = "a_pos long, b_pos long, score double, rank int"
     if k <= 0:
         return spark.createDataFrame([], empty)
     scratch = Scratch(spark)
     told, reps = _distinct(scratch, vectors)
-    n, width = reps.agg(F.count("*"), F.max(F.octet_length("data"))).first()
+    n, width = _sized(reps)
     if not n:
         return spark.createDataFrame([], empty)
     many = max(-(-n * width // block_bytes), min(2 * spark.sparkContext.defaultParallelism, n))
     return _searched(scratch, told, reps.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(many)).cast("int")), many, k, least)
 
 
+def ask(vectors: DataFrame, k: int, least: float | None = None, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """A search in which few rows ask, by (pos, vec, asks, floor): the ``k`` best of all rows for each row that asks (a_pos, b_pos, score,
+    rank), and for every other one the asking rows whose score is at least its ``floor`` (a_pos, b_pos, score; null: no floor), of each
+    distinct vector the first k.
+
+    Rows whose vector is an asking row's are answered as asking ones, whether they ask or not. Blocks of asking vectors pass
+    over all blocks, so what is shuffled and worked out is asking times all; each block's work is dealt out in slices."""
+    spark = vectors.sparkSession
+    scratch = Scratch(spark)
+    told, _ = _distinct(scratch, vectors)
+    flags = vectors.select("pos", F.coalesce("asks", F.lit(False)).alias("asks"), F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))).alias("floor"))
+    reps = scratch.cut(told.join(flags, "pos").groupBy("data").agg(F.min("pos").alias("rep"), F.max("asks").alias("asks"), F.min("floor").alias("floor")), "asked")
+    n, width = _sized(reps)
+    asking = reps.where("asks").count()
+    found, beaten = "a_pos long, b_pos long, score double, rank int", "a_pos long, b_pos long, score double"
+    if not asking or k <= 0:
+        return spark.createDataFrame([], found), spark.createDataFrame([], beaten)
+    cores = spark.sparkContext.defaultParallelism
+    count = lambda rows: max(-(-rows * width // block_bytes), min(cores, rows))
+    own, many = -(-asking * width // block_bytes), count(n - asking)  # blocks that ask, and others after them
+    slices = max(1, min(-(-2 * cores // own), own + many))
+    numbered = reps.withColumn("block", F.when(F.col("asks"), F.pmod(F.xxhash64("rep"), F.lit(own))).otherwise(own + F.pmod(F.xxhash64("rep"), F.lit(max(many, 1)))).cast("int"))
+    blocks = scratch.cut(_packed(numbered, floors=True), "blocks")
+    # every block goes to its slice of every asking block; an asking block goes to each slice of its own first
+    theirs = blocks.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(own - 1)))).select("a", (F.col("block") % slices).alias("slice"), F.lit(1).alias("place"), "block", "at", "data", "floor")
+    ours = blocks.where(F.col("block") < own).select(F.col("block").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("place"), "block", "at", "data", "floor")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = None
+        as_rows = lambda a, b, s, kind: pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64()), pa.array(np.full(len(a), kind), pa.bool_())], names=["a", "b", "score", "beats"])
+        whole = lambda search: (as_rows(b["a_pos"], b["b_pos"], b["score"], False) for b in search.found())
+        for batch in batches:
+            for r in range(batch.num_rows):
+                at = np.frombuffer(batch["at"][r].as_buffer(), np.int64)
+                data = np.frombuffer(batch["data"][r].as_buffer(), float).reshape(len(at), -1)
+                if batch["place"][r].as_py() == 0:
+                    if search:
+                        yield from whole(search)
+                    search = Search(at.copy(), data.copy(), k, least)
+                    continue
+                search.look(at, data)
+                if batch["block"][r].as_py() >= own:
+                    floor = np.frombuffer(batch["floor"][r].as_buffer(), float)
+                    for start in range(0, len(search.at), TILE[0]):
+                        mine = slice(start, start + TILE[0])
+                        low = search.low[mine] @ data.astype(np.float32).T
+                        i, j = np.nonzero(low >= np.maximum(floor, search.least)[None] - search.error)
+                        s = np.round(np.einsum("ij,ij->i", search.a[mine][i], data[j]), DECIMALS)
+                        good = s >= np.maximum(floor[j], search.least)
+                        yield as_rows(at[j[good]], search.at[mine][i[good]], s[good], True)
+        if search:
+            yield from whole(search)
+
+    both = ours.unionByName(theirs).repartition("a", "slice").sortWithinPartitions("a", "slice", "place", "block").mapInArrow(run, "a long, b long, score double, beats boolean")
+    both = scratch.cut(both, "answers")
+    members = told.join(reps.select("data", "rep", "asks"), "data").select("rep", "pos", "asks")
+    nth = F.row_number().over(W.partitionBy("rep").orderBy("pos"))
+    first = members.withColumn("nth", nth).where(F.col("nth") <= k).select(F.col("rep").alias("b"), F.col("pos").alias("b_pos"))
+    best = _best(both.where("not beats").join(first, "b").select(F.col("a").alias("a_pos"), "b_pos", "score"), k)
+    best = best.withColumnRenamed("a_pos", "a").join(members.where("asks").select(F.col("rep").alias("a"), F.col("pos").alias("a_pos")), "a").select("a_pos", "b_pos", "score", "rank")
+    beats = both.where("beats").join(first, "b").join(members.select(F.col("rep").alias("a"), F.col("pos").alias("a_pos")), "a").select("a_pos", "b_pos", "score")
+    return best, beats
+
+
 def knn_sql(vectors: DataFrame, k: int) -> DataFrame:
     """The same in plain SQL, for reading and for tests: every pair is made, so use it on small tables only."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -200,7 +290,7 @@ def knn_cells(vectors: DataFrame, k: int, cells: int = 128, probes: int = 8, sam
         return knn(vectors, k)
     scratch = Scratch(vectors.sparkSession)
     told, reps = _distinct(scratch, vectors)
-    n, width = reps.agg(F.count("*"), F.max(F.octet_length("data"))).first()
+    n, width = _sized(reps)
     known = vectors.where(F.exists("vec", lambda x: x != 0)).select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))  # zero vectors have no direction
     if n < cells or not known.head(1):
         return knn(vectors, k)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..config import PRESETS, Config, Expansion, Thresholds, Windows
 from ..functions import columns as C
-from ..operators import expansion, knn, matches, snippets
+from ..operators import embed, expansion, incremental, knn, matches, snippets
 from ..operators.scratch import Scratch
+from ..operators.snapshots import Store
 from ..sources.external import from_pairs
 from ..sources.files import dealt, table_files
 from .engine import least_cosine, positioned, scan_tables, touched
@@ -65,10 +66,15 @@ def knn_cells(spark: SparkSession, sf: str) -> DataFrame:
     return knn.knn_cells(_embeddings(spark, sf), K, 64, 16).select("a_pos", "b_pos", F.round("score", 6).alias("score"))
 
 
+def _snippets(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """The windows of files with pos, vec and tokens, written once."""
+    w = snippets.window_snippets(snippets.text_units(files), WINDOWS, normalise=False)
+    s = positioned(w).withColumn("vec", C.hash_vector(F.col("text"))).withColumn("tokens", C.tokens(F.col("text"))).withColumn("text_hash", F.sha2("text", 256))
+    return Scratch(spark).cut(s.drop("text"), "windows")
+
+
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    w = snippets.window_snippets(snippets.text_units(_files(spark, sf)), WINDOWS, normalise=False)
-    s = positioned(w).withColumn("vec", C.hash_vector(F.col("text"))).withColumn("tokens", C.tokens(F.col("text")))
-    s = Scratch(spark).cut(s.drop("text"), "windows")
+    s = _snippets(spark, _files(spark, sf))
     # equal texts have equal vectors, so k neighbours by distinct vector would do; ranks are kept by row as defined
     return matches.candidates(s, knn.knn(s.select("pos", "vec"), K, least_cosine(Config())), THRESHOLDS)
 
@@ -97,10 +103,29 @@ def clusters(spark: SparkSession, sf: str) -> DataFrame:
     return matches.clusters(d, 2).select("fn_a", "fn_b", "cluster", "cluster_size")
 
 
+def _changed(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths of the documents labelled of low quality, which stand for changed files."""
+    return _table(spark, sf, "labels").where("quality = 0").select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("path")).distinct()
+
+
 def diff_scope(spark: SparkSession, sf: str) -> DataFrame:
-    """Findings with a side among the documents labelled of low quality, which stand for changed files."""
-    told = _table(spark, sf, "labels").where("quality = 0").select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("path")).distinct()
-    return touched(_findings(spark, sf), told).select("fn_a", "fn_b")
+    """Findings with a side among the changed files."""
+    return touched(_findings(spark, sf), _changed(spark, sf)).select("fn_a", "fn_b")
+
+
+def diff_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by what an earlier scan has left: of the changed files every third is new since then and the others had a line more at
+    their top, and the items of the benchmark were files too, which are gone. Only what changed is searched for."""
+    now, changed, least = _files(spark, sf), _changed(spark, sf), least_cosine(Config())
+    was = now.join(changed.withColumn("changed", F.lit(True)), "path", "left").where(F.expr("changed is null or crc32(cast(path as binary)) % 3 <> 0"))
+    was = was.withColumn("content", F.when(F.col("changed"), F.concat(F.lit("a first line\n"), "content")).otherwise(F.col("content"))).drop("changed")
+    was = was.unionByName(table_files(_table(spark, sf, "benchmark").select("item_id", "text"), "item_id", "text", "benchmark/"))
+    before, after = _snippets(spark, was), _snippets(spark, now)
+    store = Store(spark, f"{Scratch(spark).root}/state")
+    incremental.remember(store, before, knn.knn(before.select("pos", "vec"), K, least), {"k": K})
+    near, _ = incremental.neighbours(store, after, K, least, {"k": K})
+    found = matches.matches(matches.candidates(after, incremental.within(near, after, changed), THRESHOLDS), THRESHOLDS.lexical_min_ratio)
+    return touched(matches.findings(found, THRESHOLDS), changed).select("fn_a", "fn_b", F.round("score", 6).alias("score"), "duplicated_lines")
 
 
 def snippet_union(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,11 +140,13 @@ def snippet_union(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cache_hits_misses(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts of documents already seen in benchmark or conversations, as a cache would have them."""
-    d = _table(spark, sf, "documents").select("source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
-    old = _table(spark, sf, "benchmark").select("text").unionByName(_table(spark, sf, "conversations").select("text")).unionByName(_table(spark, sf, "documents").where("lang = 'en'").select("text"))
-    seen = old.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key")).distinct().withColumn("hit", F.lit(1))
-    return d.join(seen, "key", "left").groupBy("source").agg(F.count("hit").alias("hits"), (F.count("*") - F.count("hit")).alias("misses"))
+    """Texts of documents that a cache has from an earlier run over benchmark, conversations and the English documents."""
+    of = lambda name: _table(spark, sf, name).select(F.coalesce("text", F.lit("")).alias("text"))
+    english = _table(spark, sf, "documents").where("lang = 'en'").select(F.coalesce("text", F.lit("")).alias("text"))
+    stub, folder = PRESETS["stub"], f"{Scratch(spark).root}/cache"
+    embed.embed(of("benchmark").unionByName(of("conversations")).unionByName(english), stub, folder)
+    found, _ = embed.embed(_table(spark, sf, "documents").select("source", F.coalesce("text", F.lit("")).alias("text")), stub, folder)
+    return found.groupBy("source").agg(F.count_if("cached").alias("hits"), F.count_if(~F.col("cached")).alias("misses"))
 
 
 def external_duplications(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,8 +158,10 @@ def external_duplications(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scan_stats(spark: SparkSession, sf: str) -> DataFrame:
-    w = snippets.window_snippets(snippets.text_units(_files(spark, sf)), WINDOWS, normalise=False).agg(F.count("*").alias("snippet_count"))
-    return _files(spark, sf).agg(F.count("*").alias("file_count")).join(w).join(_findings(spark, sf).agg(F.count("*").alias("finding_count")))
+    """What a scan counts while it writes."""
+    stats = scan_tables(spark, _files(spark, sf), Config(windows=WINDOWS, embedder=PRESETS["stub"]), normalise=False).stats
+    names = ("file_count", "snippet_count", "finding_count")
+    return spark.createDataFrame([tuple(stats[n] for n in names)], ", ".join(f"{n} long" for n in names))
 
 
 #: a Python file for a nation: a function with a docstring, one that calls it, and a method; {r} is the region
@@ -184,7 +213,7 @@ def code_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (fingerprints, windows, lexical_pairs, stub_embedding, knn_exact, knn_cells, candidates, span_matches, findings, clusters, diff_scope, snippet_union, cache_hits_misses, external_duplications, scan_stats, code_functions, code_snippets, code_findings)
+    own = (fingerprints, windows, lexical_pairs, stub_embedding, knn_exact, knn_cells, candidates, span_matches, findings, clusters, diff_scope, diff_incremental, snippet_union, cache_hits_misses, external_duplications, scan_stats, code_functions, code_snippets, code_findings)
     return {f.__name__: f for f in own}
 
 
@@ -301,6 +330,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT * FROM (SELECT fn_a, fn_b, cluster, count(*) OVER (PARTITION BY cluster) AS cluster_size FROM fin JOIN c ON fn_a = node) WHERE cluster_size >= 2""",
         "diff_scope": f"""WITH {_CHAIN}, p AS (SELECT 'documents/' || doc_id || ':' AS p FROM labels WHERE quality = 0)
             SELECT fn_a, fn_b FROM fin WHERE EXISTS (FROM p WHERE starts_with(fn_a, p.p) OR starts_with(fn_b, p.p))""",
+        "diff_incremental": f"""WITH {_CHAIN}, p AS (SELECT 'documents/' || doc_id || ':' AS p FROM labels WHERE quality = 0)
+            SELECT fn_a, fn_b, round(score, 6) AS score, duplicated_lines FROM fin JOIN cov USING (fn_a, fn_b) WHERE EXISTS (FROM p WHERE starts_with(fn_a, p.p) OR starts_with(fn_b, p.p))""",
         "snippet_union": " UNION ALL ".join(f"SELECT '{t}' AS origin, (end_line - start_line + 1)::INTEGER AS n_lines, count(*) AS n FROM {_windows(t, k, x)} GROUP BY ALL" for t, k, x in (("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("conversations", conv, "text"))),
         "cache_hits_misses": """WITH o AS (SELECT DISTINCT coalesce(text, '') AS t FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations UNION ALL SELECT text FROM documents WHERE lang = 'en'))
             SELECT source, count(o.t) AS hits, count(*) - count(o.t) AS misses FROM documents LEFT JOIN o ON coalesce(text, '') = o.t GROUP BY source""",

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from time import perf_counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config, ConfigError, validate
 from ..functions import columns as C
 from ..operators import embed as E
-from ..operators import expansion, knn, matches, snippets
+from ..operators import expansion, incremental, knn, matches, snippets
 from ..operators.scratch import Scratch
+from ..operators.snapshots import Store
 from ..sources import changes, external, files
 
 
@@ -60,10 +62,24 @@ def neighbours(snips: DataFrame, c: Config) -> DataFrame:
     return knn.knn(v, c.index.top_k, least_cosine(c))
 
 
-def scan_tables(spark: SparkSession, sources: DataFrame, c: Config, normalise: bool = True) -> ScanResult:
-    """Findings among files (path, content, content_hash, language)."""
+def made_with(c: Config) -> dict:
+    """What a remembered state depends on, besides the files."""
+    e, w = c.embedder, c.windows
+    return {"k": c.index.top_k, "least": least_cosine(c), "embedder": [e.name, e.model_name, e.revision, e.max_length], "windows": [w.window_lines, w.stride_lines, w.min_nonempty]}
+
+
+def scan_tables(spark: SparkSession, sources: DataFrame, c: Config, normalise: bool = True, state: str = "", scope: DataFrame | None = None) -> ScanResult:
+    """Findings among files (path, content, content_hash, language).
+
+    ``state``: a folder that remembers neighbours from one scan to the next, so that only snippets of changed files are searched for.
+    ``scope``: only findings with a side in these files (column path) are worked out; without it, all. Counts are those of rows as
+    they are written, so no step is read again to be counted (but for files, of which a count needs no content)."""
     validate(c)
-    scratch, timing, since = Scratch(spark), {}, perf_counter()
+    scratch, timing, since, seen = Scratch(spark), {}, perf_counter(), {}
+
+    def counted(d: DataFrame, name: str, *more: Column) -> DataFrame:
+        seen[name] = Observation(f"{name}-{uuid.uuid4().hex}")
+        return d.observe(seen[name], F.count(F.lit(1)).alias(name), *more)
 
     def done(step: str, d: DataFrame) -> DataFrame:
         """``d`` written, so that a step's time is its own."""
@@ -72,34 +88,46 @@ def scan_tables(spark: SparkSession, sources: DataFrame, c: Config, normalise: b
         timing[step], since = perf_counter() - since, perf_counter()
         return out
 
-    functions, texts = done("extract_functions", snippets.function_units(sources)), snippets.text_units(sources)
-    units = functions.unionByName(texts)
+    functions = done("extract_functions", counted(snippets.function_units(sources), "function_count"))
+    units = functions.unionByName(snippets.text_units(sources))
     found = snippets.function_snippets(functions, normalise).unionByName(snippets.window_snippets(units, c.windows, normalise))
     if c.expansion.enabled and c.expansion.depth > 0:
         found = found.unionByName(expansion.call_snippets(sources, functions, c.expansion, normalise))
     found = done("generate_snippets", found)
-    found, cached = E.embed(found, c.embedder, c.cache.path)
-    snips = done("embed", positioned(found).withColumn("tokens", C.tokens(F.col("text"))))
-    near = neighbours(snips, c)
-    candidates = scratch.cut(matches.candidates(snips, near, c.thresholds), "candidates")
+    found, _ = E.embed(found, c.embedder, c.cache.path)
+    hits = (F.count_if("cached").alias("cache_hits"), F.count_if(~F.col("cached")).alias("cache_misses"))
+    snips = done("embed", counted(positioned(found).withColumn("tokens", C.tokens(F.col("text"))), "snippet_count", *hits))
+    if state:
+        store = Store(spark, state)
+        near, _ = incremental.neighbours(store, snips, c.index.top_k, least_cosine(c), made_with(c))
+        near = scratch.cut(near, "near")
+        incremental.remember(store, snips, near, made_with(c))
+    else:
+        near = neighbours(snips, c)
+    if scope is not None and not c.cluster_findings:  # a cluster may be held together by findings outside
+        near = incremental.within(near, snips, scope)
+    candidates = scratch.cut(counted(matches.candidates(snips, near, c.thresholds), "candidate_count"), "candidates")
     found = matches.findings(matches.matches(candidates, c.thresholds.lexical_min_ratio), c.thresholds)
     if c.cluster_findings:
         found = matches.clusters(found, c.cluster_min_size)
-    found = done("similarity", found)
-    counts = {"file_count": sources.count(), "function_count": functions.count(), "snippet_count": snips.count(), "candidate_count": candidates.count(), "finding_count": found.count()}
-    return ScanResult(found, snips, counts | cached.first().asDict(), c, timing)
+    found = done("similarity", counted(found, "finding_count"))
+    counts = {"file_count": sources.count()} | {name: n for one in seen.values() for name, n in one.get.items()}
+    result = ScanResult(found, snips, counts, c, timing)
+    return result if scope is None else limited(result, scope)
 
 
-def scan(spark: SparkSession, paths: list[str], c: Config = Config()) -> ScanResult:
+def scan(spark: SparkSession, paths: list[str], c: Config = Config(), state: str = "") -> ScanResult:
+    """A scan by the configured engine; ``state`` is for the semantic one, others look at no snippets."""
     validate(c)
-    return ENGINES[c.engine](spark, paths, c)
+    run = ENGINES[c.engine]
+    return run(spark, paths, c, state) if state and run is _semantic else run(spark, paths, c)
 
 
-def _semantic(spark: SparkSession, paths: list[str], c: Config) -> ScanResult:
+def _semantic(spark: SparkSession, paths: list[str], c: Config, state: str = "", scope: DataFrame | None = None) -> ScanResult:
     since = perf_counter()
     sources = files.read_files(spark, files.listed(paths, c.include_globs, c.exclude_globs))
     listed = {"collect_files": perf_counter() - since}
-    result = scan_tables(spark, sources, c)
+    result = scan_tables(spark, sources, c, state=state, scope=scope)
     return replace(result, timing=listed | result.timing)
 
 
@@ -138,8 +166,12 @@ def touched(found: DataFrame, changed: DataFrame) -> DataFrame:
     return found.join(keep, ["fn_a", "fn_b"], "left_semi")
 
 
-def diff(spark: SparkSession, base: str = "HEAD", paths: list[str] | None = None, c: Config = Config()) -> ScanResult:
-    """A scan of ``paths``, limited to what git says has changed; without changes a scan of nothing."""
+def diff(spark: SparkSession, base: str = "HEAD", paths: list[str] | None = None, c: Config = Config(), state: str = "") -> ScanResult:
+    """A scan of ``paths``, limited to what git says has changed; without changes a scan of nothing. With ``state``, the folder that
+    an earlier scan or diff has left, only what changed since then is searched for. candidate_count is that of the pairs in scope."""
+    validate(c)
     names = [changes.shown(p) for p in changes.changed_files(base, paths)]
-    result = scan(spark, (paths or ["."]) if names else [], c)
-    return limited(result, spark.createDataFrame([(n,) for n in names], "path string"))
+    scope = spark.createDataFrame([(n,) for n in names], "path string")
+    if ENGINES[c.engine] is not _semantic or not names:
+        return limited(scan(spark, (paths or ["."]) if names else [], c), scope)
+    return _semantic(spark, paths or ["."], c, state, scope)
