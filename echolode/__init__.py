@@ -2,6 +2,8 @@
 
 from .config import Config, ConfigError, EngineError, load, validate
 
+__version__ = "1.1.0"
+
 __all__ = ["Config", "ConfigError", "EngineError", "ScanResult", "diff", "get_engine", "load", "register_engine", "scan", "scan_tables", "validate"]
 
 

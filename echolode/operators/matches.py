@@ -87,27 +87,57 @@ def matches(found: DataFrame, lexical_min_ratio: float = 0.0) -> DataFrame:
     return d.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+PAIR = ("fn_a", "fn_b")
+
+
+def _one() -> Column:
+    """A match as evidence has it."""
+    return F.struct(F.col("a_start_line").alias("a_start"), F.col("a_end_line").alias("a_end"), F.col("b_start_line").alias("b_start"), F.col("b_end_line").alias("b_end"), "a_kind", "b_kind", "a_pos", "b_pos", "similarity", "cosine", "lexical")
+
+
 def findings(found: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """Groups of matches by unordered pair of functions, with score, reasons, covered lines, best match and evidence."""
-    span = lambda x: F.struct(F.col(f"{x}_start_line").alias("s"), F.col(f"{x}_end_line").alias("e"))
+    """Groups of matches by unordered pair of functions: score, reasons, best match, n_evidence, and of either side the lines that are
+    covered (the fewer are duplicated_lines), the first and last of them, and how many lie before and after the best match.
+
+    A group is sums and one match; what it covers comes from its distinct spans, in order, each of which adds what lies beyond all
+    before it. So a group of many matches is never one value; ``evidence`` has them."""
     has = lambda kind: (F.col("a_kind") == kind) | (F.col("b_kind") == kind)
     length = F.least(F.col("a_end_line") - F.col("a_start_line"), F.col("b_end_line") - F.col("b_start_line")) + 1
-    one = F.struct(F.col("a_start_line").alias("a_start"), F.col("a_end_line").alias("a_end"), F.col("b_start_line").alias("b_start"), F.col("b_end_line").alias("b_end"), "a_kind", "b_kind", "a_pos", "b_pos", "similarity", "cosine", "lexical")
     d = found.groupBy(F.col("a_fn_id").alias("fn_a"), F.col("b_fn_id").alias("fn_b")).agg(
         F.max("similarity").alias("score"),
         F.max(F.when(has("FUNC"), F.col("similarity"))).alias("func"),
         F.max(F.when(has("EXP"), F.col("similarity"))).alias("exp"),
         F.count_if(has("WIN")).alias("hits"),
-        F.collect_set(span("a")).alias("a_spans"),
-        F.collect_set(span("b")).alias("b_spans"),
-        F.array_sort(F.collect_list(one)).alias("evidence"),
-        F.max_by(one, F.struct("kind_rank", length, "similarity", -F.col("a_pos"), -F.col("b_pos"))).alias("best"),
+        F.count("*").cast("int").alias("n_evidence"),
+        F.max_by(_one(), F.struct("kind_rank", length, "similarity", -F.col("a_pos"), -F.col("b_pos"))).alias("best"),
         F.min("a_path").alias("path_a"),
         F.min("b_path").alias("path_b"),
     )
     said = F.array(F.when(F.col("func") >= t.func, F.lit("func")), F.when(F.col("exp") >= t.exp, F.lit("exp")), F.when((F.col("hits") >= t.min_window_hits) & (F.col("hits") > 0), F.lit("window")))
-    d = d.withColumn("reasons", F.filter(said, lambda x: x.isNotNull())).where(F.size("reasons") > 0)
-    return d.withColumn("duplicated_lines", F.least(C.covered(F.col("a_spans")), C.covered(F.col("b_spans")))).drop("func", "exp", "hits", "a_spans", "b_spans")
+    d = d.withColumn("reasons", F.filter(said, lambda x: x.isNotNull())).where(F.size("reasons") > 0).drop("func", "exp", "hits")
+    return d.join(_covered(found, d.select(*PAIR, "best")), list(PAIR))
+
+
+def _covered(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """duplicated_lines and, by side, first, last, before and after, of the groups."""
+    side = lambda x: F.struct(F.lit(x).alias("side"), F.col(f"{x}_start_line").alias("s"), F.col(f"{x}_end_line").alias("e"))
+    spans = found.select(F.col("a_fn_id").alias("fn_a"), F.col("b_fn_id").alias("fn_b"), F.explode(F.array(side("a"), side("b"))).alias("x")).select(*PAIR, "x.*").distinct()
+    order = W.partitionBy(*PAIR, "side").orderBy("s", "e").rowsBetween(W.unboundedPreceding, -1)
+    fresh = F.greatest("s", F.coalesce(F.max("e").over(order), F.lit(-1)) + 1)
+    spans = spans.withColumn("s0", F.col("s")).withColumn("s", fresh).join(groups, list(PAIR))
+    shown = lambda end: F.when(F.col("side") == "a", F.col(f"best.a_{end}")).otherwise(F.col(f"best.b_{end}"))
+    lines = lambda s, e: F.sum(F.greatest(F.lit(0), e - s + 1)).cast("int")
+    s, e = F.col("s"), F.col("e")
+    each = spans.groupBy(*PAIR, "side").agg(lines(s, e).alias("n"), F.min("s0").alias("first"), F.max("e").alias("last"), lines(s, F.least(e, shown("start") - 1)).alias("before"), lines(F.greatest(s, shown("end") + 1), e).alias("after"))
+    of = lambda c, x: F.max(F.when(F.col("side") == x, F.col(c))).alias(f"{c}_{x}")
+    return each.groupBy(*PAIR).agg(F.min("n").alias("duplicated_lines"), *(of(c, x) for x in "ab" for c in ("first", "last", "before", "after")))
+
+
+def evidence(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """The matches behind the findings, a row each, sorted by finding and place."""
+    d = found.select(F.col("a_fn_id").alias("fn_a"), F.col("b_fn_id").alias("fn_b"), _one().alias("x")).join(groups.select(*PAIR), list(PAIR), "left_semi").select(*PAIR, "x.*")
+    order = (*PAIR, "a_start", "a_end", "b_start", "b_end", "a_kind", "b_kind", "a_pos", "b_pos")
+    return d.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def clusters(found: DataFrame, min_size: int = 2) -> DataFrame:

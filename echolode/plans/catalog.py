@@ -98,6 +98,15 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
     return _findings(spark, sf).select("fn_a", "fn_b", F.round("score", 6).alias("score"), "duplicated_lines", F.array_join("reasons", ",").alias("reasons"))
 
 
+def evidence_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """What stands behind each finding: matches, first and last covered line of either side, covered lines that the best match doesn't show."""
+    found = Scratch(spark).cut(matches.matches(_candidates(spark, sf), THRESHOLDS.lexical_min_ratio), "matches")
+    groups = matches.findings(found, THRESHOLDS)
+    told = matches.evidence(found, groups).groupBy("fn_a", "fn_b").agg(F.count("*").alias("n_rows"), F.round(F.max("similarity"), 6).alias("most"))
+    sides = [f"{c}_{x}" for x in "ab" for c in ("first", "last")]
+    return groups.join(told, ["fn_a", "fn_b"]).select("fn_a", "fn_b", "n_evidence", "n_rows", "most", *sides, (F.col("before_a") + F.col("after_a") + F.col("best.a_end") - F.col("best.a_start") + 1).alias("lines_a"), (F.col("before_b") + F.col("after_b") + F.col("best.b_end") - F.col("best.b_start") + 1).alias("lines_b"))
+
+
 def clusters(spark: SparkSession, sf: str) -> DataFrame:
     d = Scratch(spark).cut(_findings(spark, sf).select("fn_a", "fn_b"), "findings")
     return matches.clusters(d, 2).select("fn_a", "fn_b", "cluster", "cluster_size")
@@ -209,11 +218,11 @@ def code_findings(spark: SparkSession, sf: str) -> DataFrame:
     """A whole scan of code: reasons, covered lines, the best match and how many matches stand behind it."""
     found = scan_tables(spark, _code(spark, sf), CODE_CONFIG).findings
     best = [F.col(f"best.{c}").alias(f"best_{c}") for c in ("a_kind", "b_kind", "a_start", "a_end", "b_start", "b_end")]
-    return found.select("fn_a", "fn_b", F.round("score", 6).alias("score"), "duplicated_lines", F.array_join("reasons", ",").alias("reasons"), F.size("evidence").alias("n_evidence"), *best)
+    return found.select("fn_a", "fn_b", F.round("score", 6).alias("score"), "duplicated_lines", F.array_join("reasons", ",").alias("reasons"), "n_evidence", *best)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (fingerprints, windows, lexical_pairs, stub_embedding, knn_exact, knn_cells, candidates, span_matches, findings, clusters, diff_scope, diff_incremental, snippet_union, cache_hits_misses, external_duplications, scan_stats, code_functions, code_snippets, code_findings)
+    own = (fingerprints, windows, lexical_pairs, stub_embedding, knn_exact, knn_cells, candidates, span_matches, findings, evidence_lines, clusters, diff_scope, diff_incremental, snippet_union, cache_hits_misses, external_duplications, scan_stats, code_functions, code_snippets, code_findings)
     return {f.__name__: f for f in own}
 
 
@@ -324,6 +333,9 @@ def oracle_sql() -> dict[str, str]:
         "candidates": f"WITH {_CHAIN} SELECT {_SIDES}, round(similarity, 6) AS similarity FROM cand",
         "span_matches": f"WITH {_CHAIN} SELECT {_SIDES}, round(similarity, 6) AS similarity FROM mat",
         "findings": f"WITH {_CHAIN} SELECT fn_a, fn_b, round(score, 6) AS score, duplicated_lines, 'window' AS reasons FROM fin JOIN cov USING (fn_a, fn_b)",
+        "evidence_lines": f"""WITH {_CHAIN}, one AS (SELECT fn_a, fn_b, count_if(side = 'a')::INTEGER AS lines_a, count_if(side = 'b')::INTEGER AS lines_b FROM ln GROUP BY ALL)
+            SELECT fn_a, fn_b, count(*)::INTEGER AS n_evidence, count(*) AS n_rows, round(max(similarity), 6) AS most, min(a_start_line)::INTEGER AS first_a, max(a_end_line)::INTEGER AS last_a,
+            min(b_start_line)::INTEGER AS first_b, max(b_end_line)::INTEGER AS last_b, any_value(lines_a) AS lines_a, any_value(lines_b) AS lines_b FROM mat JOIN one ON a_fn_id = fn_a AND b_fn_id = fn_b GROUP BY fn_a, fn_b""",
         "clusters": f"""WITH RECURSIVE {_CHAIN}, e AS MATERIALIZED (SELECT fn_a AS x, fn_b AS y FROM fin UNION SELECT fn_b, fn_a FROM fin),
             r AS (SELECT x AS node, x AS root FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node),
             c AS (SELECT node, min(root) AS cluster FROM r GROUP BY node)

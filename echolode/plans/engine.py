@@ -26,6 +26,7 @@ class ScanResult:
     stats: dict[str, int]
     config: Config
     timing: dict[str, float] = field(default_factory=dict)  # seconds by step
+    evidence: DataFrame | None = None  # the matches behind the findings
 
 
 def least_cosine(c: Config) -> float | None:
@@ -107,12 +108,13 @@ def scan_tables(spark: SparkSession, sources: DataFrame, c: Config, normalise: b
     if scope is not None and not c.cluster_findings:  # a cluster may be held together by findings outside
         near = incremental.within(near, snips, scope)
     candidates = scratch.cut(counted(matches.candidates(snips, near, c.thresholds), "candidate_count"), "candidates")
-    found = matches.findings(matches.matches(candidates, c.thresholds.lexical_min_ratio), c.thresholds)
+    pairs = scratch.cut(matches.matches(candidates, c.thresholds.lexical_min_ratio), "matches")
+    found = matches.findings(pairs, c.thresholds)
     if c.cluster_findings:
-        found = matches.clusters(found, c.cluster_min_size)
+        found = matches.clusters(scratch.cut(found, "groups"), c.cluster_min_size)
     found = done("similarity", counted(found, "finding_count"))
     counts = {"file_count": sources.count()} | {name: n for one in seen.values() for name, n in one.get.items()}
-    result = ScanResult(found, snips, counts, c, timing)
+    result = ScanResult(found, snips, counts, c, timing, matches.evidence(pairs, found))
     return result if scope is None else limited(result, scope)
 
 
@@ -153,7 +155,8 @@ def get_engine(name: str) -> Callable[[SparkSession, list[str], Config], ScanRes
 def limited(result: ScanResult, changed: DataFrame) -> ScanResult:
     """Findings with a side in the changed files (column path); only their count is replaced in the stats."""
     found = touched(result.findings, changed)
-    return replace(result, findings=found, stats=result.stats | {"finding_count": found.count()})
+    evidence = result.evidence.join(found.select("fn_a", "fn_b"), ["fn_a", "fn_b"], "left_semi") if result.evidence is not None else None
+    return replace(result, findings=found, evidence=evidence, stats=result.stats | {"finding_count": found.count()})
 
 
 def touched(found: DataFrame, changed: DataFrame) -> DataFrame:

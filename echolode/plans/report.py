@@ -5,25 +5,70 @@ from __future__ import annotations
 import difflib
 import html
 import json
+import os
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import asdict
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import __version__
+from ..operators.scratch import Scratch
 from .engine import ScanResult
 
-SCHEMA_VERSION = "1.0"
+#: reports change with the package
+SCHEMA_VERSION = __version__
 
 
-def _rows(result: ScanResult) -> list[dict]:
-    """Findings in order of their functions, with the texts of the best match beside them."""
+def _texts(result: ScanResult) -> DataFrame:
+    """Findings, with the texts of the best match beside them."""
     d = result.findings
     if result.snippets is not None and "best" in d.columns:
         text: DataFrame = result.snippets.select("pos", "text")
         a, b = (text.select(F.col("pos").alias(f"_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
         d = d.join(a, F.col("best.a_pos") == a["_a"], "left").join(b, F.col("best.b_pos") == b["_b"], "left").drop("_a", "_b")
-    return [r.asDict(recursive=True) for r in d.orderBy("fn_a", "fn_b").collect()]  # a report is one file
+    return d
+
+
+def _write(rows: DataFrame, said: Callable[[dict], str], order: list[Column | str], head: str, tail: str, out: str, between: str = "") -> None:
+    """One file: ``head``, what ``said`` makes of each row, in order, with ``between`` between two of them, and ``tail``.
+
+    Tasks make the rows' texts, and Spark's own writer commits those of whole tasks only. The driver puts the parts one after the
+    other as bytes, holding none of them, and gives the file its name when it is whole; so a job that fails leaves no report."""
+    spark = rows.sparkSession
+    scratch = Scratch(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([between + said(r) for r in b.to_pylist()], pa.string())], names=["value"])
+
+    lines = rows.orderBy(*order).mapInArrow(run, "value string")
+    lines.write.text(f"{scratch.root}/report")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p if "://" in p else os.path.abspath(p))
+    final, draft = path(out), path(f"{out}.{uuid.uuid4().hex}.tmp")
+    fs, parts = final.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path(f"{scratch.root}/report")
+    fs.setWriteChecksum(False)  # no file beside it
+    stream, at, first = fs.create(draft, True), parts.getFileSystem(conf), bool(between)
+    try:
+        stream.write(bytearray(head.encode()))
+        for part in sorted((s.getPath() for s in at.listStatus(parts) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName()):
+            source = at.open(part)
+            if first:
+                first = source.skip(len(between)) < len(between)  # nothing stands before the first row
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, stream, 1 << 16, False)
+            source.close()
+        stream.write(bytearray(tail.encode()))
+        stream.close()
+        fs.delete(final, False)
+        fs.rename(draft, final)
+    except BaseException:
+        fs.delete(draft, False)
+        raise
+    finally:
+        scratch.drop("report")
 
 
 def unit(fn_id: str) -> dict:
@@ -54,9 +99,13 @@ def _finding(r: dict) -> dict:
     return {"function_a": unit(r["fn_a"]), "function_b": unit(r["fn_b"]), "score": r["score"], "duplicated_lines": r["duplicated_lines"], "reasons": r["reasons"], "metadata": meta, "compare": compare}
 
 
+BY_NAME = ("fn_a", "fn_b")
+
+
 def write_json(result: ScanResult, out: str) -> None:
-    said = {"schema_version": SCHEMA_VERSION, "findings": [_finding(r) for r in _rows(result)], "stats": result.stats, "config": asdict(result.config), "timing": result.timing}
-    Path(out).write_text(json.dumps(said, indent=2), "utf-8")
+    rest = json.dumps({"stats": result.stats, "config": asdict(result.config), "timing": result.timing}, indent=2)
+    head = f'{{\n  "schema_version": {json.dumps(SCHEMA_VERSION)},\n  "findings": [\n'
+    _write(_texts(result), lambda r: json.dumps(_finding(r)), list(BY_NAME), head, f"  ],\n{rest[2:]}", out, ",")
 
 
 def write_sarif(result: ScanResult, out: str) -> None:
@@ -65,13 +114,14 @@ def write_sarif(result: ScanResult, out: str) -> None:
         return {"physicalLocation": {"artifactLocation": {"uri": u["path"]}, "region": {"startLine": u["start_line"], "endLine": u["end_line"]}}}
 
     rule = {"id": "duplicate-code", "shortDescription": {"text": "Duplicated code"}}
-    results = [
-        {"ruleId": rule["id"], "level": "note", "message": {"text": f"{r['fn_a']} and {r['fn_b']} are alike"}, "locations": [place(r["fn_a"]), place(r["fn_b"])], "properties": {k: f[k] for k in ("score", "duplicated_lines", "reasons", "metadata")}}
-        for r in _rows(result)
-        for f in [_finding(r)]
-    ]
-    said = {"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "echolode", "version": SCHEMA_VERSION, "rules": [rule]}}, "results": results}]}
-    Path(out).write_text(json.dumps(said, indent=2), "utf-8")
+
+    def row(r: dict) -> str:
+        f = _finding(r)
+        return json.dumps({"ruleId": rule["id"], "level": "note", "message": {"text": f"{r['fn_a']} and {r['fn_b']} are alike"}, "locations": [place(r["fn_a"]), place(r["fn_b"])], "properties": {k: f[k] for k in ("score", "duplicated_lines", "reasons", "metadata")}})
+
+    tool = json.dumps({"driver": {"name": "echolode", "version": SCHEMA_VERSION, "rules": [rule]}})
+    head = f'{{"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{{"tool": {tool}, "results": [\n'
+    _write(_texts(result), row, list(BY_NAME), head, "]}]}\n", out, ",")
 
 
 def side_by_side(a: str, b: str) -> str:
@@ -85,36 +135,21 @@ def side_by_side(a: str, b: str) -> str:
     return "".join(rows)
 
 
-def covered_between(spans: list[tuple[int, int]], start: int, end: int) -> int:
-    """Lines of the spans' union that lie from start to end."""
-    return len({k for s, e in spans for k in range(max(s, start), min(e, end) + 1)})
-
-
-def hidden_lines(evidence: list[dict], best: dict) -> tuple[int, int, int, int]:
-    """Covered lines before and after the shown span, of side a and of side b."""
-    out = []
-    for when in ("before", "after"):
-        for x in "ab":
-            spans = [(e[f"{x}_start"], e[f"{x}_end"]) for e in evidence]
-            out.append(covered_between(spans, 0, best[f"{x}_start"] - 1) if when == "before" else covered_between(spans, best[f"{x}_end"] + 1, max((e for _, e in spans), default=0)))
-    return out[0], out[2], out[1], out[3]
+def section(r: dict) -> str:
+    """A finding as HTML, with the lines that its best match doesn't show as counts."""
+    said, shown = "", ""
+    if r.get("best"):
+        note = lambda n, m: f'<tr class="hidden"><td>{n} lines not shown</td><td>{m} lines not shown</td></tr>' if n or m else ""
+        shown = f"<table>{note(r['before_a'], r['before_b'])}{side_by_side(r.get('text_a'), r.get('text_b'))}{note(r['after_a'], r['after_b'])}</table>"
+        said = f"<p>lines {r['first_a']}-{r['last_a']}; {r['first_b']}-{r['last_b']}</p>"
+    return f'<section data-lines="{r["duplicated_lines"]}" data-score="{r["score"]}" data-path="{html.escape(r["path_a"])}"><h2>{html.escape(r["fn_a"])} &harr; {html.escape(r["fn_b"])}</h2><p>score {r["score"]:.3f}, {r["duplicated_lines"]} lines, {", ".join(r["reasons"])}</p>{said}{shown}</section>'
 
 
 def write_html(result: ScanResult, out: str) -> None:
-    parts = []
-    for r in sorted(_rows(result), key=lambda r: (-r["duplicated_lines"], -r["score"], r["fn_a"])):
-        said, shown = "", ""
-        if r.get("best"):
-            ev = r["evidence"]
-            bounds = "; ".join(f"{min(e[x + '_start'] for e in ev)}-{max(e[x + '_end'] for e in ev)}" for x in "ab")
-            ba, aa, bb, ab = hidden_lines(ev, r["best"])
-            note = lambda n, m: f'<tr class="hidden"><td>{n} lines not shown</td><td>{m} lines not shown</td></tr>' if n or m else ""
-            shown = f"<table>{note(ba, bb)}{side_by_side(r.get('text_a'), r.get('text_b'))}{note(aa, ab)}</table>"
-            said = f"<p>lines {bounds}</p>"
-        parts.append(f'<section data-lines="{r["duplicated_lines"]}" data-score="{r["score"]}" data-path="{html.escape(r["path_a"])}"><h2>{html.escape(r["fn_a"])} &harr; {html.escape(r["fn_b"])}</h2><p>score {r["score"]:.3f}, {r["duplicated_lines"]} lines, {", ".join(r["reasons"])}</p>{said}{shown}</section>')
     script = "const s=k=>{const m=document.querySelector('main');[...m.children].sort((a,b)=>k=='path'?a.dataset.path.localeCompare(b.dataset.path):b.dataset[k]-a.dataset[k]).forEach(x=>m.append(x))}"
     buttons = "".join(f"<button onclick=\"s('{k}')\">{k}</button>" for k in ("lines", "score", "path"))
-    Path(out).write_text(f"<!doctype html><meta charset='utf-8'><title>Duplicates</title><style>table{{font:12px monospace;white-space:pre}}.replace,.insert,.delete{{background:#ffd}}</style><script>{script}</script>{buttons}<main>{''.join(parts)}</main>", "utf-8")
+    head = f"<!doctype html><meta charset='utf-8'><title>Duplicates</title><style>table{{font:12px monospace;white-space:pre}}.replace,.insert,.delete{{background:#ffd}}</style><script>{script}</script>{buttons}<main>"
+    _write(_texts(result), section, [F.desc("duplicated_lines"), F.desc("score"), F.col("fn_a"), F.col("fn_b")], head, "</main>", out)
 
 
 WRITERS = {"json": write_json, "sarif": write_sarif, "html": write_html}
