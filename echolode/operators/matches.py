@@ -16,6 +16,7 @@ from ..config import Thresholds
 from ..functions import columns as C
 from .components import connected_components
 from .scratch import Scratch
+from .upkeep import Clusters
 
 #: longs of the bits that stand for a token set
 LONGS = 8
@@ -140,10 +141,11 @@ def evidence(found: DataFrame, groups: DataFrame) -> DataFrame:
     return d.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def clusters(found: DataFrame, min_size: int = 2) -> DataFrame:
-    """Findings with cluster_id (numbered in the order of their functions), of clusters of at least ``min_size``
-    findings; all of them if ``min_size`` is 1 or less."""
-    label = connected_components(found.select(F.col("fn_a").alias("src"), F.col("fn_b").alias("dst")))
+def clusters(found: DataFrame, min_size: int = 2, kept: Clusters | None = None) -> DataFrame:
+    """Findings with cluster, the least function of theirs, of clusters of at least ``min_size`` findings; all of them if ``min_size``
+    is 1 or less. With ``kept`` only clusters that differ from those that it has are worked out."""
+    edges = found.select(F.col("fn_a").alias("src"), F.col("fn_b").alias("dst"))
+    label = kept.sync(edges) if kept else connected_components(edges)
     d = found.join(label, found["fn_a"] == label["node"]).drop("node")
     ids = d.groupBy("component").agg(F.count("*").alias("cluster_size"))
     ids = ids.where(F.col("cluster_size") >= min_size) if min_size > 1 else ids

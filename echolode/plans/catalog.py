@@ -12,6 +12,7 @@ from ..functions import columns as C
 from ..operators import embed, expansion, incremental, knn, matches, snippets
 from ..operators.scratch import Scratch
 from ..operators.snapshots import Store
+from ..operators.upkeep import Clusters
 from ..sources.external import from_pairs
 from ..sources.files import dealt, table_files
 from .engine import least_cosine, positioned, scan_tables, touched
@@ -112,6 +113,17 @@ def clusters(spark: SparkSession, sf: str) -> DataFrame:
     return matches.clusters(d, 2).select("fn_a", "fn_b", "cluster", "cluster_size")
 
 
+def clusters_upkeep(spark: SparkSession, sf: str) -> DataFrame:
+    """The same clusters, kept through changes: a third of the findings comes later, and a node that held every fifth together goes."""
+    d = Scratch(spark).cut(_findings(spark, sf).select("fn_a", "fn_b"), "findings")
+    edges, part = d.toDF("src", "dst"), F.pmod(F.xxhash64("src", "dst"), F.lit(15))
+    hub = edges.where(part % 5 == 1).select("src", F.lit("").alias("dst"))
+    kept = Clusters(spark, f"{Scratch(spark).root}/clusters")
+    kept.update(edges.where(part % 3 != 0).unionByName(hub), hub.limit(0))
+    kept.update(edges.where(part % 3 == 0), hub.where(part % 2 == 1))
+    return matches.clusters(d, 2, kept).select("fn_a", "fn_b", "cluster", "cluster_size")
+
+
 def _changed(spark: SparkSession, sf: str) -> DataFrame:
     """Paths of the documents labelled of low quality, which stand for changed files."""
     return _table(spark, sf, "labels").where("quality = 0").select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("path")).distinct()
@@ -222,7 +234,7 @@ def code_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (fingerprints, windows, lexical_pairs, stub_embedding, knn_exact, knn_cells, candidates, span_matches, findings, evidence_lines, clusters, diff_scope, diff_incremental, snippet_union, cache_hits_misses, external_duplications, scan_stats, code_functions, code_snippets, code_findings)
+    own = (fingerprints, windows, lexical_pairs, stub_embedding, knn_exact, knn_cells, candidates, span_matches, findings, evidence_lines, clusters, clusters_upkeep, diff_scope, diff_incremental, snippet_union, cache_hits_misses, external_duplications, scan_stats, code_functions, code_snippets, code_findings)
     return {f.__name__: f for f in own}
 
 
@@ -309,6 +321,11 @@ best AS (SELECT * FROM mat QUALIFY row_number() OVER (PARTITION BY fa, fb ORDER
 grp AS (SELECT fa, fb, max(sim) AS score, count(*) AS n, max(CASE WHEN 'FUNC' IN (ak, bk) THEN sim END) AS f, max(CASE WHEN 'EXP' IN (ak, bk) THEN sim END) AS x, count_if('WIN' IN (ak, bk)) AS w,
     least(max(a_e) - min(a_s), max(b_e) - min(b_s)) + 1 AS lines FROM mat GROUP BY fa, fb)"""
 
+_CLUSTERS = f"""WITH RECURSIVE {_CHAIN}, e AS MATERIALIZED (SELECT fn_a AS x, fn_b AS y FROM fin UNION SELECT fn_b, fn_a FROM fin),
+    r AS (SELECT x AS node, x AS root FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node),
+    c AS (SELECT node, min(root) AS cluster FROM r GROUP BY node)
+    SELECT * FROM (SELECT fn_a, fn_b, cluster, count(*) OVER (PARTITION BY cluster) AS cluster_size FROM fin JOIN c ON fn_a = node) WHERE cluster_size >= 2"""
+
 #: Both searches are exact.
 _KNN = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
     n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v),
@@ -336,10 +353,8 @@ def oracle_sql() -> dict[str, str]:
         "evidence_lines": f"""WITH {_CHAIN}, one AS (SELECT fn_a, fn_b, count_if(side = 'a')::INTEGER AS lines_a, count_if(side = 'b')::INTEGER AS lines_b FROM ln GROUP BY ALL)
             SELECT fn_a, fn_b, count(*)::INTEGER AS n_evidence, count(*) AS n_rows, round(max(similarity), 6) AS most, min(a_start_line)::INTEGER AS first_a, max(a_end_line)::INTEGER AS last_a,
             min(b_start_line)::INTEGER AS first_b, max(b_end_line)::INTEGER AS last_b, any_value(lines_a) AS lines_a, any_value(lines_b) AS lines_b FROM mat JOIN one ON a_fn_id = fn_a AND b_fn_id = fn_b GROUP BY fn_a, fn_b""",
-        "clusters": f"""WITH RECURSIVE {_CHAIN}, e AS MATERIALIZED (SELECT fn_a AS x, fn_b AS y FROM fin UNION SELECT fn_b, fn_a FROM fin),
-            r AS (SELECT x AS node, x AS root FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node),
-            c AS (SELECT node, min(root) AS cluster FROM r GROUP BY node)
-            SELECT * FROM (SELECT fn_a, fn_b, cluster, count(*) OVER (PARTITION BY cluster) AS cluster_size FROM fin JOIN c ON fn_a = node) WHERE cluster_size >= 2""",
+        "clusters": _CLUSTERS,
+        "clusters_upkeep": _CLUSTERS,
         "diff_scope": f"""WITH {_CHAIN}, p AS (SELECT 'documents/' || doc_id || ':' AS p FROM labels WHERE quality = 0)
             SELECT fn_a, fn_b FROM fin WHERE EXISTS (FROM p WHERE starts_with(fn_a, p.p) OR starts_with(fn_b, p.p))""",
         "diff_incremental": f"""WITH {_CHAIN}, p AS (SELECT 'documents/' || doc_id || ':' AS p FROM labels WHERE quality = 0)

@@ -16,6 +16,7 @@ from ..operators import embed as E
 from ..operators import expansion, incremental, knn, matches, snippets
 from ..operators.scratch import Scratch
 from ..operators.snapshots import Store
+from ..operators.upkeep import Clusters
 from ..sources import changes, external, files
 
 
@@ -99,7 +100,7 @@ def scan_tables(spark: SparkSession, sources: DataFrame, c: Config, normalise: b
     hits = (F.count_if("cached").alias("cache_hits"), F.count_if(~F.col("cached")).alias("cache_misses"))
     snips = done("embed", counted(positioned(found).withColumn("tokens", C.tokens(F.col("text"))), "snippet_count", *hits))
     if state:
-        store = Store(spark, state)
+        store = Store(spark, f"{state}/neighbours")
         near, _ = incremental.neighbours(store, snips, c.index.top_k, least_cosine(c), made_with(c))
         near = scratch.cut(near, "near")
         incremental.remember(store, snips, near, made_with(c))
@@ -111,7 +112,7 @@ def scan_tables(spark: SparkSession, sources: DataFrame, c: Config, normalise: b
     pairs = scratch.cut(matches.matches(candidates, c.thresholds.lexical_min_ratio), "matches")
     found = matches.findings(pairs, c.thresholds)
     if c.cluster_findings:
-        found = matches.clusters(scratch.cut(found, "groups"), c.cluster_min_size)
+        found = matches.clusters(scratch.cut(found, "groups"), c.cluster_min_size, Clusters(spark, f"{state}/clusters") if state else None)
     found = done("similarity", counted(found, "finding_count"))
     counts = {"file_count": sources.count()} | {name: n for one in seen.values() for name, n in one.get.items()}
     result = ScanResult(found, snips, counts, c, timing, matches.evidence(pairs, found))
