@@ -233,8 +233,69 @@ def code_findings(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("fn_a", "fn_b", F.round("score", 6).alias("score"), "duplicated_lines", F.array_join("reasons", ",").alias("reasons"), "n_evidence", *best)
 
 
+#: projects of four files for each supplier {k}: what is called is in the same file, in modules imported whole or by name, in a package
+#: elsewhere, or a method of an instance that is made, copied, annotated or returned. By file: lines at its top, and its functions and classes.
+PROJECT = {
+    "c{k}/main.py": (
+        ["import tools{k}", "import lib{k}.deep{k} as deep", "import shapes{k} as sh", "from shapes{k} import Box, Box as Crate", "from tools{k} import mean as average, nothing"],
+        {
+            "here": "def here(x):\n    return mid(x) + {k}",
+            "mid": "def mid(x):\n    return low(x)",
+            "low": "def low(x):\n    return x * {k}",
+            "by_name": "def by_name(x):\n    return average(x)",
+            "by_module": "def by_module(x):\n    return tools{k}.mean(x) + deep.dig(x)",
+            "by_copy": "def by_copy(x):\n    a = Box()\n    b = a\n    return b.area(x)",
+            "by_annotation": "def by_annotation(x):\n    a: Crate = x\n    return a.area(1)",
+            "by_module_annotation": "def by_module_annotation(x):\n    a: sh.Box = x\n    return a.area(2)",
+            "by_constructor": "def by_constructor(x):\n    return Box().area(x)",
+            "by_factory": "def by_factory(x):\n    a = tools{k}.make()\n    return a.run()",
+            "local": "def local():\n    return Own()",
+            "by_local": "def by_local(x):\n    a = local()\n    return a.go(x)",
+            "alone": "def alone(x):\n    return print(x) or nothing(x) or nowhere.at(x)",
+            "Own.go": "class Own:\n    def go(self, x):\n        return x - {k}",
+        },
+    ),
+    "c{k}/tools{k}.py": ([], {"mean": "def mean(x):\n    return sum(x) / {k}", "make": "def make():\n    return Tool()", "Tool.run": "class Tool:\n    def run(self):\n        return {k}"}),
+    "c{k}/shapes{k}.py": ([], {"Box.area": "class Box:\n    def area(self, x):\n        return x + {k}"}),
+    "lib{k}/deep{k}/__init__.py": ([], {"dig": "def dig(x):\n    return x or {k}"}),
+}
+#: what is found for each function at depth 2, in order; of files of one name, such as those of packages, the last path counts
+CALLED = {"here": "mid low", "mid": "low", "by_name": "mean", "by_module": "mean dig", "by_copy": "Box.area", "by_annotation": "Box.area", "by_module_annotation": "Box.area", "by_constructor": "Box.area", "by_factory": "make Tool.run", "by_local": "local Own.go"}
+
+
+def _projects(spark: SparkSession, sf: str) -> DataFrame:
+    put = lambda x: F.replace(F.lit(x), F.lit("{k}"), F.col("s_suppkey").cast("string"))
+    texts = {path: "\n\n".join(["\n".join(top), *parts.values()] if top else parts.values()) + "\n" for path, (top, parts) in PROJECT.items()}
+    files = F.array(*[F.struct(put(path).alias("path"), put(text).alias("content")) for path, text in texts.items()])
+    d = _table(spark, sf, "supplier").select("s_suppkey", F.explode(files).alias("f")).select("f.*")
+    return d.withColumn("content_hash", F.sha2("content", 256)).withColumn("language", F.lit("python"))
+
+
+def code_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions with the code of what they call, two levels deep, through imports, methods, instances and factories."""
+    files = _projects(spark, sf)
+    found = expansion.call_snippets(files, snippets.function_units(files), Expansion(enabled=True, depth=2), normalise=False)
+    helpers = F.array_join(F.regexp_extract_all("text", F.lit("# expanded:([^\n]*)"), F.lit(1)), ",")
+    return found.select("fn_id", "start_line", "end_line", helpers.alias("helpers"), F.sha2("text", 256).alias("text_hash"))
+
+
+def _called_sql() -> str:
+    """The functions of CALLED with their texts put together as SQL, by the lines that PROJECT gives them."""
+    said = lambda text, k: "replace('" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + f"', '{{k}}', {k}::VARCHAR)"
+    own = {name: code.partition("\n")[2] if "." in name else code for _, parts in PROJECT.values() for name, code in parts.items()}
+    top, parts = PROJECT["c{k}/main.py"]
+    rows, line = [], len(top) + 2
+    for name, code in parts.items():
+        last = line + code.count("\n")
+        if name in CALLED:
+            more = [f" || chr(10) || chr(10) || '# expanded:{h}' || chr(10) || {said(own[h], 'z' if h == 'dig' else 'k')}" for h in CALLED[name].split()]
+            rows.append(f"SELECT 'c' || k || '/main.py:{name}:{line}:{last}' AS fn_id, {line}::INTEGER AS start_line, {last}::INTEGER AS end_line, '{CALLED[name].replace(' ', ',')}' AS helpers, sha256({said(code, 'k')}{''.join(more)}) AS text_hash FROM s, l")
+        line = last + 2
+    return "WITH s AS (SELECT s_suppkey AS k FROM supplier), l AS (SELECT arg_max(k, 'lib' || k || '/deep' || k || '/__init__.py') AS z FROM s) " + " UNION ALL ".join(rows)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (fingerprints, windows, lexical_pairs, stub_embedding, knn_exact, knn_cells, candidates, span_matches, findings, evidence_lines, clusters, clusters_upkeep, diff_scope, diff_incremental, snippet_union, cache_hits_misses, external_duplications, scan_stats, code_functions, code_snippets, code_findings)
+    own = (fingerprints, windows, lexical_pairs, stub_embedding, knn_exact, knn_cells, candidates, span_matches, findings, evidence_lines, clusters, clusters_upkeep, diff_scope, diff_incremental, snippet_union, cache_hits_misses, external_duplications, scan_stats, code_functions, code_snippets, code_findings, code_calls)
     return {f.__name__: f for f in own}
 
 
@@ -370,5 +431,6 @@ def oracle_sql() -> dict[str, str]:
             concat_ws(',', CASE WHEN f >= 0.92 THEN 'func' END, CASE WHEN x >= 0.9 THEN 'exp' END, CASE WHEN w > 0 THEN 'window' END) AS reasons, n::INTEGER AS n_evidence,
             ak AS best_a_kind, bk AS best_b_kind, a_s::INTEGER AS best_a_start, a_e::INTEGER AS best_a_end, b_s::INTEGER AS best_b_start, b_e::INTEGER AS best_b_end
             FROM grp JOIN best USING (fa, fb) WHERE f >= 0.92 OR x >= 0.9 OR w > 0""",
+        "code_calls": _called_sql(),
         "scan_stats": f"WITH {_CHAIN} SELECT (SELECT count(*) FROM documents) AS file_count, (SELECT count(*) FROM win) AS snippet_count, (SELECT count(*) FROM fin) AS finding_count",
     }
