@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import PRESETS, Config, Expansion, Thresholds, Windows
 from ..functions import columns as C
+from ..functions import sql
 from ..operators import embed, expansion, incremental, knn, matches, snippets
 from ..operators.scratch import Scratch
 from ..operators.snapshots import Store
@@ -233,6 +234,31 @@ def code_findings(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("fn_a", "fn_b", F.round("score", 6).alias("score"), "duplicated_lines", F.array_join("reasons", ",").alias("reasons"), "n_evidence", *best)
 
 
+SNIPPETS_SQL = """
+WITH f AS (SELECT path, t.*, concat_ws(':', path, t.qualified_name, t.start_line, t.end_line) AS fn_id FROM {files}, LATERAL source_functions(content) t)
+SELECT 'FUNC' AS kind, fn_id, start_line, end_line, sha2(normalised(code), 256) AS text_hash FROM f
+UNION ALL SELECT 'WIN', fn_id, start_line + w.at, start_line + w.rel - 1, sha2(normalised(w.raw), 256) FROM f, LATERAL line_windows(code, 12, 6, 4) w
+UNION ALL SELECT 'EXP', caller.fn_id, caller.start_line, caller.end_line, sha2(normalised(concat(caller.code, '\n\n# expanded:', called.qualified_name, '\n', called.code)), 256)
+  FROM (SELECT f.*, c.name FROM f, LATERAL source_calls(code) c WHERE c.form = 'name') caller JOIN f called ON called.path = caller.path AND called.qualified_name = caller.name
+"""
+
+
+def sql_snippets(spark: SparkSession, sf: str) -> DataFrame:
+    """The snippets of code_snippets by SQL alone, with the table functions of this package."""
+    sql.register(spark)
+    return spark.sql(SNIPPETS_SQL, files=_code(spark, sf))
+
+
+def sql_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of its words each window of a document shares with the one before it, by SQL alone."""
+    sql.register(spark)
+    return spark.sql(
+        """WITH w AS (SELECT path, t.at, tokens(t.raw) AS words FROM {files}, LATERAL line_windows(content, 12, 6, 4) t)
+        SELECT path, at AS line, size(words) AS n_words, round(jaccard(words, lag(words) OVER (PARTITION BY path ORDER BY at)), 6) AS lexical FROM w""",
+        files=_files(spark, sf),
+    )
+
+
 #: projects of four files for each supplier {k}: what is called is in the same file, in modules imported whole or by name, in a package
 #: elsewhere, or a method of an instance that is made, copied, annotated or returned. By file: lines at its top, and its functions and classes.
 PROJECT = {
@@ -295,7 +321,7 @@ def _called_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (fingerprints, windows, lexical_pairs, stub_embedding, knn_exact, knn_cells, candidates, span_matches, findings, evidence_lines, clusters, clusters_upkeep, diff_scope, diff_incremental, snippet_union, cache_hits_misses, external_duplications, scan_stats, code_functions, code_snippets, code_findings, code_calls)
+    own = (fingerprints, windows, lexical_pairs, stub_embedding, knn_exact, knn_cells, candidates, span_matches, findings, evidence_lines, clusters, clusters_upkeep, diff_scope, diff_incremental, snippet_union, cache_hits_misses, external_duplications, scan_stats, code_functions, code_snippets, code_findings, code_calls, sql_snippets, sql_overlap)
     return {f.__name__: f for f in own}
 
 
@@ -427,6 +453,10 @@ def oracle_sql() -> dict[str, str]:
             (least(a.n_nationkey - a.n_regionkey, b.n_nationkey - b.n_regionkey) + 1)::INTEGER AS duplicated_lines FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey""",
         "code_functions": f"WITH {_CODE} SELECT path, name AS qualified_name, s::INTEGER AS start_line, e::INTEGER AS end_line, ord::INTEGER AS fn_ord, sha256(code) AS code_hash FROM ids",
         "code_snippets": f"WITH {_CODE} SELECT kind, fn_id, s::INTEGER AS start_line, e::INTEGER AS end_line, sha256(txt) AS text_hash FROM bag",
+        "sql_snippets": f"WITH {_CODE} SELECT kind, fn_id, s::INTEGER AS start_line, e::INTEGER AS end_line, sha256(txt) AS text_hash FROM bag",
+        "sql_overlap": f"""WITH w AS (SELECT path, (start_line - 1)::INTEGER AS line, {_TOKENS.format('text')} AS t FROM {_windows('documents', 'doc_id', 'text')}),
+            p AS (SELECT *, lag(t) OVER (PARTITION BY path ORDER BY line) AS q FROM w)
+            SELECT path, line, len(t)::INTEGER AS n_words, CASE WHEN q IS NULL THEN NULL WHEN len(t) = 0 OR len(q) = 0 THEN 0.0 ELSE round(len(list_intersect(t, q))::DOUBLE / (len(t) + len(q) - len(list_intersect(t, q))), 6) END AS lexical FROM p""",
         "code_findings": f"""WITH {_CODE_CHAIN} SELECT fa AS fn_a, fb AS fn_b, round(score, 6) AS score, lines::INTEGER AS duplicated_lines,
             concat_ws(',', CASE WHEN f >= 0.92 THEN 'func' END, CASE WHEN x >= 0.9 THEN 'exp' END, CASE WHEN w > 0 THEN 'window' END) AS reasons, n::INTEGER AS n_evidence,
             ak AS best_a_kind, bk AS best_b_kind, a_s::INTEGER AS best_a_start, a_e::INTEGER AS best_a_end, b_s::INTEGER AS best_b_start, b_e::INTEGER AS best_b_end
