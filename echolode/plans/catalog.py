@@ -11,6 +11,7 @@ from ..config import PRESETS, Config, Expansion, Thresholds, Windows
 from ..functions import columns as C
 from ..functions import sql
 from ..operators import embed, expansion, incremental, knn, matches, snippets
+from ..operators.index import VectorIndex
 from ..operators.scratch import Scratch
 from ..operators.snapshots import Store
 from ..operators.upkeep import Clusters
@@ -68,6 +69,15 @@ def knn_cells(spark: SparkSession, sf: str) -> DataFrame:
     return knn.knn_cells(_embeddings(spark, sf), K, 64, 16).select("a_pos", "b_pos", F.round("score", 6).alias("score"))
 
 
+def index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best of every twentieth vector, by an index that was built of two thirds of the vectors and got the others later."""
+    v, folder = _embeddings(spark, sf), f"{Scratch(spark).root}/index"
+    VectorIndex(spark, folder).build(v.where("pos % 3 <> 0"), 64)
+    VectorIndex(spark, folder).append(v.where("pos % 3 = 0"))
+    found = VectorIndex(spark, folder).search(v.where("pos % 20 = 0"), 10, 8, exact=True)
+    return found.select("a_pos", "b_pos", F.round("score", 6).alias("score"), "rank")
+
+
 def _snippets(spark: SparkSession, files: DataFrame) -> DataFrame:
     """The windows of files with pos, vec and tokens, written once."""
     w = snippets.window_snippets(snippets.text_units(files), WINDOWS, normalise=False)
@@ -321,7 +331,7 @@ def _called_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (fingerprints, windows, lexical_pairs, stub_embedding, knn_exact, knn_cells, candidates, span_matches, findings, evidence_lines, clusters, clusters_upkeep, diff_scope, diff_incremental, snippet_union, cache_hits_misses, external_duplications, scan_stats, code_functions, code_snippets, code_findings, code_calls, sql_snippets, sql_overlap)
+    own = (fingerprints, windows, lexical_pairs, stub_embedding, knn_exact, knn_cells, index_search, candidates, span_matches, findings, evidence_lines, clusters, clusters_upkeep, diff_scope, diff_incremental, snippet_union, cache_hits_misses, external_duplications, scan_stats, code_functions, code_snippets, code_findings, code_calls, sql_snippets, sql_overlap)
     return {f.__name__: f for f in own}
 
 
@@ -434,6 +444,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT item_id, place::INTEGER AS place, round(v[place + 1] / sqrt(list_sum(list_transform(v, lambda y: y * y))), 6) AS x FROM (SELECT *, unnest(range(0, 16)) AS place FROM r)""",
         "knn_exact": _KNN,
         "knn_cells": _KNN,
+        "index_search": _KNN.split("SELECT a_pos")[0] + """SELECT a_pos, b_pos, round(score, 6) AS score, rank::INTEGER AS rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY a_pos ORDER BY score DESC, b_pos) AS rank FROM s WHERE a_pos % 20 = 0) WHERE rank <= 10""",
         "candidates": f"WITH {_CHAIN} SELECT {_SIDES}, round(similarity, 6) AS similarity FROM cand",
         "span_matches": f"WITH {_CHAIN} SELECT {_SIDES}, round(similarity, 6) AS similarity FROM mat",
         "findings": f"WITH {_CHAIN} SELECT fn_a, fn_b, round(score, 6) AS score, duplicated_lines, 'window' AS reasons FROM fin JOIN cov USING (fn_a, fn_b)",
