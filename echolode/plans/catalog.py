@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from ..operators.index import VectorIndex
 from ..operators.scratch import Scratch
 from ..operators.snapshots import Store
 from ..operators.upkeep import Clusters
+from ..sources import tree
 from ..sources.external import from_pairs
 from ..sources.files import dealt, table_files
 from .engine import least_cosine, positioned, scan_tables, touched
@@ -36,6 +39,30 @@ def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("path", "content_hash", "language", F.size(C.lines(F.col("content"))).alias("n_lines"))
 
 
+def source_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files of a folder tree, read by globs: every fifth is named as code, a folder of each is left out, and so are names without an ending."""
+    root = f"{Scratch(spark).root}/tree"
+    local = root.removeprefix("file://")
+    if "://" in local:
+        raise RuntimeError("a source tree lies in a folder that all executors have mounted; spark.checkpoint.dir names none")
+    ending = F.expr("case when doc_id % 5 = 0 then '.py' when doc_id % 11 = 0 then '' else '.txt' end")
+    name = F.concat_ws("/", F.expr("'d' || doc_id % 7"), F.expr("'s' || doc_id % 3"), F.concat(F.col("doc_id").cast("string"), ending))
+    d = dealt(_table(spark, sf, "documents").where("doc_id is not null").select(name.alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content")))
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b["name"].to_pylist(), b["content"].to_pylist(), strict=True):
+                at = os.path.join(local, path)
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                with open(at, "wb") as f:
+                    f.write(content)
+            yield b.select(["name"])
+
+    d.mapInArrow(written, "name string").write.format("noop").mode("overwrite").save()
+    found = tree.read_tree(spark, [local], ["**/*.txt", "**/*.py"], ["**/s2/**"])
+    return found.select(F.expr(f"substr(path, {len(local) + 2})").alias("path"), "content_hash", "language")
+
+
 def windows(spark: SparkSession, sf: str) -> DataFrame:
     w = snippets.window_snippets(snippets.text_units(_files(spark, sf)), WINDOWS, normalise=False)
     return w.select("path", "start_line", "end_line", F.sha2("text", 256).alias("text_hash"), F.size(C.tokens(F.col("text"))).alias("n_tokens"))
@@ -331,7 +358,7 @@ def _called_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (fingerprints, windows, lexical_pairs, stub_embedding, knn_exact, knn_cells, index_search, candidates, span_matches, findings, evidence_lines, clusters, clusters_upkeep, diff_scope, diff_incremental, snippet_union, cache_hits_misses, external_duplications, scan_stats, code_functions, code_snippets, code_findings, code_calls, sql_snippets, sql_overlap)
+    own = (fingerprints, source_tree, windows, lexical_pairs, stub_embedding, knn_exact, knn_cells, index_search, candidates, span_matches, findings, evidence_lines, clusters, clusters_upkeep, diff_scope, diff_incremental, snippet_union, cache_hits_misses, external_duplications, scan_stats, code_functions, code_snippets, code_findings, code_calls, sql_snippets, sql_overlap)
     return {f.__name__: f for f in own}
 
 
@@ -436,6 +463,8 @@ def oracle_sql() -> dict[str, str]:
         "fingerprints": " UNION ALL ".join(
             f"SELECT '{t}/' || {k} AS path, sha256(c) AS content_hash, 'text' AS language, len({_lines('c')})::INTEGER AS n_lines FROM (SELECT *, {_text(x)} AS c FROM {t}) WHERE regexp_matches(c, '{INK}')" for t, k, x in (("documents", "doc_id", "text"), ("pages", "page_id", "html"))
         ),
+        "source_tree": f"""SELECT 'd' || doc_id % 7 || '/s' || doc_id % 3 || '/' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '.py' ELSE '.txt' END AS path, sha256(c) AS content_hash,
+            CASE WHEN doc_id % 5 = 0 THEN 'python' ELSE 'text' END AS language FROM (SELECT doc_id, {_text('text')} AS c FROM documents) WHERE doc_id % 3 <> 2 AND (doc_id % 5 = 0 OR doc_id % 11 <> 0)""",
         "windows": f"SELECT path, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line, sha256(text) AS text_hash, len({_TOKENS.format('text')})::INTEGER AS n_tokens FROM {_windows('documents', 'doc_id', 'text')}",
         "lexical_pairs": f"""WITH b AS (SELECT item_id, {_TOKENS.format('text')} AS t FROM benchmark)
             SELECT * FROM (SELECT a.item_id AS a_id, b.item_id AS b_id, len(list_intersect(a.t, b.t))::BIGINT AS shared, (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))::BIGINT AS joint

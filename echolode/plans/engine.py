@@ -17,7 +17,7 @@ from ..operators import expansion, incremental, knn, matches, snippets
 from ..operators.scratch import Scratch
 from ..operators.snapshots import Store
 from ..operators.upkeep import Clusters
-from ..sources import changes, external, files
+from ..sources import changes, external, tree
 
 
 @dataclass(frozen=True)
@@ -128,7 +128,8 @@ def scan(spark: SparkSession, paths: list[str], c: Config = Config(), state: str
 
 def _semantic(spark: SparkSession, paths: list[str], c: Config, state: str = "", scope: DataFrame | None = None) -> ScanResult:
     since = perf_counter()
-    sources = files.read_files(spark, files.listed(paths, c.include_globs, c.exclude_globs))
+    # written once: a tree may change while a scan reads it
+    sources = Scratch(spark).cut(tree.read_tree(spark, paths, c.include_globs, c.exclude_globs), "sources")
     listed = {"collect_files": perf_counter() - since}
     result = scan_tables(spark, sources, c, state=state, scope=scope)
     return replace(result, timing=listed | result.timing)
