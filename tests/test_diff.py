@@ -66,13 +66,14 @@ def test_diff_with_and_without_state(spark, tree):
     (tree / "src" / "m1.py").write_text(code(0) + "\n" + code(7, "h"))
     (tree / "src" / "m7.py").write_text(code(7, "h"))
     (tree / "src" / "m5.py").unlink()
+    # a scan of all, limited afterwards, has the same
+    touched = {"src/m1.py", "src/m7.py", "src/m5.py"}
+    want = {r for r in found(engine.scan(spark, ["src"], CONFIG)) if touched & {r[0].split(":")[0], r[1].split(":")[0]}}
+    plain = engine.diff(spark, "HEAD", ["src"], CONFIG)
+    assert found(plain) == want != set() and plain.stats["file_count"] == 6
     for _ in range(2):  # by the state of the scan, then by that of the diff
-        plain, quick = engine.diff(spark, "HEAD", ["src"], CONFIG), engine.diff(spark, "HEAD", ["src"], CONFIG, state)
-        assert found(plain) == found(quick) != set()
-        # a scan of all, limited afterwards, has the same
-        touched = {"src/m1.py", "src/m7.py", "src/m5.py"}
-        assert found(plain) == {r for r in found(engine.scan(spark, ["src"], CONFIG)) if touched & {r[0].split(":")[0], r[1].split(":")[0]}}
-        assert plain.stats == quick.stats and plain.stats["file_count"] == 6
+        quick = engine.diff(spark, "HEAD", ["src"], CONFIG, state)
+        assert found(quick) == want and plain.stats == quick.stats
     clustered = replace(CONFIG, cluster_findings=True)
     assert {r[:2] for r in found(engine.diff(spark, "HEAD", ["src"], clustered, state))} == {r[:2] for r in found(engine.diff(spark, "HEAD", ["src"], clustered))}
 
