@@ -37,6 +37,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError("components didn't settle within 99 rounds")
     roots = at.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     found = at.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
     alone = loops.join(found, "node", "left_anti").select("node", F.col("node").alias("component"))

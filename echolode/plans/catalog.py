@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from ..operators.upkeep import Clusters
 from ..sources import tree
 from ..sources.external import from_pairs
 from ..sources.files import dealt, table_files
+from ..streaming import arrivals
 from .engine import least_cosine, positioned, scan_tables, touched
 
 WINDOWS, K, THRESHOLDS = Windows(12, 6, 4), 25, Thresholds()
@@ -151,6 +153,15 @@ def clusters(spark: SparkSession, sf: str) -> DataFrame:
     return matches.clusters(d, 2).select("fn_a", "fn_b", "cluster", "cluster_size")
 
 
+def arrivals_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as a stream, a second apart by their ids: those that equal windows hold together."""
+    d = spark.readStream.schema(_table(spark, sf, "documents").schema).parquet(f"{sf}/document[s].parquet")  # a stream of files takes a pattern, not one file
+    named = d.select(F.concat(F.lit("documents/"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("id"), "text", F.timestamp_seconds(F.coalesce("doc_id", F.lit(0))).alias("at"))
+    root = Scratch(spark).root
+    arrivals.watch(named, "id", "text", "at", f"{root}/links", f"{root}/state", WINDOWS, timedelta(days=36500)).awaitTermination()
+    return arrivals.clusters(spark.read.schema(arrivals.LINK).parquet(f"{root}/links"))
+
+
 def clusters_upkeep(spark: SparkSession, sf: str) -> DataFrame:
     """The same clusters, kept through changes: a third of the findings comes later, and a node that held every fifth together goes."""
     d = Scratch(spark).cut(_findings(spark, sf).select("fn_a", "fn_b"), "findings")
@@ -358,7 +369,7 @@ def _called_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (fingerprints, source_tree, windows, lexical_pairs, stub_embedding, knn_exact, knn_cells, index_search, candidates, span_matches, findings, evidence_lines, clusters, clusters_upkeep, diff_scope, diff_incremental, snippet_union, cache_hits_misses, external_duplications, scan_stats, code_functions, code_snippets, code_findings, code_calls, sql_snippets, sql_overlap)
+    own = (fingerprints, source_tree, windows, lexical_pairs, stub_embedding, knn_exact, knn_cells, index_search, candidates, span_matches, findings, evidence_lines, clusters, clusters_upkeep, arrivals_clusters, diff_scope, diff_incremental, snippet_union, cache_hits_misses, external_duplications, scan_stats, code_functions, code_snippets, code_findings, code_calls, sql_snippets, sql_overlap)
     return {f.__name__: f for f in own}
 
 
@@ -483,6 +494,11 @@ def oracle_sql() -> dict[str, str]:
             min(b_start_line)::INTEGER AS first_b, max(b_end_line)::INTEGER AS last_b, any_value(lines_a) AS lines_a, any_value(lines_b) AS lines_b FROM mat JOIN one ON a_fn_id = fn_a AND b_fn_id = fn_b GROUP BY fn_a, fn_b""",
         "clusters": _CLUSTERS,
         "clusters_upkeep": _CLUSTERS,
+        "arrivals_clusters": f"""WITH RECURSIVE w AS (SELECT DISTINCT path, text FROM {_windows('documents', 'doc_id', 'text')}),
+            e AS MATERIALIZED (SELECT DISTINCT path AS x, least_path AS y FROM (SELECT path, min(path) OVER (PARTITION BY text) AS least_path FROM w) WHERE path <> least_path),
+            b AS MATERIALIZED (SELECT x, y FROM e UNION SELECT y, x FROM e),
+            r AS (SELECT x AS node, x AS root FROM b UNION SELECT b.y, r.root FROM r JOIN b ON b.x = r.node)
+            SELECT node, min(root) AS component FROM r GROUP BY node""",
         "diff_scope": f"""WITH {_CHAIN}, p AS (SELECT 'documents/' || doc_id || ':' AS p FROM labels WHERE quality = 0)
             SELECT fn_a, fn_b FROM fin WHERE EXISTS (FROM p WHERE starts_with(fn_a, p.p) OR starts_with(fn_b, p.p))""",
         "diff_incremental": f"""WITH {_CHAIN}, p AS (SELECT 'documents/' || doc_id || ':' AS p FROM labels WHERE quality = 0)
