@@ -206,7 +206,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item go."""
+    """Pipeline stage: documents that hold a benchmark item go, all rows of their doc_id with them; a row without one goes by its own text."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    found = find(spark, docs.select("doc_id", "text"), items).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    told = F.coalesce(docs["doc_id"], F.xxhash64(docs["text"]))
+    found = find(spark, docs.select(told.alias("doc_id"), "text"), items).select("doc_id").distinct()
+    return docs.join(found, told == found["doc_id"], "left_anti").select(*docs.columns)
