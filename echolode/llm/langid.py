@@ -12,7 +12,9 @@ columns other than doc_id, text and lang aren't read.
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,13 +50,13 @@ def family_of(lang: str) -> str:
 @dataclass(frozen=True)
 class LangParams:
     """``per_language`` bounds (in expectation) the labelled documents of each language that are learnt from, ``rows`` those
-    of all languages together, which share it evenly."""
+    of all languages together, which share it evenly. ``lam`` weighs the L2 term of a machine's loss."""
 
     bits: int = 11
     per_language: int = 1500
     rows: int = 6000
     epochs: int = 12
-    lam: float = 1e-4
+    lam: float = 0.1
 
 
 BLANK = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -78,10 +80,10 @@ def svm(x: np.ndarray, y: np.ndarray, params: LangParams) -> np.ndarray:
         for at in np.array_split(order, max(1, len(y) // 32)):
             t += 1
             wrong = at[y[at] * (x[at] @ w[:-1] + w[-1]) < 1]
-            w *= 1 - 1 / (t + 10)
-            rate = 1 / (params.lam * 1e3 * (t + 10) * max(1, len(at)))
-            w[:-1] += rate * (y[wrong] @ x[wrong])
-            w[-1] += rate * y[wrong].sum()
+            rate = 1 / (params.lam * (t + 10))
+            w *= 1 - rate * params.lam
+            w[:-1] += rate / max(1, len(at)) * (y[wrong] @ x[wrong])
+            w[-1] += rate / max(1, len(at)) * y[wrong].sum()
             if epoch >= params.epochs // 2:
                 mean += w
     return mean / max(1, np.abs(mean).max())
@@ -135,7 +137,8 @@ def fit(x: np.ndarray, langs: list[str], params: LangParams) -> LangModel:
 
 
 def train(docs: DataFrame, params: LangParams = LangParams()) -> LangModel:
-    """Fit on text and non-null lang of documents outside fold 1 of 3."""
+    """Fit on text and non-null lang of documents outside fold 1 of 3, in one task of an executor, which gets at most
+    twice ``params.rows`` rows of 2**bits numbers."""
     told = docs.withColumn("text", F.make_valid_utf8("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 3) != 1)).select("lang", "text", "doc_id")
     counts = {r["lang"]: r["count"] for r in told.groupBy("lang").count().collect()}  # one row a language
     if not counts:
@@ -153,9 +156,14 @@ def train(docs: DataFrame, params: LangParams = LangParams()) -> LangModel:
             lang=b["lang"], doc_id=b["doc_id"], x=pa.array([features(t, bits).tobytes() if lettered(t) else None for t in b["text"].to_pylist()], pa.binary())
         )
 
-    table = map_rows(some, make, "lang string, doc_id long, x binary").where("x is not null").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
-    x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float32).reshape(-1, 1 << bits)
-    return fit(x, table["lang"].to_pylist(), params)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(lang, x) for b in batches for lang, x in zip(b["lang"].to_pylist(), b["x"].to_pylist(), strict=True)]
+        x = np.frombuffer(b"".join(x for _, x in got), np.float32).reshape(-1, 1 << bits)
+        yield as_batch(model=pa.array([pickle.dumps(fit(x, [lang for lang, _ in got], params))], pa.binary()))
+
+    rows = map_rows(some, make, "lang string, doc_id long, x binary").where("x is not null")
+    told = rows.repartition(1).sortWithinPartitions("lang", "doc_id", "x").select("lang", "x").mapInArrow(learn, "model binary").toArrow()
+    return pickle.loads(told["model"][0].as_py()) if len(told) else fit(np.zeros((0, 1 << bits), np.float32), [], params)
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: LangModel) -> DataFrame:
