@@ -33,7 +33,8 @@ SKIPS = (1, 2, 3)
 
 @dataclass(frozen=True)
 class FtrlParams:
-    """``sample_rows`` bounds the toxic rows that are learnt from, twice it the others: those of the smallest hashed ids."""
+    """``sample_rows`` bounds the toxic rows that are learnt from, twice it the others: those of the smallest hashed ids.
+    ``sample_bytes`` bounds what their feature numbers take in the task that learns; rows of larger hashes are left out beyond it."""
 
     bits: int = 18
     alpha: float = 2.0
@@ -42,6 +43,7 @@ class FtrlParams:
     l2: float = 0.1
     epochs: int = 8
     sample_rows: int = 2500
+    sample_bytes: int = 400_000_000
     threshold: float = 0.7
 
 
@@ -113,7 +115,12 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams())
         )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(np.frombuffer(at, np.int32), y) for b in batches for at, y in zip(b["at"].to_pylist(), b["y"].to_pylist(), strict=True)]
+        rows, held = [], 0
+        for b in batches:
+            for at, y in zip(b["at"], b["y"].to_pylist(), strict=True):
+                if held < params.sample_bytes:
+                    rows.append((np.frombuffer(at.as_py(), np.int32), y))
+                    held += rows[-1][0].nbytes
         model = ftrl(rows, params)
         sampled = sum(y for _, y in rows)
         index, value = np.append(model.index, [-1, -2, -3]), np.append(model.value, [model.bias, len(rows) - sampled, sampled])
