@@ -9,6 +9,7 @@ were altered, are missing, or are extra, with the byte range where the first rep
 A level is an aggregation of at most ``fan`` rows a node and has a ``fan``-th of the rows of the one below. Null bodies
 hash as the empty text, a null id is the last record of file -1, one record with id -1 if there is such an id. Equal rows of one id make one leaf with all of
 them in order of their hash; ids that repeat differently in the replicas count as altered. Two empty replicas agree.
+Very long bodies are hashed whole; columns other than the id and the body aren't read.
 """
 
 from __future__ import annotations

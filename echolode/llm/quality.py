@@ -5,7 +5,8 @@ it. A policy is a named, versioned mask of rules: applying one, or asking what e
 ledger only. Built-in functions throughout; a document's windows stay within its row, so nothing is shuffled.
 
 A null text has no words, as an empty one. Ties don't occur. Repeated rows get equal rows. Very long texts are
-measured whole; their repeated windows are found by a sort within the row.
+measured whole; their repeated windows are found by a sort within the row. A null doc_id is kept, an
+empty table gives no rows, and columns other than doc_id and text aren't read.
 """
 
 from __future__ import annotations

@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.SQL, "op8_fixity_audit": fixity.SQL, "op10_quality_ledger": quality.SQL, "op11_dual_tree": dual_tree.SQL, "op12_merkle_manifest": manifest.SQL}
+    return {"op4_sharding": sharding.SQL, "op7_ngram_join": ngram_join.SQL, "op8_fixity_audit": fixity.SQL, "op10_quality_ledger": quality.SQL, "op11_dual_tree": dual_tree.SQL, "op12_merkle_manifest": manifest.SQL}

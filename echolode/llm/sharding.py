@@ -7,6 +7,7 @@ goes to the shard in the slot of its hash. The table has ``size`` rows whatever
 
 Built-in functions only: the table is one row's ``aggregate`` over the turns. A null key hashes as the empty text. Equal
 keys go to one shard; nothing is shuffled, so a key with a third of all rows costs what other rows cost.
+Very long keys are hashed whole, an empty table gives no rows, and other columns stay, except shard_slot and shard_id.
 """
 
 from __future__ import annotations
