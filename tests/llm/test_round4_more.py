@@ -87,3 +87,21 @@ def test_language_rows_in_any_order(spark):
     got = [(r.lang_pred, r.score) for r in langid.predict(spark, docs.limit(len(texts)), one).collect()]
     assert sum(p == ("en" if k % 2 else "de") for k, (p, _) in enumerate(got[:60])) == 60
     assert [p for p, _ in got[60:]] == ["und", "und", "und", "en"]
+
+
+def test_far_sets_are_left_early():
+    """A set whose rare tokens all differ is ruled out by the beginning of its run, and what is found stays as it was."""
+    seen = []
+
+    class Token(int):
+        def __hash__(self):
+            seen.append(self)
+            return int(self)
+
+    run = [Token(t) for t in range(20, 420)]
+    tree = ngram_join.Tree(90)
+    for other in ([Token(-t) for t in range(60, 0, -1)] + run[60:], run[:-3]):
+        tree.add(other, len(other))
+    seen.clear()
+    assert list(tree.partners(run, len(run), lambda o: False)) == [1]
+    assert len(seen) <= 2 * len(run) + 4 * 24 + 10
