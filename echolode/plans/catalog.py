@@ -341,7 +341,8 @@ def _projects(spark: SparkSession, sf: str) -> DataFrame:
     put = lambda x: F.replace(F.lit(x), F.lit("{k}"), F.col("s_suppkey").cast("string"))
     texts = {path: "\n\n".join(["\n".join(top), *parts.values()] if top else parts.values()) + "\n" for path, (top, parts) in PROJECT.items()}
     files = F.array(*[F.struct(put(path).alias("path"), put(text).alias("content")) for path, text in texts.items()])
-    d = _table(spark, sf, "supplier").select("s_suppkey", F.explode(files).alias("f")).select("f.*")
+    # keys are few bytes and much work, so they are dealt out before files are made of them
+    d = dealt(_table(spark, sf, "supplier").select("s_suppkey")).select("s_suppkey", F.explode(files).alias("f")).select("f.*")
     return d.withColumn("content_hash", F.sha2("content", 256)).withColumn("language", F.lit("python"))
 
 

@@ -1,11 +1,13 @@
 from dataclasses import replace
 
+from pyspark.sql import functions as F
+
 from echolode import cli
 from echolode.config import Expansion, Thresholds
 from echolode.functions import calls
 from echolode.operators.expansion import call_snippets
 from echolode.operators.snippets import function_units
-from echolode.plans import engine
+from echolode.plans import catalog, engine
 from test_engine import CODE, STUB
 
 TREE = {
@@ -102,3 +104,10 @@ def test_options():
     told = lambda *a: cli.overrides(cli.parser().parse_args(["scan", *a])).get("expansion")
     assert told() is None and told("--expand-calls") == {"enabled": True}
     assert told("--expand-depth", "0") == {"enabled": True, "depth": 0} and told("--expand-max-chars", "9") == {"enabled": True, "max_chars": 9}
+
+
+def test_small_keys_are_dealt_out(spark, tmp_path):
+    spark.range(40).withColumnRenamed("id", "s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    files = catalog._projects(spark, str(tmp_path))
+    parts = files.select(F.spark_partition_id().alias("p"), "path").distinct()
+    assert parts.count() == 160 and parts.select("p").distinct().count() >= spark.sparkContext.defaultParallelism
