@@ -204,7 +204,7 @@ def knn(vectors: DataFrame, k: int, least: float | None = None, block_bytes: int
     return _searched(scratch, told, reps.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(many)).cast("int")), many, k, least)
 
 
-def ask(vectors: DataFrame, k: int, least: float | None = None, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+def ask(vectors: DataFrame, k: int, least: float | None = None, block_bytes: int = BLOCK_BYTES, distinct: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """A search in which few rows ask, by (pos, vec, asks, floor): the ``k`` best of all rows for each row that asks (a_pos, b_pos, score,
     rank), and for every other one the asking rows whose score is at least its ``floor`` (a_pos, b_pos, score; null: no floor), of each
     distinct vector the first k.
@@ -213,7 +213,7 @@ def ask(vectors: DataFrame, k: int, least: float | None = None, block_bytes: int
     over all blocks, so what is shuffled and worked out is asking times all; each block's work is dealt out in slices."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    told, _ = _distinct(scratch, vectors)
+    told, _ = distinct or _distinct(scratch, vectors)
     flags = vectors.select("pos", F.coalesce("asks", F.lit(False)).alias("asks"), F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))).alias("floor"))
     reps = scratch.cut(told.join(flags, "pos").groupBy("data").agg(F.min("pos").alias("rep"), F.max("asks").alias("asks"), F.min("floor").alias("floor")), "asked")
     n, width = _sized(reps)
@@ -247,6 +247,8 @@ def ask(vectors: DataFrame, k: int, least: float | None = None, block_bytes: int
                 search.look(at, data)
                 if batch["block"][r].as_py() >= own:
                     floor = np.frombuffer(batch["floor"][r].as_buffer(), float)
+                    if np.isposinf(floor).all():
+                        continue
                     for start in range(0, len(search.at), TILE[0]):
                         mine = slice(start, start + TILE[0])
                         low = search.low[mine] @ data.astype(np.float32).T

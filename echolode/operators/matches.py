@@ -37,6 +37,23 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["pos"], pa.array(n, pa.int64()), *(pa.array(longs[:, k].copy()) for k in range(LONGS))], names=["pos", "n", *(f"s{k}" for k in range(LONGS))])
 
 
+def bits(snippets: DataFrame) -> DataFrame:
+    """pos, n and s0, s1, ... of snippets (pos, tokens)."""
+    return snippets.select("pos", "tokens").mapInArrow(_bits, "pos long, n long, " + ", ".join(f"s{k} long" for k in range(LONGS)))
+
+
+def possible(pairs: DataFrame, narrow: DataFrame, t: Thresholds) -> DataFrame:
+    """The pairs (a_pos, b_pos, cosine, ...) that may pass the thresholds by what two sets can share at most: a bit that one set has and
+    the other hasn't is a token that they don't share. ``narrow`` has the bits."""
+    n, m = (narrow.select(*[F.col(c).alias(f"{x}_{c}") for c in narrow.columns]) for x in "ab")
+    without = lambda x, y: F.col(f"{x}_n") - sum((F.bit_count(F.col(f"{x}_s{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}_s{k}")))) for k in range(LONGS)), F.lit(0))
+    both = F.least(without("a", "b"), without("b", "a"))
+    most = F.when((F.col("a_n") == 0) | (F.col("b_n") == 0), 0.0).otherwise(C.let(both, lambda z: z / (F.col("a_n") + F.col("b_n") - z)))
+    d = pairs.join(n, "a_pos").join(m, "b_pos").withColumn("most", most)
+    d = d.where((F.col("most") >= t.lexical_min_ratio) & ((1 - t.lexical_weight) * F.col("cosine") + t.lexical_weight * F.col("most") >= min(t.func, t.win, t.exp) - 1e-9))
+    return d.select(*pairs.columns)
+
+
 def candidates(snippets: DataFrame, near: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Directed pairs (a_*, b_*, cosine, lexical, similarity) that pass the lexical floor and the neighbour's threshold.
 
@@ -44,15 +61,8 @@ def candidates(snippets: DataFrame, near: DataFrame, t: Thresholds = Thresholds(
     s = snippets.select(*SIDE, "snippet_hash", "tokens")
     a, b = (s.select(*[F.col(c).alias(f"{x}_{c}") for c in s.columns]) for x in "ab")
     d = near.select("a_pos", "b_pos", F.col("score").alias("cosine")).where("a_pos <> b_pos")
-    # what two sets can share at most rules most pairs out before tokens are moved: a bit that one set has and the other
-    # hasn't is a token that they don't share
-    narrow = Scratch(snippets.sparkSession).cut(s.select("pos", "tokens").mapInArrow(_bits, "pos long, n long, " + ", ".join(f"s{k} long" for k in range(LONGS))), "bits")
-    n, m = (narrow.select(*[F.col(c).alias(f"{x}_{c}") for c in narrow.columns]) for x in "ab")
-    without = lambda x, y: F.col(f"{x}_n") - sum((F.bit_count(F.col(f"{x}_s{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}_s{k}")))) for k in range(LONGS)), F.lit(0))
-    both = F.least(without("a", "b"), without("b", "a"))
-    most = F.when((F.col("a_n") == 0) | (F.col("b_n") == 0), 0.0).otherwise(C.let(both, lambda z: z / (F.col("a_n") + F.col("b_n") - z)))
-    d = d.join(n, "a_pos").join(m, "b_pos").withColumn("most", most)
-    d = d.where((F.col("most") >= t.lexical_min_ratio) & ((1 - t.lexical_weight) * F.col("cosine") + t.lexical_weight * F.col("most") >= min(t.func, t.win, t.exp) - 1e-9))
+    # most pairs are ruled out before tokens are moved
+    d = possible(d, Scratch(snippets.sparkSession).cut(bits(s), "bits"), t)
     d = d.select("a_pos", "b_pos", "cosine").join(a, "a_pos").join(b, "b_pos")
     d = d.where("a_snippet_hash <> b_snippet_hash").withColumn("lexical", C.jaccard(F.col("a_tokens"), F.col("b_tokens")))
     d = d.withColumn("similarity", (1 - t.lexical_weight) * F.col("cosine") + t.lexical_weight * F.col("lexical"))

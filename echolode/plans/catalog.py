@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import PRESETS, Config, Expansion, Thresholds, Windows
 from ..functions import columns as C
 from ..functions import sql
-from ..operators import embed, expansion, incremental, knn, matches, snippets
+from ..operators import embed, expansion, incremental, knn, matches, overlap, snippets
 from ..operators.index import VectorIndex
 from ..operators.scratch import Scratch
 from ..operators.snapshots import Store
@@ -117,7 +117,7 @@ def _snippets(spark: SparkSession, files: DataFrame) -> DataFrame:
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     s = _snippets(spark, _files(spark, sf))
     # equal texts have equal vectors, so k neighbours by distinct vector would do; ranks are kept by row as defined
-    return matches.candidates(s, knn.knn(s.select("pos", "vec"), K, least_cosine(Config())), THRESHOLDS)
+    return matches.candidates(s, overlap.near(s, K, least_cosine(Config()), THRESHOLDS), THRESHOLDS)
 
 
 SIDES = ("a_fn_id", "a_start_line", "a_end_line", "b_fn_id", "b_start_line", "b_end_line")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import Config, ConfigError, validate
 from ..functions import columns as C
 from ..operators import embed as E
-from ..operators import expansion, incremental, knn, matches, snippets
+from ..operators import expansion, incremental, knn, matches, overlap, snippets
 from ..operators.scratch import Scratch
 from ..operators.snapshots import Store
 from ..operators.upkeep import Clusters
@@ -57,11 +57,11 @@ def positioned(found: DataFrame) -> DataFrame:
 
 
 def neighbours(snips: DataFrame, c: Config) -> DataFrame:
-    """knn by the configured index; ``snips`` has pos and vec."""
+    """Neighbours by the configured index, at least those that can pass the thresholds; ``snips`` has pos, vec and tokens."""
     v = snips.select("pos", "vec")
     if c.index.name == "faiss":
         return knn.knn_cells(v, c.index.top_k, c.index.faiss_nlist, c.index.faiss_nprobe)
-    return knn.knn(v, c.index.top_k, least_cosine(c))
+    return overlap.near(snips, c.index.top_k, least_cosine(c), c.thresholds)
 
 
 def made_with(c: Config) -> dict:
