@@ -30,7 +30,7 @@ def lines(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Distinct lower-case ASCII identifiers and numbers, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))))
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -9,14 +9,12 @@ expressions, so nothing leaves the JVM for them. A null text has no rows and no
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from . import calls, syntax
-from .columns import INK
 
 
 @udtf(returnType="ord int, qualified_name string, start_line int, end_line int, code string", useArrow=True)
@@ -32,16 +30,10 @@ class SourceFunctions:
 class LineWindows:
     """Sliding windows of a text's lines: line before the first, last line, text; those with at least ``least`` lines that aren't blank."""
 
-    ink = re.compile(INK)
-
     def eval(self, text: str, size: int, stride: int, least: int) -> Iterator[tuple]:
         if size <= 0 or stride <= 0:
             raise ValueError("window and stride must be positive")
-        lines = (text or "").splitlines()
-        for at in range(0, len(lines), stride):
-            own = lines[at : at + size]
-            if sum(self.ink.search(x) is not None for x in own) >= least:
-                yield at, at + len(own), "\n".join(own)
+        yield from syntax.windows(text or "", size, stride, least)
 
 
 @udtf(returnType="place int, form string, base string, name string", useArrow=True)

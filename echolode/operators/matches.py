@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,52 +24,67 @@ LONGS = 8
 SIDE = ("pos", "kind", "fn_id", "path", "fn_start", "fn_end", "start_line", "end_line")
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """pos, n and s0, s1, ... of snippets (pos, tokens): the size of a token set, and a bit for each token."""
+def codes(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of token sets, and the tokens one after the other by a hash of 32 bits; tokens of one hash count as one."""
+    n = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    told = pc.list_flatten(tokens).dictionary_encode()
+    code = np.array([zlib.crc32(x) for x in told.dictionary.cast(pa.binary()).to_pylist()], np.uint32)
+    return n, code[told.indices.to_numpy(zero_copy_only=False)] if len(code) else np.zeros(0, np.uint32)
+
+
+def _bits(batches: Iterator[pa.RecordBatch], first: Callable[[np.ndarray, np.ndarray], list[bytes]] | None = None) -> Iterator[pa.RecordBatch]:
+    """pos, n and s0, s1, ... of snippets (pos, tokens): the size of a token set, and a bit for each token; with ``first`` as ``bits`` has it."""
     for b in batches:
-        n = pc.fill_null(pc.list_value_length(b["tokens"]), 0).to_numpy(zero_copy_only=False)
-        told = pc.list_flatten(b["tokens"]).dictionary_encode()
-        bit = np.array([zlib.crc32(t.encode()) % (64 * LONGS) for t in told.dictionary.to_pylist()], np.int64)
-        bits = np.zeros((b.num_rows, 64 * LONGS), bool)
-        if len(bit):
-            bits[np.repeat(np.arange(b.num_rows), n), bit[told.indices.to_numpy(zero_copy_only=False)]] = True
-        longs = np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64).reshape(b.num_rows, LONGS)
-        yield pa.RecordBatch.from_arrays([b["pos"], pa.array(n, pa.int64()), *(pa.array(longs[:, k].copy()) for k in range(LONGS))], names=["pos", "n", *(f"s{k}" for k in range(LONGS))])
+        n, code = codes(b["tokens"])
+        on = np.zeros((b.num_rows, 64 * LONGS), bool)
+        on[np.repeat(np.arange(b.num_rows), n), code % (64 * LONGS)] = True
+        longs = np.ascontiguousarray(np.packbits(on, axis=1)).view(np.int64).reshape(b.num_rows, LONGS)
+        told = {"pos": b["pos"], "n": pa.array(n), **{f"s{k}": pa.array(longs[:, k].copy()) for k in range(LONGS)}}
+        yield pa.RecordBatch.from_pydict(told | ({"set": b["set"], "first": pa.array(first(n, code), pa.binary())} if first else {}))
 
 
-def bits(snippets: DataFrame) -> DataFrame:
-    """pos, n and s0, s1, ... of snippets (pos, tokens)."""
-    return snippets.select("pos", "tokens").mapInArrow(_bits, "pos long, n long, " + ", ".join(f"s{k} long" for k in range(LONGS)))
+def bits(snippets: DataFrame, first: Callable[[np.ndarray, np.ndarray], list[bytes]] = lambda n, code: [b""] * len(n)) -> DataFrame:
+    """Of snippets (pos, tokens): pos, n (the size of a token set), s0, s1, ... (a bit for each token), set (a digest, alike for equal sets) and
+    first (what ``first`` makes of sizes and hashes)."""
+    told = snippets.select("pos", "tokens", F.unhex(F.sha2(F.coalesce(F.array_join("tokens", " "), F.lit("")), 256)).alias("set"))
+    return told.mapInArrow(lambda batches: _bits(batches, first), "pos long, n long, " + ", ".join(f"s{k} long" for k in range(LONGS)) + ", set binary, first binary")
 
 
 def possible(pairs: DataFrame, narrow: DataFrame, t: Thresholds) -> DataFrame:
     """The pairs (a_pos, b_pos, cosine, ...) that may pass the thresholds by what two sets can share at most: a bit that one set has and
-    the other hasn't is a token that they don't share. ``narrow`` has the bits."""
-    n, m = (narrow.select(*[F.col(c).alias(f"{x}_{c}") for c in narrow.columns]) for x in "ab")
+    the other hasn't is a token that they don't share. ``narrow`` has the bits. More columns: same, whether the sets are equal, and
+    size, that of a's set."""
+    n, m = (narrow.drop("first").select(*[F.col(c).alias(f"{x}_{c}") for c in narrow.columns if c != "first"]) for x in "ab")
     without = lambda x, y: F.col(f"{x}_n") - sum((F.bit_count(F.col(f"{x}_s{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}_s{k}")))) for k in range(LONGS)), F.lit(0))
     both = F.least(without("a", "b"), without("b", "a"))
     most = F.when((F.col("a_n") == 0) | (F.col("b_n") == 0), 0.0).otherwise(C.let(both, lambda z: z / (F.col("a_n") + F.col("b_n") - z)))
     d = pairs.join(n, "a_pos").join(m, "b_pos").withColumn("most", most)
     d = d.where((F.col("most") >= t.lexical_min_ratio) & ((1 - t.lexical_weight) * F.col("cosine") + t.lexical_weight * F.col("most") >= min(t.func, t.win, t.exp) - 1e-9))
-    return d.select(*pairs.columns)
+    return d.select(*pairs.columns, (F.col("a_set") == F.col("b_set")).alias("same"), F.col("a_n").alias("size"))
 
 
-def candidates(snippets: DataFrame, near: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+def candidates(snippets: DataFrame, near: DataFrame, t: Thresholds = Thresholds(), narrow: DataFrame | None = None) -> DataFrame:
     """Directed pairs (a_*, b_*, cosine, lexical, similarity) that pass the lexical floor and the neighbour's threshold.
 
-    ``snippets`` has pos, tokens and the columns of SIDE; what is ranked is narrow, the rest is joined back here."""
-    s = snippets.select(*SIDE, "snippet_hash", "tokens")
+    ``snippets`` has pos, tokens and the columns of SIDE; what is ranked is narrow, the rest is joined back here. ``narrow``: their bits, where they are written already."""
+    scratch, s = Scratch(snippets.sparkSession), snippets.select(*SIDE, "snippet_hash")
     a, b = (s.select(*[F.col(c).alias(f"{x}_{c}") for c in s.columns]) for x in "ab")
     d = near.select("a_pos", "b_pos", F.col("score").alias("cosine")).where("a_pos <> b_pos")
-    # most pairs are ruled out before tokens are moved
-    d = possible(d, Scratch(snippets.sparkSession).cut(bits(s), "bits"), t)
-    d = d.select("a_pos", "b_pos", "cosine").join(a, "a_pos").join(b, "b_pos")
-    d = d.where("a_snippet_hash <> b_snippet_hash").withColumn("lexical", C.jaccard(F.col("a_tokens"), F.col("b_tokens")))
+    # most pairs are ruled out before tokens are moved, and equal sets need none
+    d = scratch.cut(possible(d, scratch.cut(bits(snippets), "bits") if narrow is None else narrow, t), "possible")
+    other = d.where("not same").drop("same", "size")
+    asked = scratch.cut(other.select(F.explode(F.array("a_pos", "b_pos")).alias("pos")).distinct(), "other")
+    words = snippets.select("pos", "tokens").join(F.broadcast(asked) if asked.count() <= 1_000_000 else asked, "pos", "left_semi")
+    words = scratch.cut(words, "words")
+    other = other.join(words.toDF("a_pos", "a_tokens"), "a_pos").join(words.toDF("b_pos", "b_tokens"), "b_pos")
+    other = other.select("a_pos", "b_pos", "cosine", C.jaccard(F.col("a_tokens"), F.col("b_tokens")).alias("lexical"))
+    d = d.where("same").select("a_pos", "b_pos", "cosine", F.when(F.col("size") == 0, 0.0).otherwise(1.0).alias("lexical")).unionByName(other)
+    d = d.join(a, "a_pos").join(b, "b_pos").where("a_snippet_hash <> b_snippet_hash")
     d = d.withColumn("similarity", (1 - t.lexical_weight) * F.col("cosine") + t.lexical_weight * F.col("lexical"))
     if t.lexical_min_ratio > 0:
         d = d.where(F.col("lexical") >= t.lexical_min_ratio)
     least = F.when(F.col("b_kind") == "FUNC", t.func).when(F.col("b_kind") == "WIN", t.win).otherwise(t.exp)
-    return d.where(F.col("similarity") >= least).drop("a_tokens", "b_tokens", "a_snippet_hash", "b_snippet_hash")
+    return d.where(F.col("similarity") >= least).drop("a_snippet_hash", "b_snippet_hash")
 
 
 def apart() -> Column:

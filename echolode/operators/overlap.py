@@ -11,23 +11,21 @@ much is left. What is worked out is vectors times the sample of vectors, pairs w
 from __future__ import annotations
 
 import itertools
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Thresholds
 from . import knn
-from .matches import bits, possible
+from .matches import bits, codes, possible
 from .scratch import Scratch
 
 #: snippets whose tokens are counted for the order, and how many frequent tokens are told apart
-SAMPLE, FREQUENT = 40_000, 1 << 18
+SAMPLE, FREQUENT = 160_000, 1 << 18
 #: vectors of the sample that gives floors: this times the root of all, at most MOST
 FLOORS, MOST = 32, 1 << 16
 #: vectors of that sample in a group
@@ -48,20 +46,12 @@ def needed(t: Thresholds) -> float:
     return max(t.lexical_min_ratio, by_blend)
 
 
-def _codes(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sizes of token sets, and the tokens one after the other by a hash of 32 bits; tokens of one hash count as one."""
-    n = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    told = pc.list_flatten(tokens).dictionary_encode()
-    code = np.array([zlib.crc32(x.encode()) for x in told.dictionary.to_pylist()], np.uint32)
-    return n, code[told.indices.to_numpy(zero_copy_only=False)] if len(code) else np.zeros(0, np.uint32)
-
-
 def _frequent(snippets: DataFrame, many: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, in order, and counts of the tokens that are frequent in a sample of snippets."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            code, n = np.unique(_codes(b["tokens"])[1], return_counts=True)
+            code, n = np.unique(codes(b["tokens"])[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n)], names=["code", "n"])
 
     some = snippets.where(F.pmod(F.xxhash64("pos"), F.lit(max(1, many // SAMPLE))) == 0).select("tokens")
@@ -70,25 +60,28 @@ def _frequent(snippets: DataFrame, many: int) -> tuple[np.ndarray, np.ndarray]:
     return told["code"].to_numpy().astype(np.uint32), told["n"].to_numpy()
 
 
-def _prefixes(snippets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], r: float) -> DataFrame:
-    """pos, n and first: the size of a set, and the hashes of its first tokens in order, as bytes."""
-    codes, counts = frequent
+def sketches(snippets: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """What is compared of token sets, for ``near`` and matches.candidates: their bits, and as ``first`` the hashes of their first tokens in order."""
+    r = needed(t) - 1e-9
+    often_codes, counts = _frequent(snippets, snippets.count())
+    rank = np.minimum(counts, 0xFFFF).astype(np.uint64) << np.uint64(32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, code = _codes(b["tokens"])
-            row = np.repeat(np.arange(len(n)), n)
-            often = np.zeros(len(code), np.int64)
-            if len(codes):
-                at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                often = np.where(codes[at] == code, counts[at], 0)
-            code = code[np.lexsort((code, often, row))]
-            take = np.where(n > 0, n - np.ceil(r * n - 1e-6).astype(np.int64) + 1, 0)
-            starts = np.cumsum(n) - n
-            first = [code[s : s + k].tobytes() for s, k in zip(starts.tolist(), np.minimum(take, n).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b["pos"], pa.array(n.astype(np.int32)), pa.array(first, pa.binary())], names=["pos", "n", "first"])
+    def first(n: np.ndarray, code: np.ndarray) -> list[bytes]:
+        out, ends = [], np.cumsum(n)
+        take = np.where(n > 0, np.minimum(n, n - np.ceil(r * n - 1e-6).astype(np.int64) + 1), 0)
+        for at in range(0, len(n), 0x10000):  # a row's number, a token's count and its hash in one number
+            size = n[at : at + 0x10000]
+            part = code[ends[at] - n[at] : ends[at + len(size) - 1]]
+            key = part.astype(np.uint64) | (np.repeat(np.arange(len(size), dtype=np.uint64), size) << np.uint64(48))
+            if len(often_codes):
+                place = np.minimum(np.searchsorted(often_codes, part), len(often_codes) - 1)
+                key |= np.where(often_codes[place] == part, rank[place], np.uint64(0))
+            key.sort()
+            told = key.astype(np.uint32)  # the lower half is the hash
+            out += [told[s : s + k].tobytes() for s, k in zip((np.cumsum(size) - size).tolist(), take[at : at + 0x10000].tolist(), strict=True)]
+        return out
 
-    return snippets.select("pos", "tokens").mapInArrow(run, "pos long, n int, first binary")
+    return bits(snippets, first)
 
 
 def _floors(reps: DataFrame, k: int, least: float, many: int) -> DataFrame:
@@ -245,9 +238,9 @@ def _alike(reps: DataFrame) -> DataFrame:
     return cells.join(shared, "cell", "left_semi").select("rep").distinct()
 
 
-def near(snippets: DataFrame, k: int, least: float | None, t: Thresholds = Thresholds()) -> DataFrame:
+def near(snippets: DataFrame, k: int, least: float | None, t: Thresholds = Thresholds(), narrow: DataFrame | None = None) -> DataFrame:
     """a_pos, b_pos, score of the ``k`` best of each row (pos, vec, tokens), as knn.knn gives them: all that can pass the thresholds, and
-    few others. Where thresholds ask for little overlap or vectors are wide, all are searched for."""
+    few others. Where thresholds ask for little overlap or vectors are wide, all are searched for. ``narrow``: the rows' sketches, where they are written already."""
     r, spark = needed(t), snippets.sparkSession
     if k <= 0 or r < 0.5 or least is None or least <= 0:
         return knn.knn(snippets.select("pos", "vec"), k, least).select("a_pos", "b_pos", "score")
@@ -258,13 +251,14 @@ def near(snippets: DataFrame, k: int, least: float | None, t: Thresholds = Thres
         return knn.knn(snippets.select("pos", "vec"), k, least).select("a_pos", "b_pos", "score")
     width = size // 8
     # rows of one vector and one token set are looked at once
-    ents = told.join(snippets.select("pos", F.sha2(F.array_join("tokens", " "), 256).alias("set")), "pos").groupBy("data", "set").agg(F.min("pos").alias("ent"))
-    first = _prefixes(snippets, _frequent(snippets, many), r - 1e-9)
-    keyed = scratch.cut(ents.join(_floors(reps, k, least, many), "data").join(first.withColumnRenamed("pos", "ent"), "ent").select("ent", "data", "floor", "n", "first"), "keyed")
+    narrow = scratch.cut(sketches(snippets, t), "bits") if narrow is None else narrow
+    ents = told.join(narrow.select("pos", "set"), "pos").groupBy("data", "set").agg(F.min("pos").alias("ent"))
+    first = narrow.select(F.col("pos").alias("ent"), F.col("n").cast("int").alias("n"), "first")
+    keyed = scratch.cut(ents.join(_floors(reps, k, least, many), "data").join(first, "ent").select("ent", "data", "floor", "n", "first"), "keyed")
     total = keyed.agg(F.sum(F.octet_length("first"))).first()[0] or 0
     buckets = max(2 * spark.sparkContext.defaultParallelism, -(-total // (4 * BUCKET)))
     met = scratch.cut(_met(_entries(keyed, width, buckets), width, buckets, r - 1e-9, t), "met")
-    left = possible(met.toDF("a_pos", "b_pos", "cosine", "asks_a", "asks_b"), scratch.cut(bits(snippets), "bits"), t)
+    left = possible(met.toDF("a_pos", "b_pos", "cosine", "asks_a", "asks_b"), narrow, t)
     # a vector asks if a pair of it is left; so does one of several rows with others as near as these are to each other
     classes = scratch.cut(told.groupBy("data").agg(F.min("pos").alias("rep"), F.count("*").alias("rows")).where("rows > 1"), "classes")
     asks = left.where("asks_a").select(F.col("a_pos").alias("pos")).unionByName(left.where("asks_b").select(F.col("b_pos").alias("pos")))

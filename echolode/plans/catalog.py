@@ -67,7 +67,7 @@ def source_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 def windows(spark: SparkSession, sf: str) -> DataFrame:
     w = snippets.window_snippets(snippets.text_units(_files(spark, sf)), WINDOWS, normalise=False)
-    return w.select("path", "start_line", "end_line", F.sha2("text", 256).alias("text_hash"), F.size(C.tokens(F.col("text"))).alias("n_tokens"))
+    return w.select("path", "start_line", "end_line", F.sha2("text", 256).alias("text_hash"), F.size(snippets.tokens("text")).alias("n_tokens"))
 
 
 def lexical_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,14 +110,15 @@ def index_search(spark: SparkSession, sf: str) -> DataFrame:
 def _snippets(spark: SparkSession, files: DataFrame) -> DataFrame:
     """The windows of files with pos, vec and tokens, written once."""
     w = snippets.window_snippets(snippets.text_units(files), WINDOWS, normalise=False)
-    s = positioned(w).withColumn("vec", C.hash_vector(F.col("text"))).withColumn("tokens", C.tokens(F.col("text"))).withColumn("text_hash", F.sha2("text", 256))
+    s = positioned(w).withColumn("vec", C.hash_vector(F.col("text"))).withColumn("tokens", snippets.tokens("text")).withColumn("text_hash", F.sha2("text", 256))
     return Scratch(spark).cut(s.drop("text"), "windows")
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     s = _snippets(spark, _files(spark, sf))
     # equal texts have equal vectors, so k neighbours by distinct vector would do; ranks are kept by row as defined
-    return matches.candidates(s, overlap.near(s, K, least_cosine(Config()), THRESHOLDS), THRESHOLDS)
+    narrow = Scratch(spark).cut(overlap.sketches(s, THRESHOLDS), "bits")
+    return matches.candidates(s, overlap.near(s, K, least_cosine(Config()), THRESHOLDS, narrow), THRESHOLDS, narrow)
 
 
 SIDES = ("a_fn_id", "a_start_line", "a_end_line", "b_fn_id", "b_start_line", "b_end_line")

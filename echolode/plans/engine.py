@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config, ConfigError, validate
-from ..functions import columns as C
 from ..operators import embed as E
 from ..operators import expansion, incremental, knn, matches, overlap, snippets
 from ..operators.scratch import Scratch
@@ -56,12 +55,12 @@ def positioned(found: DataFrame) -> DataFrame:
     return ranged.withColumn("pos", told[part] + F.expr("_id & ((1L << 33) - 1)")).drop("_id")
 
 
-def neighbours(snips: DataFrame, c: Config) -> DataFrame:
-    """Neighbours by the configured index, at least those that can pass the thresholds; ``snips`` has pos, vec and tokens."""
+def neighbours(snips: DataFrame, c: Config, narrow: DataFrame | None = None) -> DataFrame:
+    """Neighbours by the configured index, at least those that can pass the thresholds; ``snips`` has pos, vec and tokens, ``narrow`` their sketches."""
     v = snips.select("pos", "vec")
     if c.index.name == "faiss":
         return knn.knn_cells(v, c.index.top_k, c.index.faiss_nlist, c.index.faiss_nprobe)
-    return overlap.near(snips, c.index.top_k, least_cosine(c), c.thresholds)
+    return overlap.near(snips, c.index.top_k, least_cosine(c), c.thresholds, narrow)
 
 
 def made_with(c: Config) -> dict:
@@ -98,17 +97,18 @@ def scan_tables(spark: SparkSession, sources: DataFrame, c: Config, normalise: b
     found = done("generate_snippets", found)
     found, _ = E.embed(found, c.embedder, c.cache.path)
     hits = (F.count_if("cached").alias("cache_hits"), F.count_if(~F.col("cached")).alias("cache_misses"))
-    snips = done("embed", counted(positioned(found).withColumn("tokens", C.tokens(F.col("text"))), "snippet_count", *hits))
+    snips = done("embed", counted(positioned(found).withColumn("tokens", snippets.tokens("text")), "snippet_count", *hits))
+    narrow = scratch.cut(overlap.sketches(snips, c.thresholds), "bits")
     if state:
         store = Store(spark, f"{state}/neighbours")
         near, _ = incremental.neighbours(store, snips, c.index.top_k, least_cosine(c), made_with(c))
         near = scratch.cut(near, "near")
         incremental.remember(store, snips, near, made_with(c))
     else:
-        near = neighbours(snips, c)
+        near = neighbours(snips, c, narrow)
     if scope is not None and not c.cluster_findings:  # a cluster may be held together by findings outside
         near = incremental.within(near, snips, scope)
-    candidates = scratch.cut(counted(matches.candidates(snips, near, c.thresholds), "candidate_count"), "candidates")
+    candidates = scratch.cut(counted(matches.candidates(snips, near, c.thresholds, narrow), "candidate_count"), "candidates")
     pairs = scratch.cut(matches.matches(candidates, c.thresholds.lexical_min_ratio), "matches")
     found = matches.findings(pairs, c.thresholds)
     if c.cluster_findings:
