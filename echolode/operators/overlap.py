@@ -11,7 +11,7 @@ much is left. What is worked out is vectors times the sample of vectors, pairs w
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -238,9 +238,24 @@ def _alike(reps: DataFrame) -> DataFrame:
     return cells.join(shared, "cell", "left_semi").select("rep").distinct()
 
 
-def near(snippets: DataFrame, k: int, least: float | None, t: Thresholds = Thresholds(), narrow: DataFrame | None = None) -> DataFrame:
+#: (rows that ask, (told, reps)) to (a_pos, b_pos, score)
+Answer = Callable[[DataFrame, tuple[DataFrame, DataFrame]], DataFrame]
+
+
+def searched(snippets: DataFrame, k: int, least: float | None) -> Answer:
+    """All that ask are held against all."""
+
+    def answer(asks: DataFrame, distinct: tuple[DataFrame, DataFrame] | None) -> DataFrame:
+        flagged = snippets.select("pos", "vec").join(asks.select("pos", F.lit(True).alias("asks")), "pos", "left").withColumn("floor", F.lit(float("inf")))
+        return knn.ask(flagged, k, least, distinct=distinct)[0].select("a_pos", "b_pos", "score")
+
+    return answer
+
+
+def near(snippets: DataFrame, k: int, least: float | None, t: Thresholds = Thresholds(), narrow: DataFrame | None = None, answer: Answer | None = None) -> DataFrame:
     """a_pos, b_pos, score of the ``k`` best of each row (pos, vec, tokens), as knn.knn gives them: all that can pass the thresholds, and
-    few others. Where thresholds ask for little overlap or vectors are wide, all are searched for. ``narrow``: the rows' sketches, where they are written already."""
+    few others. Where thresholds ask for little overlap or vectors are wide, all are searched for. ``narrow``: the rows' sketches, where they are written already.
+    ``answer`` gives the k best of all rows whose vector is that of a row which asks, by those rows and the distinct vectors; else they are searched for."""
     r, spark = needed(t), snippets.sparkSession
     if k <= 0 or r < 0.5 or least is None or least <= 0:
         return knn.knn(snippets.select("pos", "vec"), k, least).select("a_pos", "b_pos", "score")
@@ -254,7 +269,7 @@ def near(snippets: DataFrame, k: int, least: float | None, t: Thresholds = Thres
     narrow = scratch.cut(sketches(snippets, t), "bits") if narrow is None else narrow
     ents = told.join(narrow.select("pos", "set"), "pos").groupBy("data", "set").agg(F.min("pos").alias("ent"))
     first = narrow.select(F.col("pos").alias("ent"), F.col("n").cast("int").alias("n"), "first")
-    keyed = scratch.cut(ents.join(_floors(reps, k, least, many), "data").join(first, "ent").select("ent", "data", "floor", "n", "first"), "keyed")
+    keyed = scratch.cut(ents.join(_floors(reps, k, least, many), "data").join(first, "ent").select("ent", "data", "floor", "n", "first"), "keyed", "zstd")
     total = keyed.agg(F.sum(F.octet_length("first"))).first()[0] or 0
     buckets = max(2 * spark.sparkContext.defaultParallelism, -(-total // (4 * BUCKET)))
     met = scratch.cut(_met(_entries(keyed, width, buckets), width, buckets, r - 1e-9, t), "met")
@@ -264,8 +279,7 @@ def near(snippets: DataFrame, k: int, least: float | None, t: Thresholds = Thres
     asks = left.where("asks_a").select(F.col("a_pos").alias("pos")).unionByName(left.where("asks_b").select(F.col("b_pos").alias("pos")))
     asks = scratch.cut(asks.unionByName(_alike(reps).withColumnRenamed("rep", "pos").join(classes.select(F.col("rep").alias("pos")), "pos", "left_semi")).distinct(), "asks")
     asking = told.join(asks, "pos", "left_semi").select("data").distinct()
-    flagged = snippets.select("pos", "vec").join(asks.withColumn("asks", F.lit(True)), "pos", "left").withColumn("floor", F.lit(float("inf")))
-    best, _ = knn.ask(flagged, k, least, distinct=distinct)
+    best = (answer or searched(snippets, k, least))(asks, distinct)
     # the others: rows of one vector are the best of each other, in order of position; a vector of zeros is near nothing
     of = told.where(F.col("data") != F.lit(bytes(size))).join(classes.drop("rep", "rows"), "data", "left_semi").join(asking, "data", "left_anti")
     of = scratch.cut(of.join(reps, "data").select("rep", "pos"), "same")

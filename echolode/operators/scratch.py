@@ -31,12 +31,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, tidy: bool = False) -> None:
         self.spark, self.tidy, self.root = spark, tidy, f"{shared_dir(spark)}/echolode-{uuid.uuid4().hex}"
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         before = self.spark.conf.get(TIDY, "false")
         if self.tidy:
             self.spark.conf.set(TIDY, "true")
         try:
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+            df.write.mode("overwrite").option("compression", codec).parquet(f"{self.root}/{name}")
         finally:
             if self.tidy:
                 self.spark.conf.set(TIDY, before)

@@ -111,13 +111,13 @@ def _snippets(spark: SparkSession, files: DataFrame) -> DataFrame:
     """The windows of files with pos, vec and tokens, written once."""
     w = snippets.window_snippets(snippets.text_units(files), WINDOWS, normalise=False)
     s = positioned(w).withColumn("vec", C.hash_vector(F.col("text"))).withColumn("tokens", snippets.tokens("text")).withColumn("text_hash", F.sha2("text", 256))
-    return Scratch(spark).cut(s.drop("text"), "windows")
+    return Scratch(spark).cut(s.drop("text"), "windows", "zstd")
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     s = _snippets(spark, _files(spark, sf))
     # equal texts have equal vectors, so k neighbours by distinct vector would do; ranks are kept by row as defined
-    narrow = Scratch(spark).cut(overlap.sketches(s, THRESHOLDS), "bits")
+    narrow = Scratch(spark).cut(overlap.sketches(s, THRESHOLDS), "bits", "zstd")
     return matches.candidates(s, overlap.near(s, K, least_cosine(Config()), THRESHOLDS, narrow), THRESHOLDS, narrow)
 
 
@@ -186,16 +186,18 @@ def diff_scope(spark: SparkSession, sf: str) -> DataFrame:
 
 def diff_incremental(spark: SparkSession, sf: str) -> DataFrame:
     """The same by what an earlier scan has left: of the changed files every third is new since then and the others had a line more at
-    their top, and the items of the benchmark were files too, which are gone. Only what changed is searched for."""
+    their top, and the items of the benchmark were files too, which are gone. Pairs by tokens
+    are looked for among all; of the vectors that ask, those that the state has answers for are held against new ones only."""
     now, changed, least = _files(spark, sf), _changed(spark, sf), least_cosine(Config())
     was = now.join(changed.withColumn("changed", F.lit(True)), "path", "left").where(F.expr("changed is null or crc32(cast(path as binary)) % 3 <> 0"))
     was = was.withColumn("content", F.when(F.col("changed"), F.concat(F.lit("a first line\n"), "content")).otherwise(F.col("content"))).drop("changed")
     was = was.unionByName(table_files(_table(spark, sf, "benchmark").select("item_id", "text"), "item_id", "text", "benchmark/"))
     before, after = _snippets(spark, was), _snippets(spark, now)
     store = Store(spark, f"{Scratch(spark).root}/state")
-    incremental.remember(store, before, knn.knn(before.select("pos", "vec"), K, least), {"k": K})
-    near, _ = incremental.neighbours(store, after, K, least, {"k": K})
-    found = matches.matches(matches.candidates(after, incremental.within(near, after, changed), THRESHOLDS), THRESHOLDS.lexical_min_ratio)
+    for s in (before, after):
+        narrow = Scratch(spark).cut(overlap.sketches(s, THRESHOLDS), "bits", "zstd")
+        near = overlap.near(s, K, least, THRESHOLDS, narrow, incremental.through(store, s, K, least, {"k": K}))
+    found = matches.matches(matches.candidates(after, incremental.within(near, after, changed), THRESHOLDS, narrow), THRESHOLDS.lexical_min_ratio)
     return touched(matches.findings(found, THRESHOLDS), changed).select("fn_a", "fn_b", F.round("score", 6).alias("score"), "duplicated_lines")
 
 

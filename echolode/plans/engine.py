@@ -41,8 +41,8 @@ def positioned(found: DataFrame) -> DataFrame:
     counting range partitions, not by a sort in one task. What is ranged is written first, as ranges need a pass of their own."""
     spark, order = found.sparkSession, ("kind", "path", "fn_id", "start_line", "end_line", "snippet_hash")
     scratch = Scratch(spark)
-    found = scratch.cut(found, "found")
-    ranged = scratch.cut(found.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ordered")
+    found = scratch.cut(found, "found", "zstd")
+    ranged = scratch.cut(found.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ordered", "zstd")
     part = F.shiftright("_id", 33)
     scratch.drop("found")
     sizes = ranged.groupBy(part.alias("_p")).count().orderBy("_p").collect()  # one row a partition

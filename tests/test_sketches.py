@@ -56,3 +56,39 @@ def test_first_tokens_are_the_rarest(spark):
     for r in overlap.sketches(s).collect():
         assert list(matches.np.frombuffer(r.first, matches.np.uint32)) == [code(f"y{r.pos}"), code(f"x{r.pos % 40}")]
     assert syntax.tokens("B a b") == [b"a", b"b"]
+
+
+def test_answers_through_a_state(spark, tmp_path, monkeypatch):
+    """The same candidates as by a search of all, with a state of only those that ask; what it has asks new rows only."""
+    from echolode.operators import incremental, knn
+    from echolode.operators.snapshots import Store
+
+    rng, t = random.Random(9), Thresholds()
+    least, words = (0.9 - t.lexical_weight) / (1 - t.lexical_weight), [f"w{k}" for k in range(300)]
+    texts = [([rng.random() for _ in range(4)], rng.sample(words, 12)) for _ in range(60)]
+    schema = "pos long, vec array<double>, tokens array<string>, kind string, fn_id string, path string, fn_start int, fn_end int, start_line int, end_line int, snippet_hash string, text_hash string"
+
+    def rows(keep):
+        out = []
+        for k in range(400):
+            vec, tokens = texts[k % 60]
+            own = random.Random(k)
+            if k % 3:
+                vec = [x + own.uniform(-0.05, 0.05) for x in vec]
+            if k % 4:
+                tokens = [*tokens[1:], f"n{k % 5}"]
+            if keep(k):
+                out.append((len(out), vec, sorted(set(tokens)), "WIN", f"f{k:03}", f"p{k:03}", 1, 9, 1, 9, f"h{k}", f"t{k}"))
+        return spark.createDataFrame(out, schema).cache()
+
+    for k in (3,):
+        store, asked, of = Store(spark, f"{tmp_path}/state{k}"), [], knn.ask
+        monkeypatch.setattr(overlap.knn, "ask", lambda d, *a, of=of, **b: asked.append((d.count(), d.where("asks").count())) or of(d, *a, **b))
+        for keep in (lambda k: k % 7 != 2, lambda k: k % 19 != 3, lambda k: k % 19 != 3):
+            s = rows(keep)
+            near = overlap.near(s, k, least, t, answer=incremental.through(store, s, k, least, {"k": k}))
+            found = lambda near: sorted((r.a_pos, r.b_pos, r.similarity) for r in matches.candidates(s, near, t).collect())
+            got = found(near)
+            assert got == found(knn.knn(s.select("pos", "vec"), k, least)) and len(got) > 50
+        assert asked[-2][1] == 0  # nothing changed: none is held against all
+        monkeypatch.setattr(overlap.knn, "ask", of)
