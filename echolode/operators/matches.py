@@ -32,14 +32,25 @@ def codes(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return n, code[told.indices.to_numpy(zero_copy_only=False)] if len(code) else np.zeros(0, np.uint32)
 
 
+def unpacked(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As ``codes``, of sets that are hashes already, as bytes."""
+    blobs = codes.to_pylist()
+    return np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4, np.frombuffer(b"".join(blobs), np.uint32)
+
+
+def set_bits(n: np.ndarray, code: np.ndarray) -> dict[str, pa.Array]:
+    """s0, s1, ...: a bit for each token."""
+    on = np.zeros((len(n), 64 * LONGS), bool)
+    on[np.repeat(np.arange(len(n)), n), code % (64 * LONGS)] = True
+    longs = np.ascontiguousarray(np.packbits(on, axis=1)).view(np.int64).reshape(len(n), LONGS)
+    return {f"s{k}": pa.array(longs[:, k].copy()) for k in range(LONGS)}
+
+
 def _bits(batches: Iterator[pa.RecordBatch], first: Callable[[np.ndarray, np.ndarray], list[bytes]] | None = None) -> Iterator[pa.RecordBatch]:
     """pos, n and s0, s1, ... of snippets (pos, tokens): the size of a token set, and a bit for each token; with ``first`` as ``bits`` has it."""
     for b in batches:
         n, code = codes(b["tokens"])
-        on = np.zeros((b.num_rows, 64 * LONGS), bool)
-        on[np.repeat(np.arange(b.num_rows), n), code % (64 * LONGS)] = True
-        longs = np.ascontiguousarray(np.packbits(on, axis=1)).view(np.int64).reshape(b.num_rows, LONGS)
-        told = {"pos": b["pos"], "n": pa.array(n), **{f"s{k}": pa.array(longs[:, k].copy()) for k in range(LONGS)}}
+        told = {"pos": b["pos"], "n": pa.array(n), **set_bits(n, code)}
         yield pa.RecordBatch.from_pydict(told | ({"set": b["set"], "first": pa.array(first(n, code), pa.binary())} if first else {}))
 
 
@@ -63,10 +74,11 @@ def possible(pairs: DataFrame, narrow: DataFrame, t: Thresholds) -> DataFrame:
     return d.select(*pairs.columns, (F.col("a_set") == F.col("b_set")).alias("same"), F.col("a_n").alias("size"))
 
 
-def candidates(snippets: DataFrame, near: DataFrame, t: Thresholds = Thresholds(), narrow: DataFrame | None = None) -> DataFrame:
+def candidates(snippets: DataFrame, near: DataFrame, t: Thresholds = Thresholds(), narrow: DataFrame | None = None, tokens: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Directed pairs (a_*, b_*, cosine, lexical, similarity) that pass the lexical floor and the neighbour's threshold.
 
-    ``snippets`` has pos, tokens and the columns of SIDE; what is ranked is narrow, the rest is joined back here. ``narrow``: their bits, where they are written already."""
+    ``snippets`` has pos, tokens and the columns of SIDE; what is ranked is narrow, the rest is joined back here. ``narrow``: their bits, where they are written already.
+    ``tokens`` gives pos and tokens of few rows (pos); else ``snippets`` has them as a column."""
     scratch, s = Scratch(snippets.sparkSession), snippets.select(*SIDE, "snippet_hash")
     a, b = (s.select(*[F.col(c).alias(f"{x}_{c}") for c in s.columns]) for x in "ab")
     d = near.select("a_pos", "b_pos", F.col("score").alias("cosine")).where("a_pos <> b_pos")
@@ -74,8 +86,8 @@ def candidates(snippets: DataFrame, near: DataFrame, t: Thresholds = Thresholds(
     d = scratch.cut(possible(d, scratch.cut(bits(snippets), "bits") if narrow is None else narrow, t), "possible")
     other = d.where("not same").drop("same", "size")
     asked = scratch.cut(other.select(F.explode(F.array("a_pos", "b_pos")).alias("pos")).distinct(), "other")
-    words = snippets.select("pos", "tokens").join(F.broadcast(asked) if asked.count() <= 1_000_000 else asked, "pos", "left_semi")
-    words = scratch.cut(words, "words")
+    few = F.broadcast(asked) if asked.count() <= 1_000_000 else asked
+    words = scratch.cut(tokens(few) if tokens else snippets.select("pos", "tokens").join(few, "pos", "left_semi"), "words")
     other = other.join(words.toDF("a_pos", "a_tokens"), "a_pos").join(words.toDF("b_pos", "b_tokens"), "b_pos")
     other = other.select("a_pos", "b_pos", "cosine", C.jaccard(F.col("a_tokens"), F.col("b_tokens")).alias("lexical"))
     d = d.where("same").select("a_pos", "b_pos", "cosine", F.when(F.col("size") == 0, 0.0).otherwise(1.0).alias("lexical")).unionByName(other)

@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 
 from ..config import Thresholds
 from . import knn
-from .matches import bits, codes, possible
+from .matches import LONGS, bits, codes, possible, set_bits, unpacked
 from .scratch import Scratch
 
 #: snippets whose tokens are counted for the order, and how many frequent tokens are told apart
 SAMPLE, FREQUENT = 160_000, 1 << 18
+#: ranks of tokens, by the last bits of their hashes
+RANKS = 1 << 22
 #: vectors of the sample that gives floors: this times the root of all, at most MOST
 FLOORS, MOST = 32, 1 << 16
 #: vectors of that sample in a group
@@ -46,25 +48,31 @@ def needed(t: Thresholds) -> float:
     return max(t.lexical_min_ratio, by_blend)
 
 
-def _frequent(snippets: DataFrame, many: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, in order, and counts of the tokens that are frequent in a sample of snippets."""
+def _ranks(snippets: DataFrame, key: str, col: str, read: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """How frequent tokens are in a sample of snippets, by the last bits of their hashes: rare tokens may rank with frequent ones, which
+    leaves the order one order."""
+    many = snippets.count()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            code, n = np.unique(codes(b["tokens"])[1], return_counts=True)
+            code, n = np.unique(read(b[col])[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n)], names=["code", "n"])
 
-    some = snippets.where(F.pmod(F.xxhash64("pos"), F.lit(max(1, many // SAMPLE))) == 0).select("tokens")
+    some = snippets.where(F.pmod(F.xxhash64(key), F.lit(max(1, many // SAMPLE))) == 0).select(col)
     found = some.mapInArrow(counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where("n > 1")
-    told = found.orderBy(F.desc("n"), "code").limit(FREQUENT).toArrow().sort_by("code")
-    return told["code"].to_numpy().astype(np.uint32), told["n"].to_numpy()
+    told = found.orderBy(F.desc("n"), "code").limit(FREQUENT).toArrow()
+    ranks = np.zeros(RANKS, np.uint16)
+    np.maximum.at(ranks, told["code"].to_numpy() % RANKS, np.minimum(told["n"].to_numpy(), 0xFFFF).astype(np.uint16))
+    return ranks
 
 
 def sketches(snippets: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """What is compared of token sets, for ``near`` and matches.candidates: their bits, and as ``first`` the hashes of their first tokens in order."""
+    return bits(snippets, _first(_ranks(snippets, "pos", "tokens", codes), t))
+
+
+def _first(ranks: np.ndarray, t: Thresholds) -> Callable[[np.ndarray, np.ndarray], list[bytes]]:
     r = needed(t) - 1e-9
-    often_codes, counts = _frequent(snippets, snippets.count())
-    rank = np.minimum(counts, 0xFFFF).astype(np.uint64) << np.uint64(32)
 
     def first(n: np.ndarray, code: np.ndarray) -> list[bytes]:
         out, ends = [], np.cumsum(n)
@@ -73,15 +81,29 @@ def sketches(snippets: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
             size = n[at : at + 0x10000]
             part = code[ends[at] - n[at] : ends[at + len(size) - 1]]
             key = part.astype(np.uint64) | (np.repeat(np.arange(len(size), dtype=np.uint64), size) << np.uint64(48))
-            if len(often_codes):
-                place = np.minimum(np.searchsorted(often_codes, part), len(often_codes) - 1)
-                key |= np.where(often_codes[place] == part, rank[place], np.uint64(0))
+            key |= ranks[part % np.uint32(RANKS)].astype(np.uint64) << np.uint64(32)
             key.sort()
             told = key.astype(np.uint32)  # the lower half is the hash
             out += [told[s : s + k].tobytes() for s, k in zip((np.cumsum(size) - size).tolist(), take[at : at + 0x10000].tolist(), strict=True)]
         return out
 
-    return bits(snippets, first)
+    return first
+
+
+def sketcher(told: DataFrame, t: Thresholds, vec: Callable[[pa.RecordBatch], pa.Array]) -> Callable[[DataFrame], DataFrame]:
+    """For rows of ``told`` (snippet_hash, codes, and others): a step that puts n, bits, ``first`` and what ``vec`` makes of rows in the place of codes, row by row."""
+    first = _first(_ranks(told, "snippet_hash", "codes", unpacked), t)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, code = unpacked(b["codes"])
+            yield pa.RecordBatch.from_pydict({c: b[c] for c in b.schema.names if c != "codes"} | {"n": pa.array(n)} | set_bits(n, code) | {"first": pa.array(first(n, code), pa.binary()), "vec": vec(b)})
+
+    def step(rows: DataFrame) -> DataFrame:
+        own = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "codes"]
+        return rows.mapInArrow(run, ", ".join([*own, "n long", *(f"s{k} long" for k in range(LONGS)), "first binary", "vec array<double>"]))
+
+    return step
 
 
 def _floors(reps: DataFrame, k: int, least: float, many: int) -> DataFrame:
@@ -139,24 +161,28 @@ def _entries(keyed: DataFrame, width: int, buckets: int) -> DataFrame:
 def meet(e: np.ndarray, r: float, t: Thresholds) -> dict[str, np.ndarray]:
     """Pairs a < b of entries with one token that may pass, once each: a, b, cosine (no lower than it is), asks_a and asks_b, whether
     it reaches that side's floor."""
-    e = e[np.lexsort((e["n"], e["token"]))]
-    token, n, rest, floor = e["token"], e["n"].astype(np.int64), e["rest"].astype(np.int64), e["floor"]
-    vec, share = e["q"].astype(np.float32) / np.float32(32767), r / (1 + r)
+    # most tokens stand alone, so that nothing meets there
+    slot = (e["token"] * np.uint32(2654435761)) >> np.uint32(12)
+    order = np.flatnonzero(np.bincount(slot, minlength=1 << 20)[slot] > 1)
+    order = order[np.argsort((e["token"][order].astype(np.uint64) << np.uint64(32)) | e["n"][order].astype(np.uint64))]
+    token, ent, n, rest, floor = e["token"][order], e["ent"][order], e["n"][order].astype(np.int64), e["rest"][order].astype(np.int64), e["floor"][order]
+    vec, share = e["q"][order].astype(np.float32) / np.float32(32767), r / (1 + r)
     widest = np.floor(rest / share + 1e-6).astype(np.int64) - n  # the size that the larger set may have
     least = min(t.func, t.win, t.exp)
     found = []
 
     def keep(i: np.ndarray, j: np.ndarray, s: np.ndarray) -> None:
-        ok = (np.minimum(rest[i], rest[j]) >= share * (n[i] + n[j]) - 1e-6) & (e["ent"][i] != e["ent"][j])
-        ok &= (1 - t.lexical_weight) * (s + SLACK) + t.lexical_weight * np.minimum(n[i], n[j]) / np.maximum(n[i], n[j]) >= least - 1e-6
+        both, size = np.minimum(rest[i], rest[j]), n[i] + n[j]  # at the first token that two sets share, all that they share is among the rest
+        ok = (both >= share * size - 1e-6) & (ent[i] != ent[j])
+        ok &= (1 - t.lexical_weight) * (s + SLACK) + t.lexical_weight * both / (size - both) >= least - 1e-6
         if ok.any():
             i, j, s = i[ok], j[ok], s[ok]
-            turn = e["ent"][i] > e["ent"][j]
+            turn = ent[i] > ent[j]
             i, j = np.where(turn, j, i), np.where(turn, i, j)
-            found.append((e["ent"][i], e["ent"][j], s.astype(float) + SLACK, s >= floor[i], s >= floor[j]))
+            found.append((ent[i], ent[j], s.astype(float) + SLACK, s >= floor[i], s >= floor[j]))
 
-    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(e) else np.zeros(0, int)
-    ends = np.r_[starts[1:], len(e)][: len(starts)]
+    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, int)
+    ends = np.r_[starts[1:], len(token)][: len(starts)]
     # few entries: each with the next one, with the one after that, and so on, for all tokens at once
     small = np.repeat(ends - starts < MATRIX, ends - starts)
     last = np.repeat(ends, ends - starts)
@@ -179,11 +205,12 @@ def meet(e: np.ndarray, r: float, t: Thresholds) -> dict[str, np.ndarray]:
         for at in range(0, len(smaller), knn.TILE[0]):
             x = smaller[at : at + knn.TILE[0]]
             lo, hi = start + np.searchsorted(size, n[x[0]]), start + np.searchsorted(size, widest[x].max(), "right")
-            for y in range(lo, hi, knn.TILE[1]):
-                z = min(hi, y + knn.TILE[1])
-                s = vec[x] @ vec[y:z].T
-                i, j = np.nonzero((s >= floor[x][:, None]) | (s >= floor[y:z][None]))
-                keep(x[i], y + j, s[i, j])
+            # a token that comes late in the larger set has no room for a smaller one of about its size
+            larger = lo + np.flatnonzero(rest[lo:hi] >= share * (n[x[0]] + n[lo:hi]) - 1e-6)
+            for y in (larger[k : k + knn.TILE[1]] for k in range(0, len(larger), knn.TILE[1])):
+                s = vec[x] @ vec[y].T
+                i, j = np.divmod(np.flatnonzero((s >= floor[x][:, None]) | (s >= floor[y][None])), len(y))
+                keep(x[i], y[j], s[i, j])
     names = ("a", "b", "cosine", "asks_a", "asks_b")
     if not found:
         return dict(zip(names, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool), np.zeros(0, bool)), strict=True))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from ..config import Windows
 from ..functions import columns as C
-from ..functions import syntax
+from ..functions import cut, syntax
 
 UNIT = "path string, language string, qualified_name string, start_line int, end_line int, code string, fn_ord int"
 
@@ -97,3 +98,30 @@ def window_snippets(units: DataFrame, params: Windows = Windows(), normalise: bo
     d = d.withColumn("text", _normalised("raw") if normalise else F.col("raw"))
     key = F.concat_ws(":", F.lit("WIN"), "path", F.col("start_line").cast("string"), F.col("end_line").cast("string"), "code_hash", (F.col("at") + 1).cast("string"), F.col("rel").cast("string"), "text")
     return d.select(F.lit("WIN").alias("kind"), "fn_id", "path", F.col("start_line").alias("fn_start"), F.col("end_line").alias("fn_end"), (F.col("start_line") + F.col("at")).alias("start_line"), (F.col("start_line") + F.col("rel") - 1).alias("end_line"), "text", F.sha2(key, 256).alias("snippet_hash"))
+
+
+#: what is told of a window without its text: sha256 of the text, its token set as a digest of hashes of 64 bits, and as hashes of 32
+TOLD = "kind string, fn_id string, path string, fn_start int, fn_end int, start_line int, end_line int, snippet_hash string, digest binary, set binary, codes binary"
+
+
+def told_windows(files: DataFrame, params: Windows = Windows()) -> DataFrame:
+    """The windows of window_snippets(text_units(files)), as they are, by TOLD: texts are cut, hashed and read for tokens in one pass."""
+    if params.stride_lines <= 0 or params.window_lines <= 0:
+        raise ValueError("window and stride must be positive")
+    kinds = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
+    schema = pa.schema([(n, kinds[t]) for n, t in map(str.split, TOLD.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, end in cut.parts(b["content"]):
+                part = b.slice(at, end - at)
+                yield from cut.told(part["path"].to_pylist(), part["content"].cast(pa.binary()).to_pylist(), params.window_lines, params.stride_lines, params.min_nonempty, schema)
+
+    return files.where("language = 'text'").select("path", "content").mapInArrow(run, TOLD)
+
+
+def digest_vectors(told: pa.RecordBatch) -> pa.Array:
+    """columns.hash_vector of texts, by their sha256."""
+    raw = np.frombuffer(b"".join(x[:16] for x in told["digest"].to_pylist()), np.uint8).reshape(told.num_rows, 16) / 255.0
+    norm = np.sqrt(np.cumsum(raw * raw, axis=1)[:, -1:])
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, 16 * told.num_rows + 1, 16, dtype=np.int32)), pa.array((raw / norm).ravel()))

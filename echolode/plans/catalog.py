@@ -31,8 +31,8 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _files(spark: SparkSession, sf: str) -> DataFrame:
-    return table_files(dealt(_table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", "documents/")
+def _files(spark: SparkSession, sf: str, deal: Callable[[DataFrame], DataFrame] = dealt) -> DataFrame:
+    return table_files(deal(_table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", "documents/")
 
 
 def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,18 +107,29 @@ def index_search(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("a_pos", "b_pos", F.round("score", 6).alias("score"), "rank")
 
 
-def _snippets(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """The windows of files with pos, vec and tokens, written once."""
-    w = snippets.window_snippets(snippets.text_units(files), WINDOWS, normalise=False)
-    s = positioned(w).withColumn("vec", C.hash_vector(F.col("text"))).withColumn("tokens", snippets.tokens("text")).withColumn("text_hash", F.sha2("text", 256))
-    return Scratch(spark).cut(s.drop("text"), "windows", "zstd")
+def _snippets(spark: SparkSession, files: DataFrame, again: DataFrame | None = None) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The windows of files with pos, vec and text_hash, their sketches, and what gives the tokens of few of them.
+    ``again``: the files, as few of them are best read."""
+    d = Scratch(spark).cut(snippets.told_windows(files, WINDOWS), "windows", "zstd")
+    d = positioned(d, overlap.sketcher(d, THRESHOLDS, snippets.digest_vectors))
+    s = d.withColumn("text_hash", F.lower(F.hex("digest")))
+    narrow = d.select("pos", "n", *(f"s{k}" for k in range(matches.LONGS)), "set", "first")
+
+    def tokens(few: DataFrame) -> DataFrame:
+        # few texts are cut again; what is told of a window by its hash tells its text
+        asked = Scratch(spark).cut(d.select("pos", "path", "snippet_hash").join(few, "pos", "left_semi"), "asked")
+        hint = F.broadcast if asked.count() <= 1_000_000 else lambda x: x
+        some = (files if again is None else again).join(hint(asked.select("path").distinct()), "path", "left_semi")
+        w = snippets.window_snippets(snippets.text_units(some), WINDOWS, normalise=False).join(hint(asked.select("snippet_hash").distinct()), "snippet_hash", "left_semi")
+        return asked.join(w.dropDuplicates(["snippet_hash"]).select("snippet_hash", snippets.tokens("text").alias("tokens")), "snippet_hash").select("pos", "tokens")
+
+    return s, narrow, tokens
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    s = _snippets(spark, _files(spark, sf))
+    s, narrow, tokens = _snippets(spark, _files(spark, sf), _files(spark, sf, lambda d: d))
     # equal texts have equal vectors, so k neighbours by distinct vector would do; ranks are kept by row as defined
-    narrow = Scratch(spark).cut(overlap.sketches(s, THRESHOLDS), "bits", "zstd")
-    return matches.candidates(s, overlap.near(s, K, least_cosine(Config()), THRESHOLDS, narrow), THRESHOLDS, narrow)
+    return matches.candidates(s, overlap.near(s, K, least_cosine(Config()), THRESHOLDS, narrow), THRESHOLDS, narrow, tokens)
 
 
 SIDES = ("a_fn_id", "a_start_line", "a_end_line", "b_fn_id", "b_start_line", "b_end_line")
@@ -192,12 +203,11 @@ def diff_incremental(spark: SparkSession, sf: str) -> DataFrame:
     was = now.join(changed.withColumn("changed", F.lit(True)), "path", "left").where(F.expr("changed is null or crc32(cast(path as binary)) % 3 <> 0"))
     was = was.withColumn("content", F.when(F.col("changed"), F.concat(F.lit("a first line\n"), "content")).otherwise(F.col("content"))).drop("changed")
     was = was.unionByName(table_files(_table(spark, sf, "benchmark").select("item_id", "text"), "item_id", "text", "benchmark/"))
-    before, after = _snippets(spark, was), _snippets(spark, now)
     store = Store(spark, f"{Scratch(spark).root}/state")
-    for s in (before, after):
-        narrow = Scratch(spark).cut(overlap.sketches(s, THRESHOLDS), "bits", "zstd")
+    for files in (was, now):
+        s, narrow, tokens = _snippets(spark, files)
         near = overlap.near(s, K, least, THRESHOLDS, narrow, incremental.through(store, s, K, least, {"k": K}))
-    found = matches.matches(matches.candidates(after, incremental.within(near, after, changed), THRESHOLDS, narrow), THRESHOLDS.lexical_min_ratio)
+    found = matches.matches(matches.candidates(s, incremental.within(near, s, changed), THRESHOLDS, narrow, tokens), THRESHOLDS.lexical_min_ratio)
     return touched(matches.findings(found, THRESHOLDS), changed).select("fn_a", "fn_b", F.round("score", 6).alias("score"), "duplicated_lines")
 
 

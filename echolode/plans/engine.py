@@ -36,15 +36,18 @@ def least_cosine(c: Config) -> float | None:
     return None if w >= 1 else (min(t.func, t.win, t.exp) - w) / (1 - w)
 
 
-def positioned(found: DataFrame) -> DataFrame:
+def positioned(found: DataFrame, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Snippets with pos, numbered by kind, path and place, so that ties don't depend on partitions. Numbers are made by
-    counting range partitions, not by a sort in one task. What is ranged is written first, as ranges need a pass of their own."""
+    counting range partitions, not by a sort in one task. What is ranged is written first, as ranges need a pass of their own; with ``then``, a
+    step that keeps rows and their order, ``found`` is written already."""
     spark, order = found.sparkSession, ("kind", "path", "fn_id", "start_line", "end_line", "snippet_hash")
     scratch = Scratch(spark)
-    found = scratch.cut(found, "found", "zstd")
-    ranged = scratch.cut(found.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ordered", "zstd")
+    found = found if then else scratch.cut(found, "found", "zstd")
+    ranged = found.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = scratch.cut((then(ranged) if then else ranged).withColumn("_id", F.monotonically_increasing_id()), "ordered", "zstd")
     part = F.shiftright("_id", 33)
-    scratch.drop("found")
+    if not then:
+        scratch.drop("found")
     sizes = ranged.groupBy(part.alias("_p")).count().orderBy("_p").collect()  # one row a partition
     starts, total = {}, 0
     for r in sizes:

@@ -72,5 +72,5 @@ def dealt(df: DataFrame) -> DataFrame:
 
 def table_files(df: DataFrame, id_col: str, text_col: str, prefix: str) -> DataFrame:
     """Rows of a table as text files."""
-    content = F.regexp_replace(F.coalesce(text_col, F.lit("")), "\r\n?", "\n")
+    content = F.replace(F.replace(F.coalesce(text_col, F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     return df.select(F.concat(F.lit(prefix), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("path"), content.alias("content"), F.sha2(content, 256).alias("content_hash"), F.lit("text").alias("language"))
