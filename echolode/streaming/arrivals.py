@@ -1,6 +1,6 @@
 """An addition of our own: texts that arrive are linked, window by window, with equal windows of texts seen before.
 
-State is kept by window hash: the stretches of time in which the window was seen, each with its first and last place. Two
+State is kept by window hash, in buckets of these: the stretches of time in which the window was seen, each with its first and last place. Two
 sightings of a window are in one stretch if no gap between sightings is longer than ``horizon``; texts that are linked, directly
 or through others, are those that share a stretch, whatever the order or the batches in which they come. Only links that hold
 stretches together are given, not all pairs, so a window that a third of all texts has costs one link a text.
@@ -32,6 +32,9 @@ SPAN = "first_at long, first_path string, first_start int, first_end int, last_a
 LINK = "a_path string, a_start_line int, a_end_line int, b_path string, b_start_line int, b_end_line int"
 #: Link rows that a record batch has found already go through the state operator under that many keys that hold no state.
 PASSED = 1024
+#: Windows share that many keys of state by their hash: a key costs calls to the store, which millions of windows would each pay for.
+#: State that was kept by window can't be taken up.
+BUCKETS = 1 << 14
 
 
 def joined(spans: list[tuple], horizon: int) -> tuple[list[tuple], list[tuple]]:
@@ -58,59 +61,66 @@ def _met(batches: Iterator[pa.RecordBatch], horizon: int) -> Iterator[pa.RecordB
         rows = []
         for key, spans in by.items():
             kept, links = joined(spans, horizon)
-            rows += [(key, True, *x) for x in kept]
-            rows += [(f"#{crc32(repr(x).encode()) % PASSED}", False, kept[-1][4], *x[:3], kept[-1][4], *x[3:]) for x in links]
-        yield pa.RecordBatch.from_pylist([dict(zip(["key", "held", *names], x, strict=True)) for x in rows], _schema())
+            rows += [(str(crc32(key.encode()) % BUCKETS), key, *x) for x in kept]
+            rows += [(f"#{crc32(repr(x).encode()) % PASSED}", None, kept[-1][4], *x[:3], kept[-1][4], *x[3:]) for x in links]
+        yield pa.RecordBatch.from_pylist([dict(zip(["key", "own", *names], x, strict=True)) for x in rows], _schema())
 
 
 def _schema() -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    return pa.schema([("key", pa.string()), ("held", pa.bool_())] + [(n, kinds[t]) for n, t in map(str.split, SPAN.split(", "))])
+    return pa.schema([("key", pa.string()), ("own", pa.string())] + [(n, kinds[t]) for n, t in map(str.split, SPAN.split(", "))])
 
 
 class Stretches(StatefulProcessor):
-    """The stretches of one window, and a timer for the end of each. Between two of them lies more than ``horizon``, so there
-    are only as many as fit between the watermark and the newest row."""
+    """The stretches of the windows of a bucket, and a timer for the one that ends first. Between two of a window lies more than
+    ``horizon``, so it has only as many as fit between the watermark and the newest row. A bucket is read and written once a batch,
+    whatever windows of it the batch has."""
 
     def __init__(self, horizon: int) -> None:
         self.horizon = horizon
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.spans = handle, handle.getListState("spans", SPAN)
-
-    def _keep(self, old: list[tuple], new: list[tuple]) -> None:
-        ends, others = ({x[4] + self.horizon for x in s} for s in (new, old))
-        for at in others - ends:
-            self.handle.deleteTimer(at)
-        for at in ends - others:
-            self.handle.registerTimer(at)
+        self.handle, self.spans = handle, handle.getListState("spans", f"own string, {SPAN}")
+
+    def _keep(self, new: list[tuple], due: int | None) -> None:
+        """``new`` in the place of what is held, whose timer is ``due``."""
+        at = min(x[5] for x in new) + self.horizon if new else None
+        if at != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            if at is not None:
+                self.handle.registerTimer(at)
         if new:
             self.spans.put(new)
         else:
             self.spans.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        names, new = [x.split()[0] for x in LINK.split(", ")], []
+        names, new = [x.split()[0] for x in LINK.split(", ")], defaultdict(list)
         for r in rows:
             x = tuple(r[n.split()[0]] for n in SPAN.split(", "))
-            if r["held"]:
-                new.append(x)
+            if r["own"] is not None:
+                new[r["own"]].append(x)
             else:
                 yield Row(**dict(zip(names, x[1:4] + x[5:], strict=True)))
         if new:
             old = list(map(tuple, self.spans.get()))
-            kept, links = joined(old + new, self.horizon)
-            self._keep(old, kept)
-            for x in links:
-                yield Row(**dict(zip(names, x, strict=True)))
+            due = min(x[5] for x in old) + self.horizon if old else None
+            kept = [x for x in old if x[0] not in new]
+            for x in old:
+                if x[0] in new:
+                    new[x[0]].append(x[1:])
+            for own, spans in new.items():
+                spans, links = joined(spans, self.horizon)
+                kept += [(own, *x) for x in spans]
+                for x in links:
+                    yield Row(**dict(zip(names, x, strict=True)))
+            self._keep(kept, due)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        # the timer that fires is gone by itself
-        held = [x for x in map(tuple, self.spans.get()) if x[4] + self.horizon > expiredTimerInfo.getExpiryTimeInMs()]
-        if held:
-            self.spans.put(held)
-        else:
-            self.spans.clear()
+        # the timer that fires is gone by itself; all that has ended by now goes with it
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        self._keep([x for x in map(tuple, self.spans.get()) if x[5] + self.horizon > now], None)
         return iter(())
 
     def close(self) -> None:
@@ -125,14 +135,17 @@ def links(arriving: DataFrame, id_col: str, text_col: str, at_col: str, windows:
     named = texts.select(F.concat(F.unix_millis("at").cast("string"), F.lit("|"), F.coalesce(F.col("id").cast("string"), F.lit(""))).alias("id"), "text")
     w = window_snippets(text_units(table_files(named, "id", "text", "")), windows, normalise=False)
     told = w.select(F.sha2("text", 256).alias("text_hash"), F.expr("cast(substring_index(path, '|', 1) as long)").alias("at"), F.expr("substr(path, instr(path, '|') + 1)").alias("path"), "start_line", "end_line")
-    met = told.mapInArrow(lambda batches: _met(batches, ms), f"key string, held boolean, {SPAN}")
+    met = told.mapInArrow(lambda batches: _met(batches, ms), f"key string, own string, {SPAN}")
     timed = met.withColumn("at", F.timestamp_millis("last_at")).withWatermark("at", f"{int(late.total_seconds() * 1000)} milliseconds")
     return timed.groupBy("key").transformWithState(Stretches(ms), LINK, "Append", "EventTime")
 
 
 def watch(arriving: DataFrame, id_col: str, text_col: str, at_col: str, out: str, checkpoint: str, windows: Windows = Windows(), horizon: timedelta = timedelta(days=30), late: timedelta = timedelta(days=1), trigger: dict | None = None) -> StreamingQuery:
     """Links go to ``out`` as Parquet, once each, whatever is restarted; state lies in ``checkpoint``."""
-    arriving.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    conf = arriving.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # else rows are late by the watermark of the batch before, as several operators in a row need it
+    conf.set("spark.sql.streaming.statefulOperator.allowMultiple", "false")
     stream = links(arriving, id_col, text_col, at_col, windows, horizon, late)
     return stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
 

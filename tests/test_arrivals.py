@@ -120,3 +120,47 @@ def test_stretches_are_put_together_in_any_order(seed):
         links += new + more
     assert groups((a[0], a[3]) for a in links) == groups((a[1], b[1]) for a in seen for b in seen if a != b and abs(a[0] - b[0]) <= 5)
     assert len(links) < len(seen)
+
+
+def test_a_bucket_is_read_and_written_once():
+    """Each window had calls to the store of its own; a batch's windows of a bucket share them, and so do those that end."""
+    held, calls = [], []
+
+    class Store:
+        def getListState(self, name, schema):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return iter(list(held))
+
+        def put(self, rows):
+            calls.append("put")
+            held[:] = rows
+
+        def clear(self):
+            calls.append("clear")
+            held.clear()
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+        def deleteTimer(self, at):
+            calls.append(-at)
+
+        def getExpiryTimeInMs(self):
+            return 12
+
+        def getCurrentWatermarkInMs(self):
+            return 40
+
+    names = [x.split()[0] for x in arrivals.SPAN.split(", ")]
+    row = lambda own, at, path: {"own": own} | dict(zip(names, (at, path, 1, 2) * 2, strict=True))
+    s = arrivals.Stretches(5)
+    s.init(Store())
+    assert list(s.handleInputRows(("1",), [row(f"w{k}", 7 + k % 3, "a") for k in range(100)], None)) == []
+    assert calls == ["get", 12, "put"] and len(held) == 100
+    links = list(s.handleInputRows(("1",), [row("w0", 11, "b"), row("w1", 90, "c")], None))
+    assert [(x.a_path, x.b_path) for x in links] == [("a", "b")] and len(held) == 101
+    list(s.handleExpiredTimer(("1",), Store(), Store()))
+    assert [(x[0], x[5]) for x in held] == [("w1", 90)] and calls[-2:] == [95, "put"]
